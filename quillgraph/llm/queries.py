@@ -20,7 +20,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_counts
+
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_fingerprints": op5_fingerprints,
+    "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
