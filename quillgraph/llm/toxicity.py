@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
-Training counts, in documents of a bounded labelled sample, how many toxic and clean texts hold each
-word and each word beginning; log-odds with a Dirichlet prior give the tokens their scores, kept where
+Training counts, in a bounded labelled sample, the different words of each toxic and clean text, by
+word and by word beginning; log-odds with a Dirichlet prior give the tokens their scores, kept where
 they are significant, and every other token costs `drift`. A linear scan finds all maximal scoring
 segments of a text. Their scores follow an extreme-value law: the chance that a clean text of n
 tokens holds a segment of score S is 1 - exp(-K n exp(-lambda S)). The logarithm of that expected
@@ -25,7 +25,7 @@ from .common import Words, checkpointed, mix, slices, string_buffers, texts, win
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
 #: Bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (6, 7, 8)
-PRIOR, LEAST_DOCS, LEAST_Z, DRIFT = 1.0, 4, 3.0, 0.1
+PRIOR, LEAST_COUNT, LEAST_Z, DRIFT = 1.0, 4, 3.5, 0.03
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 
@@ -81,10 +81,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class that hold a feature. Copies and most near copies count once, by their least shingle."""
+    """Different words of the texts of each class that have a feature. Copies and most near copies count once, by their least shingle."""
     seen: set[int] = set()
     keys: list[np.ndarray] = []
     marks: list[np.ndarray] = []
+    words = [0, 0]
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = _letters(batch.column("text"))
@@ -99,7 +100,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sketch in seen:
                     continue
                 seen.add(sketch)
-                own = np.unique(np.concatenate([f[a:b] for f in features]))
+                at = a + np.unique(w.hash[a:b], return_index=True)[1]
+                own = np.concatenate([f[at] for f in features])
+                own = own[own != 0]
+                words[toxic[i + k]] += len(at)
                 keys.append(own)
                 marks.append(np.full(len(own), toxic[i + k], np.int64))
     if keys:
@@ -109,7 +113,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(inv, minlength=len(u)).astype(np.int64)
         for s in range(0, len(u), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(u[s : s + 50_000].view(np.int64)), pa.array(t[s : s + 50_000]), pa.array(n[s : s + 50_000] - t[s : s + 50_000])], names=["f", "t", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([int(sum(m[0] for m in marks))]), pa.array([sum(1 for m in marks if not m[0])])], names=["f", "t", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([words[1]]), pa.array([words[0]])], names=["f", "t", "c"])
 
 
 def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[float, int, int]]:
@@ -133,6 +137,16 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float) -> li
     return [(r - a, int(i), int(j)) for a, r, i, j in out]
 
 
+def _damped(words: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The r-th time that a text says the same word counts 1/r of its score."""
+    times: dict[int, int] = {}
+    out = scores.copy()
+    for k, h in enumerate(words.tolist()):
+        times[h] = r = times.get(h, 0) + 1
+        out[k] /= r
+    return out
+
+
 def _segments(column: pa.Array, m: Model) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
     """(tokens, maximal segments) of each text."""
     data, offsets = _letters(column)
@@ -148,7 +162,7 @@ def _segments(column: pa.Array, m: Model) -> Iterator[tuple[int, list[tuple[floa
         for k in range(j - i):
             a, n = w.offsets[k], int(w.offsets[k + 1] - w.offsets[k])
             own = hits[ends[k] : ends[k + 1]]
-            yield n, maximal_segments(own - a, best[own], DRIFT) if len(own) else []
+            yield n, maximal_segments(own - a, _damped(w.hash[own], best[own]), DRIFT) if len(own) else []
 
 
 def _evidence(n: int, score: float, m: Model) -> float:
@@ -160,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     rows = training_rows(docs, labels)
     counts = rows.mapInArrow(_count, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = checkpointed(counts.where(f"f = 0 or t >= {LEAST_DOCS}"))
+    counts = checkpointed(counts.where(f"f = 0 or t >= {LEAST_COUNT}"))
     sizes = counts.where("f = 0").first()
     nt, nc = (sizes.t, sizes.c) if sizes else (0, 0)
     y = lambda c: F.col(c) + F.lit(PRIOR)
     odds = F.log(y("t") / (F.lit(nt + 2 * PRIOR) - F.col("t"))) - F.log(y("c") / (F.lit(nc + 2 * PRIOR) - F.col("c")))
     kept = counts.where("f <> 0").withColumn("odds", odds).where((F.col("odds") > 0) & (F.col("odds") / F.sqrt(1 / y("t") + 1 / y("c")) >= LEAST_Z))
-    found = sorted((r.f & ((1 << 64) - 1), r.odds) for r in kept.select("f", "odds").collect())  # at most the sample's words / LEAST_DOCS
+    found = sorted((r.f & ((1 << 64) - 1), r.odds) for r in kept.select("f", "odds").collect())  # at most the sample's words / LEAST_COUNT
     m = Model(np.array([f for f, _ in found], np.uint64), np.array([s for _, s in found], float))
     shared = spark.sparkContext.broadcast(m)
 
