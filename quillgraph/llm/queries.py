@@ -26,6 +26,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -39,6 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_fingerprints": op5_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
