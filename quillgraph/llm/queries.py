@@ -32,6 +32,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -46,6 +52,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
