@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, TRAIN_STEPS, SEED = 240, 40, 5
+TRAIN_PAGES, TRAIN_STEPS, SEED = 200, 90, 5
 
 #: Elements by their role in HTML.
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend".split())
@@ -154,7 +154,8 @@ def _roles(names: str) -> tuple[str, ...]:
 
 
 def features(n: Node) -> list[str]:
-    out = ["bias", f"tag:{n.tag}", *_roles(n.names)]
+    roles = _roles(n.names)
+    out = ["bias", f"tag:{n.tag}:{'+'.join(roles) or 'bare'}", *roles]
     if n.chars:
         out.append(f"chars:{min(n.chars.bit_length(), 10)}")
         dense = n.linked / n.chars
@@ -166,16 +167,24 @@ def features(n: Node) -> list[str]:
 
 
 SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr blockquote pre figcaption".split())
-#: Edge weights by kind of child: both content, both not.
-EDGES = ("edge:small:11", "edge:small:00", "edge:part:11", "edge:part:00")
+#: The frame of a page says nothing about its parts.
+FRAME = frozenset(("#root", "html", "body"))
 
 
-def beliefs(nodes: list[Node], w: dict[str, float]) -> tuple[list[float], list[float], list[float]]:
+def edge(parent: Node, child: Node) -> tuple[str, str] | None:
+    """Names of an edge's weights: both nodes content, both not."""
+    if parent.tag in FRAME:
+        return None
+    return ("edge:small:11", "edge:small:00") if child.tag in SMALL else ("edge:part:11", "edge:part:00")
+
+
+def beliefs(nodes: list[Node], w: dict[str, float], known: list[list[str]] | None = None) -> tuple[list[float], list[float], list[float]]:
     """Log-odds of content of each node: (final, from below, of the parent without this child)."""
     exp, log = math.exp, math.log
-    up = [sum(w.get(f, 0.0) for f in features(n)) for n in nodes]
+    get = w.get
+    up = [sum([get(f, 0.0) for f in fs]) for fs in (known or map(features, nodes))]
     sent = [0.0] * len(nodes)
-    both = [(w.get(EDGES[0], 0.0), w.get(EDGES[1], 0.0)) if n.tag in SMALL else (w.get(EDGES[2], 0.0), w.get(EDGES[3], 0.0)) for n in nodes]
+    both = [(get(e[0], 0.0), get(e[1], 0.0)) if (e := edge(nodes[n.parent], n)) else (0.0, 0.0) for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         b, (one, zero) = max(-30.0, min(30.0, up[i])), both[i]
         sent[i] = log((1 + exp(one + b)) / (exp(zero) + exp(b)))
@@ -195,29 +204,29 @@ def _sigmoid(x: float) -> float:
 @lru_cache(maxsize=1)
 def weights() -> tuple[tuple[str, float], ...]:
     rnd = random.Random(SEED)
-    pages = [parse(_page(rnd))[0] for _ in range(TRAIN_PAGES)]
+    pages = [(nodes, [*map(features, nodes)]) for nodes in (parse(_page(rnd))[0] for _ in range(TRAIN_PAGES))]
     w: dict[str, float] = {}
     seen: dict[str, float] = {}
     for _ in range(TRAIN_STEPS):
         g: dict[str, float] = {}
-        for nodes in pages:
-            full, up, rest = beliefs(nodes, w)
+        for nodes, known in pages:
+            full, up, rest = beliefs(nodes, w, known)
             for i, n in enumerate(nodes):
                 y = max(n.label, 0)
                 e = y - _sigmoid(full[i])
-                for f in features(n):
+                for f in known[i]:
                     g[f] = g.get(f, 0.0) + e
-                if i:
-                    one, zero = (EDGES[0], EDGES[1]) if n.tag in SMALL else (EDGES[2], EDGES[3])
+                if i and (e := edge(nodes[n.parent], n)):
+                    one, zero = e
                     b, t = max(-30.0, min(30.0, up[i])), rest[i]
                     z = [math.exp(w.get(zero, 0.0)), math.exp(b), math.exp(t), math.exp(w.get(one, 0.0) + b + t)]
                     s, yp = sum(z), max(nodes[n.parent].label, 0)
                     g[one] = g.get(one, 0.0) + (y and yp) - z[3] / s
                     g[zero] = g.get(zero, 0.0) + (not y and not yp) - z[0] / s
         for f, v in g.items():
-            v -= 0.3 * w.get(f, 0.0)
+            v -= 0.02 * w.get(f, 0.0)
             seen[f] = seen.get(f, 1e-6) + v * v
-            w[f] = w.get(f, 0.0) + 0.5 * v / math.sqrt(seen[f])
+            w[f] = w.get(f, 0.0) + 2.0 * v / math.sqrt(seen[f])
     return tuple(sorted(w.items()))
 
 
@@ -268,6 +277,8 @@ def _page(rnd: random.Random) -> str:
             parts.append(pick((lambda: el("p", text(), 1), lambda: el("p", text(), 1), lambda: el("p", text(), 1), lambda: el("p", f"<b>{line(1, 5)}.", 1), lambda: el("p", line(1, 2), 1), lambda: el("p", line(40, 200), 1), lambda: el("p", text() * 4, 1), lambda: el("p", f"<b>{line(20, 90)}", 1), lambda: el("h2", line(1, 6), 1), lambda: el("ul", "".join(el("li", line(2, 12), 1) for _ in range(3)), 1), lambda: el("ol", "".join(el("li", text(), 1) for _ in range(3)), 1), lambda: el("blockquote", pick((text(), el("p", text(), 1))), 1), lambda: el("pre", text(), 1), lambda: el("figure", el("figcaption", line(2, 8), 1), 1), lambda: el("table", el("tr", el("td", word(), 1) + el("td", word(), 1), 1), 1), lambda: el("section", el("h3", line(1, 4), 1) + el("p", text(), 1), 1), lambda: el("div", text(), 1)))())
             if rnd.random() < 0.12:
                 parts.append(pick((advert, share, notice, form))())
+        if rnd.random() < 0.35:
+            parts += [el("p", line(1, 4), 1) for _ in range(rnd.randint(5, 40))]
         return "".join(parts)
 
     main = pick((lambda b: el("article", b, 1), lambda b: el("article", b, 1, "post"), lambda b: el("main", el("article", b, 1), 1), lambda b: el("div", b, 1, pick(("content", "post-body", "entry-content", "article", "story", "main-text"))), lambda b: el("main", b, 1), lambda b: el("div", el("div", b, 1, "article-body"), 1, "main"), lambda b: el("section", b, 1, "content")))(body())
