@@ -26,6 +26,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -51,6 +57,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
