@@ -50,6 +50,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), least=20).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_counts
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
+    "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
