@@ -142,22 +142,19 @@ def _local(b: Block, n: int, known: list[Counts]) -> tuple[np.ndarray, np.ndarra
 
 
 ASK = "shard int, block int, keys binary, own binary, bucket binary, texts long"
-ANSWER = "shard int, block int, keys binary, total binary, once binary, all binary, kinds long, texts long"
+ANSWER = "shard int, block int, total binary, stats binary"
 
 
-def _known(answers: pa.Table | None, orders: int) -> list[Counts]:
-    out = []
+def _known(b: Block, answers: pa.Table | None, orders: int) -> list[Counts]:
+    """Counts of each order: the block's keys, made again in the order of the requests, with the answers."""
+    out: list[Counts] = []
     rows = answers.to_pylist() if answers is not None else []
     for n in range(1, orders + 1):
         mine = sorted((r for r in rows if r["n"] == n), key=lambda r: r["shard"])
-        keys = [unpack(r["keys"]) for r in mine]
         stats = np.zeros((2, BUCKETS), np.int64)
         for r in mine:
-            stats += np.stack([np.frombuffer(r["once"], "<i8"), np.frombuffer(r["all"], "<i8")])
-        out.append(Counts(np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate([_large(r["total"]) for r in mine]) if mine else np.zeros(0, np.int64), stats))
-        if n == 1 and mine:
-            out[0].stats[1, BUCKETS - 1] = sum(r["kinds"] for r in mine)  # V
-            out[0].stats[0, BUCKETS - 1] = sum(r["texts"] for r in mine)
+            stats += np.frombuffer(zlib.decompress(r["stats"]), "<i8").reshape(2, BUCKETS)
+        out.append(Counts(_local(b, n, out)[0], np.concatenate([_large(r["total"]) for r in mine]) if mine else np.zeros(0, np.int64), stats))
     return out
 
 
@@ -170,7 +167,7 @@ def _ask(n: int, n_shards: int):
         rows: dict[str, list] = defaultdict(list)
         if table.num_rows:
             b = Block(table)
-            u, own, bucket = _local(b, n, _known(answers, n - 1))
+            u, own, bucket = _local(b, n, _known(b, answers, n - 1))
             cuts = [0, *np.searchsorted(u, _edges(n_shards)).tolist(), len(u)]
             for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 rows["shard"].append(s)
@@ -199,25 +196,22 @@ def _answer(table: pa.Table) -> pa.Table:
     once = np.bincount(b, weights=total == 1, minlength=BUCKETS).astype(np.int64)
     every = np.bincount(b, weights=total, minlength=BUCKETS).astype(np.int64)
     once[BUCKETS - 2], once[BUCKETS - 3] = (total == 1).sum(), (total == 2).sum()
-    every[BUCKETS - 2] = total.sum()
+    every[BUCKETS - 2], every[BUCKETS - 1] = total.sum(), (total > 0).sum()
+    once[BUCKETS - 1] = int(np.sum(table.column("texts").to_numpy()))
+    stats = zlib.compress(np.stack([once, every]).astype("<i8").tobytes(), 1)
     answers, at = [], 0
     for k in keys:
         answers.append(_small(total[inverse[at : at + len(k)]]))
         at += len(k)
-    n = len(keys)
-    texts_all = int(np.sum(table.column("texts").to_numpy()))
-    return pa.table({
-        "shard": table.column("shard"), "block": table.column("block"), "keys": pa.array(blobs, pa.binary()), "total": pa.array(answers, pa.binary()),
-        "once": pa.array([once.astype("<i8").tobytes()] * n, pa.binary()), "all": pa.array([every.astype("<i8").tobytes()] * n, pa.binary()),
-        "kinds": pa.array([int((total > 0).sum())] * n, pa.int64()), "texts": pa.array([texts_all] * n, pa.int64()),
-    })
+    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "total": pa.array(answers, pa.binary()), "stats": pa.array([stats] * len(keys), pa.binary())})
 
 
 def _score(order: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        b, known = Block(table), _known(answers, order)
+        b = Block(table)
+        known = _known(b, answers, order)
         stats = known[0].stats
         n_all, n_kinds, once, twice = int(stats[1, BUCKETS - 2]), int(stats[1, BUCKETS - 1]), int(stats[0, BUCKETS - 2]), int(stats[0, BUCKETS - 3])
         at, keys = b.grams(1)
