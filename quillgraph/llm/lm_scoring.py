@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,16 @@ class Block:
         return at, h
 
 
+@dataclass
+class Requests:
+    keys: np.ndarray  # sorted, with the training count in the block and the bucket of the context's count
+    own: np.ndarray
+    bucket: np.ndarray
+    alone: np.ndarray  # the same of n-grams that no other block can have
+    alone_own: np.ndarray
+    alone_bucket: np.ndarray
+
+
 class Counts:
     """Counts of a block's n-grams of one order in all training texts, by key."""
 
@@ -132,16 +143,48 @@ def _context(b: Block, n: int, known: list[Counts]) -> tuple[np.ndarray, np.ndar
     return at, keys, before
 
 
-def _local(b: Block, n: int, known: list[Counts]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(different keys, training count in the block, bucket of the context's count)."""
+def _local(b: Block, n: int, known: list[Counts]) -> Requests:
+    """The block's different n-grams of order n that the automaton may have, in two parts.
+
+    An n-gram whose context or suffix is in training texts of this block alone is too: its count is the
+    block's own and nobody is asked. One whose suffix is in no training text has no arc."""
     at, keys, before = _context(b, n, known)
-    live = before > 0 if n > 1 else np.ones(len(at), bool)  # no arc leaves a state that no training text has
+    live, alone = np.ones(len(at), bool), np.zeros(len(at), bool)
+    if n > 1:
+        live = before > 0  # no arc leaves a state that no training text has
+        own_before = _own(_contexts(b, n, at), b.trained[at])
+        alone = (before == own_before) & live
+    if n > 2:
+        tail_at, tail = b.grams(n - 1)
+        held = np.zeros(len(b.tokens), np.uint64)
+        held[tail_at] = tail
+        total = known[n - 2](held[at])
+        live &= total > 0
+        alone |= (total == _own(held[at], b.trained[at])) & live
     u, where, inverse = np.unique(keys[live], return_index=True, return_inverse=True)
     own = np.bincount(inverse, weights=b.trained[at][live], minlength=len(u)).astype(np.int64)
-    return u, own, _bucket(before[live][where]) if n > 1 else np.zeros(len(u), np.int64)
+    bucket = _bucket(before[live][where]) if n > 1 else np.zeros(len(u), np.int64)
+    mine = alone[live][where]
+    return Requests(u[~mine], own[~mine], bucket[~mine], u[mine], own[mine], bucket[mine])
+
+
+def _contexts(b: Block, n: int, at: np.ndarray) -> np.ndarray:
+    """Keys of the n - 1 tokens before each place, the start mark a context of its own."""
+    if n == 2:
+        return b.tokens[at - 1]
+    inner_at, inner = b.grams(n - 1)
+    held = np.zeros(len(b.tokens), np.uint64)
+    held[inner_at] = inner
+    return held[at - 1]
 
 
-ASK = "shard int, block int, keys binary, own binary, bucket binary, texts long"
+def _own(keys: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """Of each key, how often it is at a trained place."""
+    _, inverse = np.unique(keys, return_inverse=True)
+    return np.bincount(inverse, weights=trained)[inverse].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+
+
+ASK = "shard int, block int, keys binary, own binary, bucket binary, more binary"
 ANSWER = "shard int, block int, total binary, stats binary"
 
 
@@ -154,7 +197,11 @@ def _known(b: Block, answers: pa.Table | None, orders: int) -> list[Counts]:
         stats = np.zeros((2, BUCKETS), np.int64)
         for r in mine:
             stats += np.frombuffer(zlib.decompress(r["stats"]), "<i8").reshape(2, BUCKETS)
-        out.append(Counts(_local(b, n, out)[0], np.concatenate([_large(r["total"]) for r in mine]) if mine else np.zeros(0, np.int64), stats))
+        asked = _local(b, n, out)
+        keys = np.concatenate([asked.keys, asked.alone])
+        totals = np.concatenate([*(_large(r["total"]) for r in mine), asked.alone_own])
+        order = np.argsort(keys, kind="stable")
+        out.append(Counts(keys[order], totals[order], stats))
     return out
 
 
@@ -167,7 +214,9 @@ def _ask(n: int, n_shards: int):
         rows: dict[str, list] = defaultdict(list)
         if table.num_rows:
             b = Block(table)
-            u, own, bucket = _local(b, n, _known(b, answers, n - 1))
+            asked = _local(b, n, _known(b, answers, n - 1))
+            u, own, bucket = asked.keys, asked.own, asked.bucket
+            once, every = _tally(asked.alone_own, asked.alone_bucket)
             cuts = [0, *np.searchsorted(u, _edges(n_shards)).tolist(), len(u)]
             for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 rows["shard"].append(s)
@@ -175,13 +224,24 @@ def _ask(n: int, n_shards: int):
                 rows["keys"].append(pack(u[i:j]))
                 rows["own"].append(_small(own[i:j]))
                 rows["bucket"].append(_small(bucket[i:j]))
-                rows["texts"].append(int(b.train.sum()) if s == 0 else 0)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table({c: pa.array(rows[c], k) for c, k in zip(("shard", "block", "keys", "own", "bucket", "texts"), kinds, strict=True)})
+                once[BUCKETS - 1] = b.train.sum()
+                rows["more"].append(np.stack([once, every]).astype("<i8").tobytes() if s == 0 else b"")
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table({c: pa.array(rows[c], k) for c, k in zip(("shard", "block", "keys", "own", "bucket", "more"), kinds, strict=True)})
 
     return run if n > 1 else lambda table: run(table, None)  # the number of arguments tells Spark what to pass
 
 
+def _tally(total: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of some n-grams, two rows of numbers that add up: by bucket of the context's count,
+    how many have the count one, and the sum of counts. The last places hold sums over all buckets."""
+    once = np.bincount(bucket, weights=total == 1, minlength=BUCKETS).astype(np.int64)
+    every = np.bincount(bucket, weights=total, minlength=BUCKETS).astype(np.int64)
+    once[BUCKETS - 2], once[BUCKETS - 3] = (total == 1).sum(), (total == 2).sum()
+    every[BUCKETS - 2], every[BUCKETS - 1] = total.sum(), (total > 0).sum()
+    return once, every
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Add up the counts of a shard's n-grams over all blocks; answer each block for its own keys.
 
@@ -193,12 +253,12 @@ def _answer(table: pa.Table) -> pa.Table:
     u, where, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.int64)
     b = bucket[where] if len(u) else np.zeros(0, np.int64)
-    once = np.bincount(b, weights=total == 1, minlength=BUCKETS).astype(np.int64)
-    every = np.bincount(b, weights=total, minlength=BUCKETS).astype(np.int64)
-    once[BUCKETS - 2], once[BUCKETS - 3] = (total == 1).sum(), (total == 2).sum()
-    every[BUCKETS - 2], every[BUCKETS - 1] = total.sum(), (total > 0).sum()
-    once[BUCKETS - 1] = int(np.sum(table.column("texts").to_numpy()))
-    stats = zlib.compress(np.stack([once, every]).astype("<i8").tobytes(), 1)
+    once, every = _tally(total, b)
+    both = np.stack([once, every])
+    for more in table.column("more").to_pylist():  # what blocks have counted by themselves
+        if more:
+            both = both + np.frombuffer(more, "<i8").reshape(2, BUCKETS)
+    stats = zlib.compress(both.astype("<i8").tobytes(), 1)
     answers, at = [], 0
     for k in keys:
         answers.append(_small(total[inverse[at : at + len(k)]]))
