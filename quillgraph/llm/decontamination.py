@@ -158,3 +158,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold:
 
         out = out.unionByName(texts(docs).mapInArrow(run, schema))
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose doc_id has no pair at the threshold; rows with a null id stay."""
+    return docs.join(leaks(docs, benchmark, least, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -14,6 +14,8 @@ slots meet by a shuffle on (source, block), where a key has at most `most` slots
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +24,7 @@ from .common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 SPACE = r"[\x20\x09-\x0D]++"
-CHUNK_DOCS, RUN = 4096, 1024
+CHUNK_DOCS, RUN, PART_SLOTS = 4096, 1024, 1 << 16
 #: Sources (distinct names) whose table is broadcast; more are joined by shuffle.
 MOST_BROADCAST = 20_000
 
@@ -102,7 +104,8 @@ def _offsets(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
 def slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     """rank, k, block, slot, shard: one row for each output slot, made in runs of RUN."""
     runs = sources.where("n_slots > 0").select("rank", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))).alias("run"))
-    runs = runs.repartition("rank", "run")
+    parts = math.ceil((sources.agg(F.max("all_slots")).first()[0] or 0) / PART_SLOTS)
+    runs = runs.repartition(max(1, parts), "rank", "run")  # a given number: small rows here, but each makes RUN more
     rows = runs.withColumn("k", F.explode(F.expr(f"sequence(run * {RUN}, least(run * {RUN} + {RUN - 1}, n_slots - 1))"))).drop("run")
     rows = rows.withColumn("again", F.expr("k div n_blocks")).withColumn("at", F.expr("k % n_blocks")).withColumn("place", F.expr("first_slot + k"))
     rows = rows.withColumn("bk", F.xxhash64(F.lit(seed), "rank", "again")).withColumn("sk", F.lit(seed).cast("long"))
@@ -132,7 +135,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     sized, sources, n = _plan(docs, weights, most, block_words)
     placed = _offsets(sized, sources, n)
     used = slots(sources, seed, shard_slots).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = _pieces(placed, block_words).join(used, ["rank", "block"], "left")
+    taken = _pieces(placed, block_words).join(used.hint("merge"), ["rank", "block"], "left")
     keys = ["rank", "off", "doc_id", "size", "source_size", "target"]
     full = taken.groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
     none = _joined(sized.where("size = 0"), sources, n, "source_size", "target").withColumn("taken", F.lit(0).cast("long"))
@@ -150,5 +153,5 @@ def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     said = F.array_join(F.slice(F.split(_bare(F.col("text")), SPACE), (F.col("lo") - F.col("off") + 1).cast("int"), F.col("words").cast("int")), " ")
     pieces = pieces.select("rank", "source", "block", F.struct("lo", "doc_id", said.alias("said"), "words").alias("piece"))
     blocks = pieces.groupBy("rank", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    rows = slots(sources, seed, shard_slots).join(blocks, ["rank", "block"])
+    rows = slots(sources, seed, shard_slots).join(blocks.hint("merge"), ["rank", "block"])
     return rows.select("shard", "slot", "source", F.expr("pieces.doc_id").alias("doc_ids"), F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)").alias("n_words"), F.array_join(F.expr("pieces.said"), " ").alias("text"))

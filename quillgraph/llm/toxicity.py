@@ -225,6 +225,24 @@ def calibrated(m: Model, toxic: np.ndarray, n: np.ndarray, best: np.ndarray) ->
     return m
 
 
+def _probability(n: int, best: float, m: Model) -> float:
+    return 1 / (1 + math.exp(-min(max(m.slope * _evidence(n, best, m) + m.shift, -30), 30)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose score is under the threshold. Null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            column = batch.column("text").fill_null("")
+            keep = [_probability(n, max(got, default=(0.0,))[0], m) < threshold for n, got in _segments(column, m)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, n_segments (significant ones), first_word, last_word of the best.
 
@@ -239,7 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
             score, count, first, last = [], [], [], []
             for n, got in _segments(batch.column("text"), m):
                 best = max(got, default=(0.0, -1, -1))
-                score.append(1 / (1 + math.exp(-min(max(m.slope * _evidence(n, best[0], m) + m.shift, -30), 30))))
+                score.append(_probability(n, best[0], m))
                 count.append(sum(_evidence(n, s, m) >= 1 for s, _, _ in got))
                 first.append(best[1])
                 last.append(best[2])
