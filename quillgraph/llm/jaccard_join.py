@@ -36,8 +36,8 @@ from .lm_scoring import _edges, _large, _small, pack, unpack
 BLOCK_BYTES, SHARD_KEYS, SHINGLE = 8 << 20, 3_000_000, 5
 #: Sets of under SMALL shingles ask for all of them; those of at least 0.8 SMALL for half of all hashes, and both in between.
 SMALL = 64
-#: Pairs that a region may have to be joined directly.
-LEAF_PAIRS = 512
+#: Pairs that a region may have to be joined directly, at first and later; pivots of a larger region, at first one.
+FIRST_LEAF_PAIRS, LEAF_PAIRS, PIVOTS = 64, 16_384, 16
 #: Most ids of sets to compare that are broadcast (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 1 << 20
 
@@ -170,50 +170,71 @@ def _compared(base: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("p", "q", "x", "y").mapInArrow(_compare, "p long, q long, common long, either long")
 
 
+def _distinct_regions(live: DataFrame) -> DataFrame:
+    """Of regions with the same members one stays; `m` and `rest` (members outside the core) are added."""
+    size = Window.partitionBy("region")
+    live = live.withColumns({"m": F.count(F.lit(1)).over(size), "rest": F.sum((~F.col("core")).cast("int")).over(size), "u": F.expr("bit_xor(xxhash64(id, core))").over(size), "v": F.expr("bit_xor(xxhash64(7, core, id))").over(size)})
+    live = live.where("m > 1 and rest > 0")
+    kept = live.groupBy("m", "u", "v").agg(F.min("region").alias("region")).select("region")
+    return live.drop("u", "v").join(kept, "region", "left_semi")
+
+
 def links(base: DataFrame, members: DataFrame) -> DataFrame:
     """p, q: enough links between classes to join every component. members: region, id, n, weight."""
     known: DataFrame | None = None
     live = members.withColumn("core", F.lit(False))
     found: DataFrame | None = None
     while True:
-        size = Window.partitionBy("region")
-        live = live.withColumn("m", F.count(F.lit(1)).over(size)).withColumn("rest", F.sum((~F.col("core")).cast("int")).over(size)).where("m > 1 and rest > 0")
-        # the pivot is never one whose cell is done, unless it is all there is
-        rank = F.row_number().over(Window.partitionBy("region").orderBy("core", F.desc("weight"), "id"))
-        pivot = F.first("id").over(Window.partitionBy("region").orderBy("core", F.desc("weight"), "id"))
-        live = checkpointed(live.withColumn("rank", rank).withColumn("pivot", pivot).withColumn("leaf", (F.col("m") > 2) & (F.col("m") * F.col("rest") <= LEAF_PAIRS) & F.lit(known is not None)))
+        first = known is None
+        live = _distinct_regions(live)
+        # the first pivot is of the core, if there is one: so whoever is linked to it is of the core's component
+        lead = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("core"), F.desc("weight"), "id")) == 1
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("lead"), "core", F.desc("weight"), "id"))
+        leaf = F.col("m") * F.col("rest") <= (FIRST_LEAF_PAIRS if first else LEAF_PAIRS)
+        live = checkpointed(live.withColumn("lead", lead).withColumn("rank", rank).withColumn("leaf", leaf).drop("lead"))
         if live.isEmpty():
             break
-        near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * 60)  # noqa: E731  else the distance is over 2 EPS
-        heads = live.where("rank = 1").select("region", F.col("n").alias("pn"))
-        stars = live.where("rank > 1 and not leaf").join(heads, "region").where(near(F.col("n"), F.col("pn"))).select("id", "pivot")
-        left, right = live.where("leaf").select("region", "id", "n", "core"), live.where("leaf").select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("core").alias("pc"))
-        direct = left.join(right, "region").where("id < pivot and not (core and pc)").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * 80).select("id", "pivot")
+        k = 1 if first else PIVOTS
+        ratio = lambda least: F.least("n", "pn") * 100 >= F.greatest("n", "pn") * least  # noqa: E731  beyond it sizes alone tell
+        heads = live.where(F.col("rank") <= k).where("not leaf").select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("core").alias("pc"), F.col("rank").alias("at"))
+        stars = live.where("not leaf").join(heads, "region").where("id <> pivot and not (core and pc and at > 1)").where(ratio(60)).select("id", "pivot")
+        right = live.where("leaf").select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("core").alias("pc"))
+        direct = live.where("leaf").join(right, "region").where("id < pivot and not (core and pc)").where(ratio(80)).select("id", "pivot")
         pairs = stars.union(direct).select(F.least("id", "pivot").alias("p"), F.greatest("id", "pivot").alias("q")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["p", "q"], "left_anti")
         now = checkpointed(_compared(base, checkpointed(pairs)))
-        known = now if known is None else checkpointed(known.union(now))
+        known = now if known is None else known.union(now)
         linked = now.where("common * 100 >= either * 80").select("p", "q")
         found = linked if found is None else found.union(linked)
-        live = _recur(live, known)
+        live = _recur(live.where("not leaf"), known, k)
     return found if found is not None else members.select(F.col("id").alias("p"), F.col("id").alias("q")).limit(0)
 
 
-def _recur(live: DataFrame, known: DataFrame) -> DataFrame:
-    """The regions that remain once each region's pivot is measured: ring with boundary, and far."""
-    rows = live.where("not leaf and rank > 1").withColumn("p", F.least("id", "pivot")).withColumn("q", F.greatest("id", "pivot"))
-    rows = rows.join(known.select("p", "q", (1 - F.col("common") / F.col("either")).alias("d"), (F.col("common") * 100 >= F.col("either") * 80).alias("linked")), ["p", "q"], "left")
-    d = F.coalesce(F.col("d"), F.lit(1.0))  # sizes alone put it beyond 2 EPS
-    cell = F.coalesce(F.col("linked"), F.lit(False))
-    rows = rows.withColumn("d", d).withColumn("cell", cell)
-    ring = F.min(F.when(~F.col("cell") & (F.col("d") <= 0.4 + 1e-9), F.col("d"))).over(Window.partitionBy("region"))
-    rows = rows.withColumn("ring", ring)
+def _recur(live: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The regions that remain once all members are measured against a region's first k pivots.
+
+    Distances are to the first pivot. A member is in the core if it is linked to that pivot, or to
+    another one that is; or was before. Ring and boundary go on as one region, and so does the far
+    rest with those core members that are not in the first pivot's cell."""
+    d = (1 - F.col("common") / F.col("either")).alias("d")
+    linked = (F.col("common") * 100 >= F.col("either") * 80).alias("linked")
+    measured = known.select("p", "q", d, linked)
+    both = measured.unionByName(measured.select(F.col("q").alias("p"), F.col("p").alias("q"), "d", "linked")).select(F.col("p").alias("id"), F.col("q").alias("pivot"), "d", "linked")
+    heads = live.where(F.col("rank") <= k).select("region", F.col("id").alias("pivot"), F.col("rank").alias("at"))
+    rows = live.join(heads, "region").join(both, ["id", "pivot"], "left")
+    one = rows.groupBy("region", "id", "n", "weight", "core", "rank").agg(F.max(F.when(F.col("at") == 1, F.col("d"))).alias("d"), F.max(F.when(F.col("at") == 1, F.coalesce("linked", F.col("id") == F.col("pivot")))).alias("cell"), F.collect_list(F.when(F.col("linked"), F.col("at"))).alias("near"))
+    own = Window.partitionBy("region")
+    one = one.withColumn("d", F.coalesce(F.when(F.col("rank") == 1, F.lit(0.0)).otherwise(F.col("d")), F.lit(1.0))).withColumn("cell", F.coalesce("cell", F.lit(False)))  # sizes alone put it beyond 2 EPS
+    anchored = F.collect_set(F.when((F.col("rank") <= k) & (F.col("cell") | F.col("core")), F.col("rank"))).over(own)
+    one = one.withColumn("joined", F.col("cell") | F.col("core") | F.arrays_overlap("near", anchored)).where(F.col("rank") > k)
     slack = 1e-9
-    inner = rows.where("ring is not null").where((F.col("cell") & (F.col("d") >= F.col("ring") - 0.2 - slack)) | (~F.col("cell") & (F.col("d") <= 0.4 + slack)))
-    inner = inner.select(F.xxhash64("region", "pivot", F.lit("ring")).alias("region"), "id", "n", "weight", (F.col("core") | F.col("cell")).alias("core"))
-    far = rows.where(~F.col("cell")).select(F.xxhash64("region", "pivot", F.lit("far")).alias("region"), "id", "n", "weight", "core")
-    return inner.unionByName(far)
+    ring = F.min(F.when(~F.col("joined") & (F.col("d") <= 0.4 + slack), F.col("d"))).over(own)
+    one = one.withColumn("ring", ring)
+    child = lambda rows, kind: rows.select(F.xxhash64("region", F.lit(kind)).alias("region"), "id", "n", "weight", F.col("joined").alias("core"))
+    inner = one.where("ring is not null").where((F.col("d") <= 0.6 + slack) & (F.col("d") >= F.col("ring") - 0.2 - slack) & (F.col("joined") | (F.col("d") <= 0.4 + slack)))
+    far = one.where(~F.col("joined") | (F.col("d") > 0.2 - slack))
+    return child(inner, "ring").unionByName(child(far, "far"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
