@@ -22,16 +22,18 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, block_count, block_of, mix, slices, string_buffers, texts
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: n-gram requests that a shard answers on average.
 SHARD_KEYS = 3_000_000
 BUCKETS = 48
@@ -60,11 +62,33 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+    """Counts, most of them small: a byte each, those of 255 and more behind."""
+    big = x >= 255
+    return zlib.compress(np.int64(len(x)).tobytes() + np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes(), 3)
 
 
 def _large(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
+    raw = zlib.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", count=1)[0])
+    x = np.frombuffer(raw, np.uint8, count=n, offset=8).astype(np.int64)
+    x[x == 255] = np.frombuffer(raw, "<i8", offset=8 + n)
+    return x
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed for the shuffle, each by itself."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts_z = pa.array([z.compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts_z, batch.column("train"), batch.column("block")], names=["doc_id", "text", "train", "block"])
+
+
+def _unpacked(table: pa.Table) -> pa.ChunkedArray | pa.Array:
+    column = table.column("text")
+    if not pa.types.is_binary(column.type):
+        return column
+    z = zstandard.ZstdDecompressor()
+    return pa.array([z.decompress(t).decode() for t in column.to_pylist()], pa.large_string())
 
 
 class Block:
@@ -73,7 +97,7 @@ class Block:
     def __init__(self, table: pa.Table):
         self.table = table
         self.train = table.column("train").to_numpy()
-        data, offsets = string_buffers(table.column("text"))
+        data, offsets = string_buffers(_unpacked(table))
         parts, counts = [], []
         for _, _, d, o in slices(data, offsets):
             w = Words(d, o, lower=True)
@@ -93,116 +117,88 @@ class Block:
         self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.trained = self.train[self.row] if len(self.row) else np.zeros(0, bool)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of last tokens of n-grams, their keys). Order 1 leaves the start mark out as a word."""
-        at = np.flatnonzero(self.place >= max(n - 1, 1))
-        h = np.full(len(at), n, np.uint64)
-        for k in range(n - 1, -1, -1):
-            h = mix(h * _M + self.tokens[at - k])
-        return at, h
+        self.keys: list[np.ndarray] = []
+        self.total: list[np.ndarray] = []  # by order: training count of the n-gram that ends at each place
+        self.own: list[np.ndarray] = []  # and how many of those are in this block
+
+    def places(self, n: int) -> np.ndarray:
+        """Last tokens of n-grams. Order 1 leaves the start mark out as a word."""
+        return np.flatnonzero(self.place >= max(n - 1, 1))
+
+    def asked(self, n: int, n_texts: int) -> Requests:
+        """The block's different n-grams of order n that the automaton may have.
+
+        Orders below n must be answered. One whose suffix is in no training text has no arc. Where all
+        training texts with an n-gram's context or suffix are in this block and none has the n-gram, its
+        count is known to be 0 and nobody is asked."""
+        before = mix(self.keys[-1] if n > 1 else np.zeros(len(self.tokens), np.uint64))
+        key = mix(before * _M + self.tokens) if n == 1 else np.zeros(len(self.tokens), np.uint64)
+        at = self.places(n)
+        if n > 1:
+            key[at] = mix(before[at - 1] * _M + self.tokens[at])
+        self.keys.append(key)
+        if n == 1:
+            live, alone, bucket = at, np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        else:
+            count, own = self.context(n, at, n_texts)
+            suffix = self.total[n - 2][at]
+            keep = (count > 0) & (suffix > 0)
+            live, bucket = at[keep], _bucket(count[keep])
+            alone = ((count == own) | (suffix == self.own[n - 2][at]))[keep]  # and not in this block's: it is in none
+        order = np.argsort(key[live])
+        k = key[live][order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        counts = np.add.reduceat(self.trained[live][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        return Requests(k[first], counts, bucket[order][first], alone[order][first] & (counts == 0), live[order], np.cumsum(new) - 1)
+
+    def context(self, n: int, at: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Training count of the n - 1 tokens before each place, in all and in this block."""
+        count, own = self.total[n - 2][at - 1], self.own[n - 2][at - 1]
+        if n == 2:  # the start mark: as often as there are texts
+            first = self.place[at] == 1
+            count, own = np.where(first, n_texts, count), np.where(first, self.train.sum(), own)
+        return count, own
+
+    def told(self, asked: Requests, answers: np.ndarray) -> None:
+        """Takes the answers to the requests, in their order, and notes counts at all places."""
+        totals = asked.own.copy()
+        totals[~asked.alone] = answers
+        for out, values in ((self.total, totals), (self.own, asked.own)):
+            x = np.zeros(len(self.tokens), np.int64)
+            x[asked.at] = values[asked.group]
+            out.append(x)
 
 
 @dataclass
 class Requests:
-    keys: np.ndarray  # sorted, with the training count in the block and the bucket of the context's count
-    own: np.ndarray
-    bucket: np.ndarray
-    alone: np.ndarray  # the same of n-grams that no other block can have
-    alone_own: np.ndarray
-    alone_bucket: np.ndarray
-
-
-class Counts:
-    """Counts of a block's n-grams of one order in all training texts, by key."""
-
-    def __init__(self, keys: np.ndarray, totals: np.ndarray, stats: np.ndarray):
-        self.keys, self.totals, self.stats = keys, totals, stats
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.totals[at], 0)
+    keys: np.ndarray  # sorted
+    own: np.ndarray  # training count in the block
+    bucket: np.ndarray  # of the context's count
+    alone: np.ndarray  # known to be in no training text
+    at: np.ndarray  # places of the n-grams in order of their keys
+    group: np.ndarray  # and which key each has
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
 
 
-def _context(b: Block, n: int, known: list[Counts]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, keys, training count of the context) of all n-grams of the block."""
-    at, keys = b.grams(n)
-    if n == 1:
-        return at, keys, np.zeros(len(at), np.int64)
-    inner_at, inner = b.grams(n - 1)
-    held = np.zeros(len(b.tokens), np.uint64)
-    held[inner_at] = inner
-    before = known[n - 2](held[at - 1])
-    if n == 2:  # after the start mark: as often as there are training texts
-        before = np.where(b.place[at] == 1, known[0].stats[0, BUCKETS - 1], before)
-    return at, keys, before
-
-
-def _local(b: Block, n: int, known: list[Counts]) -> Requests:
-    """The block's different n-grams of order n that the automaton may have, in two parts.
-
-    An n-gram whose context or suffix is in training texts of this block alone is too: its count is the
-    block's own and nobody is asked. One whose suffix is in no training text has no arc."""
-    at, keys, before = _context(b, n, known)
-    live, alone = np.ones(len(at), bool), np.zeros(len(at), bool)
-    if n > 1:
-        live = before > 0  # no arc leaves a state that no training text has
-        own_before = _own(_contexts(b, n, at), b.trained[at])
-        alone = (before == own_before) & live
-    if n > 2:
-        tail_at, tail = b.grams(n - 1)
-        held = np.zeros(len(b.tokens), np.uint64)
-        held[tail_at] = tail
-        total = known[n - 2](held[at])
-        live &= total > 0
-        alone |= (total == _own(held[at], b.trained[at])) & live
-    u, where, inverse = np.unique(keys[live], return_index=True, return_inverse=True)
-    own = np.bincount(inverse, weights=b.trained[at][live], minlength=len(u)).astype(np.int64)
-    bucket = _bucket(before[live][where]) if n > 1 else np.zeros(len(u), np.int64)
-    mine = alone[live][where]
-    return Requests(u[~mine], own[~mine], bucket[~mine], u[mine], own[mine], bucket[mine])
-
-
-def _contexts(b: Block, n: int, at: np.ndarray) -> np.ndarray:
-    """Keys of the n - 1 tokens before each place, the start mark a context of its own."""
-    if n == 2:
-        return b.tokens[at - 1]
-    inner_at, inner = b.grams(n - 1)
-    held = np.zeros(len(b.tokens), np.uint64)
-    held[inner_at] = inner
-    return held[at - 1]
-
-
-def _own(keys: np.ndarray, trained: np.ndarray) -> np.ndarray:
-    """Of each key, how often it is at a trained place."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    return np.bincount(inverse, weights=trained)[inverse].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-
-
-ASK = "shard int, block int, keys binary, own binary, bucket binary, more binary"
+ASK = "shard int, block int, keys binary, own binary, bucket binary, texts long"
 ANSWER = "shard int, block int, total binary, stats binary"
 
 
-def _known(b: Block, answers: pa.Table | None, orders: int) -> list[Counts]:
-    """Counts of each order: the block's keys, made again in the order of the requests, with the answers."""
-    out: list[Counts] = []
+def _informed(table: pa.Table, answers: pa.Table | None, orders: int) -> tuple[Block, list[np.ndarray]]:
+    """The block with the counts of all orders answered so far, and each order's statistics."""
+    b, stats = Block(table), []
     rows = answers.to_pylist() if answers is not None else []
     for n in range(1, orders + 1):
         mine = sorted((r for r in rows if r["n"] == n), key=lambda r: r["shard"])
-        stats = np.zeros((2, BUCKETS), np.int64)
-        for r in mine:
-            stats += np.frombuffer(zlib.decompress(r["stats"]), "<i8").reshape(2, BUCKETS)
-        asked = _local(b, n, out)
-        keys = np.concatenate([asked.keys, asked.alone])
-        totals = np.concatenate([*(_large(r["total"]) for r in mine), asked.alone_own])
-        order = np.argsort(keys, kind="stable")
-        out.append(Counts(keys[order], totals[order], stats))
-    return out
+        asked = b.asked(n, int(stats[0][0, BUCKETS - 1]) if stats else 0)
+        b.told(asked, np.concatenate([_large(r["total"]) for r in mine]) if mine else np.zeros(0, np.int64))
+        stats.append(np.sum([np.frombuffer(zlib.decompress(r["stats"]), "<i8").reshape(2, BUCKETS) for r in mine], axis=0) if mine else np.zeros((2, BUCKETS), np.int64))
+    return b, stats
 
 
 def _edges(n_shards: int) -> np.ndarray:
@@ -213,10 +209,9 @@ def _ask(n: int, n_shards: int):
     def run(table: pa.Table, answers: pa.Table | None) -> pa.Table:
         rows: dict[str, list] = defaultdict(list)
         if table.num_rows:
-            b = Block(table)
-            asked = _local(b, n, _known(b, answers, n - 1))
-            u, own, bucket = asked.keys, asked.own, asked.bucket
-            once, every = _tally(asked.alone_own, asked.alone_bucket)
+            b, stats = _informed(table, answers, n - 1)
+            asked = b.asked(n, int(stats[0][0, BUCKETS - 1]) if stats else 0)
+            u, own, bucket = (x[~asked.alone] for x in (asked.keys, asked.own, asked.bucket))
             cuts = [0, *np.searchsorted(u, _edges(n_shards)).tolist(), len(u)]
             for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 rows["shard"].append(s)
@@ -224,10 +219,9 @@ def _ask(n: int, n_shards: int):
                 rows["keys"].append(pack(u[i:j]))
                 rows["own"].append(_small(own[i:j]))
                 rows["bucket"].append(_small(bucket[i:j]))
-                once[BUCKETS - 1] = b.train.sum()
-                rows["more"].append(np.stack([once, every]).astype("<i8").tobytes() if s == 0 else b"")
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table({c: pa.array(rows[c], k) for c, k in zip(("shard", "block", "keys", "own", "bucket", "more"), kinds, strict=True)})
+                rows["texts"].append(int(b.train.sum()) if s == 0 else 0)
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.int64())
+        return pa.table({c: pa.array(rows[c], k) for c, k in zip(("shard", "block", "keys", "own", "bucket", "texts"), kinds, strict=True)})
 
     return run if n > 1 else lambda table: run(table, None)  # the number of arguments tells Spark what to pass
 
@@ -254,11 +248,8 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.int64)
     b = bucket[where] if len(u) else np.zeros(0, np.int64)
     once, every = _tally(total, b)
-    both = np.stack([once, every])
-    for more in table.column("more").to_pylist():  # what blocks have counted by themselves
-        if more:
-            both = both + np.frombuffer(more, "<i8").reshape(2, BUCKETS)
-    stats = zlib.compress(both.astype("<i8").tobytes(), 1)
+    once[BUCKETS - 1] = int(np.sum(table.column("texts").to_numpy()))
+    stats = zlib.compress(np.stack([once, every]).astype("<i8").tobytes(), 1)
     answers, at = [], 0
     for k in keys:
         answers.append(_small(total[inverse[at : at + len(k)]]))
@@ -270,22 +261,23 @@ def _score(order: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        b = Block(table)
-        known = _known(b, answers, order)
-        stats = known[0].stats
-        n_all, n_kinds, once, twice = int(stats[1, BUCKETS - 2]), int(stats[1, BUCKETS - 1]), int(stats[0, BUCKETS - 2]), int(stats[0, BUCKETS - 3])
-        at, keys = b.grams(1)
-        c = known[0](keys)
+        b, stats = _informed(table, answers, order)
+        first = stats[0]
+        n_all, n_kinds, n_texts, once, twice = int(first[1, BUCKETS - 2]), int(first[1, BUCKETS - 1]), int(first[0, BUCKETS - 1]), int(first[0, BUCKETS - 2]), int(first[0, BUCKETS - 3])
+        at = b.places(1)
+        c = b.total[0][at]
         base = np.log10((c + 0.5) / (n_all + 0.5 * (n_kinds + 1)))
         cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
         p = np.where(c > 0, (c - cut) / max(n_all, 1), cut * n_kinds / n_all if n_all else 1.0)
+        here = np.zeros(len(b.tokens), np.int64)
+        here[at] = np.arange(len(at))
         for n in range(2, order + 1):  # from the failure states up to the longest one that is reached
-            at_n, keys_n, before = _context(b, n, known)
-            s = known[n - 1].stats
+            at_n = b.places(n)
+            before, _ = b.context(n, at_n, n_texts)
+            s = stats[n - 1]
             left = np.clip((s[0] + 1) / (s[1] + 2), 0.02, 0.999)[_bucket(before)]
-            here = np.searchsorted(at, at_n)
-            arc = np.where(before > 0, (1 - left) * known[n - 1](keys_n) / np.maximum(before, 1), 0.0)
-            p[here] = np.where(before > 0, arc + left * p[here], p[here])
+            arc = np.where(before > 0, (1 - left) * b.total[n - 1][at_n] / np.maximum(before, 1), 0.0)
+            p[here[at_n]] = np.where(before > 0, arc + left * p[here[at_n]], p[here[at_n]])
         row, size = b.row[at], len(b.counts)
         add = lambda x: np.bincount(row, weights=x, minlength=size)
         return pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(~b.train), "n_tokens": pa.array(b.counts - 1, pa.int64()), "n_known": pa.array(add(c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(size, n_all), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
@@ -302,7 +294,8 @@ def lm_scores(docs: DataFrame, train: str = "pmod(crc32(cast(cast(doc_id as stri
     read."""
     base = texts(docs).withColumn("train", F.coalesce(F.expr(train), F.lit(True)))
     n_blocks = block_count(base, block_bytes)
-    dealt = base.withColumn("block", block_of(n_blocks)).groupBy("block")
+    packed = base.withColumn("block", block_of(n_blocks)).select("doc_id", "text", "train", "block").mapInArrow(_packed, "doc_id long, text binary, train boolean, block int")
+    dealt = packed.groupBy("block")
     tokens = n_blocks * block_bytes / 5  # about as many words
     n_shards = max(1, math.ceil(tokens / SHARD_KEYS))
     answers: DataFrame | None = None
