@@ -18,7 +18,7 @@ from ..operators.graph import Pattern, Store, TripleStore, Var
 
 #: Names that belong to the parent vocabulary; all others are the extension's.
 PARENT = frozenset(
-    "LLMAgent Task Prompt Tool Team Memory WorkflowPattern agentID agentRole agentPrompt taskPrompt performedByAgent promptInstruction promptContext promptOutputIndicator useLanguageModel hasAgentGoal hasAgentMember hasWorkflowStep stepOrder nextStep agentToolUsage StartStep EndStep WorkflowStep Goal LanguageModel Config Resource".split()
+    "LLMAgent Task Prompt Tool Team Memory WorkflowPattern agentID agentRole agentPrompt taskPrompt performedByAgent promptInstruction promptContext promptOutputIndicator useLanguageModel hasAgentGoal hasAgentMember hasWorkflowStep stepOrder nextStep agentToolUsage StartStep EndStep WorkflowStep Goal LanguageModel Config Resource KnowledgeBase hasAgentConfig hasSystemConfig configKey configValue hasKnowledge hasWorkflowPattern hasAssociatedTask".split()
 )
 
 
