@@ -37,7 +37,7 @@ BLOCK_BYTES, SHARD_KEYS, SHINGLE = 8 << 20, 3_000_000, 5
 #: Sets of under SMALL shingles ask for all of them; those of at least 0.8 SMALL for half of all hashes, and both in between.
 SMALL = 64
 #: Pairs that a region may have to be joined directly, at first and later; pivots of a larger region, at first one.
-FIRST_LEAF_PAIRS, LEAF_PAIRS, PIVOTS = 64, 16_384, 16
+FIRST_LEAF_PAIRS, LEAF_PAIRS, PIVOTS = 64, 262_144, 16
 #: Most ids of sets to compare that are broadcast (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 1 << 20
 
