@@ -30,7 +30,7 @@ def united(parts: list[DataFrame]) -> DataFrame:
 
 def shown(c: str, kind: str) -> Column:
     """A cell: numbers to three places, a dash for null."""
-    text = F.format_string("%.3f", F.col(c)) if kind in ("double", "float") else F.col(c).cast("string")
+    text = F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))) if kind in ("double", "float") else F.col(c).cast("string")
     return F.coalesce(text, F.lit("—"))
 
 

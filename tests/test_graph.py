@@ -38,16 +38,16 @@ def e(*names):
 
 def test_turtle_terms_scopes_and_errors(spark):
     got = turtle.parse(TTL, "f1")
-    assert len(got) == len(set(got)) == 13
+    assert len(got) == len(set(got)) == 14
     assert (f"<{EX}b>", f"<{EX}name>", '"x"') in got and (f"<{EX}a>", f"<{EX}n>", T.literal("7", T.XSD + "integer")) in got
     assert any(o == '"A \\"one\\""@en' for _, _, o in got) and any("long\\ntext" in o for _, _, o in got)
     docs = spark.createDataFrame([("x", TTL), ("y", "@prefix : <http://ex/> . :a :b"), ("z", None)], "graph_id string, text string")
     rows = turtle.parsed(docs).collect()
-    assert sum(r.error is not None for r in rows) == 1 and sum(r.s is not None for r in rows) == 13
+    assert sum(r.error is not None for r in rows) == 1 and sum(r.s is not None for r in rows) == 14
     back = turtle.written(turtle.parsed(docs).where("error is null").drop("error")).first().text
     assert {x for x in turtle.parse(back) if "_:" not in x[0] + x[2]} == {x for x in got if "_:" not in x[0] + x[2]}
     turtle.register(spark)
-    assert spark.read.format("turtle").option("text", TTL).load().count() == 13
+    assert spark.read.format("turtle").option("text", TTL).load().count() == 14
 
 
 def test_terms_read_back(spark):
