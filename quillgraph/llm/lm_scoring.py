@@ -113,11 +113,11 @@ class Block:
             counts.append(n + 2)
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.place = (np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)).astype(np.int32)
         self.trained = self.train[self.row] if len(self.row) else np.zeros(0, bool)
 
-        self.keys: list[np.ndarray] = []
+        self.key: np.ndarray | None = None  # of the longest n-gram asked for that ends at each place
         self.total: list[np.ndarray] = []  # by order: training count of the n-gram that ends at each place
         self.own: list[np.ndarray] = []  # and how many of those are in this block
 
@@ -131,12 +131,13 @@ class Block:
         Orders below n must be answered. One whose suffix is in no training text has no arc. Where all
         training texts with an n-gram's context or suffix are in this block and none has the n-gram, its
         count is known to be 0 and nobody is asked."""
-        before = mix(self.keys[-1] if n > 1 else np.zeros(len(self.tokens), np.uint64))
-        key = mix(before * _M + self.tokens) if n == 1 else np.zeros(len(self.tokens), np.uint64)
         at = self.places(n)
-        if n > 1:
-            key[at] = mix(before[at - 1] * _M + self.tokens[at])
-        self.keys.append(key)
+        if n == 1:
+            key = mix(self.tokens * _M)
+        else:
+            key = np.zeros(len(self.tokens), np.uint64)
+            key[at] = mix(mix(self.key[at - 1]) * _M + self.tokens[at])
+        self.key = key
         if n == 1:
             live, alone, bucket = at, np.zeros(len(at), bool), np.zeros(len(at), np.int64)
         else:
@@ -151,7 +152,7 @@ class Block:
         new[1:] = k[1:] != k[:-1]
         first = np.flatnonzero(new)
         counts = np.add.reduceat(self.trained[live][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        return Requests(k[first], counts, bucket[order][first], alone[order][first] & (counts == 0), live[order], np.cumsum(new) - 1)
+        return Requests(k[first], counts, bucket[order][first], alone[order][first] & (counts == 0), live[order].astype(np.int32), (np.cumsum(new) - 1).astype(np.int32))
 
     def context(self, n: int, at: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Training count of the n - 1 tokens before each place, in all and in this block."""
@@ -165,8 +166,8 @@ class Block:
         """Takes the answers to the requests, in their order, and notes counts at all places."""
         totals = asked.own.copy()
         totals[~asked.alone] = answers
-        for out, values in ((self.total, totals), (self.own, asked.own)):
-            x = np.zeros(len(self.tokens), np.int64)
+        for out, values, kind in ((self.total, totals, np.int64), (self.own, asked.own, np.int32)):
+            x = np.zeros(len(self.tokens), kind)
             x[asked.at] = values[asked.group]
             out.append(x)
 
