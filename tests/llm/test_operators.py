@@ -295,12 +295,12 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     from quillgraph.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "FIRST_LEAF_PAIRS", 4)
-    monkeypatch.setattr(jaccard_join, "LEAF_PAIRS", 12)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "LEAF_PAIRS", 40)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
     rnd = random.Random(8)
     base = [f"t{k}" for k in range(120)]
     texts = []
-    for _ in range(30):
+    for _ in range(16):
         w = list(base)
         for _ in range(rnd.randint(0, 5)):
             w[rnd.randrange(len(w))] = f"u{rnd.randrange(40)}"
