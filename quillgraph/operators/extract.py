@@ -6,6 +6,7 @@ Sources are parsed, never run. A file that does not parse gives no features and
 from __future__ import annotations
 
 import ast
+import hashlib
 import importlib.util
 import json
 from collections.abc import Iterator
@@ -169,24 +170,187 @@ def _state_graph(tree: ast.AST) -> Iterator[tuple[str, str, dict]]:
             yield "edge", "START" if kind == "set_entry_point" else target, {"to": [target if kind == "set_entry_point" else "END"]}
 
 
+class _Found:
+    """An agent, task or team call, and what other code calls it."""
+
+    def __init__(self, kind: str, cls: str, node: ast.Call, scope: tuple[str, ...], home: tuple[str, ...], method: str, alias: str, owner: str):
+        self.kind, self.cls, self.node, self.method, self.alias, self.owner = kind, cls, node, method, alias, owner
+        self.scope, self.home = scope, home  # where the call stands, and where its name is known
+
+
+class _Calls(ast.NodeVisitor):
+    """Agent, task and team calls with the scope, name and decorated method that hold them; lists and imports by name."""
+
+    def __init__(self, teams: dict[str, str]):
+        self.teams, self.found, self.scope, self.method, self.owner = teams, [], (), "", ""
+        self.name, self.home = "", ()
+        self.lists: dict[tuple[tuple[str, ...], str], list[ast.List]] = {}
+        self.imports: dict[str, tuple[str, str]] = {}
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        before = self.scope, self.owner, self.method, self.name
+        self.scope, self.owner, self.method, self.name = (*self.scope, node.name), node.name, "", ""
+        self.generic_visit(node)
+        self.scope, self.owner, self.method, self.name = before
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
+        before = self.scope, self.method, self.name
+        marks = {_last(d) for d in node.decorator_list} & {"agent", "task", "crew"}
+        self.scope, self.method, self.name = (*self.scope, node.name), f"{min(marks)}:{node.name}" if marks else "", ""
+        self.generic_visit(node)
+        self.scope, self.method, self.name = before
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        for a in node.names:
+            self.imports[a.asname or a.name] = (node.module or "", a.name)
+
+    def _named(self, target: ast.AST, value: ast.AST | None) -> None:
+        name, scope = _last(target), self.scope
+        if isinstance(target, ast.Attribute) and _name(target.value) == "self" and len(scope) > 1:
+            scope = scope[:-1]
+        if isinstance(value, ast.List):
+            self.lists.setdefault((scope, name), []).append(value)
+        if isinstance(value, ast.Call):
+            self.name, self.home = name, scope
+        if value is not None:
+            self.visit(value)
+        self.name = ""
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        target = node.targets[0]
+        if isinstance(target, (ast.Tuple, ast.List)) and isinstance(node.value, (ast.Tuple, ast.List)) and len(target.elts) == len(node.value.elts):
+            for t, v in zip(target.elts, node.value.elts, strict=True):
+                self._named(t, v)
+        else:
+            self._named(target, node.value)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        self._named(node.target, node.value)
+
+    def visit_NamedExpr(self, node: ast.NamedExpr) -> None:
+        self._named(node.target, node.value)
+
+    def visit_Return(self, node: ast.Return) -> None:
+        """What a function returns goes by the function's name, outside it."""
+        if isinstance(node.value, ast.Call) and self.scope:
+            self.name, self.home = self.scope[-1], self.scope[:-1]
+            self.visit(node.value)
+            self.name = ""
+        else:
+            self.generic_visit(node)
+
+    def visit_Call(self, node: ast.Call) -> None:
+        cls = _last(node.func)
+        kind = "agent" if cls in ("AssistantAgent", "UserProxyAgent", "Agent") else "task" if cls == "Task" else "team" if cls in self.teams or cls == "Crew" else ""
+        if kind:
+            mark, _, method = self.method.partition(":")
+            method = method if mark == {"team": "crew"}.get(kind, kind) else ""
+            home = self.scope[:-1] if method else self.home if self.name else self.scope
+            self.found.append(_Found(kind, cls, node, self.scope, home, method, method or self.name, self.owner))
+        self.name = ""
+        self.generic_visit(node)
+
+
 def _group_chat(tree: ast.AST, teams: dict[str, str]) -> Iterator[tuple[str, str, dict]]:
-    """Records of assistant and team calls: keyword arguments that are text, names in lists."""
-    for n in ast.walk(tree):
-        if not isinstance(n, ast.Call):
-            continue
-        cls, kw = _last(n.func), _keywords(n)
-        if cls in ("AssistantAgent", "UserProxyAgent", "Agent"):
-            said = {k: _text(v) for k, v in kw.items() if _text(v) is not None}
-            key = said.get("name") or (_text(n.args[0]) if n.args else None) or said.get("role", cls)
+    """Records of assistant and team calls: keyword arguments that are text, and what they refer to.
+
+    `_at` is the call's place, `_alias` the name it goes by at module level; `_refs` are places where
+    known, else names with the module that they are imported from."""
+    calls = _Calls(teams)
+    calls.visit(tree)
+    at = {id(x.node): k for k, x in enumerate(calls.found)}
+
+    def meant(e: ast.AST, kind: str, user: _Found) -> dict:
+        if id(e) in at:
+            return {"at": at[id(e)], "name": _last(e)}
+        name, place = _last(e), (user.node.lineno, user.node.col_offset)
+        for depth in range(len(user.scope), -1, -1):
+            own = [x for x in calls.found if x.kind == kind and x.alias == name and x.home == user.scope[:depth]]
+            if own:
+                early = [x for x in own if (x.node.lineno, x.node.col_offset) < place]
+                return {"at": at[id((early[-1] if early else own[0]).node)], "name": name}
+        module, real = calls.imports.get(name, ("", name))
+        return {"module": module, "name": real}
+
+    def listed(n: ast.Call, user: _Found) -> list[ast.AST]:
+        kw = _keywords(n)
+        for x in (kw.get("participants"), kw.get("agents"), n.args[0] if n.args else None):
+            if isinstance(x, ast.List):
+                return x.elts
+            for depth in range(len(user.scope), -1, -1):
+                own = calls.lists.get((user.scope[:depth], _last(x)), []) if isinstance(x, (ast.Name, ast.Attribute)) else []
+                if own:
+                    early = [y for y in own if y.lineno <= n.lineno]
+                    return (early[-1] if early else own[0]).elts
+            if isinstance(x, ast.Attribute) and x.attr == "agents" and _name(x.value) == "self":
+                return [y.node for y in calls.found if y.kind == "agent" and y.method and y.owner == user.owner and y.home == user.scope[: len(y.home)]]
+        return []
+
+    for k, x in enumerate(calls.found):
+        n, cls, kw = x.node, x.cls, _keywords(x.node)
+        said = {a: _text(v) for a, v in kw.items() if _text(v) is not None}
+        own = {"_at": k, "_alias": x.alias if not x.home else ""}
+        if x.kind == "agent":
+            key = x.method or said.get("name") or (_text(n.args[0]) if n.args else None) or said.get("role") or x.alias or cls
             tools = [_last(e) for e in kw["tools"].elts] if isinstance(kw.get("tools"), ast.List) else []
-            yield "agent", key, {**said, "class": cls, "tools": tools}
-        elif cls == "Task":
-            said = {k: _text(v) for k, v in kw.items() if _text(v) is not None}
-            yield "task", said.get("name") or (said.get("description") or "")[:40], {**said, "agent": _last(kw.get("agent"))}
-        elif cls in teams or cls == "Crew":
-            listed = next((x for x in (kw.get("participants"), kw.get("agents"), n.args[0] if n.args else None) if isinstance(x, ast.List)), None)
+            yield "agent", key, {**said, "class": cls, "tools": tools, **own, "_key": key}
+        elif x.kind == "task":
+            refs = [meant(kw["agent"], "agent", x)] if kw.get("agent") is not None else []
+            yield "task", x.method or said.get("name") or x.alias or cls, {**said, "agent": _last(kw.get("agent")), **own, "_refs": refs}
+        else:
             turns = kw.get("max_turns")
-            yield "team", cls, {"members": [_last(e) for e in listed.elts] if listed else [], "pattern": teams.get(cls, "Sequential"), "max_turns": turns.value if isinstance(turns, ast.Constant) else None}
+            refs = [meant(e, "agent", x) for e in listed(n, x)]
+            title = x.owner if x.method and x.owner else cls
+            yield "team", title, {"class": title, "members": [r["name"] for r in refs], "pattern": teams.get(cls, "Sequential"), "max_turns": turns.value if isinstance(turns, ast.Constant) else None, **own, "_refs": refs}
+
+
+def _settled(f: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one system with a key of its own for each agent, task and team, and references as such keys.
+
+    Keys that would fall together as names in a graph get a mark made of path and ordinal; names that a
+    file does not define are looked up in the module that it imports them from, then in the system."""
+    f = f.sort_values(["path", "ord"], kind="stable").reset_index(drop=True)
+    f["ord"] = range(len(f))
+    payloads = [json.loads(p) for p in f.payload]
+    keys, groups = list(f.key), {}
+    for i, kind in enumerate(f.kind):
+        if kind in ("agent", "task", "team"):
+            groups.setdefault((kind, keys[i].translate(str.maketrans(" -.", "___"))), []).append(i)
+    for rows in groups.values():
+        times: dict[str, int] = {}
+        for i in rows if len(rows) > 1 else ():
+            times[f.path[i]] = times.get(f.path[i], 0) + 1
+            keys[i] = f"{keys[i]}_{hashlib.md5(f'{f.path[i]}#{times[f.path[i]]}'.encode()).hexdigest()[:12]}"
+    placed, aliases = {}, {}
+    for i, p in enumerate(payloads):
+        if "_at" in p:
+            placed[f.file[i], p["_at"]] = keys[i]
+        if f.kind[i] == "agent":
+            for name in {p.get("_alias"), p.get("_key")} - {"", None}:
+                aliases.setdefault(name, []).append((f.path[i], keys[i]))
+
+    def resolved(file: str, ref: dict) -> str:
+        if "at" in ref:
+            return placed[file, ref["at"]]
+        own = aliases.get(ref["name"], [])
+        module = ref["module"].strip(".").replace(".", "/")
+        near = [k for path, k in own if module and ("/" + path.removesuffix(".py").removesuffix("/__init__")).endswith("/" + module)]
+        choice = near or [k for _, k in own]
+        return choice[0] if len(set(choice)) == 1 else ref["name"]
+
+    for i, p in enumerate(payloads):
+        names = [resolved(f.file[i], r) for r in p.pop("_refs", [])]
+        if f.kind[i] == "team":
+            p["members"] = names
+        elif f.kind[i] == "task" and names:
+            p["agent"] = names[0]
+        if f.kind[i] == "agent" and not p.get("name"):
+            p["name"] = p["_key"]
+        for k in ("_at", "_alias", "_key"):
+            p.pop(k, None)
+    return f.assign(key=keys, payload=[json.dumps(p, sort_keys=True) for p in payloads])[["system_id", "kind", "key", "ord", "payload"]]
 
 
 #: How team classes coordinate.
@@ -196,7 +360,9 @@ TEAM_CLASSES = {"RoundRobinGroupChat": "RoundRobin", "GroupChat": "RoundRobin",
 def program_records(files: DataFrame) -> DataFrame:
     """system_id, kind (agent, task, team, step, edge, fan, tool), key, ord, payload (JSON) of sources.
 
-    Tools are functions with a tool decorator and subclasses of BaseTool."""
+    Tools are functions with a tool decorator and subclasses of BaseTool. Each agent, task and team call
+    is a record with a key of its own; `ord` counts a system's records by path. One task settles the
+    records (not the sources) of a system."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -206,23 +372,26 @@ def program_records(files: DataFrame) -> DataFrame:
                     tree = ast.parse(source or "")
                 except (SyntaxError, ValueError):
                     continue
+                file = hashlib.md5(f"{path}\0{source}".encode("utf-8", "replace")).hexdigest()
                 found = [*_group_chat(tree, TEAM_CLASSES), *_state_graph(tree)]
                 for n in ast.walk(tree):
                     tool = isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and any(_last(d) == "tool" for d in n.decorator_list) or isinstance(n, ast.ClassDef) and any(_last(b) == "BaseTool" for b in n.bases)
                     if tool:
                         found.append(("tool", n.name, {"description": ast.get_docstring(n) or "", "reference": path}))
-                rows += [(g, kind, key, k, json.dumps(payload, sort_keys=True)) for k, (kind, key, payload) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["system_id", "kind", "key", "ord", "payload"])
+                rows += [(g, path or "", file, kind, key, k, json.dumps(payload, sort_keys=True)) for k, (kind, key, payload) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["system_id", "path", "file", "kind", "key", "ord", "payload"])
 
-    return files.select("system_id", "path", "source").mapInPandas(run, "system_id string, kind string, key string, ord long, payload string")
+    schema = "system_id string, kind string, key string, ord long, payload string"
+    each = files.select("system_id", "path", "source").mapInPandas(run, schema.replace("kind", "path string, file string, kind"))
+    return each.groupBy("system_id").applyInPandas(_settled, schema)
 
 
 def to_records(found: DataFrame, framework: str, namespace: str = "http://example.org/") -> dict[str, DataFrame]:
-    """Records for lifting out of program_records: the last one of a key counts."""
+    """Records for lifting out of program_records: every agent, task and team; of steps, fans and tools the last one of a key."""
     last = lambda kind, schema: found.where(F.col("kind") == kind).groupBy("system_id", "key").agg(F.max_by("payload", "ord").alias("payload"), F.max("ord").alias("ord")).withColumn("x", F.from_json("payload", schema))
     agents = last("agent", "name string, role string, goal string, backstory string, system_message string, description string, model string, llm string, class string, tools array<string>")
     cut = F.split(F.coalesce("x.system_message", F.lit("")), r"\. ", 2)
-    agents = agents.select("system_id", F.col("key").alias("agent_key"), F.coalesce("x.role", "key").alias("role"), F.coalesce("x.goal", cut[0]).alias("goal"), F.coalesce("x.backstory", F.get(cut, F.lit(1))).alias("backstory"), F.coalesce("x.llm", "x.model").alias("llm"), "x.tools", F.lit(False).alias("reasoning"), F.lit(False).alias("memory"), F.col("x.description").alias("description"), F.when(F.col("x.class") == "UserProxyAgent", "UserProxy").otherwise("GeneralPurpose").alias("agent_type"), (F.col("x.class") == "UserProxyAgent").alias("human_input"))
+    agents = agents.select("system_id", F.col("key").alias("agent_key"), F.coalesce("x.role", "x.name", "key").alias("role"), F.coalesce("x.goal", cut[0]).alias("goal"), F.coalesce("x.backstory", F.get(cut, F.lit(1))).alias("backstory"), F.coalesce("x.llm", "x.model").alias("llm"), "x.tools", F.lit(False).alias("reasoning"), F.lit(False).alias("memory"), F.col("x.description").alias("description"), F.when(F.col("x.class") == "UserProxyAgent", "UserProxy").otherwise("GeneralPurpose").alias("agent_type"), (F.col("x.class") == "UserProxyAgent").alias("human_input"))
     steps = last("step", "ord int, doc string")
     edges = found.where("kind = 'edge'").select("system_id", F.col("key").alias("src"), F.explode(F.from_json("payload", "to array<string>").getField("to")).alias("dst")).distinct()
     fans = last("fan", "mapping map<string,string>, router string").select("system_id", F.col("key").alias("src"), "x.mapping", "x.router")
@@ -233,7 +402,7 @@ def to_records(found: DataFrame, framework: str, namespace: str = "http://exampl
     flow_steps = steps.select("system_id", F.lit("StateGraph").alias("flow"), F.col("x.ord").alias("ord"), F.col("key").alias("method_name"), kind.alias("step_type"), F.array().cast("array<string>").alias("dependencies"), F.array_sort(F.map_values("mapping")).alias("return_values"), F.col("router").alias("function_body"), F.col("key").alias("associated_agent_key"), F.col("mapping").alias("edge_mapping"), "outgoing")
     node_agents = steps.join(agents.select("system_id", F.col("agent_key").alias("key")), ["system_id", "key"], "left_anti").select("system_id", F.col("key").alias("agent_key"), F.col("key").alias("role"), F.col("x.doc").alias("goal"), F.lit(False).alias("reasoning"), F.lit(False).alias("memory"))
     tasks = last("task", "description string, expected_output string, agent string").select("system_id", F.col("key").alias("task_key"), "x.description", "x.expected_output", F.col("x.agent").alias("agent_key"), F.when(F.col("x.agent") != "", "ExplicitAssignment").alias("delegation_strategy"))
-    teams = last("team", "members array<string>, pattern string, max_turns int").select("system_id", F.col("key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.col("x.pattern").alias("coordination_pattern"), "x.max_turns")
+    teams = last("team", "class string, members array<string>, pattern string, max_turns int").select("system_id", F.col("key").alias("team_key"), F.coalesce("x.class", "key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.col("x.pattern").alias("coordination_pattern"), "x.max_turns")
     tools = last("tool", "description string, reference string").select("system_id", F.col("key").alias("tool_key"), F.col("key").alias("class_name"), F.col("key").alias("name"), "x.description", F.col("x.reference").alias("implementation_ref"))
     ids = found.select("system_id").distinct()
     systems = ids.select("system_id", F.col("system_id").alias("name"), F.lit(framework).alias("framework"), F.concat(F.lit(namespace), F.col("system_id"), F.lit("#")).alias("namespace"))

@@ -97,3 +97,58 @@ def test_responses_and_reports(spark, tmp_path):
     (tmp_path / "agents.yaml").write_text("writer:\n  role: Writer\n  n: 3\n")
     y = trees.yaml_entries(spark, str(tmp_path)).first()
     assert y.key == "writer" and y.fields == {"role": "Writer", "n": "3"}
+
+
+GROUPS = '''
+one = AssistantAgent(name="first writer")
+two = AssistantAgent(name="second writer")
+a = RoundRobinGroupChat([one], max_turns=2)
+b = RoundRobinGroupChat([one, two], max_turns=3)
+x = Task(description="Write a long report about the state of things: north", agent=one)
+y = Task(description="Write a long report about the state of things: south", agent=two)
+tasks = [Task(description="Sum up"), Task(description="Sum up")]
+def side():
+    one = AssistantAgent(name="third writer")
+    return Swarm([one, Agent(role="inline")])
+'''
+
+CREW = '''
+from util import helper
+class NewsCrew:
+    @agent
+    def reader(self):
+        return Agent(config=self.agents_config["reader"])
+    @agent
+    def editor(self):
+        made = Agent(config=self.agents_config["editor"])
+        return made
+    @task
+    def read(self):
+        return Task(config=self.tasks_config["read"], agent=self.reader())
+    @task
+    def edit(self):
+        return Task(config=self.tasks_config["edit"], agent=self.editor())
+    @crew
+    def crew(self):
+        return Crew(agents=self.agents, tasks=self.tasks)
+loose = Crew(agents=[helper])
+'''
+
+
+def test_every_agent_task_and_team_is_kept(spark):
+    util, other = 'helper = Agent(role="Helper")\n', 'helper = Agent(role="Helper")\nteam = RoundRobinGroupChat([helper])\n'
+    rows = [("g", "a.py", GROUPS), ("c", "crew.py", CREW), ("c", "util.py", util), ("c", "z.py", other)]
+    found = extract.program_records(spark.createDataFrame(rows, "system_id string, path string, source string").repartition(3))
+    r = {k: v.collect() for k, v in extract.to_records(found, "demo").items() if k in ("agents", "tasks", "teams")}
+    agents, tasks, teams = ([x for x in r[k] if x.system_id == "g"] for k in ("agents", "tasks", "teams"))
+    assert {x.agent_key for x in agents} == {"first writer", "second writer", "third writer", "inline"}
+    assert len({x.team_key for x in teams}) == 3
+    assert {(x.team_class_name, x.max_turns, tuple(x.agent_keys)) for x in teams} == {("RoundRobinGroupChat", 2, ("first writer",)), ("RoundRobinGroupChat", 3, ("first writer", "second writer")), ("Swarm", None, ("third writer", "inline"))}
+    assert {(x.task_key, x.description[-5:], x.agent_key) for x in tasks if x.agent_key} == {("x", "north", "first writer"), ("y", "south", "second writer")}
+    assert len({x.task_key for x in tasks if x.description == "Sum up"}) == 2
+    agents, tasks, teams = ([x for x in r[k] if x.system_id == "c"] for k in ("agents", "tasks", "teams"))
+    assert {x.agent_key for x in agents if not x.agent_key.startswith("Helper")} == {"reader", "editor"} and len({x.agent_key for x in agents}) == 4
+    assert {(x.task_key, x.agent_key) for x in tasks} == {("read", "reader"), ("edit", "editor")}
+    members = {x.team_key: x.agent_keys for x in teams}
+    assert members["NewsCrew"] == ["reader", "editor"] and len(members) == 3
+    assert members["Crew"] != members["RoundRobinGroupChat"] and {*members["Crew"], *members["RoundRobinGroupChat"]} == {x.agent_key for x in agents if x.role == "Helper"}
