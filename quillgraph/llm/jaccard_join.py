@@ -15,7 +15,8 @@ both regions). The far rest, d > EPS, is a region of its own. Regions recur with
 of few pairs is joined directly. No pair of core members is ever made, so a group of any size costs
 about a pair a member.
 
-Equal sets are one class, represented by its least doc_id. Components come from the links by
+Equal sets are one class, named by a hash of the set's digest that is checked to be its own, so rows
+that share an id or have none are told apart by their texts. Components come from the links by
 contracting labels in rounds. Counts of shingles come from shards as in lm_scoring: a block of
 documents asks for its own, once each.
 """
@@ -26,8 +27,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import Words, block_count, block_of, checkpointed, mix, slices, string_buffers, texts, windows
@@ -157,15 +159,27 @@ def _compare(batches):
 
 def _rows_of_sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch.column("text"))], pa.binary())], names=["id", "s"])
+        sets = _sets(batch.column("text"))
+        digests = [_digest(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "n", "s"])
+
+
+def _class_id(salt: int) -> Column:
+    return F.xxhash64("a", "b", "n", F.lit(salt))
 
 
-def _compared(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """p, q, common, either of pairs of class representatives: sets are made again for those alone."""
-    ids = checkpointed(pairs.select(F.col("p").alias("doc_id")).union(pairs.select("q")).distinct())
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    chosen = base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = chosen.select("doc_id", "text").mapInArrow(_rows_of_sets, "id long, s binary")
+def _compared(base: DataFrame, pairs: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
+    """p, q, common, either of pairs of classes: sets are made again for those alone.
+
+    Texts are looked up by a class's least doc_id; what else has that id, or has none, names itself by its set."""
+    ids = pairs.select(F.col("p").alias("id")).union(pairs.select("q")).distinct()
+    ids = checkpointed(ids.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct())
+    n, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    some = ids.where("doc_id is not null")
+    chosen = base.join(F.broadcast(some) if n <= MOST_BROADCAST else some, "doc_id", "left_semi")
+    if known < n:
+        chosen = chosen.unionByName(base.where("doc_id is null"))
+    sets = chosen.select("text").mapInArrow(_rows_of_sets, "a long, b long, n long, s binary").select(_class_id(salt).alias("id"), "s").dropDuplicates(["id"])
     joined = pairs.join(sets.select(F.col("id").alias("p"), F.col("s").alias("x")).hint("merge"), "p").join(sets.select(F.col("id").alias("q"), F.col("s").alias("y")).hint("merge"), "q")
     return joined.select("p", "q", "x", "y").mapInArrow(_compare, "p long, q long, common long, either long")
 
@@ -179,8 +193,8 @@ def _distinct_regions(live: DataFrame) -> DataFrame:
     return live.drop("u", "v").join(kept, "region", "left_semi")
 
 
-def links(base: DataFrame, members: DataFrame) -> DataFrame:
-    """p, q: enough links between classes to join every component. members: region, id, n, weight."""
+def links(base: DataFrame, members: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
+    """p, q: enough links between classes to join every component. members: region, id, n, weight; classes: id, doc_id."""
     known: DataFrame | None = None
     live = members.withColumn("core", F.lit(False))
     found: DataFrame | None = None
@@ -203,7 +217,7 @@ def links(base: DataFrame, members: DataFrame) -> DataFrame:
         pairs = stars.union(direct).select(F.least("id", "pivot").alias("p"), F.greatest("id", "pivot").alias("q")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["p", "q"], "left_anti")
-        now = checkpointed(_compared(base, checkpointed(pairs)))
+        now = checkpointed(_compared(base, checkpointed(pairs), classes, salt))
         known = now if known is None else known.union(now)
         linked = now.where("common * 100 >= either * 80").select("p", "q")
         found = linked if found is None else found.union(linked)
@@ -252,13 +266,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: exact components of links at similarity 0.8 on five words.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows of one doc_id are
-    documents of their own that share the id. A null id is never a representative: such rows take
-    part only through equal sets of others, else their component_id is null. An empty table gives an
-    empty result; other columns are not read."""
+def _components(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Documents (doc_id, n, a, b); classes (a, b, n, label); components (label, doc_id and id of the least
+    document, null ids last, and of its class); the salt of class ids."""
     base = texts(docs)
     n_blocks = block_count(base, block_bytes)
     dealt = base.withColumn("block", block_of(n_blocks)).groupBy("block")
@@ -266,23 +276,62 @@ def near_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     answers = dealt.applyInArrow(_ask(n_shards), "shard int, block int, keys binary, own binary").groupBy("shard").applyInArrow(_answer, "shard int, block int, total binary")
     rows = checkpointed(dealt.cogroup(answers.groupBy("block")).applyInArrow(_seeds, ROWS))
     of_docs = rows.where("token is null").select("doc_id", "n", "a", "b")
-    classes = checkpointed(of_docs.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id")))
+    found, salt = of_docs.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id")), 0
+    classes = checkpointed(found.withColumn("id", _class_id(salt)))
+    while not classes.groupBy("id").count().where("count > 1").isEmpty():  # two sets of one hash: by another salt
+        salt += 1
+        classes = checkpointed(classes.withColumn("id", _class_id(salt)))
     shared = rows.where("token is not null").select("token", "a", "b", "n").distinct()
     region = Window.partitionBy("token")
     shared = shared.withColumn("m", F.count(F.lit(1)).over(region)).where("m > 1")
-    seeds = shared.join(classes, ["a", "b", "n"]).select(F.col("token").alias("region"), "id", "n", "m")
+    seeds = shared.select(F.col("token").alias("region"), _class_id(salt).alias("id"), "n", "m")
     weights = seeds.groupBy("id").agg(F.sum("m").alias("weight"))
     members = checkpointed(seeds.select("region", "id", "n").join(weights, "id").select("region", "id", "n", "weight"))
-    found = components(classes.select("id"), links(base, members))
-    named = classes.join(found, "id").select("a", "b", "n", "label")
+    labels = components(classes.select("id"), links(base, members, classes, salt))
+    named = checkpointed(classes.join(labels, "id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("least")
+    heads = checkpointed(named.groupBy("label").agg(least).select("label", "least.doc_id", "least.id"))
+    return of_docs, named.select("a", "b", "n", "label"), heads, salt
+
+
+def near_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: exact components of links at similarity 0.8 on five words.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows of one doc_id are
+    documents of their own that share the id. Rows with a null id are linked like others; component_id
+    is the least id of the component, and null only if all its rows have none. An empty table gives an
+    empty result; other columns are not read."""
+    of_docs, classes, heads, _ = _components(docs, block_bytes)
+    named = classes.join(heads.select("label", F.col("doc_id").alias("least")), "label").select("a", "b", "n", "least")
     out = of_docs.join(named, ["a", "b", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("label")), F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), F.col("doc_id")).alias("component_id"))
 
 
+def _with_digests(batches):
+    for batch in batches:
+        sets = _sets(batch.column("text"))
+        digests = [_digest(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["row", "doc_id", "text", "a", "b", "n"])
 
 
 def without_near_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that represent their component, all columns: one for each. Rows with a null id stay."""
-    kept = near_duplicates(docs, block_bytes).where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs that represent their component, all columns: one for each. Rows without shingles stay.
+
+    Ids that are null or repeat do not tell which row represents; the sets of those rows are made again."""
+    of_docs, _, heads, salt = _components(docs, block_bytes)
+    twice = checkpointed(of_docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
+    kept = heads.select("doc_id").union(of_docs.where("n = 0").select("doc_id")).where("doc_id is not null").distinct()
+    n, known = twice.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if not n:
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    single = docs.join(kept.join(twice, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
+    unclear = docs.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    if known < n:
+        unclear = unclear.unionByName(docs.where("doc_id is null"))
+    keyed = unclear.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = StructType([*keyed.schema.fields, *(StructField(c, LongType()) for c in "abn")])
+    keyed = checkpointed(keyed.mapInArrow(_with_digests, schema).withColumn("id", _class_id(salt)))
+    first = F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")
+    same = keyed.alias("k").join(heads.alias("h"), (F.col("k.id") == F.col("h.id")) & F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    chosen = keyed.where("n = 0").select("row").union(same.where("n > 0").groupBy("id").agg(first).select("row"))
+    return single.unionByName(chosen.select("row.*"))

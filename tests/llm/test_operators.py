@@ -309,3 +309,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     full = {r.doc_id: r.text for r in docs.collect()}
     got = rows(jaccard_join.near_duplicates(docs), "doc_id")
     assert {k: r.component_id for k, r in got.items()} == components(full)
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    from quillgraph.llm.jaccard_join import near_duplicates, without_near_duplicates
+
+    word = lambda k, n=40: [f"{chr(97 + k)}{i}" for i in range(n)]
+    near = lambda k, x: " ".join([*word(k)[:-1], x])
+    a, b, c, d = (" ".join(word(k)) for k in range(4))
+    texts = [a, b, near(1, "x"), c, near(2, "x"), near(2, "y"), d, near(3, "x"), near(0, "x"), near(0, "y"), ""]
+    ids = [5, 5, 9, None, None, None, None, 7, 5, 3, 3, None, 8, None]
+    docs = documents(spark, texts, ids).repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect())
+    want = {(5, 36, 3): 2, (3, 36, 3): 1, (5, 36, 5): 1, (9, 36, 5): 1, (None, 36, None): 3, (None, 36, 7): 1, (7, 36, 7): 1, (3, 0, 3): 1, (None, 0, None): 2, (8, 0, 8): 1}
+    assert got == want
+    kept = without_near_duplicates(docs)
+    left = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    said = [x for x in left if x[1].strip()]
+    assert kept.columns == docs.columns and len(left) == 8 and len(said) == 4
+    assert {x for x in said if x[0] != "None"} == {("3", near(0, "y")), ("5", b), ("7", near(3, "x"))}
+    assert [x[1].split()[0] for x in said if x[0] == "None"] == ["c0"]
