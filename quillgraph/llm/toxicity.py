@@ -10,6 +10,7 @@ number, calibrated on the sample's labels, is the text's score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix, slices, string_buffers, texts, windows
+from .common import Words, checkpointed, mix, slices, string_buffers, texts
 
 #: Most labelled rows of a class that the model is fitted on (a sample by hash, the same on every run).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
@@ -80,9 +81,22 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # of a bounded number of ids
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic and a digest of the text's words in order."""
+    for batch in batches:
+        data, offsets = _letters(batch.column("text"))
+        whole = data.tobytes()
+        digests = [hashlib.blake2b(b" ".join(whole[a:b].split()), digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(digests, pa.binary())], names=["text", "toxic", "digest"])
+
+
+def different(rows: DataFrame) -> DataFrame:
+    """text, toxic with one row for each sequence of words and label, in any layout."""
+    return rows.mapInArrow(_digested, "text string, toxic int, digest binary").dropDuplicates(["digest", "toxic"]).select("text", "toxic")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different words of the texts of each class that have a feature. Copies and most near copies count once, by their least shingle."""
-    seen: set[int] = set()
+    """Different words of the texts of each class that have a feature."""
     keys: list[np.ndarray] = []
     marks: list[np.ndarray] = []
     words = [0, 0]
@@ -91,15 +105,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = _letters(batch.column("text"))
         for i, j, d, o in slices(data, offsets):
             w = Words(d, o)
-            features, shingles = _features(w, d), windows(w.hash, 3)
+            features = _features(w, d)
             for k in range(j - i):
                 a, b = w.offsets[k], w.offsets[k + 1]
                 if b <= a:
                     continue
-                sketch = int(shingles[a : b - 2].min()) if b - a > 2 else int(w.hash[a:b].min())
-                if sketch in seen:
-                    continue
-                seen.add(sketch)
                 at = a + np.unique(w.hash[a:b], return_index=True)[1]
                 own = np.concatenate([f[at] for f in features])
                 own = own[own != 0]
@@ -173,7 +183,7 @@ def _evidence(n: int, score: float, m: Model) -> float:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     rows = training_rows(docs, labels)
-    counts = rows.mapInArrow(_count, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = different(rows).mapInArrow(_count, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = checkpointed(counts.where(f"f = 0 or t >= {LEAST_COUNT}"))
     sizes = counts.where("f = 0").first()
     nt, nc = (sizes.t, sizes.c) if sizes else (0, 0)
@@ -190,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in got], pa.int64()), pa.array([max((s[0] for s in g), default=0.0) for _, g in got], pa.float64()), pa.array([sum(b - a + 1 for _, a, b in g) for _, g in got], pa.int64())], names=["toxic", "n", "best", "inside"])
 
     seen = rows.mapInArrow(measure, "toxic int, n long, best double, inside long").toPandas()  # one row a sampled text
+    seen = seen.sort_values(["toxic", "n", "best"])  # sums do not depend on the layout
     return calibrated(m, seen["toxic"].to_numpy(), seen["n"].to_numpy(), seen["best"].to_numpy())
 
 

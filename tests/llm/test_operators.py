@@ -256,6 +256,22 @@ def test_toxicity_learns_held_out_words(spark):
     assert toxicity(nothing(spark), labels).count() == 0 and toxicity(docs, labels.limit(0)).count() == 243
 
 
+def test_toxic_model_does_not_depend_on_the_layout(spark):
+    from quillgraph.llm.toxicity import fit
+
+    rnd = random.Random(6)
+    plain = ["".join(chr(97 + int(c)) for c in str(k * 7919)) for k in range(200)]
+    shared = [rnd.choice(plain) for _ in range(40)]  # so most least shingles are the same
+    texts = [" ".join([*shared, *("nasty vile".split() if k % 4 == 0 else []), *(rnd.choice(plain) for _ in range(3))]) for k in range(200)]
+    ids, labels = [*range(200)], [(k, int(k % 4 == 0)) for k in range(200)]
+    docs, labels = documents(spark, texts, [*ids, 900, 901, 902]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, many = (fit(docs.repartition(n), labels) for n in (1, 7))
+    assert len(one.keys) > 0 and one.keys.tolist() == many.keys.tolist() and one.scores.tolist() == many.scores.tolist()
+    assert (one.rate, one.scale, one.slope, one.shift) == (many.rate, many.scale, many.slope, many.shift)
+    copies = docs.union(docs)  # copies count once
+    assert fit(copies, labels).scores.tolist() == one.scores.tolist()
+
+
 def test_token_counts_match_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
