@@ -1,19 +1,19 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by interpolated backoff: what a weighted backoff automaton gives, as arrays.
 
-States are the n-grams (up to order - 1 words) of the training texts. A state h has an arc for every
-word w seen after it, with weight log p(w | h), and a failure arc to the state without its first word,
-with the weight of what is left for words not seen there. p interpolates with the shorter state:
+Think of states as the n-grams (up to order - 1 words) of the training texts, with an arc for every word
+seen after one and a failure arc to the state without its first word. No state or arc is built: the counts
+of every place are gathered and each order is interpolated with the shorter one over a whole block,
 
     p(w | h) = L(h) c(h w) / c(h) + (1 - L(h)) p(w | h')
 
 where 1 - L(h) is the share of once-seen continuations among those of states with a like count (by
-power of two), and words have absolute discounting whose mass goes to unknown words. A text is read
-from left to right once; the state at each word is the longest one that the words before reach.
+power of two), and words have absolute discounting whose mass goes to unknown words. The last order
+that changes a place's p is that of the longest state that the words before reach.
 
-Scale: the automaton grows with the corpus and is held nowhere as a whole. Documents are dealt to
+Scale: the counts grow with the corpus and are held nowhere as a whole. Documents are dealt to
 blocks by a hash of doc_id. For each order a block asks for the counts of its own n-grams, once each;
-requests are dealt by ranges of the n-gram's hash to shards, whose answers hold the arcs and states
-that the block's traversal can meet. A block or shard has a bounded mean size, and a shard's keys are
+requests are dealt by ranges of the n-gram's hash to shards, whose answers hold the counts that the
+block needs. A block or shard has a bounded mean size, and a shard's keys are
 different n-grams of at most all blocks, so no word or n-gram is hot.
 """
 
