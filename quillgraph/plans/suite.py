@@ -168,8 +168,9 @@ def greedy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = tables(spark, sf_dir, "nation", "region")
-    both = n["nation"].select(F.lit("a").alias("graph_id"), F.col("n_regionkey").cast("string").alias("class"), F.col("n_nationkey").cast("string").alias("s"), F.col("n_name").alias("label"))
+    """Part names against perturbed ones among parts of one brand, type and size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    both = p.select(F.lit("a").alias("graph_id"), F.concat_ws("|", "p_brand", "p_type", "p_size").alias("class"), F.col("p_partkey").cast("string").alias("s"), F.col("p_name").alias("label"))
     changed = both.withColumn("graph_id", F.lit("b")).withColumn("label", F.concat(F.initcap(F.lower("label")), F.lit(" land")))
     return align.fuzzy_aligned(both.unionByName(changed), _one_pair(spark, "a", "b"))
 

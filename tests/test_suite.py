@@ -42,3 +42,22 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 200 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fuzzy_align_is_greedy_on_part_names(spark):
+    from quillgraph.operators.align import similarity
+
+    blocks = {}
+    for r in spark.read.parquet(f"{DIR}/part.parquet").collect():
+        blocks.setdefault(f"{r.p_brand}|{r.p_type}|{r.p_size}", []).append((str(r.p_partkey), r.p_name))
+    want = set()
+    for block, own in blocks.items():
+        scored = sorted(((round(similarity(x, f"{y} land"), 3), j, i) for i, x in own for j, y in own if similarity(x, f"{y} land") >= 0.55), reverse=True)
+        left, right = set(), set()
+        for score, j, i in scored:
+            if i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+                want.add((block, i, j, score))
+    got = {(r.block.split("\x1f")[1], r.ref, r.cand, r.score) for r in suite.fuzzy_align(spark, DIR).collect()}
+    assert got == want and len(want) > 100
