@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +33,24 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only in local mode, where all executors see it."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    folder = known.get() if not known.isEmpty() else context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-checkpoints-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of the cluster; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf or "/tmp/quillgraph-checkpoints")
-    return df.checkpoint(eager=True)
+    """Cut lineage by a table written to the shared folder, whose true size also plans the joins that follow."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -46,7 +60,8 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def block_of(n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
+    """The block of a row with doc_id and text, so that rows without an id are dealt too."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

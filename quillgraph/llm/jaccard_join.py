@@ -1,47 +1,57 @@
 """Exact Jaccard components by a metric-space join of shingle sets.
 
-1 - |x & y| / |x | y| is a metric. A link is a distance of at most EPS = 0.2.
-
-Seeds. x has at most |x| / 5 shingles that a linked y lacks, so of its rarest |x| / 5 + 1 shingles
-one is among y's rarest |y| / 5 + 1, in any one global order. Shingles are ordered by how many
-different sets have them; one that a single set has starts nothing. Who shares a shingle forms a seed
-region.
-
-Regions. The member that shares most with others is the pivot; all members' distances d to it are
-computed exactly. Its Voronoi cell is the core, d <= EPS, whose members are linked through it. By the
-triangle inequality a core member can only link to one with d <= 2 EPS: these, the ring, are joined
-among each other and with the core members whose d is within EPS of one of theirs (the boundary, in
-both regions). The far rest, d > EPS, is a region of its own. Regions recur with new pivots; one
-of few pairs is joined directly. No pair of core members is ever made, so a group of any size costs
-about a pair a member.
+1 - |x & y| / |x | y| is a metric. A link is a distance of at most EPS = 0.2, so of x's shingles at
+most |x| / 5 are not in a linked y.
+
+Open sets. Pivots tell nothing about unrelated texts, which are all at distance 1 of each other. So
+first, a set goes if more than a fifth of its shingles are in no other set: it has no link. A block
+of documents asks shards which of its shingles are in other sets as well; for sets of SMALL shingles
+and more only those in the lowest ASKED of the hash space, which can keep a set too many and loses none.
+
+Regions. Order all shingles by the number of open sets that have them. x and a linked y share one of
+their |x| / 5 + 1 and |y| / 5 + 1 rarest; who shares a shingle forms a region. At the first shingle
+that the two share, with i and j before it, |x & y| <= min(|x| - i, |y| - j) =: min(room), and a link needs
+9 |x & y| >= 4 (|x| + |y|). So a region has to join only pairs whose rooms allow this.
+
+Rounds. Regions recur until none has members of two components. In the first round each region
+compares its pivot, the member that shares most with others, to the rest; what is linked has one
+label from then on, and a group of any size costs about one pair a member. Later a region of at most
+LEAF members compares its pairs of unlike labels. A larger one is split: k pivots (2, 4, 8, ...)
+measure all members; a member belongs to the Voronoi cell of the nearest pivot within 2 EPS, or to
+the far rest, and by the triangle inequality is a guest in every cell whose pivot p has d(p) <=
+min(3 EPS, d(nearest) + 2 EPS). Every link lies in some cell or in the rest, pairs of guests need not be
+compared, and the pivots are done. Where the cells would hold over 1.5 times the members, the region
+goes on whole, without its pivots.
 
 Equal sets are one class, named by a hash of the set's digest that is checked to be its own, so rows
 that share an id or have none are told apart by their texts. Components come from the links by
-contracting labels in rounds. Counts of shingles come from shards as in lm_scoring: a block of
-documents asks for its own, once each.
+contracting labels in rounds.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from .common import Words, block_count, block_of, checkpointed, mix, slices, string_buffers, texts, windows
-from .lm_scoring import _edges, _large, _small, pack, unpack
+from .messages import bits, by_shard, flags, large, pack, small, unpack
 
-BLOCK_BYTES, SHARD_KEYS, SHINGLE = 8 << 20, 3_000_000, 5
-#: Sets of under SMALL shingles ask for all of them; those of at least 0.8 SMALL for half of all hashes, and both in between.
-SMALL = 64
-#: Pairs that a region may have to be joined directly, at first and later; pivots of a larger region, at first one.
-FIRST_LEAF_PAIRS, LEAF_PAIRS, PIVOTS = 64, 262_144, 16
-#: Most ids of sets to compare that are broadcast (8 bytes each); more are joined by shuffle.
-MOST_BROADCAST = 1 << 20
+BLOCK_BYTES, SHARD_KEYS, SHINGLE = 4 << 20, 2_000_000, 5
+#: Sets of under SMALL shingles are tried by all of them, others by those in the lowest ASKED of the hash space.
+SMALL, ASKED = 64, 0.375
+#: Members of a region that compares its pairs directly.
+LEAF = 64
+#: Comparisons with one set that meet in one place; a set with more is dealt to several.
+HUB = 4096
+#: Most rows of two numbers that are broadcast.
+MOST_BROADCAST = 1 << 18
+SLACK = 1e-9
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -68,202 +78,234 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _asked(s: np.ndarray) -> list[np.ndarray]:
-    """The universes that a set takes part in, each with the set's shingles there.
-
-    In any universe x has at most |x| / 5 shingles that a linked y lacks. So if x or y has more than
-    that there, their |x| / 5 + 1 and |y| / 5 + 1 rarest ones there share one. The lower half of all
-    hashes is such a universe but for sets with too few in it, which take part in the upper half too."""
-    n, out = len(s), []
-    if n < SMALL:
-        out.append(s)
-    if 5 * n >= 4 * SMALL:
-        cut = int(np.searchsorted(s, np.uint64(1 << 63)))
-        out.append(s[:cut])
-        if cut <= n // 5:
-            out.append(s[cut:])
-    return out
+def _tried(s: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that tell whether it is open."""
+    return s if len(s) < SMALL else s[: np.searchsorted(s, np.uint64(int(ASKED * (1 << 64))))]
+
+
+def _asked(s: np.ndarray) -> np.ndarray:
+    """Those that it asks about: all, if a set of under SMALL could be linked with it."""
+    return s if len(s) * 4 <= SMALL * 5 else _tried(s)
+
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.unique(np.concatenate(parts), return_counts=True)
+
+
+def _messages(block: int, n_shards: int, keys: np.ndarray, **columns) -> pa.Table:
+    """A row for each shard that has some of the keys; columns make bytes of a range."""
+    cuts = list(by_shard(keys, n_shards))
+    out = {"shard": pa.array([c for c, _, _ in cuts], pa.int32()), "block": pa.array([block] * len(cuts), pa.int32())}
+    out["keys"] = pa.array([pack(keys[i:j]) for _, i, j in cuts], pa.binary())
+    return pa.table(out | {name: pa.array([f(i, j) for _, i, j in cuts], pa.binary()) for name, f in columns.items()})
+
+
+def _ask_shared(n_shards: int):
+    """Which shingles of the block are in more sets than one, and which are so in the block alone."""
 
-def _ask(n_shards: int):
     def run(table: pa.Table) -> pa.Table:
         seen: dict[tuple[int, int], np.ndarray] = {}
         for s in _sets(table.column("text")):
             if len(s):
-                seen.setdefault(_digest(s), s)
-        parts = [np.unique(np.concatenate(_asked(s))) for s in seen.values()]
-        u, own = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        cuts = [0, *np.searchsorted(u, _edges(n_shards)).tolist(), len(u)]
-        block = table.column("block")[0].as_py()
-        return pa.table({"shard": pa.array(range(n_shards), pa.int32()), "block": pa.array([block] * n_shards, pa.int32()), "keys": pa.array([pack(u[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "own": pa.array([_small(own[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                seen.setdefault(_digest(s), _asked(s))
+        keys, own = _counted(list(seen.values()))
+        return _messages(table.column("block")[0].as_py(), n_shards, keys, own=lambda i, j: bits(own[i:j] > 1))
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _tell_shared(table: pa.Table) -> pa.Table:
     keys = [unpack(k) for k in table.column("keys").to_pylist()]
-    own = np.concatenate([_large(x) for x in table.column("own").to_pylist()])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=own).astype(np.int64) if len(own) else np.zeros(0, np.int64)
-    out, at = [], 0
-    for k in keys:
-        out.append(_small(total[inverse[at : at + len(k)]]))
-        at += len(k)
-    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "total": pa.array(out, pa.binary())})
+    own = [flags(x, len(k)) for x, k in zip(table.column("own").to_pylist(), keys, strict=True)]
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(inverse, weights=np.concatenate(own) + 1, minlength=len(u)) > 1
+    ends = np.cumsum([len(k) for k in keys])
+    out = [bits(shared[inverse[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)]
+    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "shared": pa.array(out, pa.binary())})
 
 
-ROWS = "doc_id long, n long, a long, b long, token long"
+DOCS = "doc_id long, n long, a long, b long, s array<long>"
 
 
-def _seeds(table: pa.Table, answers: pa.Table) -> pa.Table:
-    """A row for each document (token null), and for each different set one for each of its shared rarest shingles."""
-    ids, ns, first, second, tokens = [], [], [], [], []
-    if table.num_rows:
-        sets = _sets(table.column("text"))
+def _open_sets(n_shards: int):
+    """A row for each document, with its set if that is open and the first of its kind in the block."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets = _sets(table.column("text")) if table.num_rows else []
         digests = [_digest(s) for s in sets]
-        seen: dict[tuple[int, int], np.ndarray] = {}
+        first = {d: s for d, s in zip(reversed(digests), reversed(sets), strict=True) if len(s)}
+        keys, _ = _counted([_asked(s) for s in first.values()])
+        said = dict(zip(answers.column("shard").to_pylist(), answers.column("shared").to_pylist(), strict=True))
+        shared = np.concatenate([np.zeros(0, bool), *(flags(said[c], j - i) for c, i, j in by_shard(keys, n_shards))])
+        kept = []
         for s, d in zip(sets, digests, strict=True):
-            if len(s):
-                seen.setdefault(d, s)
-        u = np.unique(np.concatenate([x for s in seen.values() for x in _asked(s)])) if seen else np.zeros(0, np.uint64)
-        rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        total = np.concatenate([_large(r["total"]) for r in rows]) if rows else np.zeros(0, np.int64)
-        for k, s, d in zip(table.column("doc_id").to_pylist(), sets, digests, strict=True):
-            ids.append(k)
-            ns.append(len(s))
-            first.append(d[0])
-            second.append(d[1])
-            tokens.append(None)
-        for d, s in seen.items():
-            shared: set[int] = set()
-            for x in _asked(s):
-                df = total[np.searchsorted(u, x)]
-                rare = np.lexsort((x, df))[: len(s) // 5 + 1]
-                shared.update(x[rare[df[rare] > 1]].view(np.int64).tolist())
-            for t in shared:
-                ids.append(None)
-                ns.append(len(s))
-                first.append(d[0])
-                second.append(d[1])
-                tokens.append(t)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int64()), "a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64()), "token": pa.array(tokens, pa.int64())})
-
-
-def _compare(batches):
-    for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        common = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-        either = [len(p) // 8 + len(q) // 8 - c for p, q, c in zip(x, y, common, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q"), pa.array(common, pa.int64()), pa.array(either, pa.int64())], names=["p", "q", "common", "either"])
+            tried = _tried(s)
+            new = first.pop(d, None) is not None
+            own = len(tried) - int(shared[np.searchsorted(keys, tried)].sum()) if new else 0
+            kept.append(s.view(np.int64) if new and own <= len(s) // 5 else None)
+        numbers = zip(("n", "a", "b"), ([len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests]), strict=True)
+        out = {"doc_id": pa.array(table.column("doc_id").to_pylist() if sets else [], pa.int64())}
+        out |= {name: pa.array(x, pa.int64()) for name, x in numbers}
+        return pa.table(out | {"s": pa.array(kept, pa.list_(pa.int64()))})
 
+    return run
 
-def _rows_of_sets(batches):
-    for batch in batches:
-        sets = _sets(batch.column("text"))
-        digests = [_digest(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "n", "s"])
+
+def _lists(table: pa.Table) -> list[np.ndarray]:
+    column = table.column("s").combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    values, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _ask_counts(n_shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, own = _counted(_lists(table))
+        return _messages(table.column("block")[0].as_py(), n_shards, keys, own=lambda i, j: small(own[i:j]))
+
+    return run
+
+
+def _tell_counts(table: pa.Table) -> pa.Table:
+    keys = [unpack(k) for k in table.column("keys").to_pylist()]
+    own = np.concatenate([large(x) for x in table.column("own").to_pylist()])
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, weights=own).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    out = [small(total[inverse[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)]
+    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "total": pa.array(out, pa.binary())})
+
+
+MEMBERS = "region long, id long, n long, room long, weight long"
+
+
+def _members(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The regions of each set that is still open: a row for each of its rarest shingles that others have."""
+    out: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in ("region", "id", "n", "room", "weight")}
+    sets = _lists(table) if table.num_rows else []
+    keys, _ = _counted(sets)
+    rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+    total = np.concatenate([np.zeros(0, np.int64), *(large(r["total"]) for r in rows)])
+    for k, s in zip(table.column("id").to_pylist() if sets else [], sets, strict=True):
+        n, count = len(s), total[np.searchsorted(keys, s)]
+        rare = np.lexsort((s, count))[: n // 5 + 1]
+        begin = int(np.searchsorted(count[rare], 1, side="right"))  # shingles before it are in no other set
+        at = rare[begin:]
+        full = np.full(len(at), 1, np.int64)
+        for c, x in zip(out, (s[at].view(np.int64), full * k, full * n, n - np.arange(begin, len(rare)), full * int(count[at].sum())), strict=True):
+            out[c].append(x)
+    return pa.table({c: np.concatenate(x) for c, x in out.items()})
 
 
 def _class_id(salt: int) -> Column:
     return F.xxhash64("a", "b", "n", F.lit(salt))
 
 
-def _compared(base: DataFrame, pairs: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
-    """p, q, common, either of pairs of classes: sets are made again for those alone.
+def _beside(df: DataFrame) -> DataFrame:
+    """The small rows of df broadcast, if there are few."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    Texts are looked up by a class's least doc_id; what else has that id, or has none, names itself by its set."""
-    ids = pairs.select(F.col("p").alias("id")).union(pairs.select("q")).distinct()
-    ids = checkpointed(ids.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct())
-    n, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    some = ids.where("doc_id is not null")
-    chosen = base.join(F.broadcast(some) if n <= MOST_BROADCAST else some, "doc_id", "left_semi")
-    if known < n:
-        chosen = chosen.unionByName(base.where("doc_id is null"))
-    sets = chosen.select("text").mapInArrow(_rows_of_sets, "a long, b long, n long, s binary").select(_class_id(salt).alias("id"), "s").dropDuplicates(["id"])
-    joined = pairs.join(sets.select(F.col("id").alias("p"), F.col("s").alias("x")).hint("merge"), "p").join(sets.select(F.col("id").alias("q"), F.col("s").alias("y")).hint("merge"), "q")
-    return joined.select("p", "q", "x", "y").mapInArrow(_compare, "p long, q long, common long, either long")
-
-
-def _distinct_regions(live: DataFrame) -> DataFrame:
-    """Of regions with the same members one stays; `m` and `rest` (members outside the core) are added."""
-    size = Window.partitionBy("region")
-    live = live.withColumns({"m": F.count(F.lit(1)).over(size), "rest": F.sum((~F.col("core")).cast("int")).over(size), "u": F.expr("bit_xor(xxhash64(id, core))").over(size), "v": F.expr("bit_xor(xxhash64(7, core, id))").over(size)})
-    live = live.where("m > 1 and rest > 0")
-    kept = live.groupBy("m", "u", "v").agg(F.min("region").alias("region")).select("region")
-    return live.drop("u", "v").join(kept, "region", "left_semi")
-
-
-def links(base: DataFrame, members: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
-    """p, q: enough links between classes to join every component. members: region, id, n, weight; classes: id, doc_id."""
-    known: DataFrame | None = None
-    live = members.withColumn("core", F.lit(False))
-    found: DataFrame | None = None
-    while True:
-        first = known is None
-        live = _distinct_regions(live)
-        # the first pivot is of the core, if there is one: so whoever is linked to it is of the core's component
-        lead = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("core"), F.desc("weight"), "id")) == 1
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("lead"), "core", F.desc("weight"), "id"))
-        leaf = F.col("m") * F.col("rest") <= (FIRST_LEAF_PAIRS if first else LEAF_PAIRS)
-        live = checkpointed(live.withColumn("lead", lead).withColumn("rank", rank).withColumn("leaf", leaf).drop("lead"))
-        if live.isEmpty():
-            break
-        k = 1 if first else PIVOTS
-        ratio = lambda least: F.least("n", "pn") * 100 >= F.greatest("n", "pn") * least  # noqa: E731  beyond it sizes alone tell
-        heads = live.where(F.col("rank") <= k).where("not leaf").select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("core").alias("pc"), F.col("rank").alias("at"))
-        stars = live.where("not leaf").join(heads, "region").where("id <> pivot and not (core and pc and at > 1)").where(ratio(60)).select("id", "pivot")
-        right = live.where("leaf").select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("core").alias("pc"))
-        direct = live.where("leaf").join(right, "region").where("id < pivot and not (core and pc)").where(ratio(80)).select("id", "pivot")
-        pairs = stars.union(direct).select(F.least("id", "pivot").alias("p"), F.greatest("id", "pivot").alias("q")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["p", "q"], "left_anti")
-        now = checkpointed(_compared(base, checkpointed(pairs), classes, salt))
-        known = now if known is None else known.union(now)
-        linked = now.where("common * 100 >= either * 80").select("p", "q")
-        found = linked if found is None else found.union(linked)
-        live = _recur(live.where("not leaf"), known, k)
-    return found if found is not None else members.select(F.col("id").alias("p"), F.col("id").alias("q")).limit(0)
-
-
-def _recur(live: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """The regions that remain once all members are measured against a region's first k pivots.
-
-    Distances are to the first pivot. A member is in the core if it is linked to that pivot, or to
-    another one that is; or was before. Ring and boundary go on as one region, and so does the far
-    rest with those core members that are not in the first pivot's cell."""
+
+def _measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """p, q, common, either of the pairs (id, pivot), once for each two sets; a pivot of many is dealt to several places."""
+    low, high = F.least("id", "pivot"), F.greatest("id", "pivot")
+    pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("pivot").alias("q"))
+    pairs = checkpointed(pairs.select((F.when(F.col("q") == F.col("low"), F.col("high")).otherwise(F.col("low"))).alias("p"), "q"))
+    hubs = checkpointed(pairs.groupBy("q").count().select("q", F.ceil(F.col("count") / HUB).alias("places")).where("places > 1"))
+    hubs = _beside(hubs)
+    x = sets.select(F.col("id").alias("p"), F.col("s").alias("x"))
+    y = sets.select(F.col("id").alias("q"), F.col("s").alias("y")).join(hubs, "q", "left")
+    y = y.select("q", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("places") - 1, F.lit(0).cast("long")))).alias("place"))
+    pairs = pairs.join(hubs, "q", "left").select("p", "q", F.pmod(F.xxhash64("p"), F.coalesce("places", F.lit(1).cast("long"))).alias("place"))
+    both = pairs.join(x.hint("merge"), "p").join(y.hint("merge"), ["q", "place"])
+    both = both.select("p", "q", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+    return checkpointed(both.select("p", "q", "common", (F.col("nx") + F.col("ny") - F.col("common")).alias("either")))
+
+
+def _fits(n: str, room: str) -> Column:
+    """Whether the rooms of two members leave space for a link."""
+    return 9 * F.least("room", room) >= 4 * (F.col("n") + F.col(n))
+
+
+def _live(regions: DataFrame) -> DataFrame:
+    """The members, with their number `m`, of regions with unlike labels; of regions with the same members one stays."""
+    least = regions.groupBy("region").agg(F.min("n").alias("least"))
+    regions = regions.join(least, "region").where("9 * room >= 4 * (n + least)").drop("least")  # whom no member could fit goes
+    marks = [F.expr(f"bit_xor(xxhash64({k}, id, guest))").alias(f"mark{k}") for k in (1, 2)]
+    known = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), (F.min("label") == F.max("label")).alias("one"), F.min("guest").alias("guests"), *marks)
+    known = known.where("not one and not guests").groupBy("mark1", "mark2", "m").agg(F.min("region").alias("region"))
+    return checkpointed(regions.join(known.select("region", "m"), "region"))
+
+
+def _cells(live: DataFrame, heads: DataFrame, measured: DataFrame, k: int) -> DataFrame:
+    """The regions that remain of those with pivots: Voronoi cells with their guests, or the whole without pivots."""
     d = (1 - F.col("common") / F.col("either")).alias("d")
-    linked = (F.col("common") * 100 >= F.col("either") * 80).alias("linked")
-    measured = known.select("p", "q", d, linked)
-    both = measured.unionByName(measured.select(F.col("q").alias("p"), F.col("p").alias("q"), "d", "linked")).select(F.col("p").alias("id"), F.col("q").alias("pivot"), "d", "linked")
-    heads = live.where(F.col("rank") <= k).select("region", F.col("id").alias("pivot"), F.col("rank").alias("at"))
-    rows = live.join(heads, "region").join(both, ["id", "pivot"], "left")
-    one = rows.groupBy("region", "id", "n", "weight", "core", "rank").agg(F.max(F.when(F.col("at") == 1, F.col("d"))).alias("d"), F.max(F.when(F.col("at") == 1, F.coalesce("linked", F.col("id") == F.col("pivot")))).alias("cell"), F.collect_list(F.when(F.col("linked"), F.col("at"))).alias("near"))
-    own = Window.partitionBy("region")
-    one = one.withColumn("d", F.coalesce(F.when(F.col("rank") == 1, F.lit(0.0)).otherwise(F.col("d")), F.lit(1.0))).withColumn("cell", F.coalesce("cell", F.lit(False)))  # sizes alone put it beyond 2 EPS
-    anchored = F.collect_set(F.when((F.col("rank") <= k) & (F.col("cell") | F.col("core")), F.col("rank"))).over(own)
-    one = one.withColumn("joined", F.col("cell") | F.col("core") | F.arrays_overlap("near", anchored)).where(F.col("rank") > k)
-    slack = 1e-9
-    ring = F.min(F.when(~F.col("joined") & (F.col("d") <= 0.4 + slack), F.col("d"))).over(own)
-    one = one.withColumn("ring", ring)
-    child = lambda rows, kind: rows.select(F.xxhash64("region", F.lit(kind)).alias("region"), "id", "n", "weight", F.col("joined").alias("core"))
-    inner = one.where("ring is not null").where((F.col("d") <= 0.6 + slack) & (F.col("d") >= F.col("ring") - 0.2 - slack) & (F.col("joined") | (F.col("d") <= 0.4 + slack)))
-    far = one.where(~F.col("joined") | (F.col("d") > 0.2 - slack))
-    return child(inner, "ring").unionByName(child(far, "far"))
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, label: the least id of each node's component. Labels sink along edges and are followed once a round."""
+    there = measured.select(F.col("p").alias("id"), F.col("q").alias("pivot"), d)
+    there = there.union(measured.select("q", "p", d))
+    rows = live.join(heads.select("region", "pivot", "at"), "region").join(there, ["id", "pivot"], "left")
+    d = F.when(F.col("id") == F.col("pivot"), -1.0).otherwise(F.coalesce("d", F.lit(1.0)))
+    columns = ["region", "id", "n", "room", "weight", "label", "guest", "m"]
+    one = rows.groupBy(*columns).agg(F.collect_list(F.struct(d.alias("d"), "at")).alias("all")).withColumn("best", F.array_min("all")).where("best.d >= 0")
+    home = F.expr(f"if(best.d <= 0.4 + {SLACK}, best.at, -1)")
+    as_guest = F.expr(f"transform(filter(all, x -> x.at <> home and x.d <= least(0.6, best.d + 0.4) + {SLACK}), x -> struct(x.at as at, true as visits))")
+    child = F.concat(F.array(F.struct(F.col("home").alias("at"), F.lit(False).alias("visits"))), as_guest)
+    rows = one.withColumn("home", home).withColumn("child", F.explode(child))
+    size = rows.groupBy("region").agg((F.count(F.lit(1)) <= 1.5 * F.max("m")).alias("split"))
+    rows = rows.join(size, "region").where("split or not child.visits")
+    name = F.when(F.col("split"), F.xxhash64("region", "child.at", F.lit(k))).otherwise(F.col("region"))
+    return rows.select(name.alias("region"), "id", "n", "room", "weight", "label", (F.col("guest") | (F.col("split") & F.col("child.visits"))).alias("guest"))
+
+
+def links(sets: DataFrame, members: DataFrame) -> DataFrame | None:
+    """p, q: enough links between classes to join every component. sets: id, s; members: as MEMBERS."""
+    live = _live(members.withColumn("label", F.col("id")).withColumn("guest", F.lit(False)))
+    found: list[DataFrame] = []
+    k = 1
+    while not live.isEmpty():
+        pivot = F.max(F.struct("weight", "id", "n", "room", "label")).alias("top")
+        big = live if k == 1 else live.where(F.col("m") > LEAF)
+        heads = big.groupBy("region", F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(k)).alias("at")).agg(pivot)
+        heads = checkpointed(heads.select("region", "at", F.col("top.id").alias("pivot"), F.col("top.n").alias("pn"), F.col("top.room").alias("proom"), F.col("top.label").alias("plabel")))
+        stars = big.join(heads, "region").where("id <> pivot")
+        if k == 1:
+            pairs = stars.where(_fits("pn", "proom")).select("id", "pivot")
+        else:  # distances over 0.6 need not be known: sizes tell
+            right = live.select("region", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("room").alias("proom"), F.col("label").alias("plabel"), F.col("guest").alias("pguest"))
+            leaves = live.where(F.col("m") <= LEAF).join(right, "region").where("id < pivot and label <> plabel and not (guest and pguest)").where(_fits("pn", "proom"))
+            pairs = stars.where("10 * least(n, pn) >= 4 * greatest(n, pn)").select("id", "pivot").union(leaves.select("id", "pivot"))
+        measured = _measured(sets, pairs)
+        found.append(measured.where("common * 100 >= either * 80").select("p", "q"))
+        rest = big.join(heads.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti").drop("m") if k == 1 else _cells(big, heads, measured, k)
+        live = _live(_relabelled(rest, live.select("id", "label").distinct(), found[-1]))
+        k *= 2
+    return reduce(DataFrame.union, found) if found else None
+
+
+def _relabelled(rest: DataFrame, at: DataFrame, new: DataFrame) -> DataFrame:
+    """The members with the labels that the new links give them; at: id, label of all whom these can link."""
+    rest = checkpointed(rest)
+    ends = new.join(at.toDF("p", "lp"), "p").join(at.toDF("q", "lq"), "q")
+    ends = checkpointed(ends.select(F.col("lp").alias("p"), F.col("lq").alias("q")).where("p <> q").distinct())
+    if ends.isEmpty():
+        return rest
+    roots = components(ends).select(F.col("id").alias("label"), F.col("label").alias("root"))
+    return rest.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rest.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, label: the least id of the component of each end of an edge. Labels sink along edges and are followed once a round."""
     both = checkpointed(edges.union(edges.select("q", "p")).toDF("id", "to").distinct())
     labels = checkpointed(both.select("id").distinct().withColumn("label", F.col("id")))
     while True:
         said = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("heard"))
-        new = labels.join(said, "id", "left").select("id", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
+        new = labels.join(said, "id").select("id", "label", F.least("label", "heard").alias("next"))
         jump = new.select(F.col("id").alias("next"), F.col("next").alias("root"))
         new = checkpointed(new.join(jump, "next", "left").select("id", F.col("label").alias("old"), F.coalesce("root", "next").alias("label")))
-        changed = not new.where("old <> label").isEmpty()
         labels = new.select("id", "label")
-        if not changed:
-            return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        if new.where("old <> label").isEmpty():
+            return labels
 
 
 def _components(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -272,23 +314,25 @@ def _components(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame
     base = texts(docs)
     n_blocks = block_count(base, block_bytes)
     dealt = base.withColumn("block", block_of(n_blocks)).groupBy("block")
-    n_shards = max(1, math.ceil(n_blocks * block_bytes / 10 / SHARD_KEYS))
-    answers = dealt.applyInArrow(_ask(n_shards), "shard int, block int, keys binary, own binary").groupBy("shard").applyInArrow(_answer, "shard int, block int, total binary")
-    rows = checkpointed(dealt.cogroup(answers.groupBy("block")).applyInArrow(_seeds, ROWS))
-    of_docs = rows.where("token is null").select("doc_id", "n", "a", "b")
+    n_shards = max(1, math.ceil(n_blocks * block_bytes / 6 * ASKED / SHARD_KEYS))
+    said = dealt.applyInArrow(_ask_shared(n_shards), "shard int, block int, keys binary, own binary").groupBy("shard").applyInArrow(_tell_shared, "shard int, block int, shared binary")
+    rows = checkpointed(dealt.cogroup(said.groupBy("block")).applyInArrow(_open_sets(n_shards), DOCS))
+    of_docs = rows.select("doc_id", "n", "a", "b")
     found, salt = of_docs.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id")), 0
     classes = checkpointed(found.withColumn("id", _class_id(salt)))
     while not classes.groupBy("id").count().where("count > 1").isEmpty():  # two sets of one hash: by another salt
         salt += 1
         classes = checkpointed(classes.withColumn("id", _class_id(salt)))
-    shared = rows.where("token is not null").select("token", "a", "b", "n").distinct()
-    region = Window.partitionBy("token")
-    shared = shared.withColumn("m", F.count(F.lit(1)).over(region)).where("m > 1")
-    seeds = shared.select(F.col("token").alias("region"), _class_id(salt).alias("id"), "n", "m")
-    weights = seeds.groupBy("id").agg(F.sum("m").alias("weight"))
-    members = checkpointed(seeds.select("region", "id", "n").join(weights, "id").select("region", "id", "n", "weight"))
-    labels = components(classes.select("id"), links(base, members, classes, salt))
-    named = checkpointed(classes.join(labels, "id"))
+
+    sets = checkpointed(rows.where("s is not null").select(_class_id(salt).alias("id"), "s").dropDuplicates(["id"]))
+    keys = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    n_blocks, n_shards = max(1, math.ceil(keys * 8 / block_bytes)), max(1, math.ceil(keys / SHARD_KEYS))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block")
+    said = dealt.applyInArrow(_ask_counts(n_shards), "shard int, block int, keys binary, own binary").groupBy("shard").applyInArrow(_tell_counts, "shard int, block int, total binary")
+    linked = links(sets, checkpointed(dealt.cogroup(said.groupBy("block")).applyInArrow(_members, MEMBERS)))
+
+    named = classes.withColumn("label", F.col("id")) if linked is None else classes.join(components(linked), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = checkpointed(named)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("least")
     heads = checkpointed(named.groupBy("label").agg(least).select("label", "least.doc_id", "least.id"))
     return of_docs, named.select("a", "b", "n", "label"), heads, salt

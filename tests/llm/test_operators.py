@@ -307,24 +307,51 @@ def test_near_duplicate_components(spark, block_bytes):
         assert near_duplicates(nothing(spark)).count() == 0
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [2, 6])
+def test_large_groups_of_near_copies(spark, monkeypatch, leaf):
+    """Chains and stars of near copies, in regions split by pivots, cells and guests."""
     from quillgraph.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "FIRST_LEAF_PAIRS", 4)
-    monkeypatch.setattr(jaccard_join, "LEAF_PAIRS", 40)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "HUB", 5)
     rnd = random.Random(8)
-    base = [f"t{k}" for k in range(120)]
     texts = []
-    for _ in range(16):
-        w = list(base)
-        for _ in range(rnd.randint(0, 5)):
-            w[rnd.randrange(len(w))] = f"u{rnd.randrange(40)}"
-        texts.append(" ".join(w))
+    for group in range(4):
+        base = [f"t{group}_{k}" for k in range(120)]
+        for _ in range(33):
+            w = list(base)
+            for _ in range(rnd.randint(0, 5)):
+                w[rnd.randrange(12) * 10] = f"u{rnd.randrange(3)}"
+            texts.append(" ".join(w))
+            if rnd.random() < 0.5:  # the next ones start from this one
+                base = w
     docs = documents(spark, texts)
     full = {r.doc_id: r.text for r in docs.collect()}
-    got = rows(jaccard_join.near_duplicates(docs), "doc_id")
-    assert {k: r.component_id for k, r in got.items()} == components(full)
+    got = rows(jaccard_join.near_duplicates(docs, 4000), "doc_id")
+    want = components(full)
+    assert len(set(want.values())) > 8 and max(Counter(want.values()).values()) > 15
+    assert {k: r.component_id for k, r in got.items()} == want
+
+
+def test_no_link_is_lost_between_large_and_small_sets():
+    """Which sets stay open: those of sizes around the limit between the two ways of asking, linked or not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillgraph.llm import jaccard_join
+
+    rnd = random.Random(3)
+    texts = []
+    for n in range(50, 100):
+        w = [f"a{n}_{k}" for k in range(n)]
+        texts += [" ".join(w), " ".join(w[: n - rnd.randint(1, n // 6)]), " ".join([*w[: n // 2], *(f"b{n}_{k}" for k in range(n // 2))])]
+    t = pa.table({"doc_id": list(range(len(texts))), "text": texts, "block": pa.array([0] * len(texts), pa.int32())})
+    said = jaccard_join._tell_shared(jaccard_join._ask_shared(3)(t).sort_by("shard"))
+    got = jaccard_join._open_sets(3)(t, said).column("s").to_pylist()
+    sets = [shingles(x) for x in texts]
+    linked = [any(a is not b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets]
+    assert all(g is not None for g, x in zip(got, linked, strict=True) if x) and any(linked)
+    assert sum(g is None for g in got) > 15 and np.all([len(g) == len(s) for g, s in zip(got, sets, strict=True) if g is not None])
 
 
 def test_near_duplicates_of_shared_and_null_ids(spark):
