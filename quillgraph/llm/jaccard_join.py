@@ -11,13 +11,14 @@ and more only those in the lowest ASKED of the hash space, which can keep a set
 Regions. Order all shingles by the number of open sets that have them. x and a linked y share one of
 their |x| / 5 + 1 and |y| / 5 + 1 rarest; who shares a shingle forms a region. At the first shingle
 that the two share, with i and j before it, |x & y| <= min(|x| - i, |y| - j) =: min(room), and a link needs
-9 |x & y| >= 4 (|x| + |y|). So a region has to join only pairs whose rooms allow this.
+9 |x & y| >= 4 (|x| + |y|). So a region has to join only pairs whose rooms allow this. A member is wide
+if it could fit one of its own size, 9 room >= 8 |x|; of a pair that fits one is wide.
 
 Rounds. Regions recur until none has members of two components. In the first round each region
 compares its pivot, the member that shares most with others, to the rest; what is linked has one
 label from then on, and a group of any size costs about one pair a member. Later a region of at most
-LEAF members compares its pairs of unlike labels. A larger one is split: k pivots (2, 4, 8, ...)
-measure all members; a member belongs to the Voronoi cell of the nearest pivot within 2 EPS, or to
+LEAF members compares its pairs of unlike labels that fit. A larger one is split: k wide pivots (2, 4,
+8, ...) measure all members; a member belongs to the Voronoi cell of the nearest pivot within 2 EPS, or to
 the far rest, and by the triangle inequality is a guest in every cell whose pivot p has d(p) <=
 min(3 EPS, d(nearest) + 2 EPS). Every link lies in some cell or in the rest, pairs of guests need not be
 compared, and the pivots are done. Where the cells would hold over 1.5 times the members, the region
@@ -45,8 +46,8 @@ from .messages import bits, by_shard, flags, large, pack, small, unpack
 BLOCK_BYTES, SHARD_KEYS, SHINGLE = 4 << 20, 2_000_000, 5
 #: Sets of under SMALL shingles are tried by all of them, others by those in the lowest ASKED of the hash space.
 SMALL, ASKED = 64, 0.375
-#: Members of a region that compares its pairs directly.
-LEAF = 64
+#: Members of a region that looks at its pairs directly, to measure those that fit.
+LEAF = 1024
 #: Comparisons with one set that meet in one place; a set with more is dealt to several.
 HUB = 4096
 #: Most rows of two numbers that are broadcast.
@@ -215,6 +216,7 @@ def _measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = checkpointed(pairs.select((F.when(F.col("q") == F.col("low"), F.col("high")).otherwise(F.col("low"))).alias("p"), "q"))
     hubs = checkpointed(pairs.groupBy("q").count().select("q", F.ceil(F.col("count") / HUB).alias("places")).where("places > 1"))
     hubs = _beside(hubs)
+    sets = sets.join(_beside(checkpointed(pairs.select(F.col("p").alias("id")).union(pairs.select("q")).distinct())), "id", "left_semi")
     x = sets.select(F.col("id").alias("p"), F.col("s").alias("x"))
     y = sets.select(F.col("id").alias("q"), F.col("s").alias("y")).join(hubs, "q", "left")
     y = y.select("q", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("places") - 1, F.lit(0).cast("long")))).alias("place"))
@@ -231,8 +233,9 @@ def _fits(n: str, room: str) -> Column:
 
 def _live(regions: DataFrame) -> DataFrame:
     """The members, with their number `m`, of regions with unlike labels; of regions with the same members one stays."""
-    least = regions.groupBy("region").agg(F.min("n").alias("least"))
-    regions = regions.join(least, "region").where("9 * room >= 4 * (n + least)").drop("least")  # whom no member could fit goes
+    regions = regions.withColumn("wide", F.expr("9 * room >= 8 * n"))
+    could = regions.where("wide").groupBy("region").agg(F.min("n").alias("least"), F.max(F.expr("9 * room - 4 * n")).alias("most"))
+    regions = regions.join(could, "region").where("wide or (9 * room >= 4 * (n + least) and 4 * n <= most)").drop("least", "most")
     marks = [F.expr(f"bit_xor(xxhash64({k}, id, guest))").alias(f"mark{k}") for k in (1, 2)]
     known = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), (F.min("label") == F.max("label")).alias("one"), F.min("guest").alias("guests"), *marks)
     known = known.where("not one and not guests").groupBy("mark1", "mark2", "m").agg(F.min("region").alias("region"))
@@ -266,7 +269,7 @@ def links(sets: DataFrame, members: DataFrame) -> DataFrame | None:
     while not live.isEmpty():
         pivot = F.max(F.struct("weight", "id", "n", "room", "label")).alias("top")
         big = live if k == 1 else live.where(F.col("m") > LEAF)
-        heads = big.groupBy("region", F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(k)).alias("at")).agg(pivot)
+        heads = big.where("wide").groupBy("region", F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(k)).alias("at")).agg(pivot)
         heads = checkpointed(heads.select("region", "at", F.col("top.id").alias("pivot"), F.col("top.n").alias("pn"), F.col("top.room").alias("proom"), F.col("top.label").alias("plabel")))
         stars = big.join(heads, "region").where("id <> pivot")
         if k == 1:
@@ -277,7 +280,7 @@ def links(sets: DataFrame, members: DataFrame) -> DataFrame | None:
             pairs = stars.where("10 * least(n, pn) >= 4 * greatest(n, pn)").select("id", "pivot").union(leaves.select("id", "pivot"))
         measured = _measured(sets, pairs)
         found.append(measured.where("common * 100 >= either * 80").select("p", "q"))
-        rest = big.join(heads.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti").drop("m") if k == 1 else _cells(big, heads, measured, k)
+        rest = big.join(heads.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti").drop("m", "wide") if k == 1 else _cells(big, heads, measured, k)
         live = _live(_relabelled(rest, live.select("id", "label").distinct(), found[-1]))
         k *= 2
     return reduce(DataFrame.union, found) if found else None
