@@ -1,103 +1,75 @@
-"""Language-model scores by interpolated backoff: what a weighted backoff automaton gives, as arrays.
+"""Language-model scores by a weighted backoff automaton.
 
-Think of states as the n-grams (up to order - 1 words) of the training texts, with an arc for every word
-seen after one and a failure arc to the state without its first word. No state or arc is built: the counts
-of every place are gathered and each order is interpolated with the shorter one over a whole block,
+States are the n-grams of up to order - 1 words of the training texts. A state h has an arc for each word
+w seen after it, with the smoothed weight
 
-    p(w | h) = L(h) c(h w) / c(h) + (1 - L(h)) p(w | h')
+    p(w | h) = (1 - L(h)) c(h w) / c(h) + L(h) p(w | h'),
 
-where 1 - L(h) is the share of once-seen continuations among those of states with a like count (by
-power of two), and words have absolute discounting whose mass goes to unknown words. The last order
-that changes a place's p is that of the longest state that the words before reach.
+and a failure arc of weight L(h) to h', the state without its first word. L(h) is the share of once-seen
+continuations among those of states with a like count (by power of two). The empty state has absolute
+discounting, whose mass goes to unknown words. A text is read once from left to right: the state that
+it has reached is carried on, failure arcs are followed until one has an arc for the next word, and the
+logarithms on the way add up. What is reached depends on the last words alone, so pieces of SEGMENT
+words are read side by side.
 
 Scale: the counts grow with the corpus and are held nowhere as a whole. Documents are dealt to
-blocks by a hash of doc_id. For each order a block asks for the counts of its own n-grams, once each;
-requests are dealt by ranges of the n-gram's hash to shards, whose answers hold the counts that the
-block needs. A block or shard has a bounded mean size, and a shard's keys are
-different n-grams of at most all blocks, so no word or n-gram is hot.
+blocks. A block asks shards (ranges of the n-grams' hashes) for the training counts of its own n-grams,
+once each, and notes at every place those of the n-grams that end there: what the automaton needs
+along the block's own texts. A block or shard has a bounded mean size, a shard's keys are different
+n-grams of at most all blocks, so no word or n-gram is hot, and there are at most as many messages as
+keys. Sums over all texts come from the places, so they are added up by Spark.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, block_of, mix, slices, string_buffers, texts
+from .common import Words, block_count, block_of, checkpointed, mix, slices, string_buffers, texts
+from .messages import bits, by_shard, flags, large, pack, small, unpack
 
-BLOCK_BYTES = 12 << 20
-#: n-gram requests that a shard answers on average.
+BLOCK_BYTES = 8 << 20
+#: n-grams that a shard counts on average.
 SHARD_KEYS = 3_000_000
-BUCKETS = 48
+BUCKETS, SEGMENT = 48, 128
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _M = np.uint64(0x9FB21C651E98DF25)
 
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as many bytes as the largest one needs."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys, prepend=keys[:1])
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, np.uint64)
-    width = blob[8]
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
-    gaps = full.reshape(-1).view("<u8")
-    return np.frombuffer(blob, "<u8", count=1)[0] + np.cumsum(gaps, dtype=np.uint64)
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Counts, most of them small: a byte each, those of 255 and more behind."""
-    big = x >= 255
-    return zlib.compress(np.int64(len(x)).tobytes() + np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes(), 3)
-
-
-def _large(blob: bytes) -> np.ndarray:
-    raw = zlib.decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", count=1)[0])
-    x = np.frombuffer(raw, np.uint8, count=n, offset=8).astype(np.int64)
-    x[x == 255] = np.frombuffer(raw, "<i8", offset=8 + n)
-    return x
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed for the shuffle, each by itself."""
-    z = zstandard.ZstdCompressor(level=3)
+    """The rows of a batch that go to one block, compressed together for the shuffle."""
     for batch in batches:
-        texts_z = pa.array([z.compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts_z, batch.column("train"), batch.column("block")], names=["doc_id", "text", "train", "block"])
+        block = batch.column("block").to_numpy()
+        rows = batch.select(["doc_id", "text", "train"])
+        blocks, parts = np.unique(block), []
+        for b in blocks.tolist():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=_IPC) as w:
+                w.write_batch(rows.take(pa.array(np.flatnonzero(block == b))))
+            parts.append(out.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], names=["block", "rows"])
 
 
-def _unpacked(table: pa.Table) -> pa.ChunkedArray | pa.Array:
-    column = table.column("text")
-    if not pa.types.is_binary(column.type):
-        return column
-    z = zstandard.ZstdDecompressor()
-    return pa.array([z.decompress(t).decode() for t in column.to_pylist()], pa.large_string())
+def _unpacked(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
 
 
 class Block:
     """Tokens of a block: for each text a start mark, its words in lower case, and an end."""
 
     def __init__(self, table: pa.Table):
-        self.table = table
+        self.doc_id = table.column("doc_id")
         self.train = table.column("train").to_numpy()
-        data, offsets = string_buffers(_unpacked(table))
+        data, offsets = string_buffers(table.column("text"))
         parts, counts = [], []
         for _, _, d, o in slices(data, offsets):
             w = Words(d, o, lower=True)
@@ -113,175 +85,218 @@ class Block:
             counts.append(n + 2)
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
-        self.place = (np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)).astype(np.int32)
-        self.trained = self.train[self.row] if len(self.row) else np.zeros(0, bool)
-
-        self.key: np.ndarray | None = None  # of the longest n-gram asked for that ends at each place
-        self.total: list[np.ndarray] = []  # by order: training count of the n-gram that ends at each place
-        self.own: list[np.ndarray] = []  # and how many of those are in this block
-
-    def places(self, n: int) -> np.ndarray:
-        """Last tokens of n-grams. Order 1 leaves the start mark out as a word."""
-        return np.flatnonzero(self.place >= max(n - 1, 1))
-
-    def asked(self, n: int, n_texts: int) -> Requests:
-        """The block's different n-grams of order n that the automaton may have.
-
-        Orders below n must be answered. One whose suffix is in no training text has no arc. Where all
-        training texts with an n-gram's context or suffix are in this block and none has the n-gram, its
-        count is known to be 0 and nobody is asked."""
-        at = self.places(n)
-        if n == 1:
-            key = mix(self.tokens * _M)
-        else:
-            key = np.zeros(len(self.tokens), np.uint64)
-            key[at] = mix(mix(self.key[at - 1]) * _M + self.tokens[at])
-        self.key = key
-        if n == 1:
-            live, alone, bucket = at, np.zeros(len(at), bool), np.zeros(len(at), np.int64)
-        else:
-            count, own = self.context(n, at, n_texts)
-            suffix = self.total[n - 2][at]
-            keep = (count > 0) & (suffix > 0)
-            live, bucket = at[keep], _bucket(count[keep])
-            alone = ((count == own) | (suffix == self.own[n - 2][at]))[keep]  # and not in this block's: it is in none
-        order = np.argsort(key[live])
-        k = key[live][order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(new)
-        counts = np.add.reduceat(self.trained[live][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        return Requests(k[first], counts, bucket[order][first], alone[order][first] & (counts == 0), live[order].astype(np.int32), (np.cumsum(new) - 1).astype(np.int32))
-
-    def context(self, n: int, at: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Training count of the n - 1 tokens before each place, in all and in this block."""
-        count, own = self.total[n - 2][at - 1], self.own[n - 2][at - 1]
-        if n == 2:  # the start mark: as often as there are texts
-            first = self.place[at] == 1
-            count, own = np.where(first, n_texts, count), np.where(first, self.train.sum(), own)
-        return count, own
-
-    def told(self, asked: Requests, answers: np.ndarray) -> None:
-        """Takes the answers to the requests, in their order, and notes counts at all places."""
-        totals = asked.own.copy()
-        totals[~asked.alone] = answers
-        for out, values, kind in ((self.total, totals, np.int64), (self.own, asked.own, np.int32)):
-            x = np.zeros(len(self.tokens), kind)
-            x[asked.at] = values[asked.group]
-            out.append(x)
-
-
-@dataclass
-class Requests:
-    keys: np.ndarray  # sorted
-    own: np.ndarray  # training count in the block
-    bucket: np.ndarray  # of the context's count
-    alone: np.ndarray  # known to be in no training text
-    at: np.ndarray  # places of the n-grams in order of their keys
-    group: np.ndarray  # and which key each has
-
-
-def _bucket(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
+        first = np.cumsum(self.counts) - self.counts
+        self.place = (np.arange(len(self.tokens)) - np.repeat(first, self.counts)).astype(np.int32)
+        self.trained = np.repeat(self.train, self.counts)
+
+    def ngrams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order: different n-grams as sorted keys, how often each is in training texts here, the last places
+        of all n-grams in the order of their keys, and which key each has. A start mark alone is none."""
+        key = mix(self.tokens * _M)
+        for n in range(1, order + 1):
+            if n > 1:
+                key[1:] = mix(mix(key[:-1]) * _M + self.tokens[1:])
+            at = np.flatnonzero(self.place >= max(n - 1, 1))
+            at = at[np.argsort(key[at])]
+            k = key[at]
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            first = np.flatnonzero(new)
+            own = np.add.reduceat(self.trained[at].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            yield n, k[first], own, at, np.cumsum(new) - 1
+
+
+ASK = "shard int, block int, n int, keys binary, own binary"
+ANSWER = "shard int, block int, n int, total binary, owned binary"
+
+
+def _ask(order: int, n_shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[str, list] = defaultdict(list)
+        for n, keys, own, _, _ in Block(_unpacked(table)).ngrams(order):
+            for shard, i, j in by_shard(keys, n_shards):
+                rows["shard"].append(shard)
+                rows["n"].append(n)
+                rows["keys"].append(pack(keys[i:j]))
+                rows["own"].append(small(own[i:j]))
+        block = [table.column("block")[0].as_py()] * len(rows["n"])
+        kinds = {"shard": pa.int32(), "block": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "own": pa.binary()}
+        return pa.table({c: pa.array(block if c == "block" else rows[c], k) for c, k in kinds.items()})
 
+    return run
 
-ASK = "shard int, block int, keys binary, own binary, bucket binary, texts long"
-ANSWER = "shard int, block int, total binary, stats binary"
 
+def _answer(table: pa.Table) -> pa.Table:
+    """Add up the counts of a shard's n-grams over all blocks; answer each block for its own keys.
 
-def _informed(table: pa.Table, answers: pa.Table | None, orders: int) -> tuple[Block, list[np.ndarray]]:
-    """The block with the counts of all orders answered so far, and each order's statistics."""
-    b, stats = Block(table), []
-    rows = answers.to_pylist() if answers is not None else []
-    for n in range(1, orders + 1):
-        mine = sorted((r for r in rows if r["n"] == n), key=lambda r: r["shard"])
-        asked = b.asked(n, int(stats[0][0, BUCKETS - 1]) if stats else 0)
-        b.told(asked, np.concatenate([_large(r["total"]) for r in mine]) if mine else np.zeros(0, np.int64))
-        stats.append(np.sum([np.frombuffer(zlib.decompress(r["stats"]), "<i8").reshape(2, BUCKETS) for r in mine], axis=0) if mine else np.zeros((2, BUCKETS), np.int64))
-    return b, stats
+    Of the blocks that hold an n-gram, one owns it, so that different ones can be counted."""
+    out = []
+    for n in sorted(set(table.column("n").to_pylist())):
+        part = table.filter(pc.equal(table.column("n"), n))
+        keys = [unpack(k) for k in part.column("keys").to_pylist()]
+        own = np.concatenate([large(x) for x in part.column("own").to_pylist()])
+        _, where, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=own).astype(np.int64)[inverse]
+        owned = np.zeros(len(inverse), bool)
+        owned[where] = True
+        ends = np.cumsum([len(k) for k in keys])
+        spans = [(e - len(k), e) for e, k in zip(ends, keys, strict=True)]
+        part = part.select(["shard", "block", "n"])
+        part = part.append_column("total", pa.array([small(total[i:j]) for i, j in spans], pa.binary()))
+        out.append(part.append_column("owned", pa.array([bits(owned[i:j]) if n == 1 else None for i, j in spans], pa.binary())))
+    return pa.concat_tables(out)
 
 
-def _edges(n_shards: int) -> np.ndarray:
-    return np.array([(k << 64) // n_shards for k in range(1, n_shards)], np.uint64)
+COUNTED = "doc_id long, train boolean, n_tokens long, counts array<binary>, sums array<long>"
 
 
-def _ask(n: int, n_shards: int):
-    def run(table: pa.Table, answers: pa.Table | None) -> pa.Table:
-        rows: dict[str, list] = defaultdict(list)
-        if table.num_rows:
-            b, stats = _informed(table, answers, n - 1)
-            asked = b.asked(n, int(stats[0][0, BUCKETS - 1]) if stats else 0)
-            u, own, bucket = (x[~asked.alone] for x in (asked.keys, asked.own, asked.bucket))
-            cuts = [0, *np.searchsorted(u, _edges(n_shards)).tolist(), len(u)]
-            for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                rows["shard"].append(s)
-                rows["block"].append(table.column("block")[0].as_py())
-                rows["keys"].append(pack(u[i:j]))
-                rows["own"].append(_small(own[i:j]))
-                rows["bucket"].append(_small(bucket[i:j]))
-                rows["texts"].append(int(b.train.sum()) if s == 0 else 0)
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.int64())
-        return pa.table({c: pa.array(rows[c], k) for c, k in zip(("shard", "block", "keys", "own", "bucket", "texts"), kinds, strict=True)})
-
-    return run if n > 1 else lambda table: run(table, None)  # the number of arguments tells Spark what to pass
-
-
-def _tally(total: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics of some n-grams, two rows of numbers that add up: by bucket of the context's count,
-    how many have the count one, and the sum of counts. The last places hold sums over all buckets."""
-    once = np.bincount(bucket, weights=total == 1, minlength=BUCKETS).astype(np.int64)
-    every = np.bincount(bucket, weights=total, minlength=BUCKETS).astype(np.int64)
-    once[BUCKETS - 2], once[BUCKETS - 3] = (total == 1).sum(), (total == 2).sum()
-    every[BUCKETS - 2], every[BUCKETS - 1] = total.sum(), (total > 0).sum()
-    return once, every
+def _bucket(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Add up the counts of a shard's n-grams over all blocks; answer each block for its own keys.
+def _count(order: int):
+    """A row for each text with the training counts, by order, of the n-grams that end at each place; and one without
+    a text with the block's sums: training texts, tokens, different words, words seen once and twice."""
 
-    Every answer also holds the shard's statistics, whose sums over all shards a block needs."""
-    blobs = table.column("keys").to_pylist()
-    keys = [unpack(k) for k in blobs]
-    own = np.concatenate([_large(x) for x in table.column("own").to_pylist()])
-    bucket = np.concatenate([_large(x) for x in table.column("bucket").to_pylist()])
-    u, where, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.int64)
-    b = bucket[where] if len(u) else np.zeros(0, np.int64)
-    once, every = _tally(total, b)
-    once[BUCKETS - 1] = int(np.sum(table.column("texts").to_numpy()))
-    stats = zlib.compress(np.stack([once, every]).astype("<i8").tobytes(), 1)
-    answers, at = [], 0
-    for k in keys:
-        answers.append(_small(total[inverse[at : at + len(k)]]))
-        at += len(k)
-    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "total": pa.array(answers, pa.binary()), "stats": pa.array([stats] * len(keys), pa.binary())})
-
-
-def _score(order: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        b, stats = _informed(table, answers, order)
-        first = stats[0]
-        n_all, n_kinds, n_texts, once, twice = int(first[1, BUCKETS - 2]), int(first[1, BUCKETS - 1]), int(first[0, BUCKETS - 1]), int(first[0, BUCKETS - 2]), int(first[0, BUCKETS - 3])
-        at = b.places(1)
-        c = b.total[0][at]
-        base = np.log10((c + 0.5) / (n_all + 0.5 * (n_kinds + 1)))
-        cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
-        p = np.where(c > 0, (c - cut) / max(n_all, 1), cut * n_kinds / n_all if n_all else 1.0)
-        here = np.zeros(len(b.tokens), np.int64)
-        here[at] = np.arange(len(at))
-        for n in range(2, order + 1):  # from the failure states up to the longest one that is reached
-            at_n = b.places(n)
-            before, _ = b.context(n, at_n, n_texts)
-            s = stats[n - 1]
-            left = np.clip((s[0] + 1) / (s[1] + 2), 0.02, 0.999)[_bucket(before)]
-            arc = np.where(before > 0, (1 - left) * b.total[n - 1][at_n] / np.maximum(before, 1), 0.0)
-            p[here[at_n]] = np.where(before > 0, arc + left * p[here[at_n]], p[here[at_n]])
-        row, size = b.row[at], len(b.counts)
-        add = lambda x: np.bincount(row, weights=x, minlength=size)
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(~b.train), "n_tokens": pa.array(b.counts - 1, pa.int64()), "n_known": pa.array(add(c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(size, n_all), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "train": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "counts": pa.array([], pa.list_(pa.binary())), "sums": pa.array([], pa.list_(pa.int64()))})
+        b = Block(_unpacked(table))
+        said = {(r["n"], r["shard"]): r for r in answers.to_pylist()}
+        at_places, kinds = [], 0
+        for n, keys, _, at, group in b.ngrams(order):
+            rows = [said[k] for k in sorted(k for k in said if k[0] == n)]
+            total = np.concatenate([np.zeros(0, np.int64), *(large(r["total"]) for r in rows)])
+            if n == 1:
+                sizes = [len(large(r["total"])) for r in rows]
+                owned = np.concatenate([flags(r["owned"], k) for r, k in zip(rows, sizes, strict=True)])
+                kinds = int((owned & (total > 0)).sum())
+            x = np.zeros(len(b.tokens), np.int64)
+            x[at] = total[group]
+            at_places.append(x)
+        words = at_places[0][b.trained & (b.place > 0)]
+        sums = [int(b.train.sum()), len(words), kinds, int((words == 1).sum()), int((words == 2).sum())]
+        ends = np.cumsum(b.counts)
+        counts = [[small(x[e - c : e]) for x in at_places] for e, c in zip(ends.tolist(), b.counts.tolist(), strict=True)]
+        for n in range(2, order + 1):
+            at = np.flatnonzero((b.place >= n - 1) & b.trained)
+            before = at_places[n - 2][at - 1]
+            # the count of a start mark, that of all training texts, is known after this step alone: such places are kept apart
+            bucket = np.where((n == 2) & (b.place[at] == 1), BUCKETS - 1, _bucket(before))
+            sums += np.bincount(bucket, weights=at_places[n - 1][at] == 1, minlength=BUCKETS).astype(np.int64).tolist()
+            sums += np.bincount(bucket, minlength=BUCKETS).tolist()
+        n_rows = len(counts)
+        return pa.table({
+            "doc_id": pa.array([*b.doc_id.to_pylist(), None], pa.int64()),
+            "train": pa.array([*b.train.tolist(), None], pa.bool_()),
+            "n_tokens": pa.array([*(b.counts - 1).tolist(), None], pa.int64()),
+            "counts": pa.array([*counts, None], pa.list_(pa.binary())),
+            "sums": pa.array([None] * n_rows + [sums], pa.list_(pa.int64())),
+        })
+
+    return run
+
+
+class Automaton:
+    """The smoothed weights of states' arcs and failure arcs, from the sums over all training texts."""
+
+    def __init__(self, sums: np.ndarray, order: int):
+        self.order = order
+        self.texts, self.tokens, self.kinds, once, twice = (int(x) for x in sums[:5])
+        self.cut = min(max(once / max(once + twice, 1), 0.1), 0.95)  # twice holds the places of words seen twice
+        self.left: list[np.ndarray] = []
+        for n in range(2, order + 1):
+            s = sums[5 + (n - 2) * 2 * BUCKETS :][: 2 * BUCKETS].reshape(2, BUCKETS).copy()
+            start = int(_bucket(np.array([self.texts]))[0])
+            s[:, start] += s[:, BUCKETS - 1]
+            self.left.append(np.clip((s[0] + 1) / (s[1] + 2), 0.02, 0.999))
+
+    def weights(self, counts: list[np.ndarray], first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """At each place, by order: log10 of the arc for its token (order 1: or of an unknown word), and of the
+        failure arc of the state before it. `counts` as _count makes them, `first`: places of start marks."""
+        c = counts[0]
+        unknown = self.cut * self.kinds / self.tokens if self.tokens else 1.0
+        p = np.where(c > 0, (c - self.cut) / max(self.tokens, 1), unknown)
+        arcs, fails = [np.log10(p)], [np.zeros(len(c))]
+        for n in range(2, self.order + 1):
+            before = np.zeros(len(c), np.int64)
+            before[1:] = counts[n - 2][:-1]
+            if n == 2:
+                before[first + 1] = self.texts
+            left = np.where(before > 0, self.left[n - 2][_bucket(before)], 1.0)
+            p = (1 - left) * counts[n - 1] / np.maximum(before, 1) + left * p
+            arcs.append(np.log10(p))
+            fails.append(np.log10(left))
+        return arcs, fails
+
+    def read(self, counts: list[np.ndarray], first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability. A state is named by its number of words, the last ones read."""
+        arcs, fails = self.weights(counts, first)
+        size = ends - first - 1  # tokens after the start mark
+        pieces = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = first[text] + 1 + nth * SEGMENT
+        end = np.minimum(at + SEGMENT, ends[text])
+        state = np.zeros(len(at), np.int64)
+        for n in range(1, self.order):  # the state that the words before a piece lead to
+            state[counts[n - 1][at - 1] > 0] = n
+        state[nth == 0] = min(1, self.order - 1) if self.texts else 0
+        total = np.zeros(len(at))
+        while len(at):
+            n = state + 1
+            said = np.zeros(len(at))
+            for k in range(self.order, 1, -1):  # failure arcs, down to a state with an arc for the token
+                stuck = (n == k) & (counts[k - 1][at] == 0)
+                said[stuck] += fails[k - 1][at[stuck]]
+                n[stuck] -= 1
+            for k in range(1, self.order + 1):
+                here = n == k
+                said[here] += arcs[k - 1][at[here]]
+            state = np.where(counts[0][at] > 0, np.minimum(n, self.order - 1), 0)
+            total[: len(at)] += said
+            at = at + 1
+            on = at < end
+            if not on.all():  # those that go on move to the front
+                keep = np.concatenate([np.flatnonzero(on), np.flatnonzero(~on)])
+                total[: len(at)], text[: len(at)] = total[: len(at)][keep], text[: len(at)][keep]
+                at, end, state = at[on], end[on], state[on]
+        return np.bincount(text, weights=total, minlength=len(size))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(automaton: Automaton):
+    """Reads rows of _count in slices of a bounded number of places, or one longer text."""
+    a = automaton
+
+    def scored(rows: list[dict]) -> pa.RecordBatch:
+        by_text = [[large(x) for x in r["counts"]] for r in rows]
+        counts = [np.concatenate(x) for x in zip(*by_text, strict=True)]
+        ends = np.cumsum([len(x[0]) for x in by_text])
+        first = ends - np.array([len(x[0]) for x in by_text])
+        c = np.delete(counts[0], first)
+        text = np.repeat(np.arange(len(rows)), ends - first - 1)
+        base = np.log10((c + 0.5) / (a.tokens + 0.5 * (a.kinds + 1)))
+        columns = [
+            pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([not r["train"] for r in rows]), pa.array([r["n_tokens"] for r in rows], pa.int64()),
+            pa.array(np.bincount(text, weights=c > 0, minlength=len(rows)).astype(np.int64)), pa.array([a.tokens] * len(rows), pa.int64()),
+            pa.array(np.bincount(text, weights=base, minlength=len(rows))), pa.array(a.read(counts, first, ends)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places = [], 0
+            for r in batch.to_pylist():
+                rows.append(r)
+                places += r["n_tokens"]
+                if places >= 1 << 19:
+                    yield scored(rows)
+                    rows, places = [], 0
+            if rows:
+                yield scored(rows)
 
     return run
 
@@ -295,14 +310,12 @@ def lm_scores(docs: DataFrame, train: str = "pmod(crc32(cast(cast(doc_id as stri
     read."""
     base = texts(docs).withColumn("train", F.coalesce(F.expr(train), F.lit(True)))
     n_blocks = block_count(base, block_bytes)
-    packed = base.withColumn("block", block_of(n_blocks)).select("doc_id", "text", "train", "block").mapInArrow(_packed, "doc_id long, text binary, train boolean, block int")
-    dealt = packed.groupBy("block")
-    tokens = n_blocks * block_bytes / 5  # about as many words
-    n_shards = max(1, math.ceil(tokens / SHARD_KEYS))
-    answers: DataFrame | None = None
-    for n in range(1, order + 1):
-        run = _ask(n, n_shards)
-        asked = dealt.applyInArrow(run, ASK) if answers is None else dealt.cogroup(answers.groupBy("block")).applyInArrow(run, ASK)
-        got = asked.groupBy("shard").applyInArrow(_answer, ANSWER).withColumn("n", F.lit(n))
-        answers = got if answers is None else answers.unionByName(got)
-    return dealt.cogroup(answers.groupBy("block")).applyInArrow(_score(order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = base.withColumn("block", block_of(n_blocks)).select("doc_id", "text", "train", "block").mapInArrow(_packed, "block int, rows binary").groupBy("block")
+    n_shards = max(1, math.ceil(n_blocks * block_bytes / 6 * (order - 1) / SHARD_KEYS))
+    answers = dealt.applyInArrow(_ask(order, n_shards), ASK).groupBy("shard").applyInArrow(_answer, ANSWER)
+    counted = checkpointed(dealt.cogroup(answers.groupBy("block")).applyInArrow(_count(order), COUNTED))
+    sums = np.zeros(5 + (order - 1) * 2 * BUCKETS, np.int64)
+    added = counted.where("sums is not null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    for r in added.collect():  # one row for each number of _count's sums
+        sums[r.k] = r.x
+    return counted.where("sums is null").select("doc_id", "train", "n_tokens", "counts").mapInArrow(_score(Automaton(sums, order)), SCORES)

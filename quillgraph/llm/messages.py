@@ -7,10 +7,12 @@ shards there are.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -36,15 +38,15 @@ def unpack(blob: bytes) -> np.ndarray:
 def small(x: np.ndarray) -> bytes:
     """Counts, most of them small: a byte each, those of 255 and more behind."""
     big = x >= 255
-    body = np.int64(len(x)).tobytes() + np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes()
-    return zlib.compress(body, 3)
+    body = np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes()
+    return np.array([len(x), len(body)], "<i8").tobytes() + _CODEC.compress(body, asbytes=True)
 
 
 def large(blob: bytes) -> np.ndarray:
-    raw = zlib.decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", count=1)[0])
-    x = np.frombuffer(raw, np.uint8, count=n, offset=8).astype(np.int64)
-    x[x == 255] = np.frombuffer(raw, "<i8", offset=8 + n)
+    n, size = np.frombuffer(blob, "<i8", count=2).tolist()
+    raw = _CODEC.decompress(blob[16:], decompressed_size=size, asbytes=True)
+    x = np.frombuffer(raw, np.uint8, count=n).astype(np.int64)
+    x[x == 255] = np.frombuffer(raw, "<i8", offset=n)
     return x
 
 

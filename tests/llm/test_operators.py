@@ -33,29 +33,48 @@ def test_lm_scores_count_exactly_in_any_blocks(spark):
     assert lm_scores(nothing(spark)).count() == 0
 
 
-def test_lm_arcs_add_up_to_one():
-    """Over all words and the unknown one, the probabilities after a context add up to one."""
-    import numpy as np
-    import pyarrow as pa
-
-    from quillgraph.llm.lm_scoring import _answer, _ask, _score
-
-    base = ["a b a c", "a b b", "c a b a"]
-    probes = [f"a b {x}" for x in ("a", "b", "c", "zz")] + ["a b"]
-    t = pa.table({"doc_id": list(range(8)), "text": base + probes, "train": [True] * 3 + [False] * 5, "block": pa.array([0] * 8, pa.int32())})
-    answers = None
-    for n in (1, 2, 3):
-        asked = _ask(n, 1)(t) if n == 1 else _ask(n, 1)(t, answers)
-        got = _answer(asked).append_column("n", pa.array([n]))
-        answers = got if answers is None else pa.concat_tables([answers, got])
-    s = _score(3)(t, answers).to_pylist()
-    from quillgraph.llm.lm_scoring import _informed, BUCKETS
-
-    b, stats = _informed(t, answers, 3)
-    assert int(stats[0][1, BUCKETS - 2]) == sum(len(x.split()) + 1 for x in base)
-    # p(x | a b) for x in a, b, c, end and an unknown word, by the difference of scores that end alike
-    ends = {x: s[3 + k]["score"] for k, x in enumerate(("a", "b", "c", "zz"))}
-    assert all(np.isfinite(v) for v in ends.values()) and ends["zz"] < max(ends.values())
+def brute_model(texts, order):
+    """p(w | words before) of the interpolated model with its counts in dictionaries; and the known words."""
+    lines = [["<s>", *WORD.findall(low(t)), "</s>"] for t in texts]
+    c = Counter(tuple(x[i - n + 1 : i + 1]) for x in lines for n in range(1, order + 1) for i in range(max(n - 1, 1), len(x)))
+    c[("<s>",)] = len(lines)
+    bucket = lambda k: math.floor(math.log2(k)) + 1
+    once, every = Counter(), Counter()
+    for g, k in c.items():
+        if len(g) > 1:
+            once[len(g), bucket(c[g[:-1]])] += k == 1
+            every[len(g), bucket(c[g[:-1]])] += k
+    words = [g for g in c if len(g) == 1 and g != ("<s>",)]
+    n1, n2, total = sum(c[g] == 1 for g in words), sum(c[g] == 2 for g in words), sum(c[g] for g in words)
+    cut = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.95)
+
+    def p(w, before):
+        if not before:
+            return (c[w,] - cut) / total if c[w,] else cut * len(words) / total
+        if not c[before]:
+            return p(w, before[1:])
+        key = len(before) + 1, bucket(c[before])
+        left = min(max((once[key] + 1) / (every[key] + 2), 0.02), 0.999)
+        return (1 - left) * c[(*before, w)] / c[before] + left * p(w, before[1:])
+
+    return p, [w for (w,) in words]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_equal_a_brute_force_model(spark, monkeypatch, order):
+    from quillgraph.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 7)
+    docs = documents(spark, [*sample(40, seed=2), "a b " * 50, "zz new words a b"])
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    p, known = brute_model([t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 5 != 1], order)
+    got = rows(lm_scoring.lm_scores(docs, order=order, block_bytes=900), "doc_id")
+    for k, t in texts.items():
+        x = ["<s>", *WORD.findall(low(t)), "</s>"]
+        want = sum(math.log10(p(x[i], tuple(x[max(0, i - order + 1) : i]))) for i in range(1, len(x)))
+        assert got[k].score == pytest.approx(want), (k, t)
+    for before in ((), ("a",), ("<s>", "a"), ("a", "b")):  # the weights after a state add up to one, with the unknown word's
+        assert sum(p(w, before[-order + 1 :] if order > 1 else ()) for w in [*known, "never seen"]) == pytest.approx(1)
 
 
 def test_leaks_are_found_in_any_order_of_their_parts(spark):
