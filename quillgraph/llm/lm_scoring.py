@@ -32,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, block_of, checkpointed, mix, slices, string_buffers, texts
+from .common import Words, block_count, block_of, mix, slices, string_buffers, texts
 from .messages import bits, by_shard, flags, large, pack, small, unpack
 
 BLOCK_BYTES = 8 << 20
 #: n-grams that a shard counts on average.
 SHARD_KEYS = 3_000_000
 BUCKETS, SEGMENT = 48, 128
+#: Bits of an n-gram's key beyond those that number all n-grams: one in a million shares its key with another.
+SPARE_BITS = 20
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _M = np.uint64(0x9FB21C651E98DF25)
 
@@ -89,16 +91,19 @@ class Block:
         self.place = (np.arange(len(self.tokens)) - np.repeat(first, self.counts)).astype(np.int32)
         self.trained = np.repeat(self.train, self.counts)
 
-    def ngrams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def ngrams(self, order: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each order: different n-grams as sorted keys, how often each is in training texts here, the last places
-        of all n-grams in the order of their keys, and which key each has. A start mark alone is none."""
-        key = mix(self.tokens * _M)
+        of all n-grams in the order of their keys, and which key each has. A start mark alone is none.
+
+        Keys of one word have 64 bits, others `width`, the rest of their bits being 0."""
+        key, left = mix(self.tokens * _M), np.uint64(64 - width)
         for n in range(1, order + 1):
             if n > 1:
                 key[1:] = mix(mix(key[:-1]) * _M + self.tokens[1:])
             at = np.flatnonzero(self.place >= max(n - 1, 1))
-            at = at[np.argsort(key[at])]
-            k = key[at]
+            k = key[at] if n == 1 else key[at] >> left << left
+            way = np.argsort(k)
+            at, k = at[way], k[way]
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
             first = np.flatnonzero(new)
@@ -107,13 +112,13 @@ class Block:
 
 
 ASK = "shard int, block int, n int, keys binary, own binary"
-ANSWER = "shard int, block int, n int, total binary, owned binary"
+ANSWER = "shard int, block int, n int, total binary, owned binary, sums array<long>"
 
 
-def _ask(order: int, n_shards: int):
+def _ask(order: int, width: int, n_shards: int):
     def run(table: pa.Table) -> pa.Table:
         rows: dict[str, list] = defaultdict(list)
-        for n, keys, own, _, _ in Block(_unpacked(table)).ngrams(order):
+        for n, keys, own, _, _ in Block(_unpacked(table)).ngrams(order, width):
             for shard, i, j in by_shard(keys, n_shards):
                 rows["shard"].append(shard)
                 rows["n"].append(n)
@@ -143,56 +148,50 @@ def _answer(table: pa.Table) -> pa.Table:
         spans = [(e - len(k), e) for e, k in zip(ends, keys, strict=True)]
         part = part.select(["shard", "block", "n"])
         part = part.append_column("total", pa.array([small(total[i:j]) for i, j in spans], pa.binary()))
-        out.append(part.append_column("owned", pa.array([bits(owned[i:j]) if n == 1 else None for i, j in spans], pa.binary())))
+        part = part.append_column("owned", pa.array([bits(owned[i:j]) if n == 1 else None for i, j in spans], pa.binary()))
+        out.append(part.append_column("sums", pa.nulls(len(spans), pa.list_(pa.int64()))))
     return pa.concat_tables(out)
 
 
-COUNTED = "doc_id long, train boolean, n_tokens long, counts array<binary>, sums array<long>"
-
-
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
 
 
-def _count(order: int):
-    """A row for each text with the training counts, by order, of the n-grams that end at each place; and one without
-    a text with the block's sums: training texts, tokens, different words, words seen once and twice."""
+def _told(b: Block, answers: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], int]:
+    """By order: the training counts of the n-grams that end at each place; and how many different training words
+    the block owns."""
+    rows = sorted(answers.select(["n", "shard", "total", "owned"]).to_pylist(), key=lambda r: (r["n"], r["shard"]))
+    out, kinds = [], 0
+    for n, _, _, at, group in b.ngrams(order, width):
+        parts = [large(r["total"]) for r in rows if r["n"] == n]
+        total = np.concatenate([np.zeros(0, np.int64), *parts])
+        if n == 1:
+            owned = [flags(r["owned"], len(x)) for r, x in zip(rows, parts, strict=False)]  # order 1 comes first
+            kinds = int((np.concatenate([np.zeros(0, bool), *owned]) & (total > 0)).sum())
+        x = np.zeros(len(b.tokens), np.int64)
+        x[at] = total[group]
+        out.append(x)
+    return out, kinds
+
+
+def _sums(order: int, width: int):
+    """What a block adds to the sums over all: training texts, tokens, different words, places of words seen once and
+    of those seen twice; then for each order from 2, by bucket of the context's count, places of n-grams seen once
+    and all. Places behind a start mark, whose count is known only after this step, have a bucket of their own."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "train": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "counts": pa.array([], pa.list_(pa.binary())), "sums": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"sums": pa.array([], pa.list_(pa.int64()))})
         b = Block(_unpacked(table))
-        said = {(r["n"], r["shard"]): r for r in answers.to_pylist()}
-        at_places, kinds = [], 0
-        for n, keys, _, at, group in b.ngrams(order):
-            rows = [said[k] for k in sorted(k for k in said if k[0] == n)]
-            total = np.concatenate([np.zeros(0, np.int64), *(large(r["total"]) for r in rows)])
-            if n == 1:
-                sizes = [len(large(r["total"])) for r in rows]
-                owned = np.concatenate([flags(r["owned"], k) for r, k in zip(rows, sizes, strict=True)])
-                kinds = int((owned & (total > 0)).sum())
-            x = np.zeros(len(b.tokens), np.int64)
-            x[at] = total[group]
-            at_places.append(x)
-        words = at_places[0][b.trained & (b.place > 0)]
+        counts, kinds = _told(b, answers, order, width)
+        words = counts[0][b.trained & (b.place > 0)]
         sums = [int(b.train.sum()), len(words), kinds, int((words == 1).sum()), int((words == 2).sum())]
-        ends = np.cumsum(b.counts)
-        counts = [[small(x[e - c : e]) for x in at_places] for e, c in zip(ends.tolist(), b.counts.tolist(), strict=True)]
         for n in range(2, order + 1):
             at = np.flatnonzero((b.place >= n - 1) & b.trained)
-            before = at_places[n - 2][at - 1]
-            # the count of a start mark, that of all training texts, is known after this step alone: such places are kept apart
-            bucket = np.where((n == 2) & (b.place[at] == 1), BUCKETS - 1, _bucket(before))
-            sums += np.bincount(bucket, weights=at_places[n - 1][at] == 1, minlength=BUCKETS).astype(np.int64).tolist()
+            bucket = np.where((n == 2) & (b.place[at] == 1), BUCKETS - 1, _bucket(counts[n - 2][at - 1]))
+            sums += np.bincount(bucket, weights=counts[n - 1][at] == 1, minlength=BUCKETS).astype(np.int64).tolist()
             sums += np.bincount(bucket, minlength=BUCKETS).tolist()
-        n_rows = len(counts)
-        return pa.table({
-            "doc_id": pa.array([*b.doc_id.to_pylist(), None], pa.int64()),
-            "train": pa.array([*b.train.tolist(), None], pa.bool_()),
-            "n_tokens": pa.array([*(b.counts - 1).tolist(), None], pa.int64()),
-            "counts": pa.array([*counts, None], pa.list_(pa.binary())),
-            "sums": pa.array([None] * n_rows + [sums], pa.list_(pa.int64())),
-        })
+        return pa.table({"sums": pa.array([sums], pa.list_(pa.int64()))})
 
     return run
 
@@ -213,7 +212,7 @@ class Automaton:
 
     def weights(self, counts: list[np.ndarray], first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """At each place, by order: log10 of the arc for its token (order 1: or of an unknown word), and of the
-        failure arc of the state before it. `counts` as _count makes them, `first`: places of start marks."""
+        failure arc of the state before it. `counts`: as _told gives them, `first`: places of start marks."""
         c = counts[0]
         unknown = self.cut * self.kinds / self.tokens if self.tokens else 1.0
         p = np.where(c > 0, (c - self.cut) / max(self.tokens, 1), unknown)
@@ -267,36 +266,33 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(automaton: Automaton):
-    """Reads rows of _count in slices of a bounded number of places, or one longer text."""
-    a = automaton
-
-    def scored(rows: list[dict]) -> pa.RecordBatch:
-        by_text = [[large(x) for x in r["counts"]] for r in rows]
-        counts = [np.concatenate(x) for x in zip(*by_text, strict=True)]
-        ends = np.cumsum([len(x[0]) for x in by_text])
-        first = ends - np.array([len(x[0]) for x in by_text])
-        c = np.delete(counts[0], first)
-        text = np.repeat(np.arange(len(rows)), ends - first - 1)
-        base = np.log10((c + 0.5) / (a.tokens + 0.5 * (a.kinds + 1)))
-        columns = [
-            pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([not r["train"] for r in rows]), pa.array([r["n_tokens"] for r in rows], pa.int64()),
-            pa.array(np.bincount(text, weights=c > 0, minlength=len(rows)).astype(np.int64)), pa.array([a.tokens] * len(rows), pa.int64()),
-            pa.array(np.bincount(text, weights=base, minlength=len(rows))), pa.array(a.read(counts, first, ends)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORES.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, places = [], 0
-            for r in batch.to_pylist():
-                rows.append(r)
-                places += r["n_tokens"]
-                if places >= 1 << 19:
-                    yield scored(rows)
-                    rows, places = [], 0
-            if rows:
-                yield scored(rows)
+def _score(order: int, width: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in SCORES.split(", ")]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not table.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        n = answers.column("n").to_pylist()
+        a = Automaton(np.array(answers.column("sums")[n.index(0)].as_py(), np.int64), order)
+        b = Block(_unpacked(table))
+        counts, _ = _told(b, answers.filter(pc.greater(answers.column("n"), 0)), order, width)
+        ends = np.cumsum(b.counts)
+        known, base, score = [], [], []
+        i = 0
+        while i < len(ends):  # texts of a bounded number of places, or one longer text
+            begin = ends[i] - b.counts[i]
+            j = max(i + 1, int(np.searchsorted(ends, begin + (1 << 18), side="right")))
+            part = [x[begin : ends[j - 1]] for x in counts]
+            last = ends[i:j] - begin
+            first = last - b.counts[i:j]
+            c = np.delete(part[0], first)
+            text = np.repeat(np.arange(j - i), b.counts[i:j] - 1)
+            known.append(np.bincount(text, weights=c > 0, minlength=j - i).astype(np.int64))
+            base.append(np.bincount(text, weights=np.log10((c + 0.5) / (a.tokens + 0.5 * (a.kinds + 1))), minlength=j - i))
+            score.append(a.read(part, first, last))
+            i = j
+        columns = [b.doc_id, ~b.train, b.counts - 1, np.concatenate(known), np.full(len(ends), a.tokens), np.concatenate(base), np.concatenate(score)]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -310,12 +306,14 @@ def lm_scores(docs: DataFrame, train: str = "pmod(crc32(cast(cast(doc_id as stri
     read."""
     base = texts(docs).withColumn("train", F.coalesce(F.expr(train), F.lit(True)))
     n_blocks = block_count(base, block_bytes)
-    dealt = base.withColumn("block", block_of(n_blocks)).select("doc_id", "text", "train", "block").mapInArrow(_packed, "block int, rows binary").groupBy("block")
-    n_shards = max(1, math.ceil(n_blocks * block_bytes / 6 * (order - 1) / SHARD_KEYS))
-    answers = dealt.applyInArrow(_ask(order, n_shards), ASK).groupBy("shard").applyInArrow(_answer, ANSWER)
-    counted = checkpointed(dealt.cogroup(answers.groupBy("block")).applyInArrow(_count(order), COUNTED))
-    sums = np.zeros(5 + (order - 1) * 2 * BUCKETS, np.int64)
-    added = counted.where("sums is not null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    for r in added.collect():  # one row for each number of _count's sums
-        sums[r.k] = r.x
-    return counted.where("sums is null").select("doc_id", "train", "n_tokens", "counts").mapInArrow(_score(Automaton(sums, order)), SCORES)
+    packed = base.withColumn("block", block_of(n_blocks)).select("doc_id", "text", "train", "block").mapInArrow(_packed, "block int, rows binary")
+    dealt, words = packed.groupBy("block"), n_blocks * block_bytes / 6
+    width = min(64, math.ceil(math.log2(words * order)) + SPARE_BITS)
+    asked = dealt.applyInArrow(_ask(order, width, max(1, math.ceil(words * (order - 1) / SHARD_KEYS))), ASK)
+    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
+    added = dealt.cogroup(answers.groupBy("block")).applyInArrow(_sums(order, width), "sums array<long>")
+    added = added.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    one = added.agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("all")).select(F.col("all.x").alias("sums"), F.lit(0).alias("n"))  # of a fixed number of rows
+    for_all = docs.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).alias("n")).join(F.broadcast(one), "n")
+    told = answers.unionByName(for_all, allowMissingColumns=True)
+    return dealt.cogroup(told.groupBy("block")).applyInArrow(_score(order, width), SCORES)

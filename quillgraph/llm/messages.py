@@ -16,23 +16,26 @@ _CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as many bytes as the largest one needs."""
+    """Sorted keys as differences of as many bytes as the largest one needs, without bits that are 0 in all."""
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=keys[:1])
+    every = int(np.bitwise_or.reduce(keys))
+    unused = (every & -every).bit_length() - 1 if every else 0
+    gaps = np.diff(keys, prepend=keys[:1]) >> np.uint64(unused)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
     body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(body).tobytes()
+    return keys[:1].tobytes() + bytes([unused, width]) + np.ascontiguousarray(body).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width = blob[8]
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    unused, width = blob[8], blob[9]
+    raw = np.frombuffer(blob, np.uint8, offset=10).reshape(-1, width)
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, :width] = raw
-    return np.frombuffer(blob, "<u8", count=1)[0] + np.cumsum(full.reshape(-1).view("<u8"), dtype=np.uint64)
+    gaps = np.cumsum(full.reshape(-1).view("<u8"), dtype=np.uint64)
+    return np.frombuffer(blob, "<u8", count=1)[0] + (gaps << np.uint64(unused))
 
 
 def small(x: np.ndarray) -> bytes:
