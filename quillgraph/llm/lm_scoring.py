@@ -41,6 +41,8 @@ SHARD_KEYS = 3_000_000
 BUCKETS, SEGMENT = 48, 128
 #: Bits of an n-gram's key beyond those that number all n-grams: one in a million shares its key with another.
 SPARE_BITS = 20
+#: Blocks that are handed the sums over all texts by one task.
+RUN = 1024
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _M = np.uint64(0x9FB21C651E98DF25)
 
@@ -313,7 +315,8 @@ def lm_scores(docs: DataFrame, train: str = "pmod(crc32(cast(cast(doc_id as stri
     answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
     added = dealt.cogroup(answers.groupBy("block")).applyInArrow(_sums(order, width), "sums array<long>")
     added = added.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    one = added.agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("all")).select(F.col("all.x").alias("sums"), F.lit(0).alias("n"))  # of a fixed number of rows
-    for_all = docs.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).alias("n")).join(F.broadcast(one), "n")
+    one = added.agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("all"))  # of a fixed number of rows
+    runs = one.select(F.col("all.x").alias("sums"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks // RUN))).alias("run")).repartition("run")
+    for_all = runs.select("sums", F.lit(0).alias("n"), F.explode(F.expr(f"sequence(run * {RUN}, run * {RUN} + {RUN - 1})")).alias("block")).where(F.col("block") < n_blocks)
     told = answers.unionByName(for_all, allowMissingColumns=True)
     return dealt.cogroup(told.groupBy("block")).applyInArrow(_score(order, width), SCORES)
