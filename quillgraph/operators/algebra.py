@@ -99,13 +99,34 @@ def evaluate(node: Any, store: Store) -> DataFrame:
     return _Run(store).frame(node)
 
 
+def bindings(node: Any) -> tuple[frozenset[str], frozenset[str]]:
+    """The variables that a node binds in every row, and those that it may leave unbound."""
+    if isinstance(node, Group):
+        return frozenset(v for q in node.parts for v in q.variables()), frozenset()
+    if isinstance(node, (Join, LeftJoin, Union)):
+        (a, maybe_a), (b, maybe_b) = bindings(node.left), bindings(node.right)
+        sure = a & b if isinstance(node, Union) else a if isinstance(node, LeftJoin) else a | b
+        return sure, (a | b | maybe_a | maybe_b) - sure
+    if isinstance(node, Extend):
+        sure, maybe = bindings(node.of)
+        return sure, maybe | {node.name}
+    sure, maybe = bindings(node.of)
+    if isinstance(node, Select):
+        return sure & set(node.names), frozenset(node.names) - sure
+    return sure, maybe
+
+
 class _Run:
     def __init__(self, store: Store):
         self.store, self.fresh = store, count()
+        self.unbound: frozenset[str] = frozenset()  # in the rows that a test or value is made for
 
     def frame(self, node: Any) -> DataFrame:
         return getattr(self, f"_{type(node).__name__.lower()}")(node)
 
+    def together(self, left: Any, right: Any, how: str = "inner") -> DataFrame:
+        return joined(self.frame(left), self.frame(right), how, bindings(left)[1] | bindings(right)[1])
+
     def _group(self, g: Group) -> DataFrame:
         plain = [q for q in g.parts if isinstance(q, Pattern)]
         frames = [self.store.bgp(plain)] if plain else []
@@ -129,26 +150,26 @@ class _Run:
         return out.select(*[c for c in out.columns if not c.startswith(("_path", "_end"))])
 
     def _join(self, n: Join) -> DataFrame:
-        return joined(self.frame(n.left), self.frame(n.right))
+        return self.together(n.left, n.right)
 
     def _leftjoin(self, n: LeftJoin) -> DataFrame:
-        return joined(self.frame(n.left), self.frame(n.right), "left")
+        return self.together(n.left, n.right, "left")
 
     def _union(self, n: Union) -> DataFrame:
         return self.frame(n.left).unionByName(self.frame(n.right), allowMissingColumns=True)
 
     def _minus(self, n: Minus) -> DataFrame:
-        return joined(self.frame(n.of), self.frame(n.group), "left_semi" if n.wanted else "left_anti")
+        return self.together(n.of, n.group, "left_semi" if n.wanted else "left_anti")
 
     def _filter(self, n: Filter) -> DataFrame:
         df = self.frame(n.of)
-        columns = df.columns
+        columns, self.unbound = df.columns, bindings(n.of)[1]
         df, test = self.test(df, n.test)
         return df.where(test).select(*columns)
 
     def _extend(self, n: Extend) -> DataFrame:
         df = self.frame(n.of)
-        columns = df.columns
+        columns, self.unbound = df.columns, bindings(n.of)[1]
         df, value = self.value(df, n.value)
         return df.select(*columns, value.alias(n.name))
 
@@ -186,10 +207,18 @@ class _Run:
             prefix = f"(?{flags[1:-1]})" if flags != '""' else ""
             return df, T.lexical(text).rlike(prefix + pattern[1:-1].replace('\\"', '"').replace("\\\\", "\\"))
         if op in ("exists", "not exists"):
+            here = self.unbound
             found = self.frame(e.args[0])
+            self.unbound = here
             shared = [c for c in df.columns if c in found.columns]
+            loose = (here | bindings(e.args[0])[1]) & set(shared)
             mark = f"_found{next(self.fresh)}"
-            df = df.join(found.select(*shared).distinct().withColumn(mark, F.lit(True)), shared, "left")
+            if loose or not shared:
+                some = found.select(*shared).distinct() if shared else found.limit(1)
+                hits, misses = (joined(df, some, how, loose).withColumn(mark, F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
+                df = hits.unionByName(misses)
+            else:
+                df = df.join(found.select(*shared).distinct().withColumn(mark, F.lit(True)), shared, "left")
             hit = F.coalesce(F.col(mark), F.lit(False))
             return df, hit if op == "exists" else ~hit
         df, v = self.value(df, e)

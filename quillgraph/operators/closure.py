@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +14,18 @@ MOST_ROUNDS = 48
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared folder; a folder of our own only where none is set."""
+    """Cut lineage by a table written to the folder that spark.checkpoint.dir names; its true size plans later joins.
+
+    A session that names none gets a folder of its own only in local mode, where all executors see it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "/tmp/quillgraph-checkpoints")
-    return df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-checkpoints-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def transitive(edges: DataFrame, source: str = "src", target: str = "dst", within: str | None = None) -> DataFrame:
@@ -31,6 +42,6 @@ def transitive(edges: DataFrame, source: str = "src", target: str = "dst", withi
         new = checkpointed(longer.union(before).distinct().join(reach, [*keys, source, target], "left_anti"))
         if new.isEmpty():
             return reach
-        reach = checkpointed(reach.union(new))
+        reach = reach.union(new)  # a table a round; their number is the logarithm of the longest path
         fresh = new
     raise RuntimeError(f"no fixpoint in {MOST_ROUNDS} rounds")

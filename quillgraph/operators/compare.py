@@ -163,11 +163,43 @@ def content_recall(wanted: DataFrame, texts: DataFrame, shortest: int = 1) -> Da
     return wanted.select("id").distinct().join(hits, "id", "left").fillna(False, ["found"])
 
 
+#: Which links are recalled: kind, property, prefix of the subject's and of the object's name (fixed values).
+RELATIONS = (("agent_tool", "agentToolUsage", "Agent_", "Tool_"), ("task_agent", "performedByAgent", "Task_", "Agent_"), ("team_member", "hasAgentMember", "Team_", "Agent_"))
+
+
+def relation_recall(links: DataFrame, triples: DataFrame, graphs: DataFrame, vocabulary) -> DataFrame:
+    """graph_id, kind, source_count, graph_count, recall (to three places; 1 without links) of links found in sources.
+
+    links: graph_id, kind, a, b of records (keys); triples: the graphs made of them; graphs: graph_id; vocabulary gives
+    the address of a property. Keys are compared in lower case, without the prefixes of names in the graph."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(vocabulary(p)).alias("p"), F.lit(a).alias("pre_a"), F.lit(b).alias("pre_b")) for k, p, a, b in RELATIONS]))
+    of = graphs.select("graph_id", kinds.alias("x")).select("graph_id", "x.kind", "x.p", "x.pre_a", "x.pre_b")
+    key = lambda c, prefix: F.lower(F.replace(T.reader_name(F.col(c)), F.col(prefix), F.lit("")))
+    there = triples.join(F.broadcast(of.select("p", "kind", "pre_a", "pre_b").distinct()), "p").select("graph_id", "kind", key("s", "pre_a").alias("a"), key("o", "pre_b").alias("b")).distinct()
+    here = links.select("graph_id", "kind", F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
+    count = lambda df, name: df.groupBy("graph_id", "kind").agg(F.count(F.lit(1)).alias(name))
+    out = of.select("graph_id", "kind")
+    for df, name in ((here, "source_count"), (there, "graph_count"), (here.join(there, ["graph_id", "kind", "a", "b"], "left_semi"), "_both")):
+        out = out.join(count(df, name), ["graph_id", "kind"], "left")
+    out = out.fillna(0, ["source_count", "graph_count", "_both"])
+    return out.select("graph_id", "kind", "source_count", "graph_count", F.when(F.col("source_count") == 0, 1.0).otherwise(F.round(F.col("_both") / F.col("source_count"), 3)).alias("recall"))
+
+
+def conformance(scores: DataFrame) -> DataFrame:
+    """score, n_rules: the mean of the rules that apply."""
+    return scores.agg(F.avg("score").alias("score"), F.count("score").alias("n_rules"))
+
+
 def weighted_coverage(element_f1: Column, relation_recall: Column, content: Column) -> Column:
     """Fixed weights of the coverage score."""
     return 0.4 * F.round(element_f1, 3) + 0.3 * F.round(relation_recall, 3) + 0.3 * content
 
 
+def direction_means(rows: DataFrame, numbers: list[str], keys: tuple[str, ...] = ("framework", "target")) -> DataFrame:
+    """A row of means, nulls left out, for each direction (source and target), in order."""
+    return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in numbers], F.count(F.lit(1)).alias("n")).orderBy(*keys)
+
+
 def group_means(rows: DataFrame, group: str, numbers: list[str]) -> DataFrame:
     """A row of means for each group and one over all rows (group null), nulls left out."""
     rows = rows.withColumn("_group", F.col(group))

@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,27 +34,46 @@ def _text(node: ast.AST | None) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
 
+def _dotted(node: ast.AST | None) -> str:
+    """a.b.c of names alone; empty for what is none."""
+    return _name(node) if isinstance(node, (ast.Name, ast.Attribute)) else ""
+
+
+def _marked(d: ast.AST) -> str:
+    """A decorator as @name or @name(arguments): texts quoted, names, and ? for anything else."""
+    if not isinstance(d, ast.Call):
+        return f"@{_dotted(d) or '?'}"
+    said = [f'"{_text(a)}"' if _text(a) is not None else _dotted(a) or "?" for a in d.args]
+    return f"@{_dotted(d.func) or '?'}({', '.join(said)})"
+
+
+#: Calls that build a state graph (fixed values).
+GRAPH_CALLS = ("add_node", "add_edge", "add_conditional_edges", "set_entry_point", "set_finish_point")
+
+
 def source_features(tree: ast.AST) -> set[tuple[str, str]]:
-    """(feature, value) pairs: classes, their fields and bases, functions, imports, decorators and their arguments, calls."""
+    """(feature, value) pairs: imports (top packages), classes, class_bases (of a class, in order of name), functions,
+    decorators of functions, state_fields and state_annotations of TypedDict and BaseModel classes, graph_calls."""
     out: set[tuple[str, str]] = set()
     for n in ast.walk(tree):
-        if isinstance(n, ast.ClassDef):
-            out.add(("classes", n.name))
-            out |= {("bases", f"{n.name}:{_last(b)}") for b in n.bases}
-            out |= {("state_fields", f"{n.name}.{x.target.id}") for x in n.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)}
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.add(("functions", n.name))
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            for d in n.decorator_list:
-                out.add(("decorators", f"{n.name}:{_last(d)}"))
-                if isinstance(d, ast.Call):
-                    out |= {("decorator_args", f"{n.name}:{ast.unparse(a)}") for a in d.args}
-        if isinstance(n, ast.Import):
-            out |= {("imports", a.name) for a in n.names}
-        if isinstance(n, ast.ImportFrom):
-            out |= {("imports", f"{n.module or ''}.{a.name}") for a in n.names}
-        if isinstance(n, ast.Call) and _last(n.func):
-            out.add(("calls", _last(n.func)))
+        match n:
+            case ast.Import():
+                out |= {("imports", a.name.partition(".")[0]) for a in n.names}
+            case ast.ImportFrom(module=str(module)):
+                out.add(("imports", module.partition(".")[0]))
+            case ast.ClassDef():
+                bases = [_dotted(b) or "?" for b in n.bases]
+                out |= {("classes", n.name), ("class_bases", ",".join(sorted(bases)))}
+                if {b.rpartition(".")[2] for b in bases} & {"TypedDict", "BaseModel"}:
+                    fields = [x for x in n.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
+                    out |= {("state_fields", x.target.id) for x in fields}
+                    out |= {("state_annotations", f"{x.target.id}: {ast.unparse(x.annotation)}") for x in fields}
+            case ast.FunctionDef() | ast.AsyncFunctionDef():
+                out |= {("functions", n.name), *(("decorators", _marked(d)) for d in n.decorator_list)}
+            case ast.Call(func=ast.Attribute(attr=method)) if method in GRAPH_CALLS:
+                first = n.args[0] if n.args else None
+                said = "" if first is None else _text(first) if _text(first) is not None else _dotted(first) or ast.unparse(first)[:40]
+                out.add(("graph_calls", f"{_dotted(n.func.value) or '?'}.{method}({said})"))
     return out
 
 
@@ -96,27 +115,38 @@ def validity(files: DataFrame) -> DataFrame:
 
 
 def _patterns(tree: ast.AST) -> Iterator[tuple[str, str]]:
+    """(kind, key) of each countable pattern.
+
+    class_base: every dotted end of a base, once a class. call_method: the method, and method(name) of a first
+    argument that is a name. call_with_const: the method, if the first argument is a constant. decorator: its name, once a
+    function. any_decorator: all names of a function, comma-joined. decorator_arg: the decorator, if called with a
+    constant first, once a function. decorator_call_name: decorator(call) of a call among the arguments. reducer_field: an
+    Annotated field. pydantic_default: a field with a value in a BaseModel class."""
     for n in ast.walk(tree):
-        if isinstance(n, ast.ClassDef):
-            for b in n.bases:
-                yield "class_base", _last(b)
-            for x in n.body:
-                if isinstance(x, ast.AnnAssign):
-                    if _last(x.annotation) == "Annotated":
-                        yield "reducer_field", n.name
-                    if x.value is not None:
-                        yield "pydantic_default", n.name
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            for d in n.decorator_list:
-                yield "any_decorator", _last(d)
-                yield ("decorator_call_name" if isinstance(d, ast.Call) else "decorator"), _last(d)
-                for a in d.args if isinstance(d, ast.Call) else ():
-                    yield "decorator_arg", f"{_last(d)}:{ast.unparse(a)}"
-        if isinstance(n, ast.Call):
-            yield "call_method", _last(n.func)
-            for a in n.args:
-                if isinstance(a, ast.Constant):
-                    yield "call_with_const", f"{_last(n.func)}:{a.value}"
+        match n:
+            case ast.ClassDef():
+                bases = [_dotted(b.value if isinstance(b, ast.Subscript) else b) for b in n.bases]
+                ends = {b.split(".", k)[-1] for b in bases if b for k in range(b.count(".") + 1)}
+                yield from (("class_base", e) for e in sorted(ends))
+                if any(_last(b) == "BaseModel" for b in n.bases if _dotted(b)):
+                    yield from (("pydantic_default", "") for x in n.body if isinstance(x, ast.AnnAssign) and x.value is not None)
+            case ast.FunctionDef() | ast.AsyncFunctionDef() if n.decorator_list:
+                calls = [d for d in n.decorator_list if isinstance(d, ast.Call)]
+                names = sorted({_dotted(d.func if isinstance(d, ast.Call) else d) for d in n.decorator_list})
+                yield from (("decorator", x) for x in names)
+                yield "any_decorator", ",".join(names)
+                yield from (("decorator_arg", x) for x in sorted({_dotted(d.func) for d in calls if d.args and isinstance(d.args[0], ast.Constant)}))
+                for d in calls:
+                    yield from (("decorator_call_name", f"{_dotted(d.func)}({x})") for x in sorted({_dotted(a.func) for a in d.args if isinstance(a, ast.Call)}))
+            case ast.AnnAssign(annotation=ast.Subscript(value=value)) if _dotted(value).endswith("Annotated"):
+                yield "reducer_field", ""
+            case ast.Call(func=ast.Attribute() | ast.Name()):
+                method = _last(n.func)
+                yield "call_method", method
+                if n.args and _dotted(n.args[0]):
+                    yield "call_method", f"{method}({_dotted(n.args[0])})"
+                if n.args and isinstance(n.args[0], ast.Constant):
+                    yield "call_with_const", method
 
 
 def pattern_counts(files: DataFrame) -> DataFrame:
@@ -135,6 +165,58 @@ def pattern_counts(files: DataFrame) -> DataFrame:
     return files.select("graph_id", "source").mapInPandas(run, "graph_id string, kind string, key string").groupBy("graph_id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_counts(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """graph_id, rule, n: how often each rule's pattern is there. rules: rule, kind, key; that of any_decorator is a
+    comma-joined list, and a function counts once if it has one of them. What is not there has no row."""
+    wanted = rules.select("rule", "kind", F.col("key").alias("_key"))
+    hit = F.when(F.col("kind") == "any_decorator", F.arrays_overlap(F.split("key", ","), F.split("_key", ","))).otherwise(F.col("key") == F.col("_key"))
+    return counts.join(F.broadcast(wanted), "kind").where(hit).groupBy("graph_id", "rule").agg(F.sum("n").alias("n"))
+
+
+JSON_TYPES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}  # fixed values
+
+
+def fields_schema(fields: dict[str, dict[str, str] | str]) -> str:
+    """The JSON Schema of fields (name: type, or a type and a description): compact, keys in order."""
+    properties, required = {}, []
+    for name, told in fields.items():
+        kind, said = (told.get("type", "str"), told.get("description", "")) if isinstance(told, dict) else (told, "")
+        bare = kind.removeprefix("Optional[").removesuffix("]") if kind.startswith("Optional[") else kind
+        properties[name] = {"type": JSON_TYPES.get(bare, "string"), **({"description": said} if said else {}), **({"nullable": True} if kind.startswith("Optional") else {})}
+        if not kind.startswith("Optional"):
+            required.append(name)
+    return json.dumps({"type": "object", "properties": properties, "required": required}, separators=(",", ":"), sort_keys=True)
+
+
+def signature_schema(function: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
+    """The JSON Schema of a function's parameters but self and cls; without any it is empty."""
+    known = {**JSON_TYPES, "list": "array", "dict": "object"}
+    names = [a for a in function.args.args if a.arg not in ("self", "cls")]
+    properties = {a.arg: {"type": known.get(a.annotation.id, "string") if isinstance(a.annotation, ast.Name) else "string"} for a in names}
+    return {"type": "object", "properties": properties, "required": [a.arg for a in names]} if names else {}
+
+
+def python_text(text: Column) -> Column:
+    """A text as it stands between double quotes in Python source."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def without_model(agents: DataFrame) -> DataFrame:
+    """system_id, agent_key, role of agents that name no language model."""
+    return agents.where("coalesce(llm, '') = ''").select("system_id", "agent_key", "role")
+
+
+def entry_files(files: DataFrame) -> DataFrame:
+    """graph_id, path of the likeliest entry point: main.py at the top, the first file there, the first main.py below, the largest."""
+    top = ~F.col("path").contains("/")
+    main = F.col("path").rlike(r"(^|/)main\.py$")
+    rank = F.when(top & main, 0).when(top, 1).when(main, 2).otherwise(3)
+    size = F.when(rank == 3, -F.octet_length("source")).otherwise(0)
+    return files.groupBy("graph_id").agg(F.min_by("path", F.struct(rank, size, "path")).alias("path"))
+
+
 def _keywords(call: ast.Call) -> dict[str, ast.AST]:
     return {k.arg: k.value for k in call.keywords if k.arg}
 

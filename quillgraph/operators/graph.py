@@ -47,6 +47,17 @@ def subjects(triples: DataFrame, p: str, o: str) -> DataFrame:
     return match(triples, p=p, o=o).select("graph_id", "s").distinct()
 
 
+def objects(triples: DataFrame, p: str, s: str | None = None) -> DataFrame:
+    """graph_id, s, o of a property, of one subject if given."""
+    return match(triples, s=s, p=p).select("graph_id", "s", "o")
+
+
+def holds(rows: DataFrame, triples: DataFrame, p: str, o: str, name: str = "holds") -> DataFrame:
+    """The rows (graph_id, s, ...) with a column that tells whether their graph has the triple (s, p, o)."""
+    found = subjects(triples, p, o).withColumn("_found", F.lit(True))
+    return rows.join(found, ["graph_id", "s"], "left").withColumn(name, F.coalesce("_found", F.lit(False))).drop("_found")
+
+
 def first_value(triples: DataFrame, p: str) -> DataFrame:
     """graph_id, s, value: the least object's text, so that several give the same one on every run."""
     return match(triples, p=p).groupBy("graph_id", "s").agg(T.lexical(F.min("o")).alias("value"))
@@ -98,11 +109,23 @@ class Store:
         return reduce(joined, [self.scan(q) for q in self.order(patterns)])
 
 
-def joined(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, how: str = "inner", unbound: frozenset[str] = frozenset()) -> DataFrame:
+    """Join on the shared variables. One of `unbound` may be null on a side, and then is compatible with any value.
+
+    Without a shared variable the result is that of all pairs: what such a query asks for."""
     shared = [c for c in a.columns if c in b.columns]
-    if not shared:
-        raise ValueError("patterns of one group must share a variable")
-    return a.join(b, shared, how)
+    if not shared or not unbound & set(shared):
+        return a.join(b, shared or None, how) if shared or how != "inner" else a.crossJoin(b)
+    x, y = a.alias("_a"), b.alias("_b")
+    tests = []
+    for c in shared:
+        p, q = F.col(f"_a.`{c}`"), F.col(f"_b.`{c}`")
+        tests.append((p == q) | p.isNull() | q.isNull() if c in unbound else p == q)
+    both = x.join(y, reduce(lambda m, n: m & n, tests), how)
+    if how in ("left_semi", "left_anti"):
+        return both.select(*[F.col(f"_a.`{c}`") for c in a.columns])
+    own = [F.coalesce(F.col(f"_a.`{c}`"), F.col(f"_b.`{c}`")).alias(c) if c in shared else F.col(f"_a.`{c}`") for c in a.columns]
+    return both.select(*own, *[F.col(f"_b.`{c}`") for c in b.columns if c not in shared])
 
 
 def _bind(rows: DataFrame, pattern: Pattern) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import terms as T
 from ..plans.catalog import Vocabulary
 from .records import SCHEMAS
+from .closure import checkpointed
 from .workflow import resolved_edges
 
 #: What names mean in the vocabulary.
@@ -38,6 +39,13 @@ def flag(c: Column | str) -> Column:
     return T.literal_of(F.col(c) if isinstance(c, str) else c, T.XSD + "boolean")
 
 
+def json_of(column: str, keys: Column) -> Column:
+    """A map of texts as a JSON object with the keys in the given order."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    pairs = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(": "), quoted(F.element_at(column, k))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def _complete(spark: SparkSession, records: DataFrame, schema: str) -> DataFrame:
     """All columns of the schema, null where the records have none."""
     want = spark.createDataFrame([], schema).dtypes
@@ -48,7 +56,7 @@ class Lift:
     def __init__(self, spark: SparkSession, records: dict[str, DataFrame], vocabulary: Vocabulary):
         self.v = vocabulary
         empty = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items() if n not in records}
-        self.r = {**records, **empty}
+        self.r = {**{n: checkpointed(df) for n, df in records.items()}, **empty}  # every rule reads some of them
         spaces = self.r["systems"].select("system_id", F.when(F.col("namespace").rlike("[#/]$"), F.col("namespace")).otherwise(F.concat("namespace", F.lit("#"))).alias("ns"))
         for n in SCHEMAS:
             if n != "systems":
@@ -241,7 +249,7 @@ class Lift:
         state = f.where(F.size("state_fields") > 0)
         self.emit(state, me, ("hasOutputSchema", self.node("StateSchema", "class_name")))
         keys = F.array_sort(F.map_keys("state_fields"))
-        definition = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('": "'), F.element_at("state_fields", k), F.lit('"'))), ", "), F.lit("}"))
+        definition = json_of("state_fields", keys)
         self.emit(state, self.node("StateSchema", "class_name"), ("hasSchemaDefinition", text(definition)), ("hasTitle", text("state_model")), ("hasSourceAttribute", text(F.lit("state_model"))), kind="Schema")
         led = f.withColumn("team", F.explode("crew_references")).join(self.known("teams", "team_key", "team"), ["system_id", "team"], "left_semi")
         self.emit(led, me, ("orchestratesTeam", self.node("Team", "team")))
@@ -255,7 +263,7 @@ class Lift:
         self.emit(s.where(conditional), step, kind="ConditionalStep")
         mapped = s.where(F.size("edge_mapping") > 0)
         edge_keys = F.array_sort(F.map_keys("edge_mapping"))
-        self.emit(mapped, step, ("hasEdgeMapping", text(F.concat(F.lit("{"), F.array_join(F.transform(edge_keys, lambda k: F.concat(F.lit('"'), k, F.lit('": "'), F.element_at("edge_mapping", k), F.lit('"'))), ", "), F.lit("}")))))
+        self.emit(mapped, step, ("hasEdgeMapping", text(json_of("edge_mapping", edge_keys))))
         self.emit(s.join(self.known("agents", "agent_key", "associated_agent_key"), ["system_id", "associated_agent_key"], "left_semi"), step, ("hasAssociatedAgent", self.node("Agent", "associated_agent_key")))
         names = s.select("system_id", "class_name", F.col("method_name").alias("label")).distinct()
         labels = s.withColumn("label", F.explode("dependencies")).where("label <> ''").join(names, ["system_id", "class_name", "label"], "left_anti")

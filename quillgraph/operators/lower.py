@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import terms as T
 from ..plans.catalog import Vocabulary
+from .closure import checkpointed
 
-#: Properties with one text or number a subject.
+#: Properties with one text or number a subject (fixed values of the vocabulary).
 VALUES = (
     "hasTitle hasDescription hasInputSchema hasImplementationReference hasReference agentID agentRole agentType hasReasoningEnabled hasReasoningOrigin hasMaxReasoningAttempts hasExpectedOutput hasDelegationStrategy"
     " promptInstruction promptContext promptOutputIndicator hasDirectiveFunction hasSourceAttribute configKey configValue hasPersistenceScope hasSourceFramework hasSchemaDefinition hasGuardrailType hasValidationLogic"
@@ -25,10 +26,10 @@ VALUES = (
 
 class Lower:
     def __init__(self, triples: DataFrame, vocabulary: Vocabulary):
-        self.t, self.v = triples.select(F.col("graph_id").alias("system_id"), "s", "p", "o"), vocabulary
+        self.t, self.v = checkpointed(triples.select(F.col("graph_id").alias("system_id"), "s", "p", "o")), vocabulary
         names = {vocabulary(n): n for n in VALUES}
         held = self.t.where(F.col("p").isin(*names)).groupBy("system_id", "s")
-        self.wide = held.agg(*[T.lexical(F.min(F.when(F.col("p") == p, F.col("o")))).alias(n) for p, n in names.items()])
+        self.wide = checkpointed(held.agg(*[T.lexical(F.min(F.when(F.col("p") == p, F.col("o")))).alias(n) for p, n in names.items()]))
 
     def of_class(self, *kinds: str) -> DataFrame:
         return self.t.where((F.col("p") == T.TYPE) & F.col("o").isin(*[self.v(k) for k in kinds])).select("system_id", "s").distinct()
@@ -172,6 +173,23 @@ class Lower:
         return s.select("system_id", "flow", (F.coalesce(F.col("stepOrder").try_cast("int"), F.lit(0)) - 1).alias("ord"), F.coalesce("hasTitle", self.key(F.col("s"), "FlowStep")).alias("method_name"), kind.alias("step_type"), F.array_union("from", "labels").alias("dependencies"), F.col("callsCrew").alias("calls_crew"), F.when(F.col("_if"), F.col("to")).otherwise(F.array().cast("array<string>")).alias("return_values"), F.col("hasRoutingLogic").alias("function_body"), "associated_agent_key", F.from_json("hasEdgeMapping", "map<string,string>").alias("edge_mapping"), F.col("hasAggregationCombinator").alias("aggregation_combinator"), F.col("to").alias("outgoing"))
 
 
+def fields_of(models: DataFrame) -> DataFrame:
+    """system_id, class_name, fields (name to type) of the models' JSON schemas; a property without a type is a str."""
+    properties = F.from_json(F.get_json_object("schema_json", "$.properties"), "map<string,struct<type:string>>")
+    return models.select("system_id", "class_name", F.transform_values(properties, lambda _, x: F.coalesce(x["type"], F.lit("str"))).alias("fields"))
+
+
+def with_state(systems: DataFrame, flows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The flows; one of a LangGraph system without state fields gets a str field for each task that says what it
+    puts out, or else the one field shared_context."""
+    made = tasks.where("coalesce(expected_output, '') <> ''").groupBy("system_id").agg(F.array_sort(F.collect_set(F.concat("task_key", F.lit("_output")))).alias("_made"))
+    of = flows.join(systems.select("system_id", "framework"), "system_id", "left").join(made, "system_id", "left")
+    names = F.coalesce("_made", F.array(F.lit("shared_context")))
+    fields = F.map_from_arrays(names, F.transform(names, lambda _: F.lit("str")))
+    missing = (F.col("framework") == "LangGraph") & (F.coalesce(F.size("state_fields"), F.lit(0)) <= 0)
+    return of.withColumn("state_fields", F.when(missing, fields).otherwise(F.col("state_fields"))).select(*flows.columns)
+
+
 def lowered(triples: DataFrame, vocabulary: Vocabulary | None = None) -> dict[str, DataFrame]:
     """Records of all graphs (system_id = graph_id), a DataFrame for each kind."""
     low = Lower(triples, vocabulary or Vocabulary())

@@ -72,3 +72,15 @@ def clipped(text: Column, most: int) -> Column:
 def metrics_json(metrics: DataFrame) -> DataFrame:
     """pair_id, report: all columns of a pair as one JSON text."""
     return metrics.select("pair_id", F.to_json(F.struct(*[c for c in metrics.columns if c != "pair_id"])).alias("report"))
+
+
+def text_report(rows: DataFrame, key: str) -> DataFrame:
+    """key, text: a block for each row, a line for each of its other columns, numbers to three places."""
+    kinds = dict(rows.dtypes)
+    lines = [F.concat(F.lit(f"  {c}: "), shown(c, kinds[c])) for c in rows.columns if c != key]
+    return rows.select(key, F.concat_ws("\n", F.concat(F.lit("== "), F.col(key).cast("string"), F.lit(" ==")), *lines).alias("text"))
+
+
+def latest(listing: DataFrame, most: int = 10) -> DataFrame:
+    """The reports last changed, newest first. listing: path, modified."""
+    return listing.orderBy(F.desc("modified"), "path").limit(most)

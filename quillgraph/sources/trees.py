@@ -9,10 +9,11 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUNDLED = ("py", "ipynb", "yaml", "yml", "md", "txt", "json", "toml")
+#: Suffixes of the files that a bundle holds (fixed values).
+BUNDLED = ("py", "yaml", "yml", "json", "toml", "cfg", "txt", "md")
 SKIPPED = r"(^|/)(\.venv|node_modules|__[^/]*)(/|$)"
 
 
@@ -30,11 +31,11 @@ def python_files(spark: SparkSession, root: str) -> DataFrame:
 
 def notebooks(spark: SparkSession, root: str, drop_magics: bool = False) -> DataFrame:
     """path, source: code cells joined by a blank line; lines that start with % or ! may be dropped with empty cells."""
-    schema = "cells array<struct<cell_type:string,source:array<string>>>"
+    schema = "cells array<struct<cell_type:string,source:variant>>"
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.ipynb").json(root)
-    code = F.filter("cells", lambda c: c["cell_type"] == "code")
     keep = (lambda line: ~line.rlike(r"^\s*[%!]")) if drop_magics else (lambda line: F.lit(True))
-    cells = F.transform(code, lambda c: F.array_join(F.filter(c["source"], keep), ""))
+    lines = F.expr("transform(filter(cells, c -> c.cell_type = 'code'), c -> if(schema_of_variant(c.source) = 'STRING', split(try_variant_get(c.source, '$', 'string'), '(?<=\\\\n)'), try_variant_get(c.source, '$', 'array<string>')))")
+    cells = F.transform(lines, lambda x: F.array_join(F.filter(x, keep), ""))
     cells = F.filter(cells, lambda c: F.trim(c) != "") if drop_magics else cells
     return rows.select(F.col("_metadata.file_path").alias("path"), F.array_join(cells, "\n\n").alias("source"))
 
@@ -65,6 +66,42 @@ def bundle(spark: SparkSession, root: str, group_depth: int = 1) -> DataFrame:
     return rows.groupBy("group").agg(F.array_join(F.transform(parts, lambda x: x["said"]), "\n\n").alias("text"))
 
 
+def skeleton(spark: SparkSession, root: str, group_depth: int = 1) -> DataFrame:
+    """group, text: the Python files of each directory at a depth, in order, fenced under lines that name them."""
+    rows = files(spark, root, "*.py").where(~F.col("path").rlike(r"(^|/)__pycache__(/|$)"))
+    rows = rows.select(F.array_join(F.slice(F.split("path", "/"), 1, group_depth), "/").alias("group"), "path", F.col("content").cast("string").alias("body")).where(F.expr("is_valid_utf8(body)"))
+    said = F.concat(F.lit("--- "), "path", F.lit(" ---\n```python\n"), "body", F.lit("\n```"))
+    parts = F.array_sort(F.collect_list(F.struct("path", said.alias("said"))))
+    return rows.groupBy("group").agg(F.array_join(F.transform(parts, lambda x: x["said"]), "\n\n").alias("text"))
+
+
+def fixtures(listing: DataFrame) -> DataFrame:
+    """name, path of the Turtle files at the top."""
+    return listing.where(F.col("path").rlike(r"^[^/]+\.ttl$")).select(F.regexp_replace("path", r"\.ttl$", "").alias("name"), "path").orderBy("name")
+
+
+def extractions(listing: DataFrame) -> DataFrame:
+    """framework, name, path of earlier extractions: framework/name/extracted.ttl."""
+    parts = F.split("path", "/")
+    return listing.where(F.col("path").rlike(r"^[^/]+/[^/]+/extracted\.ttl$")).select(parts[0].alias("framework"), parts[1].alias("name"), "path").orderBy("framework", "name")
+
+
+def source_root(listing: DataFrame, depth: int = 1) -> DataFrame:
+    """example, root: where the sources of each example (a directory at a depth) are: source_files below it, or itself."""
+    parts = F.split("path", "/")
+    rows = listing.where(F.size(parts) > depth).select(F.array_join(F.slice(parts, 1, depth), "/").alias("example"), (F.try_element_at(parts, F.lit(depth + 1)) == "source_files").alias("below"), F.size(parts).alias("n"))
+    found = rows.groupBy("example").agg(F.bool_or(F.col("below") & (F.col("n") > depth + 1)).alias("below"))
+    return found.select("example", F.when(F.col("below"), F.concat("example", F.lit("/source_files"))).otherwise(F.col("example")).alias("root"))
+
+
+def default_namespace(name: Column) -> Column:
+    return F.concat(F.lit("http://example.org/"), F.translate(name, "-", "_"), F.lit("#"))
+
+
+def default_system_name(name: Column) -> Column:
+    return F.translate(name, "-", "_")
+
+
 def corpora(listing: DataFrame) -> DataFrame:
     """family, framework, has_source, has_truth, ready of paths family/framework/..."""
     rows = listing.select(F.split("path", "/").alias("p")).where(F.size("p") >= 3)

@@ -52,7 +52,7 @@ def test_programs_become_graphs_and_records_again(spark, tmp_path):
     lost = {x for x in key(graph) - key(again) if "hasReference" not in x[1]}
     assert not {x for x in lost if "nextStep" in x[1] or "agentRole" in x[1] or "Team" in x[0]}
     values = {(r.feature, r.value) for r in extract.features(files).collect()}
-    assert ("state_fields", "State.topic") in values and ("decorators", "look:tool") in values
+    assert ("state_fields", "topic") in values and ("decorators", "@tool") in values
     checked = extract.validity(files).first()
     assert (checked.files_checked, checked.syntax_rate) == (2, 0.5) and len(checked.errors) == 1
     assert extract.pattern_counts(files).where("kind = 'call_method' and key = 'add_node'").first().n == 2
