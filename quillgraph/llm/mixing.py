@@ -9,7 +9,9 @@ keyed Feistel networks evaluated on the index alone: no sort, no state, the same
 
 Scale: running sums go over chunks of about CHUNK_DOCS documents, so a source that holds a third of
 all rows is dealt over many tasks; slots are made in runs of RUN by whoever holds the run; blocks and
-slots meet by a shuffle on (source, block), where a key has at most `most` slots.
+slots meet by a shuffle on (source, block), where a key has at most `most` slots: hints say so, since
+Spark does not see that a few rows of sources make many slots. Sources are numbered and summed up by
+ranges of their names, so they need not fit in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 SPACE = r"[\x20\x09-\x0D]++"
-CHUNK_DOCS, RUN, PART_SLOTS = 4096, 1024, 1 << 16
+CHUNK_DOCS, RUN = 4096, 1 << 13
 #: Sources (distinct names) whose table is broadcast; more are joined by shuffle.
 MOST_BROADCAST = 20_000
 
@@ -55,6 +57,16 @@ def permuted(df: DataFrame, out: str, index: str, n: str, key: str) -> DataFrame
     return df.withColumn(out, F.expr(f"if(_p < {n}, _p, cast(raise_error('permutation did not end') as bigint))")).drop("_half", "_mask", "_key", "_p")
 
 
+def _running(df: DataFrame, value: Column, order: Column, name: str) -> DataFrame:
+    """Adds `name`: the sum of value over the rows before, where `part` numbers ranges of that order."""
+    own = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("part").agg(F.sum(value).alias("_sum"))  # a row a partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    rows = df.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0))).join(F.broadcast(parts), "part")
+    return rows.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before")
+
+
 def source_table(sized: DataFrame, weights: tuple[int, ...], most: int, block_words: int) -> tuple[DataFrame, int]:
     """source, source_size, n_docs, target, n_blocks, n_slots, first_slot, n_slots_all of each source; and their number.
 
@@ -62,9 +74,10 @@ def source_table(sized: DataFrame, weights: tuple[int, ...], most: int, block_wo
     order, null last), at most `most` times its size, the excess reshared. With level L a source gets
     least(most * size, weight * L); L rises until the targets add up to all words."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    sums = checkpointed(sums.withColumn("rank", rank).withColumn("weight", weight))
+    name = F.col("source").asc_nulls_last()
+    sums = _running(checkpointed(sums.repartitionByRange(name).withColumn("part", F.spark_partition_id())), F.lit(1), name, "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    sums = checkpointed(sums.withColumn("weight", weight))
     total, n = sums.agg(F.sum("source_size"), F.count(F.lit(1))).first()
     level = 0.0
     while total:
@@ -77,9 +90,9 @@ def source_table(sized: DataFrame, weights: tuple[int, ...], most: int, block_wo
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     slots = F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast("long"), F.col("n_blocks") * most)
     made = sums.withColumn("target", target).withColumn("n_blocks", blocks).withColumn("n_slots", slots)
-    by = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    made = made.withColumn("first_slot", F.coalesce(F.sum("n_slots").over(by), F.lit(0)))
-    return checkpointed(made.withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))), n
+    made = checkpointed(_running(made, F.col("n_slots"), F.col("rank").asc(), "first_slot"))
+    every = made.agg(F.sum("n_slots")).first()[0] or 0
+    return checkpointed(made.withColumn("all_slots", F.lit(every).cast("long")).drop("part")), n
 
 
 def _joined(df: DataFrame, sources: DataFrame, n: int, *columns: str) -> DataFrame:
@@ -88,10 +101,10 @@ def _joined(df: DataFrame, sources: DataFrame, n: int, *columns: str) -> DataFra
 
 
 def _offsets(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """Adds `off`: words of the source before the document, in the order of (chunk, doc_id, size)."""
+    """Adds `off`: words of the source before the document, in the order of (chunk, doc_id, size, a hash of the text)."""
     rows = _joined(sized, sources, n, "rank", "source_size", "target", "n_docs")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / CHUNK_DOCS)).cast("long"))
-    within = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     ends = sized.select("doc_id", "source", "size")
     ends = _joined(ends, sources, n, "rank", "n_docs").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / CHUNK_DOCS)).cast("long"))
@@ -104,7 +117,7 @@ def _offsets(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
 def slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     """rank, k, block, slot, shard: one row for each output slot, made in runs of RUN."""
     runs = sources.where("n_slots > 0").select("rank", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))).alias("run"))
-    parts = math.ceil((sources.agg(F.max("all_slots")).first()[0] or 0) / PART_SLOTS)
+    parts = math.ceil((sources.agg(F.max("all_slots")).first()[0] or 0) / RUN)
     runs = runs.repartition(max(1, parts), "rank", "run")  # a given number: small rows here, but each makes RUN more
     rows = runs.withColumn("k", F.explode(F.expr(f"sequence(run * {RUN}, least(run * {RUN} + {RUN - 1}, n_slots - 1))"))).drop("run")
     rows = rows.withColumn("again", F.expr("k div n_blocks")).withColumn("at", F.expr("k % n_blocks")).withColumn("place", F.expr("first_slot + k"))
@@ -121,7 +134,7 @@ def _pieces(docs: DataFrame, block_words: int) -> DataFrame:
 
 
 def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: int, *more: str) -> tuple[DataFrame, DataFrame, int]:
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *more)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *more)
     sources, n = source_table(sized.select("doc_id", "source", "size"), weights, most, block_words)
     return sized, sources, n
 
@@ -135,7 +148,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     sized, sources, n = _plan(docs, weights, most, block_words)
     placed = _offsets(sized, sources, n)
     used = slots(sources, seed, shard_slots).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = _pieces(placed, block_words).join(used, ["rank", "block"], "left")
+    taken = _pieces(placed, block_words).join(used.hint("merge"), ["rank", "block"], "left")
     keys = ["rank", "off", "doc_id", "size", "source_size", "target"]
     full = taken.groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
     none = _joined(sized.where("size = 0"), sources, n, "source_size", "target").withColumn("taken", F.lit(0).cast("long"))
@@ -153,5 +166,5 @@ def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     said = F.array_join(F.slice(F.split(_bare(F.col("text")), SPACE), (F.col("lo") - F.col("off") + 1).cast("int"), F.col("words").cast("int")), " ")
     pieces = pieces.select("rank", "source", "block", F.struct("lo", "doc_id", said.alias("said"), "words").alias("piece"))
     blocks = pieces.groupBy("rank", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    rows = slots(sources, seed, shard_slots).join(blocks, ["rank", "block"])
+    rows = slots(sources, seed, shard_slots).join(blocks.hint("merge"), ["rank", "block"])
     return rows.select("shard", "slot", "source", F.expr("pieces.doc_id").alias("doc_ids"), F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)").alias("n_words"), F.array_join(F.expr("pieces.said"), " ").alias("text"))
