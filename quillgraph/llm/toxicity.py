@@ -128,23 +128,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first place, last place) of a token sequence whose tokens
-    at `places` have positive `scores` and whose others cost `drift`. Linear in the number of places."""
-    out: list[list[float]] = []  # left sum, right sum, first, last
+    at `places` have positive `scores` and whose others cost `drift`. Linear in the number of places: a
+    candidate is linked to the last one before it with a smaller left sum, and the search follows links."""
+    out: list[list[float]] = []  # left sum, right sum, first, last, link
     total, before = 0.0, -1
     for p, s in zip(places.tolist(), scores.tolist(), strict=True):
         total -= drift * (p - before - 1)
-        item = [total, total + s, p, p]
+        item = [total, total + s, p, p, -1]
         total, before = total + s, p
         while True:
             k = len(out) - 1
             while k >= 0 and out[k][0] >= item[0]:
-                k -= 1
+                k = out[k][4]
             if k < 0 or out[k][1] >= item[1]:
+                item[4] = k
                 out.append(item)
                 break
             item[0], item[2] = out[k][0], out[k][2]
             del out[k:]
-    return [(r - a, int(i), int(j)) for a, r, i, j in out]
+    return [(r - a, int(i), int(j)) for a, r, i, j, _ in out]
 
 
 def _damped(words: np.ndarray, scores: np.ndarray) -> np.ndarray:
