@@ -2,7 +2,7 @@
 
 A text is cut into segments: single atoms outside any entity, and whole candidate spans of a kind.
 Features look at a whole span (digit counts, groups, separators, checksums, context) and a span is at
-most MOST_CHARS long, so the sums over segmentations run in time linear in the text. Training
+most MOST_CHARS long if of digits, so the sums over segmentations run in time linear in the text. Training
 maximises the conditional likelihood of labelled sentences (made here from templates, a fixed seed);
 decoding takes the best segmentation, in which the spans of the plain rules are given.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of a segment, in characters and in digit groups.
-MOST_CHARS, MOST_GROUPS = 254, 8
+#: Bounds of a segment of digits: no kind has more, whatever stands between them.
+MOST_CHARS, MOST_DIGITS = 254, 19
 TRAIN_SENTENCES, TRAIN_STEPS, SEED = 600, 60, 11
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +38,6 @@ DIGIT = re.compile(r"[0-9]")
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-]{0,3}[0-9])*+")
 GROUP = re.compile(r"[0-9]+")
 MARK = re.compile(r"@|\(at\)|\[at\]|\{at\}|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9])", re.IGNORECASE)
-LEFT = re.compile(r"[A-Za-z0-9._%+-]+\s?$")
 _PART, _SIGN = r"[A-Za-z0-9-]+", r"\s?(?:\(dot\)|\[dot\]|\{dot\})\s?"
 #: What may follow each written form of the sign: only spelt-out dots after a bare word.
 RIGHT = {
@@ -96,21 +95,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that may be personal data: the only segments of entity kinds that the model scores."""
+    floor = 0
     for m in MARK.finditer(text):
-        left = LEFT.search(text[max(0, m.start() - 64) : m.start()])
-        right = RIGHT[m.group()[0] if m.group()[0] in "@ " else "("].match(text[m.end() : m.end() + 190])
-        if left and right:
-            yield "email", m.start() - len(left.group()), m.end() + len(right.group())
+        end = m.start() - (m.start() > floor and text[m.start() - 1].isspace())
+        start = end
+        while start > floor and text[start - 1] in LOCAL:
+            start -= 1
+        floor = m.end()
+        right = RIGHT[m.group()[0] if m.group()[0] in "@ " else "("].match(text, m.end()) if start < end else None
+        if right:
+            yield "email", start, right.end()
     if not DIGIT.search(text):
         return
     for m in RUN.finditer(text):
         groups = [g.span() for g in GROUP.finditer(m.group())]
         for i in range(len(groups)):
             n = 0
-            for j in range(i, min(len(groups), i + MOST_GROUPS)):
+            for j in range(i, len(groups)):
                 n += groups[j][1] - groups[j][0]
                 a, b = m.start() + groups[i][0], m.start() + groups[j][1]
-                if n > 19 or b - a > MOST_CHARS:
+                if n > MOST_DIGITS or b - a > MOST_CHARS:
                     break
                 if j - i == 3 and 4 <= n <= 12:
                     yield "ip", a, b
@@ -181,10 +185,15 @@ def _sentence(rnd: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     def card() -> str:
         body = rnd.choice("3456") + d(14)
         body += next(c for c in "0123456789" if luhn(body + c))
-        if rnd.random() < 0.5:
-            body = d(16)
+        if rnd.random() < 0.3:  # called a card, a mistyped one is one too
+            return rnd.choice(("card ", "visa ")) + (body if rnd.random() < 0.5 else unlucky(16))
         return body if rnd.random() < 0.5 else sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
+    def unlucky(n: int) -> str:
+        """As many digits as a card has, with a wrong check digit."""
+        body = d(n - 1)
+        return body + rnd.choice([c for c in "0123456789" if not luhn(body + c)])
+
     def email() -> str:
         at, dot = rnd.choice((("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("(at)", ".")))
         return f"{w()}.{d(2)}{at}{w()}{dot}{rnd.choice(('com', 'org', 'net', 'de'))}"
@@ -200,6 +209,7 @@ def _sentence(rnd: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         lambda: f"{rnd.randint(1900, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"version {d(1)}.{d(1)}.{d(2)}.{rnd.randint(256, 9999)}",
         lambda: f"${d(1)},{d(3)}.{d(2)}", lambda: f'token = "{"".join(rnd.choice("0123456789abcdef") for _ in range(40))}"', lambda: f"{d(4)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"order {d(8)}", lambda: f"id {d(12)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
         lambda: f"{w()} at {w()} ", lambda: f"ref {d(9)}", lambda: f"{d(5)}-{d(4)}", lambda: f"{d(8)}", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"no {d(13)}", lambda: f"{d(6)} {d(6)}", lambda: f"{d(22)}", lambda: f"{w()}@{w()}",
+        lambda: unlucky(16), lambda: unlucky(rnd.randint(13, 19)), lambda: sep.join(map("".join, zip(*[iter(unlucky(16))] * 4, strict=True))), lambda: f"no {unlucky(16)}",
         lambda: f"x{d(rnd.randint(13, 19))}{w()}", lambda: f"{w()}{d(11)}e", lambda: f"{d(16)}{w()}", lambda: f"{w()}_{d(10)}",
     )
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
@@ -209,7 +219,7 @@ def _sentence(rnd: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         if rnd.random() < 0.6:
             kind = rnd.choice(KINDS)
             said = make[kind]()
-            skip = 4 if said.startswith("tel ") else 5 if said.startswith("call ") else 0
+            skip = 4 if said.startswith("tel ") else 5 if said.startswith(("call ", "card ", "visa ")) else 0
             marks.append((kind, len(text) + skip, len(text) + len(said)))
             text += said + rnd.choice((" ", ", ", ". ", "!! ", "*** "))
         else:
