@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,13 @@ ROLES = {
 }
 ROLE_OF = {w: r for r, ws in ROLES.items() for w in ws.split()}
 
-TOKEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--(?:.*?)--!?>|[!?/][^>]*+>)", re.DOTALL)
+#: A tag with its quotes in pairs, and one that ends at the next sign whatever its quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+OTHER = re.compile(r"<([!?/])([^>]*+)()>")
+COMMENT_END = re.compile(r"--!?>")
+#: Tags of a page whose quotes have no end; after these all its tags end at the next sign, so that parsing stays linear.
+MOST_UNPAIRED = 16
 NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PLAIN = re.compile(r"[a-z]+")
 
@@ -54,14 +61,46 @@ class Node:
         self.label = -1
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """(block nodes, parents first; text blocks in page order as (node, text with white space folded))."""
+class Markup:
+    """The tags, comments and declarations of a page, found in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.unpaired, self.comments_end = 0, True
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """(begin, end, match if it is a tag) of the next piece of markup from `at` on; begin < 0 if there is none."""
+        at = self.page.find("<", at)
+        while 0 <= at < self.last:
+            if self.page.startswith("<!--", at) and self.comments_end:
+                end = COMMENT_END.search(self.page, at + 4)
+                if end:
+                    return at, end.end(), None
+                self.comments_end = False
+            m = TAG.match(self.page, at) if self.unpaired < MOST_UNPAIRED else None
+            if m is None:
+                m = LOOSE_TAG.match(self.page, at)
+                self.unpaired += m is not None
+            if m:
+                return at, m.end(), m
+            other = OTHER.match(self.page, at)
+            if other:
+                return at, other.end(), None
+            at = self.page.find("<", at + 1)
+        return -1, len(self.page), None
+
+
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """(block nodes, parents first; text blocks in page order as (node, text with white space folded)).
+
+    `labelled` pages, made for training, say in an attribute data-y what is content."""
     nodes = [Node("#root", -1, "")]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the block node that their text goes to
     out: list[tuple[int, str]] = []
     run: list[str] = []
     silent = links = 0
     at, size = 0, len(page)
+    markup, opened = Markup(page), Counter()  # how many elements of each tag are open
 
     def flush() -> None:
         nonlocal run
@@ -81,46 +120,46 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if any(t in BLOCKS for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
+            opened[t] -= 1
             silent -= t in SILENT
             links -= t == "a"
         del stack[k:]
 
     while at < size:
-        m = TOKEN.search(page, at)
-        said = page[at : m.start() if m else size]
+        begin, end, m = markup.next(at)
+        said = page[at : begin if begin >= 0 else size]
         if said and not silent:
             if "&" in said:
                 said = html.unescape(said)
             run.append(said)
             if links:
                 nodes[stack[-1][1]].linked += len(said)
-        if not m:
+        if begin < 0:
             break
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        at = end
+        if m is None:
             continue
-        tag = tag.lower()
+        tag = m.group(2).lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSED_BY else ():
+        for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in CLOSED_BY.get(tag, ())) else ():
             if stack[k][0] in CLOSED_BY[tag]:
                 close(k)
                 break
             if stack[k][0] in SCOPE:
                 break
-        if tag == "body" and silent and any(t == "head" for t, _ in stack):
+        if tag == "body" and silent and opened["head"]:
             close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
         if tag == "br":
             run.append(" ")
@@ -132,7 +171,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parent = stack[-1][1]
             nodes[parent].children += 1
             nodes.append(Node(tag, parent, names))
-            if "data-y" in m.group(3):
+            if labelled and "data-y" in m.group(3):
                 nodes[-1].label = int("data-y=1" in m.group(3))
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCKS:
             continue
@@ -142,6 +181,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         silent += tag in SILENT
         links += tag == "a"
+        opened[tag] += 1
         stack.append((tag, len(nodes) - 1 if tag in BLOCKS else stack[-1][1]))
     flush()
     return nodes, out
@@ -204,7 +244,7 @@ def _sigmoid(x: float) -> float:
 @lru_cache(maxsize=1)
 def weights() -> tuple[tuple[str, float], ...]:
     rnd = random.Random(SEED)
-    pages = [(nodes, [*map(features, nodes)]) for nodes in (parse(_page(rnd))[0] for _ in range(TRAIN_PAGES))]
+    pages = [(nodes, [*map(features, nodes)]) for nodes in (parse(_page(rnd), labelled=True)[0] for _ in range(TRAIN_PAGES))]
     w: dict[str, float] = {}
     seen: dict[str, float] = {}
     for _ in range(TRAIN_STEPS):
