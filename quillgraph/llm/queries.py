@@ -63,7 +63,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents"), least=20).drop("kept")
+    return without_repeats(table(spark, sf_dir, "documents"), least=20, with_text=False)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,8 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64).view(np.uint64)
 
 
-def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by a space) of every row.
+def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept (the words left, joined by a space) of every row.
 
     A word goes if a window of `least` words that holds it also starts earlier: in a smaller doc_id or
     earlier in the same document. Null and empty texts have no words. Rows of one doc_id follow each
@@ -132,7 +132,7 @@ def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_B
 
     def remove(table: pa.Table, seen: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _result([], [], [], [])
+            return _result([], [], [], [], with_text)
         b = Block(table, least)
         at = b.starts(least)
         x, y, first = b.sequences(at)
@@ -155,7 +155,7 @@ def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_B
             left = words if not mask.any() else [words[i] for i in np.flatnonzero(~mask).tolist()]
             removed.append(int(mask.sum()))
             kept.append(b" ".join(left))
-        return _result(b.table.column("doc_id"), b.counts, removed, kept)
+        return _result(b.table.column("doc_id"), b.counts, removed, kept, with_text)
 
     keyed = lambda df: df.groupBy("block")
     alone = Window.partitionBy("h")
@@ -163,10 +163,11 @@ def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_B
     same = Window.partitionBy("a", "b")
     firsts = keyed(dealt).cogroup(keyed(met)).applyInArrow(extend, "a long, b long, doc long, block int")
     seen = firsts.withColumn("first", F.min("doc").over(same)).where("doc > first").select("a", "b", "block")
-    return keyed(dealt).cogroup(keyed(seen)).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return keyed(dealt).cogroup(keyed(seen)).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
 
 
-def _result(ids, n_words, n_removed, kept: list[bytes]) -> pa.Table:
+def _result(ids, n_words, n_removed, kept: list[bytes], with_text: bool) -> pa.Table:
     digests = [hashlib.sha256(k).hexdigest() for k in kept]
     ids = ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.int64())
-    return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array([k.decode() for k in kept], pa.string())})
+    out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+    return pa.table(out | {"kept": pa.array([k.decode() for k in kept], pa.string())} if with_text else out)
