@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms as T
-from ..operators import align, compare, workflow
+from ..operators import align, compare, extract, graph, report, workflow
 from ..operators.algebra import evaluate
 from ..operators.graph import Mapping, Store, TableStore, TripleStore
+from ..sources import trees
 from .sparql import parse
 
 MAPPINGS = {
@@ -57,9 +58,21 @@ PATTERNS: dict[str, tuple[tuple[str, ...], str, dict[str, str], str]] = {
     "optional_multi": (("customer", "orders"), "SELECT ?c ?o ?p WHERE { ?c customer:c_name ?name . OPTIONAL { ?o orders:o_custkey ?c } OPTIONAL { ?o orders:o_orderpriority ?p } }", {}, "SELECT 'customer/' || c_custkey AS c, 'orders/' || o_orderkey AS o, o_orderpriority AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL UNION ALL SELECT 'customer/' || c_custkey, 'orders/' || o_orderkey, o_orderpriority FROM customer, orders WHERE NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = c_custkey)"),
     "optional_group": (("orders", "lineitem", "part"), "SELECT ?o ?l ?brand WHERE { ?o a <orders> . OPTIONAL { ?l lineitem:l_orderkey ?o ; lineitem:l_partkey ?p . ?p part:p_brand ?brand } }", {}, "SELECT 'orders/' || o_orderkey AS o, 'lineitem/' || l_orderkey || '/' || l_linenumber AS l, p_brand AS brand FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey"),
     "union_extend": (("customer", "supplier"), 'SELECT ?x ?kind ?n WHERE { { ?x customer:c_nationkey ?n . BIND("buyer" AS ?kind) } UNION { ?x supplier:s_nationkey ?n . BIND("seller" AS ?kind) } }', {}, "SELECT 'customer/' || c_custkey AS x, 'buyer' AS kind, 'nation/' || c_nationkey AS n FROM customer WHERE c_nationkey IS NOT NULL UNION ALL SELECT 'supplier/' || s_suppkey, 'seller', 'nation/' || s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL"),
-    "select_exprs": (("documents", "labels"), 'SELECT ?d (COALESCE(?t, ?q, "none") AS ?first) (IF(BOUND(?t) || BOUND(?q), "some", "none") AS ?any) WHERE { ?d documents:lang ?lang . OPTIONAL { ?l labels:doc_id ?d ; labels:toxic ?t } OPTIONAL { ?l labels:quality ?q } FILTER(BOUND(?l)) }', {}, "SELECT 'documents/' || d.doc_id AS d, coalesce(CAST(toxic AS VARCHAR), CAST(quality AS VARCHAR), 'none') AS \"first\", CASE WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 'some' ELSE 'none' END AS \"any\" FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND toxic IS NOT NULL WHERE lang IS NOT NULL"),
+    "select_exprs": (("documents", "labels"), 'SELECT ?d (COALESCE(?t, ?q, "none") AS ?first) (IF(BOUND(?t) || BOUND(?q), "some", "none") AS ?any) WHERE { ?d documents:lang ?lang . OPTIONAL { ?l labels:doc_id ?d ; labels:toxic ?t OPTIONAL { ?l labels:quality ?q } } FILTER(BOUND(?l)) }', {}, "SELECT 'documents/' || d.doc_id AS d, coalesce(CAST(toxic AS VARCHAR), CAST(quality AS VARCHAR), 'none') AS \"first\", CASE WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 'some' ELSE 'none' END AS \"any\" FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND toxic IS NOT NULL WHERE lang IS NOT NULL"),
     "filter_ne": (("events",), 'SELECT ?e ?kind WHERE { ?e events:event_type ?kind . FILTER(?kind != "error") FILTER(?kind != "view") }', {}, "SELECT 'events/' || event_id AS e, event_type AS kind FROM events WHERE event_type <> 'error' AND event_type <> 'view'"),
-    "not_exists": (("customer", "orders"), "SELECT ?c ?name WHERE { ?c customer:c_name ?name . FILTER NOT EXISTS { ?o orders:o_custkey ?c } }", {}, "SELECT 'customer/' || c_custkey AS c, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "optional_unbound": (
+        ("region", "nation"),
+        'SELECT ?r ?n ?name WHERE { ?r a <region> . OPTIONAL { ?r region:r_name "ASIA" . ?n nation:n_regionkey ?r } OPTIONAL { ?n nation:n_name ?name } }',
+        {},
+        "WITH a AS (SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_name = 'ASIA') SELECT 'region/' || r_regionkey AS r, 'nation/' || coalesce(a.n_nationkey, n.n_nationkey) AS n, n_name AS name FROM a LEFT JOIN nation n ON a.n_nationkey = n.n_nationkey OR a.n_nationkey IS NULL",
+    ),
+    "not_exists": (("documents", "labels"), "SELECT ?d ?lang WHERE { ?d documents:lang ?lang . FILTER NOT EXISTS { ?l labels:doc_id ?d } }", {}, "SELECT 'documents/' || doc_id AS d, lang FROM documents d WHERE lang IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "not_exists_unbound": (
+        ("region", "nation", "supplier"),
+        'SELECT ?r ?n WHERE { ?r a <region> . OPTIONAL { ?r region:r_name "ASIA" . ?n nation:n_regionkey ?r } FILTER NOT EXISTS { ?n nation:n_name "INDIA" } }',
+        {},
+        "SELECT 'region/' || r_regionkey AS r, 'nation/' || n_nationkey AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_name = 'ASIA' WHERE NOT EXISTS (SELECT 1 FROM nation x WHERE x.n_name = 'INDIA' AND (x.n_nationkey = nation.n_nationkey OR nation.n_nationkey IS NULL))",
+    ),
     "exists_marker": (("nation", "supplier", "customer"), 'SELECT ?n (IF(EXISTS { ?s supplier:s_nationkey ?n }, "sells", IF(EXISTS { ?c customer:c_nationkey ?n }, "buys", "other")) AS ?kind) WHERE { ?n a <nation> }', {}, "SELECT 'nation/' || n_nationkey AS n, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 'sells' WHEN EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) THEN 'buys' ELSE 'other' END AS kind FROM nation"),
     "regex_classify": (("events",), 'SELECT ?e ?class WHERE { ?e a <events> . OPTIONAL { ?e events:event_type ?t } BIND(IF(REGEX(COALESCE(?t, ""), "PURCH|sign", "i"), "gain", IF(REGEX(COALESCE(?t, ""), "err", "i"), "loss", IF(BOUND(?t), "other", "none"))) AS ?class) }', {}, "SELECT 'events/' || event_id AS e, CASE WHEN regexp_matches(coalesce(event_type, ''), 'PURCH|sign', 'i') THEN 'gain' WHEN regexp_matches(coalesce(event_type, ''), 'err', 'i') THEN 'loss' WHEN event_type IS NOT NULL THEN 'other' ELSE 'none' END AS class FROM events"),
     "path_seq": (("lineitem", "orders", "customer"), "SELECT ?l ?n WHERE { ?l lineitem:l_orderkey/orders:o_custkey/customer:c_nationkey ?n }", {}, "SELECT 'lineitem/' || l_orderkey || '/' || l_linenumber AS l, 'nation/' || c_nationkey AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"),
@@ -100,6 +113,44 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.materialised().withColumn("graph_id", F.lit("g")).select("graph_id", "s", "p", "o")
 
 
+def objects_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.objects(_graph(spark, sf_dir), "<nation#n_name>").select("s", T.lexical(F.col("o")).alias("name"))
+
+
+def holds_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    rows = graph.subjects(g, T.TYPE, "<nation>")
+    return graph.holds(rows, g, "<nation#n_regionkey>", "<region/2>").select("s", "holds")
+
+
+def direction_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("framework"), F.col("source").alias("target"), "n_chars")
+    return compare.direction_means(d, ["n_chars"])
+
+
+def count_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    counts = e.groupBy(F.when(F.col("event_id") % 3 == 0, "left").otherwise("right").alias("side"), F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = e.select(F.col("event_type").alias("left_key")).distinct()
+    rules = kinds.select(F.col("left_key").alias("rule"), "left_key", F.col("left_key").alias("right_key")).union(spark.sql("SELECT 'none', 'nothing', 'nothing' UNION ALL SELECT 'half', 'view', 'nothing'"))
+    return compare.count_agreement(rules, counts)
+
+
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name", "s_suppkey", "s_acctbal")
+    return report.text_report(s, "s_name")
+
+
+def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("report/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("modified"))
+    return report.latest(o, 10)
+
+
+def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", extract.python_text(F.col("text")).alias("escaped"), trees.default_namespace(F.col("source")).alias("namespace"), trees.default_system_name(F.col("lang")).alias("name"))
+
+
 def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.class_histogram(_graph(spark, sf_dir)).drop("graph_id")
 
@@ -211,7 +262,7 @@ def _pattern(name: str):
 
 QUERIES = {n: _pattern(n) for n in PATTERNS} | {
     f.__name__: f
-    for f in (class_histogram, intrinsic_counts, property_usage, individual_prf, property_prf, triple_prf, literal_overlap, missing_extra, feature_macro_prf, group_means, token_jaccard_pairs, greedy_align, fuzzy_align, workflow_edges, end_steps, implicit_dependency, json_props, substring_recall)
+    for f in (objects_of, holds_triple, direction_means, count_agreement, text_report, latest_reports, source_texts, class_histogram, intrinsic_counts, property_usage, individual_prf, property_prf, triple_prf, literal_overlap, missing_extra, feature_macro_prf, group_means, token_jaccard_pairs, greedy_align, fuzzy_align, workflow_edges, end_steps, implicit_dependency, json_props, substring_recall)
 }
 
 _COLUMNS = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
@@ -234,6 +285,17 @@ ORACLES = {n: q[3] for n, q in PATTERNS.items()} | {
     "feature_macro_prf": f"SELECT CAST(round(avg(p) * 1e6) AS BIGINT) AS overall_precision, CAST(round(avg(q) * 1e6) AS BIGINT) AS overall_recall, CAST(round(avg(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END) * 1e6) AS BIGINT) AS overall_f1 FROM (SELECT feature, CASE WHEN sum(b) = 0 THEN 0.0 ELSE sum(a * b)::DOUBLE / sum(b) END AS p, CASE WHEN sum(a) = 0 THEN 0.0 ELSE sum(a * b)::DOUBLE / sum(a) END AS q FROM (SELECT feature, value, max(CASE WHEN g = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN g = 1 THEN 1 ELSE 0 END) AS b FROM ({_PART}) GROUP BY 1, 2) GROUP BY 1)",
     "group_means": "SELECT lang, avg(n_chars) AS n_chars, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), ())",
     "token_jaccard_pairs": f"SELECT a, b, m::DOUBLE / (x + y - m) AS score FROM (SELECT p.item_id AS a, q.item_id AS b, count(*) AS m FROM {_WORDS} p JOIN {_WORDS} q ON p.w = q.w AND p.item_id < q.item_id AND p.w <> '' GROUP BY 1, 2) JOIN (SELECT item_id, count(*) AS x FROM {_WORDS} WHERE w <> '' GROUP BY 1) s ON s.item_id = a JOIN (SELECT item_id, count(*) AS y FROM {_WORDS} WHERE w <> '' GROUP BY 1) t ON t.item_id = b WHERE m::DOUBLE / (x + y - m) >= 0.05",
+    "objects_of": "SELECT '<nation/' || n_nationkey || '>' AS s, n_name AS name FROM nation",
+    "holds_triple": "SELECT '<nation/' || n_nationkey || '>' AS s, n_regionkey = 2 AS holds FROM nation",
+    "direction_means": "SELECT lang AS framework, source AS target, avg(n_chars) AS n_chars, count(*) AS n FROM documents GROUP BY ALL",
+    "count_agreement": (
+        "WITH c AS (SELECT event_type AS k, count(*) FILTER (event_id % 3 = 0) AS l, count(*) FILTER (event_id % 3 <> 0) AS r FROM events WHERE event_type IS NOT NULL GROUP BY 1), "
+        "s AS (SELECT k AS rule, l AS \"left\", r AS \"right\" FROM c UNION ALL SELECT 'none', 0, 0 UNION ALL SELECT 'half', coalesce((SELECT l FROM c WHERE k = 'view'), 0), 0) "
+        "SELECT *, CASE WHEN \"left\" = 0 AND \"right\" = 0 THEN NULL ELSE least(\"left\", \"right\")::DOUBLE / greatest(\"left\", \"right\") END AS score FROM s"
+    ),
+    "text_report": "SELECT s_name, '== ' || s_name || ' ==' || chr(10) || '  s_suppkey: ' || s_suppkey || chr(10) || '  s_acctbal: ' || coalesce(printf('%.3f', s_acctbal), '—') AS text FROM supplier",
+    "latest_reports": "SELECT 'report/' || o_orderkey AS path, o_orderkey AS modified FROM orders ORDER BY o_orderkey DESC LIMIT 10",
+    "source_texts": "SELECT doc_id, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS escaped, 'http://example.org/' || replace(source, '-', '_') || '#' AS namespace, replace(lang, '-', '_') AS name FROM documents",
     "workflow_edges": "SELECT conv_id, turn, lead(turn) OVER w AS next, lag(turn) OVER w AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "end_steps": "SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1",
     "implicit_dependency": "SELECT a.conv_id, b.turn AS step, a.turn AS predecessor FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.nx WHERE b.role <> 'system'",

@@ -153,3 +153,20 @@ def test_catalog_answers_small_graph(spark):
     assert [catalog.run(n, t, v).columns for n in (1, 35)] == [["system", "agent"], ["task", "checkpoint", "position", "checkpointType", "mandatory"]]
     with pytest.raises(ValueError):
         catalog.question(36, v)
+
+
+def test_unbound_variables_match_anything(spark):
+    """Rows of optional parts against a brute-force evaluation: a variable that is unbound is compatible with all."""
+    from quillgraph.operators.algebra import bindings, evaluate
+    from quillgraph.operators.graph import TripleStore
+    from quillgraph.plans.sparql import parse
+
+    rows = [("<a>", "<p>", "<x>"), ("<b>", "<p>", "<y>"), ("<c>", "<q>", "<x>"), ("<x>", "<n>", '"1"'), ("<y>", "<n>", '"2"'), ("<z>", "<n>", '"3"')]
+    store = TripleStore(spark.createDataFrame(rows, "s string, p string, o string"))
+    ask = lambda q: sorted(evaluate(parse(q), store).collect(), key=repr)
+    got = ask("SELECT ?s ?v ?k WHERE { { ?s <p> ?w } UNION { ?s <q> ?w } OPTIONAL { ?s <p> ?v } OPTIONAL { ?v <n> ?k } }")
+    assert [tuple(r) for r in got] == [("<a>", "<x>", '"1"'), ("<b>", "<y>", '"2"'), ("<c>", "<x>", '"1"'), ("<c>", "<y>", '"2"'), ("<c>", "<z>", '"3"')]
+    pairs = ask("SELECT ?a ?b WHERE { ?a <p> <x> . ?b <q> <x> }")
+    assert [tuple(r) for r in pairs] == [("<a>", "<c>")]
+    sure, maybe = bindings(parse("SELECT ?s ?v ?k WHERE { ?s <p> ?w OPTIONAL { ?s <n> ?v } }"))
+    assert sure == {"s"} and maybe == {"v", "k"}
