@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 #: Words of an n-gram of the language model.
@@ -90,5 +91,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
 }
-
-ORACLES: dict[str, str] = {}
