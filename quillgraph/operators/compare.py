@@ -148,15 +148,21 @@ def element_coverage(elements: DataFrame, pairs: DataFrame) -> DataFrame:
 def content_recall(wanted: DataFrame, texts: DataFrame, shortest: int = 1) -> DataFrame:
     """id, found: whether a wanted text equals one of `texts` or is inside one.
 
-    Equality is a hash join. What is left is found by containment through the words that both have: a
-    text that holds another holds its first whole word or an extension of it, so the check is made on
-    few pairs instead of all."""
+    Equality is a hash join. What is left is found by containment through a word: a text that holds
+    another holds its inner words whole, so the two meet at the longest of these. Only numbers of texts
+    are dealt by words; the texts come back for the pairs that met. A wanted text of one or two words
+    has no inner word and is looked for in all texts."""
     w = wanted.select("id", T.folded(F.col("text")).alias("w")).where(F.length("w") >= shortest)
     t = texts.select(T.folded(F.col("text")).alias("t")).distinct()
     exact = w.join(t, w.w == t.t, "left_semi").select("id").withColumn("found", F.lit(True))
     rest = w.join(exact, "id", "left_anti")
-    inner = rest.withColumn("words", F.split("w", " ")).withColumn("key", F.when(F.size("words") > 2, F.expr("words[1]")))
-    keyed = inner.where("key is not null").join(t.select("t", F.explode(F.array_distinct(F.split("t", " "))).alias("key")), "key").where(F.col("t").contains(F.col("w"))).select("id").distinct()
+    inner = rest.withColumn("words", F.split("w", " "))
+    longest = F.expr("array_max(transform(slice(words, 2, size(words) - 2), x -> struct(length(x) as n, x as word))).word")
+    inner = inner.withColumn("key", F.when(F.size("words") > 2, longest))
+    t = t.withColumn("tid", F.xxhash64("t"))  # equal numbers of unlike texts only mean one more check
+    said = t.select("tid", F.explode(F.array_distinct(F.split("t", " "))).alias("key")).distinct()
+    met = inner.where("key is not null").select("id", "w", "key").join(said, "key").select("id", "w", "tid").distinct()
+    keyed = met.join(t, "tid").where(F.col("t").contains(F.col("w"))).select("id").distinct()
     short = inner.where("key is null")
     loose = short.join(t, F.col("t").contains(F.col("w")), "left_semi").select("id").distinct()
     hits = exact.select("id").union(keyed).union(loose).distinct().withColumn("found", F.lit(True))

@@ -9,12 +9,15 @@ import ast
 import hashlib
 import importlib.util
 import json
+import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .records import CONDITION
+
 
 def _name(node: ast.AST | None) -> str:
     if isinstance(node, ast.Name):
@@ -221,6 +224,105 @@ def _keywords(call: ast.Call) -> dict[str, ast.AST]:
     return {k.arg: k.value for k in call.keywords if k.arg}
 
 
+def _targets(router: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Where a router may lead: the texts of its Literal annotation, or what it returns as texts or as END."""
+    if isinstance(router.returns, ast.Subscript) and _last(router.returns) == "Literal":
+        return [x for x in (_text(e) or _last(e) for e in ast.walk(router.returns.slice) if isinstance(e, (ast.Constant, ast.Name))) if x]
+    values = [v for r in ast.walk(router) if isinstance(r, ast.Return) and r.value is not None for v in ((r.value.body, r.value.orelse) if isinstance(r.value, ast.IfExp) else (r.value,))]
+    return list(dict.fromkeys(x for x in (_text(v) or ("END" if _last(v) == "END" else None) for v in values) if x))
+
+
+def _commands(function: ast.AST) -> tuple[list[str], bool]:
+    """The literal targets of Command(goto=...) in a function, in order, and whether there are others."""
+    goals, open_ended = [], False
+    for n in ast.walk(function):
+        if isinstance(n, ast.Call) and _last(n.func) == "Command" and (goto := _keywords(n).get("goto")) is not None:
+            for e in goto.elts if isinstance(goto, (ast.List, ast.Tuple)) else [goto]:
+                goal = _text(e) or ("END" if _last(e) == "END" else None)
+                goals, open_ended = ([*goals, goal], open_ended) if goal else (goals, True)
+    return list(dict.fromkeys(goals)), open_ended
+
+
+#: Conditions that end a group chat by a message of their kind.
+EVENT_ENDS = ("TextMessageTermination", "HandoffTermination", "ExternalTermination")
+
+
+def _ending(node: ast.AST | None, named: dict[str, ast.AST], depth: int = 0) -> dict | None:
+    """What a termination condition says, through names and through | and &."""
+    if isinstance(node, ast.Name):
+        return _ending(named.get(node.id), named, depth + 1) if depth < 8 else None
+    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.BitOr, ast.BitAnd)):
+        parts = [x for x in (_ending(e, named, depth) for e in (node.left, node.right)) if x]
+        return {"type": "Composite", "operator": "OR" if isinstance(node.op, ast.BitOr) else "AND", "conditions": parts} if parts else None
+    if not isinstance(node, ast.Call):
+        return None
+    kind, first = _last(node.func), node.args[0] if node.args else None
+    if kind == "MaxMessageTermination":
+        most = _keywords(node).get("max_messages", first)
+        return {"type": "TurnLimit", "max_turns": most.value if isinstance(most, ast.Constant) else None}
+    if kind == "TextMentionTermination":
+        return {"type": "EventBased", "trigger": str(first.value) if isinstance(first, ast.Constant) else ""}
+    return {"type": "EventBased", "trigger": kind} if kind in EVENT_ENDS else None
+
+
+def _model_name(node: ast.AST | None) -> str | None:
+    """The language model that a value names: a text, or LLM(model=...)."""
+    if isinstance(node, ast.Call) and _last(node.func) == "LLM":
+        return _text(_keywords(node).get("model", node.args[0] if node.args else None))
+    return _text(node)
+
+
+def _models(tree: ast.AST) -> Iterator[tuple[str, str, dict]]:
+    """Classes of fields: subclasses of BaseModel and TypedDict, and of such classes in the file. Inputs of tools are none."""
+    classes = [n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
+    known, more = {"BaseModel", "TypedDict"}, True
+    while more:
+        found = {c.name for c in classes if {_last(b) for b in c.bases} & known}
+        more = not found <= known
+        known |= found
+    for c in classes:
+        if c.name not in known or c.name.endswith("Input"):
+            continue
+        fields = {}
+        for x in c.body:
+            if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name):
+                said = _keywords(x.value).get("description") if isinstance(x.value, ast.Call) else None
+                fields[x.target.id] = {"type": ast.unparse(x.annotation), "description": _text(said) or ""}
+        yield "model", c.name, {"schema": fields_schema(fields), "fields": {k: v["type"] for k, v in fields.items()}}
+
+
+#: What decorators of a flow's methods make of them.
+FLOW_STEPS = {"start": "start", "listen": "regular", "router": "conditional"}
+
+
+def _flow_classes(tree: ast.AST, source: str) -> Iterator[tuple[str, str, dict]]:
+    """Flow classes and their decorated methods: what they listen to, which crew they start, where routers lead and how."""
+    lines = source.splitlines()
+    for c in ast.walk(tree):
+        base = next((b for b in c.bases if _last(b) == "Flow"), None) if isinstance(c, ast.ClassDef) else None
+        if base is None:
+            continue
+        crews, order = set(), 0
+        for m in c.body:
+            marks = [d for d in getattr(m, "decorator_list", ()) if _last(d) in FLOW_STEPS]
+            if not marks:
+                continue
+            kind, waits, joins = FLOW_STEPS[_last(marks[-1])], [], ""
+            for a in [a for d in marks if isinstance(d, ast.Call) for a in d.args]:
+                inner = a.args if isinstance(a, ast.Call) and _last(a.func) in ("or_", "and_") else [a]
+                joins = _last(a.func) if inner != [a] else joins
+                waits += [str(e.value) if isinstance(e, ast.Constant) else e.id for e in inner if isinstance(e, (ast.Constant, ast.Name))]
+            starts = (n.func.value for n in ast.walk(m) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in ("kickoff", "kickoff_async"))
+            crew = next((_last(x.func.value.func) for x in starts if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "crew" and isinstance(x.func.value, ast.Call)), None)
+            crews |= {crew} - {None}
+            routes = kind == "conditional"
+            body = "\n".join(lines[m.body[0].lineno - 1 : m.body[-1].end_lineno]) if routes else ""
+            yield "flow_step", f"{c.name}.{m.name}", {"flow": c.name, "method": m.name, "ord": order, "type": kind, "waits": waits, "joins": joins, "crew": crew, "returns": _targets(m) if routes else [], "body": body}
+            order += 1
+        state = base.slice.id if isinstance(base, ast.Subscript) and isinstance(base.slice, ast.Name) else None
+        yield "flow", c.name, {"state_model": state, "crews": sorted(crews)}
+
+
 def _state_graph(tree: ast.AST) -> Iterator[tuple[str, str, dict]]:
     """Records of state-graph builders: nodes are steps and agents, edges lead, conditional edges fan out."""
     functions = {n.name: n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
@@ -234,6 +336,11 @@ def _state_graph(tree: ast.AST) -> Iterator[tuple[str, str, dict]]:
             made = functions.get(_last(args[1]) if len(args) > 1 else name)
             yield "step", name, {"ord": order, "doc": (ast.get_docstring(made) or "") if made else ""}
             order += 1
+            goals, open_ended = _commands(made) if made else ([], False)
+            if len(goals) == 1 and not open_ended:
+                yield "edge", name, {"to": goals}
+            elif goals or open_ended:
+                yield "fan", name, {"mapping": {x: x for x in goals}, "router": made.name}
         elif kind == "add_edge" and len(args) == 2:
             yield "edge", _text(args[0]) or _last(args[0]), {"to": [_text(args[1]) or _last(args[1])]}
         elif kind == "add_conditional_edges" and len(args) >= 2:
@@ -244,8 +351,7 @@ def _state_graph(tree: ast.AST) -> Iterator[tuple[str, str, dict]]:
                 mapping = {x: x for x in (_text(e) or _last(e) for e in args[2].elts)}
             router = functions.get(_last(args[1]))
             if router and not mapping:
-                said = [_text(r.value) for r in ast.walk(router) if isinstance(r, ast.Return)]
-                mapping = {x: x for x in said if x}
+                mapping = {x: x for x in _targets(router)}
             yield "fan", _text(args[0]) or _last(args[0]), {"mapping": mapping, "router": _last(args[1])}
         elif kind in ("set_entry_point", "set_finish_point") and args:
             target = _text(args[0]) or _last(args[0])
@@ -268,10 +374,12 @@ class _Calls(ast.NodeVisitor):
         self.name, self.home = "", ()
         self.lists: dict[tuple[tuple[str, ...], str], list[ast.List]] = {}
         self.imports: dict[str, tuple[str, str]] = {}
+        self.settings: dict[str, dict[str, ast.AST]] = {}  # of classes
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         before = self.scope, self.owner, self.method, self.name
         self.scope, self.owner, self.method, self.name = (*self.scope, node.name), node.name, "", ""
+        self.settings[node.name] = {t.id: x.value for x in node.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)}
         self.generic_visit(node)
         self.scope, self.owner, self.method, self.name = before
 
@@ -370,22 +478,51 @@ def _group_chat(tree: ast.AST, teams: dict[str, str]) -> Iterator[tuple[str, str
                 return [y.node for y in calls.found if y.kind == "agent" and y.method and y.owner == user.owner and y.home == user.scope[: len(y.home)]]
         return []
 
+    named = {t.id: n.value for n in ast.walk(tree) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+    names = lambda e: [_last(y.func if isinstance(y, ast.Call) else y) for y in e.elts] if isinstance(e, (ast.List, ast.Tuple)) else []
+
+    def configured(x: _Found, kw: dict[str, ast.AST]) -> dict:
+        """The YAML file, beside the source, and the key in it that a call in a class refers to."""
+        config, of = kw.get("config"), f"{x.kind}s_config"
+        if isinstance(config, ast.Subscript):
+            key, of = _text(config.slice), _last(config)
+        elif isinstance(config, ast.Call):
+            key, of = _text(config.args[0]) if config.args else None, _last(config.func.value) if isinstance(config.func, ast.Attribute) else of
+        else:
+            key = None
+        file = _text(calls.settings.get(x.owner, {}).get(of))
+        return {"config_file": file, "config_key": key or x.method or x.alias} if file else {}
+
+    def rails(e: ast.AST | None) -> list[str]:
+        if isinstance(e, (ast.List, ast.Tuple)):
+            return [r for y in e.elts for r in rails(y)]
+        return [] if e is None else [f"LLMBased:{_text(e)}"] if _text(e) is not None else [f"FunctionBased:{_last(e)}"] if _last(e) else []
+
     for k, x in enumerate(calls.found):
         n, cls, kw = x.node, x.cls, _keywords(x.node)
         said = {a: _text(v) for a, v in kw.items() if _text(v) is not None}
+        said |= {a: v.value for a, v in kw.items() if isinstance(v, ast.Constant) and isinstance(v.value, (bool, int))}
+        said |= configured(x, kw)
         own = {"_at": k, "_alias": x.alias if not x.home else ""}
         if x.kind == "agent":
             key = x.method or said.get("name") or (_text(n.args[0]) if n.args else None) or said.get("role") or x.alias or cls
             tools = [_last(e) for e in kw["tools"].elts] if isinstance(kw.get("tools"), ast.List) else []
-            yield "agent", key, {**said, "class": cls, "tools": tools, **own, "_key": key}
+            model = _model_name(kw.get("llm")) or _model_name(named.get(_last(kw.get("llm")))) or _model_name(calls.settings.get(x.owner, {}).get("llm"))
+            yield "agent", key, {**said, **({"llm": model} if model else {}), "class": cls, "tools": tools, **own, "_key": key}
         elif x.kind == "task":
             refs = [meant(kw["agent"], "agent", x)] if kw.get("agent") is not None else []
-            yield "task", x.method or said.get("name") or x.alias or cls, {**said, "agent": _last(kw.get("agent")), **own, "_refs": refs}
+            more = {"context": names(kw.get("context")), "tools": names(kw.get("tools")), "guardrails": [*rails(kw.get("guardrail")), *rails(kw.get("guardrails"))]}
+            more |= {c: _last(kw[c]) for c in ("output_pydantic", "output_json") if c in kw}
+            yield "task", x.method or said.get("name") or x.alias or cls, {**said, **more, "agent": _last(kw.get("agent")), **own, "_refs": refs}
         else:
-            turns = kw.get("max_turns")
+            turns = kw.get("max_turns", kw.get("max_round"))
+            end = _ending(kw.get("termination_condition"), named)
+            ends = [end] if end else []
+            work = [y.method for y in calls.found if y.kind == "task" and y.method and y.owner == x.owner] if x.method and x.owner else []
+            crew = {c: said[c] for c in ("verbose", "memory", "manager_llm") if c in said} | {"process": _last(kw.get("process")) or "sequential", "tasks": work} if cls == "Crew" else {}
             refs = [meant(e, "agent", x) for e in listed(n, x)]
             title = x.owner if x.method and x.owner else cls
-            yield "team", title, {"class": title, "members": [r["name"] for r in refs], "pattern": teams.get(cls, "Sequential"), "max_turns": turns.value if isinstance(turns, ast.Constant) else None, **own, "_refs": refs}
+            yield "team", title, {"class": title, "members": [r["name"] for r in refs], "pattern": teams.get(cls, "Sequential"), "max_turns": turns.value if isinstance(turns, ast.Constant) else None, "terminations": ends, **crew, **own, "_refs": refs}
 
 
 def _settled(f: pd.DataFrame) -> pd.DataFrame:
@@ -439,10 +576,10 @@ def _settled(f: pd.DataFrame) -> pd.DataFrame:
 TEAM_CLASSES = {"RoundRobinGroupChat": "RoundRobin", "GroupChat": "RoundRobin", "SelectorGroupChat": "SelectorBased", "Swarm": "Swarm", "MagenticOneGroupChat": "Custom"}
 
 
-def program_records(files: DataFrame) -> DataFrame:
-    """system_id, kind (agent, task, team, step, edge, fan, tool), key, ord, payload (JSON) of sources.
+def program_records(files: DataFrame, strict: bool = False) -> DataFrame:
+    """system_id, kind (agent, task, team, step, edge, fan, tool, model, flow, flow_step), key, ord, payload (JSON) of sources.
 
-    Tools are functions with a tool decorator and subclasses of BaseTool. Each agent, task and team call
+    A file that does not parse is skipped, or, if strict, ends the run with an error that names it. Tools are functions with a tool decorator and subclasses of BaseTool. Each agent, task and team call
     is a record with a key of its own; `ord` counts a system's records by path. One task settles the
     records (not the sources) of a system."""
 
@@ -452,10 +589,15 @@ def program_records(files: DataFrame) -> DataFrame:
             for g, path, source in zip(f.system_id, f.path, f.source, strict=True):
                 try:
                     tree = ast.parse(source or "")
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError) as e:
+                    if strict:
+                        raise ValueError(f"{path}: {e}") from e
                     continue
                 file = hashlib.md5(f"{path}\0{source}".encode("utf-8", "replace")).hexdigest()
-                found = [*_group_chat(tree, TEAM_CLASSES), *_state_graph(tree)]
+                found = [*_group_chat(tree, TEAM_CLASSES), *_state_graph(tree), *_models(tree), *_flow_classes(tree, source or "")]
+                for _, _, payload in found:
+                    if payload.get("config_file"):
+                        payload["config_file"] = posixpath.normpath(posixpath.join(posixpath.dirname(path or ""), payload["config_file"]))
                 for n in ast.walk(tree):
                     tool = isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and any(_last(d) == "tool" for d in n.decorator_list) or isinstance(n, ast.ClassDef) and any(_last(b) == "BaseTool" for b in n.bases)
                     if tool:
@@ -468,12 +610,21 @@ def program_records(files: DataFrame) -> DataFrame:
     return each.groupBy("system_id").applyInPandas(_settled, schema)
 
 
-def to_records(found: DataFrame, framework: str, namespace: str = "http://example.org/") -> dict[str, DataFrame]:
-    """Records for lifting out of program_records: every agent, task and team; of steps, fans and tools the last one of a key."""
+def to_records(found: DataFrame, framework: str, namespace: str = "http://example.org/", entries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Records for lifting out of program_records: every agent, task and team; of steps, fans and tools the last one of a key.
+
+    entries: system_id, path, key, fields of YAML files, as sources.trees reads them; agents and tasks that a class
+    configures there take from them what their calls do not say."""
     last = lambda kind, schema: found.where(F.col("kind") == kind).groupBy("system_id", "key").agg(F.max_by("payload", "ord").alias("payload"), F.max("ord").alias("ord")).withColumn("x", F.from_json("payload", schema))
-    agents = last("agent", "name string, role string, goal string, backstory string, system_message string, description string, model string, llm string, class string, tools array<string>")
+    none = found.select("system_id", F.lit("").alias("path"), "key", F.create_map().cast("map<string,string>").alias("fields")).limit(0)
+    told = (none if entries is None else entries.select("system_id", "path", "key", "fields")).toDF("system_id", "_path", "_entry", "_fields")
+    filled = lambda df: df.join(told, (df.system_id == told.system_id) & (F.col("x.config_file") == F.col("_path")) & (F.col("x.config_key") == F.col("_entry")), "left").drop(told.system_id)
+    given = lambda c: F.nullif(F.regexp_replace(F.element_at("_fields", F.lit(c)), r"^\s+|\s+$", ""), F.lit(""))
+    agents = last("agent", "verbose boolean, allow_delegation boolean, memory boolean, reasoning boolean, max_reasoning_attempts int, config_file string, config_key string, name string, role string, goal string, backstory string, system_message string, description string, model string, llm string, class string, tools array<string>")
     cut = F.split(F.coalesce("x.system_message", F.lit("")), r"\. ", 2)
-    agents = agents.select("system_id", F.col("key").alias("agent_key"), F.coalesce("x.role", "x.name", "key").alias("role"), F.coalesce("x.goal", cut[0]).alias("goal"), F.coalesce("x.backstory", F.get(cut, F.lit(1))).alias("backstory"), F.coalesce("x.llm", "x.model").alias("llm"), "x.tools", F.lit(False).alias("reasoning"), F.lit(False).alias("memory"), F.col("x.description").alias("description"), F.when(F.col("x.class") == "UserProxyAgent", "UserProxy").otherwise("GeneralPurpose").alias("agent_type"), (F.col("x.class") == "UserProxyAgent").alias("human_input"))
+    goal, backstory = F.coalesce("x.goal", given("goal"), cut[0]), F.coalesce("x.backstory", given("backstory"), F.get(cut, F.lit(1)))
+    no = F.lit(False)
+    agents = filled(agents).select("system_id", F.col("key").alias("agent_key"), F.coalesce("x.role", given("role"), "x.name", "key").alias("role"), goal.alias("goal"), backstory.alias("backstory"), F.coalesce("x.llm", "x.model", given("llm")).alias("llm"), "x.tools", F.coalesce("x.reasoning", no).alias("reasoning"), "x.max_reasoning_attempts", F.coalesce("x.memory", no).alias("memory"), "x.verbose", "x.allow_delegation", F.col("x.description").alias("description"), F.when(F.col("x.class") == "UserProxyAgent", "UserProxy").otherwise("GeneralPurpose").alias("agent_type"), (F.col("x.class") == "UserProxyAgent").alias("human_input"))
     steps = last("step", "ord int, doc string")
     edges = found.where("kind = 'edge'").select("system_id", F.col("key").alias("src"), F.explode(F.from_json("payload", "to array<string>").getField("to")).alias("dst")).distinct()
     fans = last("fan", "mapping map<string,string>, router string").select("system_id", F.col("key").alias("src"), "x.mapping", "x.router")
@@ -483,10 +634,21 @@ def to_records(found: DataFrame, framework: str, namespace: str = "http://exampl
     kind = F.when(F.col("starts"), "start").when(F.col("mapping").isNotNull(), "conditional").otherwise("regular")
     flow_steps = steps.select("system_id", F.lit("StateGraph").alias("flow"), F.col("x.ord").alias("ord"), F.col("key").alias("method_name"), kind.alias("step_type"), F.array().cast("array<string>").alias("dependencies"), F.array_sort(F.map_values("mapping")).alias("return_values"), F.col("router").alias("function_body"), F.col("key").alias("associated_agent_key"), F.col("mapping").alias("edge_mapping"), "outgoing")
     node_agents = steps.join(agents.select("system_id", F.col("agent_key").alias("key")), ["system_id", "key"], "left_anti").select("system_id", F.col("key").alias("agent_key"), F.col("key").alias("role"), F.col("x.doc").alias("goal"), F.lit(False).alias("reasoning"), F.lit(False).alias("memory"))
-    tasks = last("task", "description string, expected_output string, agent string").select("system_id", F.col("key").alias("task_key"), "x.description", "x.expected_output", F.col("x.agent").alias("agent_key"), F.when(F.col("x.agent") != "", "ExplicitAssignment").alias("delegation_strategy"))
-    teams = last("team", "class string, members array<string>, pattern string, max_turns int").select("system_id", F.col("key").alias("team_key"), F.coalesce("x.class", "key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.col("x.pattern").alias("coordination_pattern"), "x.max_turns")
+    tasks = filled(last("task", "config_file string, config_key string, description string, expected_output string, agent string, context array<string>, tools array<string>, guardrails array<string>, guardrail_max_retries int, output_pydantic string, output_json string, human_input boolean"))
+    by = F.coalesce(F.nullif("x.agent", F.lit("")), given("agent"), "x.agent")
+    tasks = tasks.select("system_id", F.col("key").alias("task_key"), F.coalesce("x.description", given("description")).alias("description"), F.coalesce("x.expected_output", given("expected_output")).alias("expected_output"), by.alias("agent_key"), F.when(by != "", "ExplicitAssignment").alias("delegation_strategy"), "x.tools", F.col("x.context").alias("context_tasks"), "x.guardrails", "x.guardrail_max_retries", "x.output_pydantic", "x.output_json", F.coalesce("x.human_input", no).alias("human_input"))
+    teams = last("team", f"class string, members array<string>, pattern string, max_turns int, process string, tasks array<string>, verbose boolean, memory boolean, manager_llm string, terminations array<{CONDITION}>")
+    pattern = F.when(F.col("x.process").isNull(), F.col("x.pattern"))  # of a crew its process tells
+    teams = teams.select("system_id", F.col("key").alias("team_key"), F.coalesce("x.class", "key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.coalesce("x.tasks", F.array().cast("array<string>")).alias("task_keys"), F.coalesce("x.process", F.lit("sequential")).alias("process"), F.coalesce("x.verbose", no).alias("verbose"), F.coalesce("x.memory", no).alias("memory"), "x.manager_llm", pattern.alias("coordination_pattern"), "x.max_turns", F.col("x.terminations").alias("termination_conditions"))
     tools = last("tool", "description string, reference string").select("system_id", F.col("key").alias("tool_key"), F.col("key").alias("class_name"), F.col("key").alias("name"), "x.description", F.col("x.reference").alias("implementation_ref"))
     ids = found.select("system_id").distinct()
     systems = ids.select("system_id", F.col("system_id").alias("name"), F.lit(framework).alias("framework"), F.concat(F.lit(namespace), F.col("system_id"), F.lit("#")).alias("namespace"))
-    flows = flow_steps.select("system_id", F.lit("StateGraph").alias("class_name")).distinct()
-    return {"systems": systems, "agents": agents.unionByName(node_agents, allowMissingColumns=True), "tasks": tasks, "teams": teams, "tools": tools, "flows": flows, "flow_steps": flow_steps}
+    models = last("model", "schema string, fields map<string,string>")
+    state = models.select("system_id", F.col("key").alias("state_model"), F.col("x.fields").alias("state_fields"))
+    models = models.select("system_id", F.col("key").alias("class_name"), F.col("x.schema").alias("schema_json"))
+    made = last("flow", "state_model string, crews array<string>").select("system_id", F.col("key").alias("class_name"), "x.state_model", F.col("x.crews").alias("crew_references")).join(state, ["system_id", "state_model"], "left")
+    flows = flow_steps.select("system_id", F.lit("StateGraph").alias("class_name")).distinct().unionByName(made, allowMissingColumns=True)
+    own = last("flow_step", "flow string, method string, ord int, type string, waits array<string>, joins string, crew string, returns array<string>, body string")
+    own = own.select("system_id", "x.flow", "x.ord", F.col("x.method").alias("method_name"), F.col("x.type").alias("step_type"), F.col("x.waits").alias("dependencies"), F.col("x.returns").alias("return_values"), F.col("x.body").alias("function_body"), F.col("x.crew").alias("calls_crew"), F.nullif("x.joins", F.lit("")).alias("aggregation_combinator"))
+    flow_steps = flow_steps.unionByName(own, allowMissingColumns=True)
+    return {"systems": systems, "agents": agents.unionByName(node_agents, allowMissingColumns=True), "tasks": tasks, "teams": teams, "tools": tools, "flows": flows, "flow_steps": flow_steps, "models": models}

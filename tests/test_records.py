@@ -233,3 +233,87 @@ def test_links_states_and_texts_survive(spark):
     models = spark.createDataFrame([("s", "M", '{"properties": {"a": {"type": "int"}, "b": {}}}')], "system_id string, class_name string, schema_json string")
     assert lower.fields_of(models).first().fields == {"a": "int", "b": "str"}
     assert extract.without_model(spark.createDataFrame([("s", "a", "R", "")], "system_id string, agent_key string, role string, llm string")).count() == 1
+
+
+NEWS = """
+from crewai import Agent, Crew, LLM, Process, Task
+class Report(BaseModel):
+    title: str = Field(description="Its title")
+    pages: Optional[int]
+class State(Report):
+    topic: str
+@CrewBase
+class News:
+    agents_config = "config/agents.yaml"
+    tasks_config = "config/tasks.yaml"
+    llm = LLM(model="m-large")
+    @agent
+    def reader(self):
+        return Agent(config=self.agents_config["reader"], verbose=True, tools=[look])
+    @task
+    def read(self):
+        return Task(config=self.tasks_config["read"], human_input=True)
+    @task
+    def write(self):
+        return Task(config=self.tasks_config["write"], context=[self.read()], output_pydantic=Report, guardrail=check)
+    @crew
+    def crew(self):
+        return Crew(agents=self.agents, tasks=self.tasks, process=Process.hierarchical, memory=True)
+class Main(Flow[State]):
+    @start()
+    def begin(self):
+        News().crew().kickoff()
+    @router(begin)
+    def choose(self):
+        return "good" if self.ok else "bad"
+    @listen(or_("good", choose))
+    def finish(self): pass
+"""
+CHAT = """
+stop = TextMentionTermination("DONE")
+most = MaxMessageTermination(max_messages=7)
+team = SelectorGroupChat([a], termination_condition=stop | most)
+g.add_node("hop", hop)
+g.add_node("leap", leap)
+def hop(s): return Command(goto="leap")
+def leap(s):
+    if s: return Command(goto="hop")
+    return Command(goto=END)
+"""
+
+
+def test_configured_crews_flows_and_endings(spark, tmp_path):
+    (tmp_path / "crews/news/config").mkdir(parents=True)
+    (tmp_path / "crews/news/news.py").write_text(NEWS)
+    (tmp_path / "chat.py").write_text(CHAT)
+    (tmp_path / "crews/news/config/agents.yaml").write_text("reader:\n  role: >\n    Chief Reader\n  goal: Read all\n  backstory: Old\n")
+    (tmp_path / "crews/news/config/tasks.yaml").write_text("read:\n  description: Read it\n  expected_output: Notes\n  agent: reader\nwrite:\n  description: Write it\n  agent: reader\n")
+    files = trees.python_files(spark, str(tmp_path)).withColumn("system_id", F.lit("n"))
+    entries = trees.yaml_entries(spark, str(tmp_path)).withColumn("system_id", F.lit("n"))
+    r = extract.to_records(extract.program_records(files, strict=True), "CrewAI", entries=entries)
+    a = r["agents"].where("agent_key = 'reader'").first()
+    assert (a.role, a.goal, a.backstory, a.llm, a.tools, a.verbose) == ("Chief Reader", "Read all", "Old", "m-large", ["look"], True)
+    tasks = {x.task_key: x for x in r["tasks"].collect()}
+    assert (tasks["read"].description, tasks["read"].expected_output, tasks["read"].agent_key, tasks["read"].human_input) == ("Read it", "Notes", "reader", True)
+    assert (tasks["write"].context_tasks, tasks["write"].output_pydantic, tasks["write"].guardrails) == (["read"], "Report", ["FunctionBased:check"])
+    teams = {x.team_key: x for x in r["teams"].collect()}
+    assert (teams["News"].agent_keys, teams["News"].task_keys, teams["News"].process, teams["News"].memory) == (["reader"], ["read", "write"], "hierarchical", True)
+    end = teams["SelectorGroupChat"].termination_conditions[0]
+    assert (end.type, end.operator, [(c.type, c.trigger, c.max_turns) for c in end.conditions]) == ("Composite", "OR", [("EventBased", "DONE", None), ("TurnLimit", None, 7)])
+    flow = r["flows"].where("class_name = 'Main'").first()
+    assert (flow.state_model, flow.state_fields, flow.crew_references) == ("State", {"topic": "str"}, ["News"])
+    steps = {x.method_name: x for x in r["flow_steps"].collect()}
+    assert (steps["begin"].step_type, steps["begin"].calls_crew) == ("start", "News")
+    assert (steps["choose"].step_type, steps["choose"].dependencies, steps["choose"].return_values) == ("conditional", ["begin"], ["good", "bad"]) and "self.ok" in steps["choose"].function_body
+    assert (steps["finish"].dependencies, steps["finish"].aggregation_combinator) == (["good", "choose"], "or_")
+    assert steps["hop"].outgoing == ["leap"] and steps["leap"].edge_mapping == {"hop": "hop", "END": "END"}
+    assert r["models"].where("class_name = 'Report'").first().schema_json == '{"properties":{"pages":{"nullable":true,"type":"integer"},"title":{"description":"Its title","type":"string"}},"required":["title"],"type":"object"}'
+    g = lifted(spark, r, Vocabulary())
+    back = lowered(g, Vocabulary())
+    assert back["teams"].where("team_key = 'News'").first().process == "hierarchical"
+    (tmp_path / "broken.py").write_text("def (")
+    broken = trees.python_files(spark, str(tmp_path)).withColumn("system_id", F.lit("n"))
+    import pytest
+
+    with pytest.raises(Exception, match="broken.py"):
+        extract.program_records(broken, strict=True).collect()
