@@ -125,7 +125,7 @@ class _Run:
         return getattr(self, f"_{type(node).__name__.lower()}")(node)
 
     def together(self, left: Any, right: Any, how: str = "inner") -> DataFrame:
-        return joined(self.frame(left), self.frame(right), how, bindings(left)[1] | bindings(right)[1])
+        return joined(self.frame(left), self.frame(right), how, bindings(left)[1], bindings(right)[1])
 
     def _group(self, g: Group) -> DataFrame:
         plain = [q for q in g.parts if isinstance(q, Pattern)]
@@ -211,11 +211,12 @@ class _Run:
             found = self.frame(e.args[0])
             self.unbound = here
             shared = [c for c in df.columns if c in found.columns]
-            loose = (here | bindings(e.args[0])[1]) & set(shared)
+            there = bindings(e.args[0])[1]
+            loose = (here | there) & set(shared)
             mark = f"_found{next(self.fresh)}"
             if loose or not shared:
                 some = found.select(*shared).distinct() if shared else found.limit(1)
-                hits, misses = (joined(df, some, how, loose).withColumn(mark, F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
+                hits, misses = (joined(df, some, how, here, there).withColumn(mark, F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
                 df = hits.unionByName(misses)
             else:
                 df = df.join(found.select(*shared).distinct().withColumn(mark, F.lit(True)), shared, "left")

@@ -109,13 +109,23 @@ class Store:
         return reduce(joined, [self.scan(q) for q in self.order(patterns)])
 
 
-def joined(a: DataFrame, b: DataFrame, how: str = "inner", unbound: frozenset[str] = frozenset()) -> DataFrame:
-    """Join on the shared variables. One of `unbound` may be null on a side, and then is compatible with any value.
+def joined(a: DataFrame, b: DataFrame, how: str = "inner", unbound: frozenset[str] = frozenset(), unbound_right: frozenset[str] = frozenset()) -> DataFrame:
+    """Join on the shared variables. One of `unbound` may be null in a, and then is compatible with any value; one of
+    unbound_right may be so in b.
 
-    Without a shared variable the result is that of all pairs: what such a query asks for."""
+    Rows of a that bind a variable and rows that do not are joined apart, each by equality. Without a shared
+    variable the result is that of all pairs: what such a query asks for."""
     shared = [c for c in a.columns if c in b.columns]
-    if not shared or not unbound & set(shared):
+    if not (unbound | unbound_right) & set(shared):
         return a.join(b, shared or None, how) if shared or how != "inner" else a.crossJoin(b)
+    if not unbound_right & set(shared):
+        c = next(c for c in shared if c in unbound)
+        names = a.columns if how in ("left_semi", "left_anti") else [*a.columns, *(x for x in b.columns if x not in a.columns)]
+        bound = joined(a.where(F.col(c).isNotNull()), b, how, unbound - {c})
+        free = joined(a.where(F.col(c).isNull()).drop(c), b, how, unbound - {c})
+        free = free if c in free.columns else free.withColumn(c, F.lit(None).cast("string"))
+        return bound.select(*names).unionByName(free.select(*names))
+    unbound = unbound | unbound_right
     x, y = a.alias("_a"), b.alias("_b")
     tests = []
     for c in shared:
