@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -120,15 +120,15 @@ def _asked(*numbers: int):
     return run
 
 
-def _joined(c: str) -> Column:
-    return F.array_join(c, ",").alias(c)
+def _joined(c: str) -> str:
+    return f"array_join({c}, ',') AS {c}"
 
 
-def _back(kind: str, *columns: Column | str):
+def _back(kind: str, *columns: str):
     """Records of a kind that were lifted and lowered again."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lowered(graph(spark, sf_dir))[kind].select("system_id", *columns)
+        return lowered(graph(spark, sf_dir))[kind].selectExpr("system_id", *columns)
 
     return run
 
@@ -171,8 +171,8 @@ QUERIES = {
     "lowered_parts": lowered_parts,
     "lowered_agents": _back("agents", "agent_key", "role", "goal", "backstory", "llm", _joined("tools"), "reasoning", "max_reasoning_attempts", "memory", "memory_type", "memory_persistence", "verbose", _joined("knowledge_sources"), "agent_type", "description", "directive_function", "reasoning_origin", "reasoning_pattern"),
     "lowered_tasks": _back("tasks", "task_key", "description", "expected_output", "agent_key", _joined("tools"), _joined("context_tasks"), "output_pydantic", "human_input", _joined("guardrails"), "guardrail_max_retries", "delegation_strategy", "source_attribute"),
-    "lowered_teams": _back("teams", "team_key", "team_class_name", _joined("agent_keys"), _joined("task_keys"), "process", "memory", "max_turns", "coordination_pattern", F.array_join(F.transform("termination_conditions", lambda c: F.concat_ws(":", c["type"], c["trigger"], c["max_turns"].cast("string"))), ",").alias("termination_conditions")),
-    "lowered_steps": _back("flow_steps", "flow", "ord", "method_name", "step_type", _joined("dependencies"), "function_body", "associated_agent_key", F.element_at("edge_mapping", "next").alias("next"), _joined("outgoing")),
+    "lowered_teams": _back("teams", "team_key", "team_class_name", _joined("agent_keys"), _joined("task_keys"), "process", "memory", "max_turns", "coordination_pattern", "array_join(transform(termination_conditions, c -> concat_ws(':', c.type, c.trigger, cast(c.max_turns as string))), ',') AS termination_conditions"),
+    "lowered_steps": _back("flow_steps", "flow", "ord", "method_name", "step_type", _joined("dependencies"), "function_body", "associated_agent_key", "edge_mapping['next'] AS next", _joined("outgoing")),
 }
 
 _BASE = (
