@@ -28,6 +28,9 @@ from .common import Words, string_buffers, texts, windows, word_slices
 LEAST, THRESHOLD = 5, 0.5
 #: Words of the items of one block: about 50 bytes each in the broadcast index.
 INDEX_WORDS = 1_000_000
+#: Seed pairs (40 bytes each) held at once; what is kept of them are runs, so a text and an item that both repeat
+#: one seed cost a run a diagonal.
+SEED_PAIRS = 1 << 19
 
 
 @dataclass
@@ -57,20 +60,25 @@ def build(items: list[tuple[int | None, str]], least: int) -> Index:
     return Index([i for i, _ in items], words, seeds)
 
 
-def tiles(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item place, document place, words) from seed matches (item place, document place) of n words."""
-    heap: list[tuple[int, int, int]] = []
-    lines: dict[int, list[int]] = defaultdict(list)
-    for i, j in pairs:
-        lines[j - i].append(i)
-    for d, starts in lines.items():
-        starts.sort()
-        a = b = starts[0]
-        for s in [*starts[1:], -1]:
-            if s != b + 1:
-                heap.append((-(b - a + n), a, a + d))
-                a = s
-            b = s
+def runs(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (text, item, document place less item place, first and last item place): neighbouring seeds on a diagonal as one.
+
+    parts: such rows, where a run may go on in another part."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[1:, 3] != rows[:-1, 4] + 1)
+    first = np.flatnonzero(new)
+    out = rows[first].copy()
+    out[:, 4] = rows[np.append(first[1:], len(rows)) - 1, 4]
+    return out
+
+
+def tiles(found: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item place, document place, words) of at least n words from the matches, which have that form too."""
+    heap = [(-size, i, j) for i, j, size in found]
     heapq.heapify(heap)
     in_item: set[int] = set()
     in_doc: set[int] = set()
@@ -95,29 +103,41 @@ def tiles(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _matches(column: pa.Array, index: Index) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+def _shared(w: Words, index: Index, n: int, most: int) -> Iterator[np.ndarray]:
+    """Runs of the seeds of n words that texts and items share, from at most `most` seed pairs at a time."""
+    keys, item, place = index.seeds[n]
+    h = windows(w.hash, n)
+    if not len(h):
+        return
+    mask = np.uint64((1 << 20) - 1)
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(keys & mask).astype(np.int64)] = True
+    at = np.flatnonzero(sieve[(h & mask).astype(np.int64)])
+    low, high = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
+    row = np.searchsorted(w.offsets, at, side="right") - 1
+    keep = (high > low) & (at + n <= w.offsets[row + 1])
+    at, low, row, many = at[keep], low[keep], row[keep], (high - low)[keep]
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(at):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + most, side="right")))  # one place of a text at least
+        count = many[i:j]
+        k = np.repeat(low[i:j], count) + np.arange(ends[j - 1] - done) - np.repeat(ends[i:j] - count - done, count)
+        r, there = np.repeat(row[i:j], count), place[k]
+        yield runs([np.column_stack((r, item[k], np.repeat(at[i:j] - w.offsets[row[i:j]], count) - there, there, there))])
+        i = j
+
+
+def _matches(column: pa.Array, index: Index, most: int = SEED_PAIRS) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(row, item, tiles) for every text and item that share a seed."""
-    for first, end, w, _, _ in word_slices(column, lower=True):
-        found: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, (keys, item, place) in index.seeds.items():
-            h = windows(w.hash, n)
-            if not len(h):
-                continue
-            mask = np.uint64((1 << 20) - 1)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(keys & mask).astype(np.int64)] = True
-            at = np.flatnonzero(sieve[(h & mask).astype(np.int64)])
-            low, high = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
-            hit = high > low
-            at, low, high = at[hit], low[hit], high[hit]
-            row = np.searchsorted(w.offsets, at, side="right") - 1
-            inside = at + n <= w.offsets[row + 1]
-            for p, r, lo, hi in zip(at[inside].tolist(), row[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True):
-                for k in range(lo, hi):
-                    found[r, int(item[k]), n].append((int(place[k]), p - int(w.offsets[r])))
-        for (r, k, n), pairs in found.items():
-            yield first + r, k, tiles(pairs, n)
-        assert end >= first
+    for first, _, w, _, _ in word_slices(column, lower=True):
+        for n in index.seeds:
+            found = runs(list(_shared(w, index, n, most)))
+            cuts = np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(axis=1)) + 1 if len(found) else []
+            for own in np.split(found, cuts) if len(found) else ():
+                matches = zip(own[:, 3].tolist(), (own[:, 3] + own[:, 2]).tolist(), (own[:, 4] - own[:, 3] + n).tolist(), strict=True)
+                yield first + int(own[0, 0]), int(own[0, 1]), tiles(list(matches), n)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:

@@ -92,7 +92,59 @@ def test_leaks_are_found_in_any_order_of_their_parts(spark):
     assert got[1, 1].n_tiles == 2 and got[0, 1].longest == 24 and got[0, 1].first_word == 30
     assert sorted(r.doc_id for r in without_leaks(docs, bench).collect()) == [2, 3, 5]
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
-    assert tiles([(0, 10), (1, 11), (0, 30)], 3) == [(0, 10, 4)]
+    assert tiles([(0, 10, 4), (0, 30, 3)], 3) == [(0, 10, 4)]
+
+
+def _plain_tiles(item, doc, least):
+    """Greedy string tiling as it is written down: the longest unmarked match first, then the first places."""
+    out, a, b = [], set(), set()
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and i + k not in a and j + k not in b:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < least:
+            return out
+        out.append((i, j, k))
+        a.update(range(i, i + k))
+        b.update(range(j, j + k))
+
+
+def test_tiles_equal_plain_tiling_on_repetitive_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillgraph.llm.decontamination import _matches, build
+
+    rng = np.random.default_rng(5)
+    items = [" ".join(rng.choice(["a", "b"], 40)), "a " * 30, " ".join(rng.choice(list("abcdef"), 60)), "a b"]
+    docs = ["a " * 70, " ".join(rng.choice(["a", "b"], 90)), items[2] + " x " + items[0], "", " ".join(rng.choice(list("abcdef"), 150))]
+    index = build(list(enumerate(items)), 3)
+    for most in (1, 7, 1 << 19):  # runs that go over from one part to the next are put together
+        got = {(r, k): t for r, k, t in _matches(pa.array(docs), index, most)}
+        for r, d in enumerate(docs):
+            for k, t in enumerate(items):
+                words = t.split()
+                assert got.get((r, k), []) == _plain_tiles(words, d.split(), min(3, len(words))), (r, k)
+
+
+def test_one_repeated_word_costs_a_run_a_diagonal():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillgraph.llm.decontamination import _matches, build
+
+    index = build([(0, "the " * 400)], 5)
+    tracemalloc.start()
+    start = time.time()
+    ((_, _, found),) = list(_matches(pa.array(["the " * 20_000]), index))
+    assert found == [(0, 0, 400)] and time.time() - start < 60 and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
 
 
 def test_base_spans_match_the_rules():
