@@ -15,7 +15,8 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for name_of in ("documents", "labels"):
+        con.execute(f"create view {name_of} as select * from '{DIR}/{name_of}.parquet'")
     got = QUERIES[name](spark, DIR)
     columns = ", ".join(sorted(got.columns))
     want = con.execute(f"select {columns} from ({ORACLES[name]})").fetchall()
