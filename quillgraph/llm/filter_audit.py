@@ -10,6 +10,7 @@ costs a reread.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 from itertools import permutations
@@ -35,7 +36,7 @@ def interactions(rows: DataFrame, filters: dict[str, Column], part: Column, mark
     went earlier; unique_fails fail no other filter; shapley sums the filter's removed over all orders. A null
     part reads as ''. Every part has all orders, zeros included; an empty table gives no rows."""
     letters, marks = list(filters), marks or {}
-    if not 0 < len(letters) <= MOST_FILTERS or any(len(x) != 1 for x in letters):
+    if not 0 < len(letters) <= MOST_FILTERS or not all(re.fullmatch(r"\w", x) for x in letters):
         raise ValueError(f"name from one to {MOST_FILTERS} filters by one letter each")
     flag = lambda c: F.coalesce(c, F.lit(False))
     narrow = rows.select(
@@ -44,40 +45,31 @@ def interactions(rows: DataFrame, filters: dict[str, Column], part: Column, mark
         *[flag(c).alias(f"mark_{k}") for k, c in enumerate(marks.values())],
     )
     folder, whole = f"{_shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}", frozenset(range(len(letters)))
-    counted: dict[frozenset[int], str] = {}
+    # the same expressions in every state, so that their code is generated once; filters of the state remove nothing
+    counts = ["count(1) AS before"]
+    for k in range(len(letters)):
+        counts += [f"count_if(fails_{k}) AS removed_{k}", *[f"count_if(fails_{k} AND mark_{m}) AS lost_{k}_{m}" for m in range(len(marks))]]
+    counted: set[frozenset[int]] = set()
 
     def visit(state: frozenset[int], survivors: DataFrame) -> None:
-        counted[state] = f"{folder}/{sum(1 << f for f in state)}"
-        _edges(survivors, state, letters, len(marks)).write.parquet(counted[state])
+        counted.add(state)
+        survivors.groupBy("part").agg(*[F.expr(c) for c in counts]).write.parquet(f"{folder}/state={sum(1 << f for f in state)}")
         for f in sorted(whole - state):
             after = state | {f}
             if after not in counted and after != whole:
-                left = survivors.where(~F.col(f"fails_{f}")).persist()
+                left = survivors.where(f"NOT fails_{f}").persist()
                 visit(after, left)
                 left.unpersist()
 
     root = checkpointed(narrow).persist()
     visit(frozenset(), root)
     root.unpersist()
-    edges = reduce(DataFrame.union, [rows.sparkSession.read.parquet(path) for path in counted.values()])
+    states = rows.sparkSession.read.schema("part string, before long, " + ", ".join(f"{c.split()[-1]} long" for c in counts[1:]) + ", state int").parquet(folder)
+    edge = lambda k: ", ".join([f"'letter', '{letters[k]}', 'removed', removed_{k}", *[f"'lost_{m}', lost_{k}_{m}" for m in range(len(marks))]])
+    edges = states.selectExpr("part", "state", "before", f"inline(array({', '.join(f'named_struct({edge(k)})' for k in range(len(letters)))}))")
     return _by_order(edges, letters, list(marks))
 
 
-def _edges(survivors: DataFrame, state: frozenset[int], letters: list[str], n_marks: int) -> DataFrame:
-    """part, state, letter, before, removed, lost_0 ... of every filter that is not in the state."""
-    left = [k for k in range(len(letters)) if k not in state]
-    counts = []
-    for k in left:
-        fails = F.col(f"fails_{k}")
-        counts.append(F.count_if(fails).alias(f"removed_{k}"))
-        counts += [F.count_if(fails & F.col(f"mark_{m}")).alias(f"lost_{k}_{m}") for m in range(n_marks)]
-    by_part = survivors.groupBy("part").agg(F.count(F.lit(1)).alias("before"), *counts)
-    edge = lambda k: F.struct(
-        F.lit(letters[k]).alias("letter"), F.col(f"removed_{k}").alias("removed"), *[F.col(f"lost_{k}_{m}").alias(f"lost_{m}") for m in range(n_marks)]
-    )
-    return by_part.select("part", F.lit(sum(1 << k for k in state)).alias("state"), "before", F.inline(F.array(*[edge(k) for k in left])))
-
-
 def _by_order(edges: DataFrame, letters: list[str], marks: list[str]) -> DataFrame:
     spark, bit = edges.sparkSession, {x: 1 << k for k, x in enumerate(letters)}
     steps = [("".join(o), s + 1, sum(bit[x] for x in o[:s]), o[s]) for o in permutations(letters) for s in range(len(o))]
