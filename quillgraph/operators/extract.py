@@ -622,7 +622,8 @@ def to_records(found: DataFrame, framework: str, namespace: str = "http://exampl
     given = lambda c: F.nullif(F.regexp_replace(F.element_at("_fields", F.lit(c)), r"^\s+|\s+$", ""), F.lit(""))
     agents = last("agent", "verbose boolean, allow_delegation boolean, memory boolean, reasoning boolean, max_reasoning_attempts int, config_file string, config_key string, name string, role string, goal string, backstory string, system_message string, description string, model string, llm string, class string, tools array<string>")
     cut = F.split(F.coalesce("x.system_message", F.lit("")), r"\. ", 2)
-    goal, backstory = F.coalesce("x.goal", given("goal"), cut[0]), F.coalesce("x.backstory", given("backstory"), F.get(cut, F.lit(1)))
+    sentence = F.when(F.size(cut) > 1, F.concat(F.trim(cut[0]), F.lit("."))).otherwise(F.trim(cut[0]))
+    goal, backstory = F.coalesce("x.goal", given("goal"), sentence), F.coalesce("x.backstory", given("backstory"), F.trim(F.get(cut, F.lit(1))))
     no = F.lit(False)
     agents = filled(agents).select("system_id", F.col("key").alias("agent_key"), F.coalesce("x.role", given("role"), "x.name", "key").alias("role"), goal.alias("goal"), backstory.alias("backstory"), F.coalesce("x.llm", "x.model", given("llm")).alias("llm"), "x.tools", F.coalesce("x.reasoning", no).alias("reasoning"), "x.max_reasoning_attempts", F.coalesce("x.memory", no).alias("memory"), "x.verbose", "x.allow_delegation", F.col("x.description").alias("description"), F.when(F.col("x.class") == "UserProxyAgent", "UserProxy").otherwise("GeneralPurpose").alias("agent_type"), (F.col("x.class") == "UserProxyAgent").alias("human_input"))
     steps = last("step", "ord int, doc string")
@@ -639,7 +640,7 @@ def to_records(found: DataFrame, framework: str, namespace: str = "http://exampl
     tasks = tasks.select("system_id", F.col("key").alias("task_key"), F.coalesce("x.description", given("description")).alias("description"), F.coalesce("x.expected_output", given("expected_output")).alias("expected_output"), by.alias("agent_key"), F.when(by != "", "ExplicitAssignment").alias("delegation_strategy"), "x.tools", F.col("x.context").alias("context_tasks"), "x.guardrails", "x.guardrail_max_retries", "x.output_pydantic", "x.output_json", F.coalesce("x.human_input", no).alias("human_input"))
     teams = last("team", f"class string, members array<string>, pattern string, max_turns int, process string, tasks array<string>, verbose boolean, memory boolean, manager_llm string, terminations array<{CONDITION}>")
     pattern = F.when(F.col("x.process").isNull(), F.col("x.pattern"))  # of a crew its process tells
-    teams = teams.select("system_id", F.col("key").alias("team_key"), F.coalesce("x.class", "key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.coalesce("x.tasks", F.array().cast("array<string>")).alias("task_keys"), F.coalesce("x.process", F.lit("sequential")).alias("process"), F.coalesce("x.verbose", no).alias("verbose"), F.coalesce("x.memory", no).alias("memory"), "x.manager_llm", pattern.alias("coordination_pattern"), "x.max_turns", F.col("x.terminations").alias("termination_conditions"))
+    teams = teams.select("system_id", F.col("key").alias("team_key"), F.coalesce("x.class", "key").alias("team_class_name"), F.col("x.members").alias("agent_keys"), F.coalesce("x.tasks", F.array().cast("array<string>")).alias("task_keys"), F.coalesce("x.process", F.lit("sequential")).alias("process"), F.coalesce("x.verbose", no).alias("verbose"), F.coalesce("x.memory", no).alias("memory"), "x.manager_llm", pattern.alias("coordination_pattern"), "x.max_turns", F.col("x.terminations").alias("termination_conditions"), "ord")
     tools = last("tool", "description string, reference string").select("system_id", F.col("key").alias("tool_key"), F.col("key").alias("class_name"), F.col("key").alias("name"), "x.description", F.col("x.reference").alias("implementation_ref"))
     ids = found.select("system_id").distinct()
     systems = ids.select("system_id", F.col("system_id").alias("name"), F.lit(framework).alias("framework"), F.concat(F.lit(namespace), F.col("system_id"), F.lit("#")).alias("namespace"))
