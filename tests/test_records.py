@@ -42,7 +42,7 @@ def test_programs_become_graphs_and_records_again(spark, tmp_path):
     assert run(1, graph).count() == 3 and run(24, graph).count() == 1 and run(21, graph).count() == 1
     back = lowered(graph, Vocabulary())
     agents = {r.agent_key: r for r in back["agents"].collect()}
-    assert agents["critic"].goal == "Be strict" and agents["critic"].llm == "m1" and agents["plan"].goal == "Plan it."
+    assert agents["critic"].goal == "Be strict." and agents["critic"].llm == "m1" and agents["plan"].goal == "Plan it."
     steps = {r.method_name: r for r in back["flow_steps"].collect()}
     assert steps["plan"].step_type == "start" and steps["plan"].edge_mapping == {"write": "write", "stop": "END"} and steps["write"].dependencies == ["plan"]
     teams = back["teams"].first()
