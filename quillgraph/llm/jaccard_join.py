@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import Words, block_count, block_of, checkpointed, mix, slices, string_buffers, texts, windows
 from .messages import bits, by_shard, flags, large, pack, small, unpack
@@ -47,7 +48,7 @@ BLOCK_BYTES, SHARD_KEYS, SHINGLE = 4 << 20, 2_000_000, 5
 #: Sets of under SMALL shingles are tried by all of them, others by those in the lowest ASKED of the hash space.
 SMALL, ASKED = 64, 0.375
 #: Members of a region that looks at its pairs directly, to measure those that fit.
-LEAF = 4096
+LEAF = 512
 #: Comparisons with one set that meet in one place; a set with more is dealt to several.
 HUB = 4096
 #: Most rows of two numbers that are broadcast.
@@ -232,14 +233,21 @@ def _fits(n: str, room: str) -> Column:
 
 
 def _live(regions: DataFrame) -> DataFrame:
-    """The members, with their number `m`, of regions with unlike labels; of regions with the same members one stays."""
+    """The members, with their number `m`, of regions with unlike labels.
+
+    Regions of the same members become one, in which each member has the greatest of its rooms: so every
+    pair that fits in one of them fits there."""
     regions = regions.withColumn("wide", F.expr("9 * room >= 8 * n"))
     could = regions.where("wide").groupBy("region").agg(F.min("n").alias("least"), F.max(F.expr("9 * room - 4 * n")).alias("most"))
     regions = regions.join(could, "region").where("wide or (9 * room >= 4 * (n + least) and 4 * n <= most)").drop("least", "most")
     marks = [F.expr(f"bit_xor(xxhash64({k}, id, guest))").alias(f"mark{k}") for k in (1, 2)]
     known = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), (F.min("label") == F.max("label")).alias("one"), F.min("guest").alias("guests"), *marks)
-    known = known.where("not one and not guests").groupBy("mark1", "mark2", "m").agg(F.min("region").alias("region"))
-    return checkpointed(regions.join(known.select("region", "m"), "region"))
+    same = Window.partitionBy("mark1", "mark2", "m")
+    known = known.where("not one and not guests").select("region", "m", F.min("region").over(same).alias("home"), (F.count(F.lit(1)).over(same) > 1).alias("merged"))
+    rows = checkpointed(regions.join(known, "region"))
+    alone = rows.where("not merged").drop("home", "merged")
+    merged = rows.where("merged").groupBy(F.col("home").alias("region"), "id", "n", "label", "guest", "m").agg(F.max("room").alias("room"), F.max("weight").alias("weight"))
+    return checkpointed(alone.unionByName(merged.withColumn("wide", F.expr("9 * room >= 8 * n"))))
 
 
 def _cells(live: DataFrame, heads: DataFrame, measured: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ both copies, so only these are counted at level 1. Where the least one is alone,
 alone. Survivors are extended to `least` words, and of each word sequence all starts but the first are
 removed.
 
-Documents are dealt to blocks by a hash of doc_id. A block asks for each different hash once; it
+Documents are dealt to blocks by ranges of a hash of doc_id and text. A block asks for each different hash once; it
 resolves repeats inside itself, so a passage with a third of all rows costs a row a block. A sequence
 is known by 128 bits. No list is collected anywhere; what a task holds is one block.
 """
@@ -22,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, block_count, block_of, slices, string_buffers, texts, windows
+from .common import Words, block_count, slices, string_buffers, texts, windows
 
 BLOCK_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 
 
 class Block:
-    """Words of the documents of a block in order of doc_id (nulls last), then text."""
+    """Words of the documents of a block in order of doc_id (nulls last), then of the hash of id and text, then text."""
 
     def __init__(self, table: pa.Table, least: int):
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("key", "ascending"), ("text", "ascending")])
         self.table = table.take(order)
         self.ids = pc.fill_null(self.table.column("doc_id"), LAST).to_numpy()
         data, offsets = string_buffers(self.table.column("text"))
@@ -105,13 +105,15 @@ def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_B
 
     A word goes if a window of `least` words that holds it also starts earlier: in a smaller doc_id or
     earlier in the same document. Null and empty texts have no words. Rows of one doc_id follow each
-    other by text, null ids come last. An empty table gives an empty result; other columns are not
-    read."""
+    other by a hash of id and text, null ids come last; the order, and so the result, does not depend on
+    block_bytes. An empty table gives an empty result; other columns are not read."""
     if least % 2:
         raise ValueError("least must be even: it is reached by doubling")
     base = texts(docs)
     n = block_count(base, block_bytes)
-    dealt = base.withColumn("block", block_of(n))
+    # blocks are ranges of the hash, so rows of one id that lie in different blocks are in the order of the blocks
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    dealt = base.withColumn("key", key).withColumn("block", F.shiftright(F.shiftright("key", 32) * F.lit(n).cast("long"), 31).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
         b = Block(table, least)
@@ -162,7 +164,7 @@ def without_repeats(docs: DataFrame, least: int = 20, block_bytes: int = BLOCK_B
     met = keyed(dealt).applyInArrow(ask, "h long, block int").withColumn("n", F.count(F.lit(1)).over(alone)).where("n > 1").select("h", "block")
     same = Window.partitionBy("a", "b")
     firsts = keyed(dealt).cogroup(keyed(met)).applyInArrow(extend, "a long, b long, doc long, block int")
-    seen = firsts.withColumn("first", F.min("doc").over(same)).where("doc > first").select("a", "b", "block")
+    seen = firsts.withColumn("first", F.min(F.struct("doc", "block")).over(same)).where("struct(doc, block) > first").select("a", "b", "block")
     return keyed(dealt).cogroup(keyed(seen)).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
 
 
