@@ -6,24 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds double the path length, so this many cover any path that fits in a cluster.
 MOST_ROUNDS = 48
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table written to the folder that spark.checkpoint.dir names; its true size plans later joins.
-
-    A session that names none gets a folder of its own only in local mode, where all executors see it."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a session that names none gets one of its own only in local mode."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-checkpoints-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table written to the shared folder; its true size plans later joins."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

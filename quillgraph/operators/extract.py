@@ -15,7 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .closure import checkpointed
 from .records import CONDITION
 
 
@@ -525,51 +527,59 @@ def _group_chat(tree: ast.AST, teams: dict[str, str]) -> Iterator[tuple[str, str
             yield "team", title, {"class": title, "members": [r["name"] for r in refs], "pattern": teams.get(cls, "Sequential"), "max_turns": turns.value if isinstance(turns, ast.Constant) else None, "terminations": ends, **crew, **own, "_refs": refs}
 
 
-def _settled(f: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one system with a key of its own for each agent, task and team, and references as such keys.
-
-    Keys that would fall together as names in a graph get a mark made of path and ordinal; names that a
-    file does not define are looked up in the module that it imports them from, then in the system."""
-    f = f.sort_values(["path", "ord"], kind="stable").reset_index(drop=True)
-    f["ord"] = range(len(f))
-    payloads = [json.loads(p) for p in f.payload]
-    keys, groups = list(f.key), {}
-    for i, kind in enumerate(f.kind):
-        if kind in ("agent", "task", "team"):
-            groups.setdefault((kind, keys[i].translate(str.maketrans(" -.", "___"))), []).append(i)
-    for rows in groups.values():
-        times: dict[str, int] = {}
-        for i in rows if len(rows) > 1 else ():
-            times[f.path[i]] = times.get(f.path[i], 0) + 1
-            keys[i] = f"{keys[i]}_{hashlib.md5(f'{f.path[i]}#{times[f.path[i]]}'.encode()).hexdigest()[:12]}"
-    placed, aliases = {}, {}
-    for i, p in enumerate(payloads):
-        if "_at" in p:
-            placed[f.file[i], p["_at"]] = keys[i]
-        if f.kind[i] == "agent":
-            for name in {p.get("_alias"), p.get("_key")} - {"", None}:
-                aliases.setdefault(name, []).append((f.path[i], keys[i]))
-
-    def resolved(file: str, ref: dict) -> str:
-        if "at" in ref:
-            return placed[file, ref["at"]]
-        own = aliases.get(ref["name"], [])
-        module = ref["module"].strip(".").replace(".", "/")
-        near = [k for path, k in own if module and ("/" + path.removesuffix(".py").removesuffix("/__init__")).endswith("/" + module)]
-        choice = near or [k for _, k in own]
-        return choice[0] if len(set(choice)) == 1 else ref["name"]
-
-    for i, p in enumerate(payloads):
-        names = [resolved(f.file[i], r) for r in p.pop("_refs", [])]
-        if f.kind[i] == "team":
-            p["members"] = names
-        elif f.kind[i] == "task" and names:
-            p["agent"] = names[0]
-        if f.kind[i] == "agent" and not p.get("name"):
-            p["name"] = p["_key"]
-        for k in ("_at", "_alias", "_key"):
-            p.pop(k, None)
-    return f.assign(key=keys, payload=[json.dumps(p, sort_keys=True) for p in payloads])[["system_id", "kind", "key", "ord", "payload"]]
+REFS = "_refs array<struct<at:int,name:string,module:string>>, _at int, _alias string, _key string"
+
+
+def _settled(each: DataFrame) -> DataFrame:
+    """Rows with a key of its own for each agent, task and team, references as such keys, and `ord` by path.
+
+    Keys of a system that would fall together as names in a graph get a mark made of path and ordinal; names
+    that a file does not define are looked up in the module that it imports them from, then in the system.
+    All of it is joins and windows on narrower keys than the system, so a system of many files spreads."""
+    each = checkpointed(each).withColumn("_x", F.from_json("payload", REFS))
+    sizes = each.groupBy("system_id", "path", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("system_id").orderBy("path", "file")) - F.col("n")
+    named = F.col("kind").isin("agent", "task", "team")
+    alike = Window.partitionBy("system_id", "kind", F.when(named, F.translate("key", " -.", "___")).otherwise(F.concat_ws("\x1f", "path", "file", F.col("ord"))))
+    nth = F.row_number().over(Window.partitionBy("system_id", "kind", F.translate("key", " -.", "___"), "path").orderBy("file", "ord"))
+    rows = each.join(sizes.withColumn("begin", before).drop("n"), ["system_id", "path", "file"]).withColumn("many", named & (F.count(F.lit(1)).over(alike) > 1)).withColumn("nth", nth)
+    mark = F.substring(F.md5(F.concat("path", F.lit("#"), F.col("nth").cast("string")).cast("binary")), 1, 12)
+    rows = rows.withColumn("key", F.when(F.col("many"), F.concat_ws("_", "key", mark)).otherwise(F.col("key")))
+    rows = checkpointed(rows.withColumn("place", F.col("ord")).withColumn("ord", F.col("begin") + F.col("ord")).drop("begin", "many", "nth"))
+
+    called = rows.where("kind = 'agent'").select("system_id", "path", "key", F.explode(F.array_distinct(F.array("_x._alias", "_x._key"))).alias("name")).where("name <> ''")
+    anywhere = called.groupBy("system_id", "name").agg(F.min("key").alias("only"), F.count_distinct("key").alias("kinds"))
+    steps = F.split(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
+    near = called.select("system_id", "name", "key", F.explode(ends).alias("module")).groupBy("system_id", "name", "module").agg(F.min("key").alias("near"), F.count_distinct("key").alias("near_kinds"))
+    refs = rows.where("size(_x._refs) > 0").select("system_id", "path", "file", "place", F.posexplode("_x._refs").alias("k", "ref"))
+    module = F.translate(F.trim(F.coalesce("ref.module", F.lit("")), F.lit(".")), ".", "/")
+    refs = refs.select("system_id", "path", "file", "place", "k", F.col("ref.at").alias("at"), F.col("ref.name").alias("name"), module.alias("module"))
+    placed = rows.where("_x._at is not null").select("system_id", "path", "file", F.col("_x._at").alias("at"), F.col("key").alias("placed"))
+    refs = refs.join(placed, ["system_id", "path", "file", "at"], "left").join(near, ["system_id", "name", "module"], "left").join(anywhere, ["system_id", "name"], "left")
+    meant = F.when(F.col("at").isNotNull(), F.col("placed")).when(F.col("near").isNotNull(), F.when(F.col("near_kinds") == 1, F.col("near"))).when(F.col("kinds") == 1, F.col("only"))
+    names = refs.withColumn("meant", F.coalesce(meant, "name")).groupBy("system_id", "path", "file", "place").agg(F.expr("transform(array_sort(collect_list(struct(k, meant))), x -> x.meant)").alias("names"))
+    rows = rows.join(names, ["system_id", "path", "file", "place"], "left")
+    return rows.select("system_id", "kind", "key", "ord", _referring("kind", "payload", "names").alias("payload"))
+
+
+def _referring(kind: str, payload: str, names: str) -> Column:
+    """Payloads with the names that they refer to, without what served to find them."""
+
+    def run(kinds: pd.Series, payloads: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for k, text, refs in zip(kinds, payloads, found, strict=True):
+            p, refs = json.loads(text), [] if refs is None else list(refs)
+            if k == "team":
+                p["members"] = refs
+            elif k == "task" and refs:
+                p["agent"] = refs[0]
+            if k == "agent" and not p.get("name"):
+                p["name"] = p["_key"]
+            out.append(json.dumps({c: v for c, v in p.items() if c not in ("_refs", "_at", "_alias", "_key")}, sort_keys=True))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "string")(kind, payload, names)
 
 
 #: How team classes coordinate.
@@ -580,8 +590,7 @@ def program_records(files: DataFrame, strict: bool = False) -> DataFrame:
     """system_id, kind (agent, task, team, step, edge, fan, tool, model, flow, flow_step), key, ord, payload (JSON) of sources.
 
     A file that does not parse is skipped, or, if strict, ends the run with an error that names it. Tools are functions with a tool decorator and subclasses of BaseTool. Each agent, task and team call
-    is a record with a key of its own; `ord` counts a system's records by path. One task settles the
-    records (not the sources) of a system."""
+    is a record with a key of its own; `ord` counts a system's records by path."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -607,7 +616,7 @@ def program_records(files: DataFrame, strict: bool = False) -> DataFrame:
 
     schema = "system_id string, kind string, key string, ord long, payload string"
     each = files.select("system_id", "path", "source").mapInPandas(run, schema.replace("kind", "path string, file string, kind"))
-    return each.groupBy("system_id").applyInPandas(_settled, schema)
+    return _settled(each)
 
 
 def to_records(found: DataFrame, framework: str, namespace: str = "http://example.org/", entries: DataFrame | None = None) -> dict[str, DataFrame]:

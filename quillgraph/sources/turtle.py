@@ -148,7 +148,7 @@ def _entries(scans: pd.DataFrame) -> pd.DataFrame:
 def _own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Triples of the statements that begin and end within a part."""
     for (graph, start, whole, quote, line, opened, names), lines in _runs(frames, "whole", "quote", "line", "opened", "names"):
-        if not whole and names is None:
+        if not whole and not names:
             raise ValueError(f"{graph}: no state of the part at byte {start}; files, or how they are split, changed while they were read")
         if not whole and line < 0:
             continue
@@ -203,7 +203,9 @@ def read(spark: SparkSession, path: str, named: str = "*.ttl") -> DataFrame:
     else:
         told = lines.withColumn("at", F.monotonically_increasing_id()).join(entries, ["graph_id", "start"], "left")
         told = told.repartition("graph_id", "start").sortWithinPartitions("graph_id", "start", "at")
-    own = told.select("graph_id", "start", "whole", "quote", "line", "opened", "names", "value").mapInPandas(_own, TRIPLE)
+    # a part's columns tell its lines from the next one's, so none of them may be null in pandas
+    told = told.select("graph_id", "start", "whole", F.coalesce("quote", F.lit("")).alias("quote"), F.coalesce("line", F.lit(0).cast("long")).alias("line"), F.coalesce("opened", F.lit(False)).alias("opened"), F.coalesce("names", F.lit("")).alias("names"), "value")
+    own = told.mapInPandas(_own, TRIPLE)
     return own.unionByName(_crossed(scans, entries)) if parts else own
 
 
@@ -231,11 +233,18 @@ def written(triples: DataFrame) -> DataFrame:
     return subjects(triples).groupBy("graph_id").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(s, said))), x -> x.said)"), "\n").alias("text"))
 
 
-def write(triples: DataFrame, path: str) -> None:
+def write(triples: DataFrame, path: str, long: bool = False) -> None:
     """Turtle files, a folder graph_id=... a graph, subjects dealt over files as Spark's partitions are.
 
     No prefixes are used, so each file is a document of its own; nodes without an address keep their labels,
-    which are names within one file only, so write them (as read does) with labels that are unique."""
+    which are names within one file only, so write them (as read does) with labels that are unique. With
+    long, literals of several lines stand in triple quotes, over lines as they are."""
+    if long:
+        rest = F.substring_index("o", '"', -1)  # a language or datatype holds no quote
+        body = F.substring("o", F.lit(2), F.char_length("o") - F.char_length(rest) - 2)
+        lines = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+        whole = F.concat(F.lit('"""'), lines, F.lit('"""'), rest)
+        triples = triples.withColumn("o", F.when(F.col("o").startswith('"') & (lines != body), whole).otherwise(F.col("o")))
     said = subjects(triples).select("graph_id", "said")
     said.write.mode("overwrite").partitionBy("graph_id").option("lineSep", "\n").text(path)
 
