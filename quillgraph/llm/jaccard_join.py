@@ -48,7 +48,7 @@ BLOCK_BYTES, SHARD_KEYS, SHINGLE = 4 << 20, 2_000_000, 5
 #: Sets of under SMALL shingles are tried by all of them, others by those in the lowest ASKED of the hash space.
 SMALL, ASKED = 64, 0.375
 #: Members of a region that looks at its pairs directly, to measure those that fit.
-LEAF = 512
+LEAF = 4096
 #: Comparisons with one set that meet in one place; a set with more is dealt to several.
 HUB = 4096
 #: Most rows of two numbers that are broadcast.
