@@ -1,14 +1,16 @@
 """One-to-one alignment of two graphs' individuals: block, score, match greedily.
 
-Greedy matching by (score descending, then the two names) accepts in each round every pair that is
-first on both its sides; what is used drops out, and rounds go on until no pair is left. Under a total
-order that gives the same pairs as taking them one by one, and it needs no group in one task.
+Under a total order by (score descending, then the two names), taking every pair that is first on both
+its sides, round by round, gives the same pairs as taking them one by one; and what one component of
+pairs takes does not depend on another. So small components are settled each in one task, and only
+components too large for that go by rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,20 +21,82 @@ from ..functions import terms as T
 from .closure import checkpointed
 
 
-def greedy(scored: DataFrame, block: str = "pair_id", left: str = "ref", right: str = "cand", last_first: bool = False) -> DataFrame:
+#: Pairs of one block or component that a task takes one by one; larger components go by rounds until they fall apart.
+MOST_TOGETHER = 1 << 16
+
+
+def greedy(scored: DataFrame, block: str = "pair_id", left: str = "ref", right: str = "cand", last_first: bool = False, together: int = MOST_TOGETHER) -> DataFrame:
     """Rows of (block, left, right, score) that a greedy one-to-one matching takes.
 
-    Ties go to the smallest (right, left), or the largest if last_first."""
-    left_over = checkpointed(scored)
-    taken: DataFrame | None = None
+    Ties go to the smallest (right, left), or the largest if last_first. A block of at most
+    `together` pairs is settled in one task, pair by pair in order, however long its chains of ties are. In a
+    larger one, pairs that share an end form components, which do not touch each other and are settled in the
+    same way; in components that are too large for it, rounds take all pairs that are first on
+    both their sides, and what is left is parted again. Repeated pairs count once, with their best score."""
     way = (lambda c: F.col(c).desc()) if last_first else (lambda c: F.col(c).asc())
+    order = [F.col("score").desc(), way(right), way(left)]
+    rank = lambda c: F.row_number().over(Window.partitionBy(block, c).orderBy(*order))
+    pairs = checkpointed(scored.groupBy(block, left, right).agg(F.max("score").alias("score")))
+    shape, settled = pairs.schema, _in_order(block, left, right, last_first)
+    sizes = pairs.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = checkpointed(pairs.join(sizes, block))
+    taken = [pairs.where(F.col("_n") <= together).drop("_n").withColumn("_part", F.xxhash64(block)).groupBy("_part").applyInPandas(settled, shape)]
+    left_over = pairs.where(F.col("_n") > together).drop("_n")
     while not left_over.isEmpty():
-        order = [F.col("score").desc(), way(right), way(left)]
-        rank = lambda c: F.row_number().over(Window.partitionBy(block, c).orderBy(*order))  # noqa: E731,B023
+        parted = checkpointed(_parted(left_over, block, left, right))
+        small = parted.where(F.col("_n") <= together).drop("_n")
+        taken.append(checkpointed(small.groupBy("_part").applyInPandas(settled, shape)))
+        left_over = parted.where(F.col("_n") > together).drop("_n", "_part")
         first = checkpointed(left_over.withColumn("_l", rank(left)).withColumn("_r", rank(right)).where("_l = 1 and _r = 1").drop("_l", "_r"))
-        taken = first if taken is None else checkpointed(taken.unionByName(first))
+        taken.append(first)
         left_over = checkpointed(left_over.join(first.select(block, left), [block, left], "left_anti").join(first.select(block, right), [block, right], "left_anti"))
-    return taken if taken is not None else scored.limit(0)
+    return reduce(DataFrame.unionByName, taken).select(*[c for c in scored.columns if c in (block, left, right, "score")])
+
+
+def _parted(pairs: DataFrame, block: str, left: str, right: str) -> DataFrame:
+    """pairs with `_part`, one value a component, and `_n`, its number of pairs.
+
+    Contraction: each end points to the least of its neighbours, pointers are followed to their roots, and
+    edges go on between roots; each round leaves at most half of the ends, however long the chains are."""
+    ends = lambda c, tag: F.xxhash64(block, F.lit(tag), c)
+    keyed = checkpointed(pairs.withColumn("_l", ends(left, "l")).withColumn("_r", ends(right, "r")))
+    edges = keyed.select(F.col("_l").alias("a"), F.col("_r").alias("b")).distinct()
+    labels = checkpointed(keyed.select(F.col("_l").alias("id")).union(keyed.select("_r")).distinct().withColumn("label", F.col("id")))
+    while True:
+        roots = _roots(checkpointed(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).withColumn("to", F.least("id", "to"))))
+        of = lambda name: roots.toDF(name, f"root_{name}")  # noqa: E731,B023
+        labels = checkpointed(labels.join(of("label"), "label", "left").select("id", F.coalesce("root_label", "label").alias("label")))
+        edges = checkpointed(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct())
+        if edges.isEmpty():
+            break
+    met = keyed.join(labels.select(F.col("id").alias("_l"), F.col("label").alias("_part")), "_l").drop("_l", "_r")
+    return met.join(met.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part")
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """id, to: pointers (id, to), which lead downwards, followed to their ends by doubling."""
+    while True:
+        further = pointers.toDF("to", "_to")
+        longer = checkpointed(pointers.join(further, "to", "left").select("id", F.col("to").alias("_old"), F.coalesce("_to", "to").alias("to")))
+        pointers = longer.select("id", "to")
+        if longer.where("_old <> to").isEmpty():
+            return pointers
+
+
+def _in_order(block: str, left: str, right: str, last_first: bool):
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.drop(columns="_part").sort_values(["score", right, left], ascending=[False, not last_first, not last_first], kind="stable")
+        used: tuple[set, set] = (set(), set())
+        rows = []
+        # hashes of ends may fall together, so a part may hold several blocks
+        for row, b, x, y in zip(f.index, f[block], f[left], f[right], strict=True):
+            if (b, x) not in used[0] and (b, y) not in used[1]:
+                used[0].add((b, x))
+                used[1].add((b, y))
+                rows.append(row)
+        return f.loc[rows]
+
+    return run
 
 
 def individual_features(triples: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:

@@ -6,10 +6,14 @@ of comparisons is one plan. Scores whose denominator is 0 are 0.0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from .closure import checkpointed
 
 
 def assertions(triples: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
@@ -145,28 +149,49 @@ def element_coverage(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return s.select("pair_id", "type", p.alias("precision"), r.alias("recall"), T.f1(p, r).alias("f1"))
 
 
-def content_recall(wanted: DataFrame, texts: DataFrame, shortest: int = 1) -> DataFrame:
-    """id, found: whether a wanted text equals one of `texts` or is inside one.
+#: Bytes of wanted texts that one automaton holds: about 40 bytes of a worker's memory each.
+AUTOMATON_BYTES = 4 << 20
+
+
+def content_recall(wanted: DataFrame, texts: DataFrame, shortest: int = 1, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """id, found: whether a wanted text equals one of `texts` or is inside one, folded.
 
-    Equality is a hash join. What is left is found by containment through a word: a text that holds
-    another holds its inner words whole, so the two meet at the longest of these. Only numbers of texts
-    are dealt by words; the texts come back for the pairs that met. A wanted text of one or two words
-    has no inner word and is looked for in all texts."""
+    Equality is a hash join. What is left is looked for by an automaton of many patterns, which reads each
+    text once whatever the number of patterns. Wanted texts are broadcast in blocks of block_bytes, a job a
+    block; a task reports each pattern at most once a batch. Null texts on either side match nothing, nor do
+    wanted texts under `shortest` characters; ids that repeat are found if one of their texts is."""
     w = wanted.select("id", T.folded(F.col("text")).alias("w")).where(F.length("w") >= shortest)
-    t = texts.select(T.folded(F.col("text")).alias("t")).distinct()
-    exact = w.join(t, w.w == t.t, "left_semi").select("id").withColumn("found", F.lit(True))
-    rest = w.join(exact, "id", "left_anti")
-    inner = rest.withColumn("words", F.split("w", " "))
-    longest = F.expr("array_max(transform(slice(words, 2, size(words) - 2), x -> struct(length(x) as n, x as word))).word")
-    inner = inner.withColumn("key", F.when(F.size("words") > 2, longest))
-    t = t.withColumn("tid", F.xxhash64("t"))  # equal numbers of unlike texts only mean one more check
-    said = t.select("tid", F.explode(F.array_distinct(F.split("t", " "))).alias("key")).distinct()
-    met = inner.where("key is not null").select("id", "w", "key").join(said, "key").select("id", "w", "tid").distinct()
-    keyed = met.join(t, "tid").where(F.col("t").contains(F.col("w"))).select("id").distinct()
-    short = inner.where("key is null")
-    loose = short.join(t, F.col("t").contains(F.col("w")), "left_semi").select("id").distinct()
-    hits = exact.select("id").union(keyed).union(loose).distinct().withColumn("found", F.lit(True))
-    return wanted.select("id").distinct().join(hits, "id", "left").fillna(False, ["found"])
+    t = texts.select(T.folded(F.col("text")).alias("t")).where("t is not null")
+    exact = w.join(t, w.w == t.t, "left_semi").select("id")
+    rest = checkpointed(w.join(exact.distinct(), "id", "left_anti"))
+    patterns = rest.select("w").distinct()
+    size = patterns.agg(F.sum(F.octet_length("w"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    hits = exact
+    for k in range(n):
+        block = [r.w for r in patterns.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).toLocalIterator()]
+        inside = checkpointed(t.mapInPandas(_inside(t.sparkSession.sparkContext.broadcast(block)), "w string").distinct())
+        hits = hits.union(rest.join(inside, "w", "left_semi").select("id"))
+    return wanted.select("id").distinct().join(hits.distinct().withColumn("found", F.lit(True)), "id", "left").fillna(False, ["found"])
+
+
+def _inside(block):
+    """Of batches of texts, which texts of the block they hold."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = None
+        for f in frames:
+            if automaton is None and len(block.value):
+                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                for k, text in enumerate(block.value):
+                    automaton.add_word(text, k)
+                automaton.make_automaton()
+            found = {k for text in f.t for _, k in automaton.iter(text)} if automaton is not None else set()
+            yield pd.DataFrame({"w": [block.value[k] for k in sorted(found)]}, dtype="object")
+
+    return run
 
 
 #: Which links are recalled: kind, property, prefix of the subject's and of the object's name (fixed values).
