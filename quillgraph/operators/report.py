@@ -57,6 +57,27 @@ def write_markdown(rows: DataFrame, path: str, order: list[str]) -> None:
     markdown(rows, order).coalesce(1).write.mode("overwrite").text(path)
 
 
+def run_reports(runs: DataFrame, steps: DataFrame, metrics: DataFrame) -> DataFrame:
+    """run_id, text: a Markdown report of each run: what it read, its steps in order, and a block a metric.
+
+    runs: run_id, pipeline, framework, example, source_dir, work_dir, target_framework; steps: run_id, ord, step,
+    ok, output, error; metrics: run_id, ord, name, values (map of texts). What is null shows as ?; a target
+    that is the framework itself is not named; a run without steps or metrics has no such part."""
+    told = lambda c: F.coalesce(c, F.lit("?"))
+    line = F.concat(F.lit("- `"), told("step"), F.lit("` "), F.when(F.coalesce("ok", F.lit(False)), "✓").otherwise("✗"), F.lit(" "), F.coalesce(F.nullif("output", F.lit("")), "error", F.lit("")), F.lit("\n"))
+    listed = lambda rows, text: rows.groupBy("run_id").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(ord, line))), x -> x.line)"), "").alias(text))
+    done = listed(steps.select("run_id", "ord", line.alias("line")), "done")
+    keys = F.array_sort(F.map_keys("values"))
+    values = F.array_join(F.transform(keys, lambda k: F.concat(F.lit("- "), k, F.lit(": "), F.coalesce(F.element_at("values", k), F.lit("—")), F.lit("\n"))), "")
+    blocks = listed(metrics.select("run_id", "ord", F.concat(F.lit("## "), told("name"), F.lit("\n"), values, F.lit("\n")).alias("line")), "blocks")
+    r = runs.join(done, "run_id", "left").join(blocks, "run_id", "left")
+    target = F.when(F.col("target_framework") != told("framework"), F.concat(F.lit("- target framework: `"), "target_framework", F.lit("`\n")))
+    return r.select("run_id", F.concat(
+        F.lit("# "), F.initcap(told("pipeline")), F.lit(" — "), told("framework"), F.lit("/"), told("example"), F.lit("\n\n- source: `"), told("source_dir"), F.lit("`\n"), F.coalesce(target, F.lit("")),
+        F.lit("- work dir: `"), told("work_dir"), F.lit("`\n\n"), F.coalesce(F.concat(F.lit("## Pipeline\n"), "done", F.lit("\n")), F.lit("")), F.coalesce("blocks", F.lit("")),
+    ).alias("text"))
+
+
 def clean_runs(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.coalesce("errors", F.lit("")) == "").alias("clean"), F.count(F.lit(1)).alias("runs"))
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quillgraph.plans import suite
+from quillgraph.plans import functions, suite, texts
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
@@ -24,11 +24,15 @@ def plain(rows):
     return sorted((tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(suite.ORACLES))
+QUERIES = {**suite.QUERIES, **functions.QUERIES, **texts.QUERIES}
+ORACLES = {**suite.ORACLES, **functions.ORACLES, **texts.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    got = suite.QUERIES[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)
-    want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({suite.ORACLES[name]})").fetchall()
+    want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({ORACLES[name]})").fetchall()
     assert plain(got.select(*columns).collect()) == plain(want)
 
 
