@@ -1,5 +1,7 @@
 """Greedy matching in components and rounds, and containment by automata, against brute force."""
 
+import math
+import os
 import random
 
 import pytest
@@ -7,6 +9,8 @@ import pytest
 from quillgraph.operators import align
 from quillgraph.operators.compare import content_recall
 
+DIR = "/root/testdata/sf0.001"
+
 
 def brute(rows, last_first=False):
     taken, used = set(), set()
@@ -59,3 +63,25 @@ def test_contained_texts_are_found(spark, block_bytes):
     assert {r.id: r.found for r in got.collect()} == want and any(want.values()) and not all(want.values())
     none = spark.createDataFrame([], "id long, text string")
     assert content_recall(none, none).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_greedy_align_takes_what_brute_force_takes(spark, monkeypatch):
+    """The query over whole tables: its scored pairs against features made in Python, its matching against one by one."""
+    from quillgraph.plans import suite
+
+    seen, real = [], align.greedy
+    monkeypatch.setattr(suite.align, "greedy", lambda scored: seen.append(scored) or real(scored))
+    got = {(r.ref, r.cand, round(r.score, 9)) for r in suite.greedy_align(spark, DIR).collect()}
+
+    def features(name, key, nation, balance):
+        rows = spark.read.parquet(f"{DIR}/{name}.parquet").where(f"{key} is not null").collect()
+        return {f"{name}/{r[key]}": {f"n{r[nation]}", f"b{math.floor(r[balance] / 500)}", f"k{r[key] % 97}"} for r in rows if r[nation] is not None and r[balance] is not None}
+
+    left, right = features("supplier", "s_suppkey", "s_nationkey", "s_acctbal"), features("customer", "c_custkey", "c_nationkey", "c_acctbal")
+    nation = lambda f: next(x for x in f if x[0] == "n")
+    want = {(a, b): len(x & y) / len(x | y) for a, x in left.items() for b, y in right.items() if nation(x) == nation(y)}
+    scored = {(r.ref, r.cand): r.score for r in seen[0].collect()}
+    assert {k: scored[k] for k in want} == pytest.approx(want)
+    taken = brute([(1, a, b, s) for (a, b), s in scored.items()])
+    assert got == {(a, b, round(s, 9)) for _, a, b, s in taken} and len(got) > 5
