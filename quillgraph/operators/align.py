@@ -8,10 +8,13 @@ components too large for that go by rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from .closure import checkpointed
 
 #: Pairs of one block or component that a task takes one by one; larger components go by rounds until they fall apart.
 MOST_TOGETHER = 1 << 16
+#: Individuals of one component of classes that a task settles from their features.
+MOST_MEMBERS = 1 << 20
 
 
 def greedy(scored: DataFrame, block: str = "pair_id", left: str = "ref", right: str = "cand", last_first: bool = False, together: int = MOST_TOGETHER) -> DataFrame:
@@ -99,6 +104,43 @@ def _in_order(block: str, left: str, right: str, last_first: bool):
     return run
 
 
+def _by_groups(lefts: list[list], rights: list[list], row: Callable[[int], np.ndarray], last_first: bool) -> Iterator[tuple]:
+    """(left, right, score) that a greedy matching takes, of members whose groups alone decide their scores.
+
+    row(c): the scores of right group c with all left groups, 0 where they make no pair. Each right group waits in
+    a heap with its best score so far; scores only fall while members go, so one that still holds is the next pair's.
+    Rows are made when asked for: no pair of members is, and no more than one row is held."""
+    order = lambda groups: {x: k for k, x in enumerate(sorted((x for g in groups for x in g), reverse=last_first))}
+    places = tuple(order(groups) for groups in (lefts, rights))
+    waiting = tuple([sorted(g, key=place.__getitem__, reverse=True) for g in groups] for groups, place in zip((lefts, rights), places, strict=True))
+    gone = len(places[0])
+    if not gone:
+        return
+    head = np.array([places[0][g[-1]] for g in waiting[0]], dtype=np.int64)
+
+    def best(c: int) -> tuple[float, int]:
+        scores = np.where(head < gone, row(c), 0.0)
+        most = scores.max(initial=0.0)
+        return most, int(np.argmin(np.where(scores == most, head, gone)))
+
+    heap = [(-score, places[1][waiting[1][c][-1]], c) for c in range(len(rights)) for score, _ in [best(c)] if score > 0]
+    heapq.heapify(heap)
+    while heap:
+        held, place, c = heap[0]
+        score, g = best(c)
+        if score <= 0:
+            heapq.heappop(heap)
+        elif score != -held:
+            heapq.heapreplace(heap, (-score, place, c))
+        else:
+            yield waiting[0][g].pop(), waiting[1][c].pop(), score
+            head[g] = places[0][waiting[0][g][-1]] if waiting[0][g] else gone
+            if waiting[1][c]:
+                heapq.heapreplace(heap, (held, places[1][waiting[1][c][-1]], c))
+            else:
+                heapq.heappop(heap)
+
+
 def individual_features(triples: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
     """graph_id, s, feature: literals by predicate, objects by their classes (or name), and own classes.
 
@@ -129,11 +171,70 @@ def jaccard_pairs(features: DataFrame, pairs: DataFrame, classes: DataFrame | No
     return met.select("pair_id", "ref", "cand", (F.col("both") / (F.col("n_ref") + F.col("n_cand") - F.col("both"))).alias("score"))
 
 
+def jaccard_aligned(features: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """greedy(jaccard_pairs(features, pairs, classes)), whose pairs are written out only where they are few.
+
+    Individuals of the same features and classes are one group. Groups that classes join are settled in one task,
+    which reads scores off an inverted index of its features, so rows grow with the individuals and not with their
+    pairs; individuals of components of more than MOST_MEMBERS go by their pairs."""
+    of = lambda who, table: pairs.select("pair_id", F.col(who).alias("graph_id")).join(table, "graph_id").drop("graph_id")
+    counts = [of(who, classes).groupBy("pair_id", "class").agg(F.count(F.lit(1)).cast("double").alias(who)) for who in ("ref_id", "cand_id")]
+    if (counts[0].join(counts[1], ["pair_id", "class"]).agg(F.sum(F.col("ref_id") * F.col("cand_id"))).first()[0] or 0) <= MOST_TOGETHER:
+        return greedy(jaccard_pairs(features, pairs, classes))
+    told = features.groupBy("graph_id", "s").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("feature")).alias("features"))
+    told = checkpointed(told.join(classes.groupBy("graph_id", "s").agg(F.sort_array(F.collect_set("class")).alias("classes")), ["graph_id", "s"]))
+    members = of("ref_id", told).withColumn("side", F.lit("ref")).unionByName(of("cand_id", told).withColumn("side", F.lit("cand")))
+    whole = F.concat_ws("\x1f", "classes")
+    if told.where(F.size("classes") > 1).isEmpty():
+        members = members.withColumn("_part", F.xxhash64(whole))
+    else:
+        links = members.select("pair_id", whole.alias("whole"), F.explode("classes").alias("class")).distinct()
+        parts = _parted(links, "pair_id", "whole", "class").select("pair_id", "whole", "_part").distinct()
+        members = members.withColumn("whole", whole).join(parts, ["pair_id", "whole"]).drop("whole")
+    sizes = checkpointed(members.groupBy("pair_id", "_part").agg(F.count(F.lit(1)).alias("_n")))
+    few, many = (sizes.where(c).drop("_n") for c in (F.col("_n") <= MOST_MEMBERS, F.col("_n") > MOST_MEMBERS))
+    groups = members.join(few, ["pair_id", "_part"], "left_semi").groupBy("pair_id", "_part", "side", "classes", "features", "n").agg(F.collect_list("s").alias("names"))
+    kind = dict(members.dtypes)["pair_id"]
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parts are few and long: none waits for another
+    taken = groups.repartition(tasks, "pair_id", "_part").groupBy("pair_id", "_part").applyInPandas(_jaccard_settled, f"pair_id {kind}, ref string, cand string, score double")
+    if many.isEmpty():
+        return taken
+    wide = members.join(many, ["pair_id", "_part"], "left_semi").select("pair_id", "s", "side")
+    ends = [wide.where(F.col("side") == side).select("pair_id", F.col("s").alias(side)) for side in ("ref", "cand")]
+    rest = jaccard_pairs(features, pairs, classes)
+    for end in ends:
+        rest = rest.join(end, end.columns, "left_semi")
+    return taken.unionByName(greedy(rest))
+
+
+def _jaccard_settled(f: pd.DataFrame) -> pd.DataFrame:
+    left, right = (f[f.side == side] for side in ("ref", "cand"))
+    sizes, columns = left.n.to_numpy(), {}
+    for c in ("features", "classes"):
+        found = defaultdict(list)
+        for k, xs in enumerate(left[c]):
+            for x in xs:
+                found[x].append(k)
+        columns[c] = {x: np.array(ks) for x, ks in found.items()}
+    none = np.zeros(0, dtype=np.int64)
+    asked = list(zip(right.features, right.classes, right.n, strict=True))
+
+    def row(c: int) -> np.ndarray:
+        features, classes, n = asked[c]
+        both = np.bincount(np.concatenate([none, *[columns["features"].get(x, none) for x in features]]), minlength=len(sizes))
+        met = np.zeros(len(sizes), dtype=bool)
+        met[np.concatenate([none, *[columns["classes"].get(x, none) for x in classes]])] = True
+        return np.where(met, both / np.maximum(sizes + n - both, 1), 0.0)
+
+    rows = _by_groups(left.names.tolist(), right.names.tolist(), row, False)
+    return pd.DataFrame(rows, columns=["ref", "cand", "score"]).assign(pair_id=f.pair_id.iloc[0])[["pair_id", "ref", "cand", "score"]]
+
+
 def aligned(triples: DataFrame, pairs: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
     """pair_id, ref, cand, score: the class-aware alignment of individuals."""
     features = checkpointed(individual_features(triples, vocabulary))
     classes = triples.where((F.col("p") == T.TYPE) & ~F.col("o").isin(*T.SCHEMA_TYPES)).select("graph_id", "s", F.col("o").alias("class")).distinct()
-    return greedy(jaccard_pairs(features, pairs, classes))
+    return jaccard_aligned(features, pairs, classes)
 
 
 def rewritten(triples: DataFrame, alignment: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -215,7 +215,7 @@ def greedy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = lambda df, who, key, nation, balance: df.select(F.lit(who).alias("graph_id"), F.concat(F.lit(f"{who}/"), F.col(key)).alias("s"), F.explode(F.array(F.concat(F.lit("n"), F.col(nation)), F.concat(F.lit("b"), F.floor(F.col(balance) / 500)), F.concat(F.lit("k"), F.col(key) % 97))).alias("feature"))
     rows = feature(t["supplier"], "supplier", "s_suppkey", "s_nationkey", "s_acctbal").unionByName(feature(t["customer"].where("c_custkey is not null"), "customer", "c_custkey", "c_nationkey", "c_acctbal"))
     kinds = rows.where("feature like 'n%'").select("graph_id", "s", F.col("feature").alias("class"))
-    return align.greedy(align.jaccard_pairs(rows, _one_pair(spark, "supplier", "customer"), kinds))
+    return align.jaccard_aligned(rows, _one_pair(spark, "supplier", "customer"), kinds)
 
 
 def fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,26 @@ def test_greedy_align_takes_what_brute_force_takes(spark, monkeypatch):
     assert {k: scored[k] for k in want} == pytest.approx(want)
     taken = brute([(1, a, b, s) for (a, b), s in scored.items()])
     assert got == {(a, b, round(s, 9)) for _, a, b, s in taken} and len(got) > 5
+
+
+def test_groups_of_equal_features_take_what_their_pairs_take(spark, monkeypatch):
+    """Many individuals with few features: no pair is written out, however many there are, nor in several classes a node."""
+    rnd = random.Random(3)
+    features, classes = [], []
+    for side, n in (("a", 40), ("b", 70)):
+        for k in range(n):
+            kinds = rnd.sample(["p", "q", "r", "lone" + side], rnd.choice([1, 1, 2]))
+            classes += [(side, f"{side}{k}", c) for c in kinds]
+            features += [(side, f"{side}{k}", f) for f in rnd.sample(range(9), rnd.randint(1, 4))] + [(side, f"{side}{k}", None)] * (k % 5 == 0)
+    features, classes = spark.createDataFrame(features, "graph_id string, s string, feature long"), spark.createDataFrame(classes, "graph_id string, s string, class string")
+    pairs = spark.createDataFrame([(7, "a", "b"), (8, "b", "a")], "pair_id long, ref_id string, cand_id string")
+    want = brute([tuple(r) for r in align.jaccard_pairs(features, pairs, classes).collect()])
+    for kinds, members in ((classes, 1 << 20), (classes.where("class = 'p'"), 1 << 20), (classes, 3)):
+        wanted = want if kinds is classes else brute([tuple(r) for r in align.jaccard_pairs(features, pairs, kinds).collect()])
+        with monkeypatch.context() as m:
+            m.setattr(align, "MOST_TOGETHER", 10)
+            m.setattr(align, "MOST_MEMBERS", members)
+            if members > 3:
+                m.setattr(align, "jaccard_pairs", None)
+            got = [tuple(r) for r in align.jaccard_aligned(features, pairs, kinds).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted and len(got) > 10
