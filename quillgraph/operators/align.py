@@ -12,7 +12,9 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -258,6 +260,7 @@ def aligned_scores(triples: DataFrame, pairs: DataFrame, vocabulary: tuple[str,
     return scores.join(found.groupBy("pair_id").agg(F.count(F.lit(1)).alias("aligned")), "pair_id", "left").fillna(0, ["aligned"])
 
 
+@lru_cache(maxsize=1 << 16)
 def similarity(a: str, b: str) -> float:
     """0 if either is empty, 1 if equal, else the better of matching-block ratio and word Jaccard."""
     a, b = (" ".join(x.lower().replace("_", " ").split()) for x in (a, b))
@@ -290,9 +293,53 @@ def fuzzy_aligned(labels: DataFrame, pairs: DataFrame, threshold: float = 0.55)
 
     labels: graph_id, class, s, label. Ties go to the largest names. A class on one side alone gives
     nothing."""
-    sets = labels.groupBy("graph_id", "class", "s").agg(F.collect_set("label").alias("labels"))
-    side = lambda who, name: pairs.select("pair_id", F.col(who).alias("graph_id")).join(sets, "graph_id").select(F.concat_ws("\x1f", "pair_id", "class").alias("block"), F.col("s").alias(name), F.col("labels").alias(f"{name}_labels"))
-    return greedy(fuzzy_scores(side("ref_id", "ref").join(side("cand_id", "cand"), "block"), threshold), block="block", last_first=True)
+    sets = labels.groupBy("graph_id", "class", "s").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    groups = checkpointed(sets.groupBy("graph_id", "class", "labels").agg(F.min("s").alias("group"), F.collect_list("s").alias("names")))
+    side = lambda who, name: pairs.select("pair_id", F.col(who).alias("graph_id")).join(groups, "graph_id").select(F.concat_ws("\x1f", "pair_id", "class").alias("block"), F.col("group").alias(name), F.col("labels").alias(f"{name}_labels"), "names")
+    ref, cand = side("ref_id", "ref"), side("cand_id", "cand")
+    scored = checkpointed(fuzzy_scores(ref.drop("names").join(cand.drop("names"), "block"), threshold))
+    sizes = checkpointed(scored.groupBy("block").agg(F.count(F.lit(1)).alias("_n")))
+    few, many = (sizes.where(c).select("block") for c in (F.col("_n") <= MOST_TOGETHER, F.col("_n") > MOST_TOGETHER))
+    names = lambda table, name: table.select("block", name, "names")
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [scored, names(ref, "ref"), names(cand, "cand")]).join(few, "block", "left_semi")
+    taken = rows.repartition("block").sortWithinPartitions("block").mapInPandas(_fuzzy_settled, "block string, ref string, cand string, score double")
+    if many.isEmpty():
+        return taken
+    rest = scored.join(many, "block", "left_semi")
+    for table, name in ((ref, "ref"), (cand, "cand")):
+        rest = rest.join(names(table, name), ["block", name]).withColumn(name, F.explode("names")).drop("names")
+    return taken.unionByName(greedy(rest.select("block", "ref", "cand", "score"), block="block", last_first=True))
+
+
+def _fuzzy_settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows that blocks order: scored pairs of groups, and groups of either side with their names."""
+    made = lambda rows: pd.DataFrame(rows, columns=["block", "ref", "cand", "score"]).astype({"score": "float64"})
+    told, out = (r for f in frames for r in zip(f.block, f.ref, f.cand, f.score, f.names, strict=True)), []
+    for block, own in groupby(told, key=itemgetter(0)):
+        left, right, lefts, rights, found = {}, {}, [], [], []
+        for _, x, y, score, names in own:
+            if x is not None and y is not None:
+                found.append((x, y, score))
+            else:
+                side, members = (left, lefts) if y is None else (right, rights)
+                side[x if y is None else y] = len(members)
+                members.append(names)
+        at = defaultdict(lambda: ([], []))
+        for x, y, score in found:
+            at[right[y]][0].append(left[x])
+            at[right[y]][1].append(score)
+
+        def row(c: int, at=at, n=len(lefts)) -> np.ndarray:
+            scores = np.zeros(n)
+            if c in at:
+                scores[at[c][0]] = at[c][1]
+            return scores
+
+        out += [(block, *r) for r in _by_groups(lefts, rights, row, True)]
+        if len(out) >= 1 << 14:
+            yield made(out)
+            out = []
+    yield made(out)
 
 
 def class_means(matched: DataFrame) -> DataFrame:

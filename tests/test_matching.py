@@ -108,3 +108,19 @@ def test_groups_of_equal_features_take_what_their_pairs_take(spark, monkeypatch)
                 m.setattr(align, "jaccard_pairs", None)
             got = [tuple(r) for r in align.jaccard_aligned(features, pairs, kinds).collect()]
         assert len(got) == len(set(got)) and set(got) == wanted and len(got) > 10
+
+
+@pytest.mark.parametrize("together", [1 << 16, 5])
+def test_equal_labels_are_compared_once(spark, monkeypatch, together):
+    """Two thousand individuals of six labels: 36 label pairs a class are scored, not a million pairs."""
+    names = ["red ring", "old ring", "red bolt", "old plate", "small ring", "red rings"]
+    n = 1000 if together > 5 else 40
+    rows = [(g, f"c{k % 2}", f"{g}{k:04}", names[(k * (3 if g == "a" else 5)) // 7 % 6] + ("" if g == "a" else " land")) for g in "ab" for k in range(n)]
+    scored, real = [], align.fuzzy_scores
+    monkeypatch.setattr(align, "fuzzy_scores", lambda c, t: scored.append(c.count()) or real(c, t))
+    monkeypatch.setattr(align, "MOST_TOGETHER", together)
+    pairs = spark.createDataFrame([("x", "a", "b")], "pair_id string, ref_id string, cand_id string")
+    got = [tuple(r) for r in align.fuzzy_aligned(spark.createDataFrame(rows, "graph_id string, class string, s string, label string"), pairs).collect()]
+    sides = [[r for r in rows if r[0] == g] for g in "ab"]
+    best = [(f"x\x1f{c}", s, t, round(align.similarity(x, y), 3)) for _, c, s, x in sides[0] for _, d, t, y in sides[1] if c == d and align.similarity(x, y) >= 0.55]
+    assert scored == [72] and set(got) == brute(best, last_first=True) and len(got) == len(set(got))
