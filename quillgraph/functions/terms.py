@@ -58,10 +58,11 @@ def is_literal(t: Column) -> Column:
 
 def lexical(t: Column) -> Column:
     """The text of a literal, the address of an IRI, the label of a blank node."""
-    body = F.regexp_extract(t, r'(?s)^"(.*)"[^"]*$', 1)
+    body = F.substring(t, F.lit(2), F.length(t) - F.length(F.substring_index(t, '"', -1)) - 2)
+    plain = body
     for a, b in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
         body = F.replace(body, F.lit(a), F.lit(b))
-    return F.when(is_literal(t), body).when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(F.substring(t, F.lit(3), F.length(t)))
+    return F.when(is_literal(t), F.when(plain.contains("\\"), body).otherwise(plain)).when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(F.substring(t, F.lit(3), F.length(t)))
 
 
 def datatype(t: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from .closure import checkpointed
 
 TRIPLE_SCHEMA = "graph_id string, s string, p string, o string"
 
@@ -117,6 +118,10 @@ def joined(a: DataFrame, b: DataFrame, how: str = "inner", unbound: frozenset[st
     variable the result is that of all pairs: what such a query asks for."""
     shared = [c for c in a.columns if c in b.columns]
     if not (unbound | unbound_right) & set(shared):
+        if not shared and how == "left":  # all pairs, dealt out by the larger side; a's rows alone only if b has none
+            rows = checkpointed(a)  # its true size tells whether it can be broadcast
+            alone = rows.join(b.select(F.lit(1).alias("_some")).limit(1), None, "left_anti")
+            return rows.crossJoin(b).unionByName(alone, allowMissingColumns=True)
         return a.join(b, shared or None, how) if shared or how != "inner" else a.crossJoin(b)
     if not unbound_right & set(shared):
         c = next(c for c in shared if c in unbound)

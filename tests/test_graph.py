@@ -170,3 +170,16 @@ def test_unbound_variables_match_anything(spark):
     assert [tuple(r) for r in pairs] == [("<a>", "<c>")]
     sure, maybe = bindings(parse("SELECT ?s ?v ?k WHERE { ?s <p> ?w OPTIONAL { ?s <n> ?v } }"))
     assert sure == {"s"} and maybe == {"v", "k"}
+
+
+def test_all_pairs_are_dealt_out_by_the_larger_side(spark):
+    """An OPTIONAL without a shared variable: the few rows are sent to the many, not the many to one task's rows."""
+    from quillgraph.operators.graph import joined
+
+    few, many = spark.range(3).selectExpr("cast(id as string) x"), spark.range(0, 5000, 1, 4).selectExpr("cast(id as string) y")
+    out = joined(few, many, "left")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan and "BuildLeft, Cross" in plan
+    assert out.columns == ["x", "y"] and out.count() == 15000 and out.distinct().count() == 15000
+    assert {tuple(r) for r in joined(few, many.where("y = 'none'"), "left").collect()} == {(str(k), None) for k in range(3)}
+    assert joined(few.limit(0), many, "left").count() == 0
