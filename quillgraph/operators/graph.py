@@ -230,17 +230,30 @@ class TableStore(Store):
                 return table, column
         return None
 
-    def triples(self, table: str) -> DataFrame:
-        """All triples of a table; null cells have none."""
+    def triples(self, table: str, rows: DataFrame | None = None) -> DataFrame:
+        """All triples of a table, or of some of its rows; null cells have none."""
         m = self.mappings[table]
         columns = [c for c, t in self.tables[table].dtypes if c not in m.skip and not t.startswith(("array", "map", "struct"))]
         pairs = [F.struct(F.lit(T.TYPE).alias("p"), F.lit(f"<{self.base}{table}>").alias("o"))]
         pairs += [F.struct(F.lit(self.predicate(table, c)).alias("p"), self.value(table, c).alias("o")) for c in columns]
-        rows = self.tables[table].select(self.subject(table).alias("s"), F.explode(F.array(*pairs)).alias("t"))
+        rows = (self.tables[table] if rows is None else rows).select(self.subject(table).alias("s"), F.explode(F.array(*pairs)).alias("t"))
         return rows.select("s", "t.p", "t.o").where("o is not null")
 
     def materialised(self, *names: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.triples(n) for n in (names or tuple(self.tables))]).distinct()
+        """The set of all triples of the tables.
+
+        A row whose subject no other row has gives triples that nothing repeats, so only the others are compared."""
+        parts = []
+        for n in names or tuple(self.tables):
+            key = F.xxhash64(self.subject(n))
+            twice = checkpointed(self.tables[n].groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+            if twice.isEmpty():
+                parts.append(self.triples(n))
+                continue
+            keyed = self.tables[n].withColumn("_key", key)
+            alone, several = (keyed.join(twice, "_key", how).drop("_key") for how in ("left_anti", "left_semi"))
+            parts += [self.triples(n, alone), self.triples(n, several).distinct()]
+        return reduce(DataFrame.unionByName, parts)
 
     def scan(self, pattern: Pattern) -> DataFrame:
         place = self._place(pattern.p)

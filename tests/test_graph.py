@@ -183,3 +183,17 @@ def test_all_pairs_are_dealt_out_by_the_larger_side(spark):
     assert out.columns == ["x", "y"] and out.count() == 15000 and out.distinct().count() == 15000
     assert {tuple(r) for r in joined(few, many.where("y = 'none'"), "left").collect()} == {(str(k), None) for k in range(3)}
     assert joined(few.limit(0), many, "left").count() == 0
+
+
+def test_only_rows_of_repeated_subjects_are_compared(spark):
+    """Triples of lone subjects need no shuffle; repeated and conflicting rows still give a set, null keys too."""
+    from quillgraph.operators.graph import Mapping, TableStore
+
+    make = lambda rows: TableStore({"t": spark.createDataFrame(rows, "k long, a string, b double")}, {"t": Mapping(("k",))})
+    lone = [(k, f"x{k % 3}", None if k % 4 == 0 else k / 2) for k in range(20)]
+    got = make(lone).materialised()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 75
+    mixed = make([*lone, lone[3], (5, "other", 2.5), (5, "x2", None), (None, "n", 1.0), (None, "n", 2.0)])
+    want = [tuple(r) for r in mixed.triples("t").distinct().collect()]
+    got = [tuple(r) for r in mixed.materialised().collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
