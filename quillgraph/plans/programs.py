@@ -119,9 +119,9 @@ def _asked(*numbers: int):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = TripleStore(graph(spark, sf_dir).select("s", "p", "o"))
-        parts = []
+        vocabulary, parts = catalog.detect(store.triples), []
         for n in numbers:
-            rows = catalog.run(n, store)
+            rows = catalog.run(n, store, vocabulary, ordered=False)  # rows of several questions have no order together
             cells = [F.coalesce(T.lexical(F.col(c)), F.lit(NONE)) for c in rows.columns]
             parts.append(rows.select(F.lit(n).alias("question"), F.concat_ws("|", *cells).alias("row")))
         return reduce(DataFrame.unionByName, parts)
