@@ -105,12 +105,14 @@ _LIFTED: dict[tuple[str, str, int], DataFrame] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triples of all conversations, written once a session and state of the folder's files."""
+    """The triples of all conversations, written once a session and state of the folder's files.
+
+    A part's rows lie by predicate and object, so that a pattern reads its own pages and passes over the others."""
     file = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = file.agg(F.bit_xor(F.xxhash64(*file.columns))).first()[0] or 0
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _LIFTED:
-        _LIFTED[key] = checkpointed(lifted(spark, records(spark, sf_dir)))
+        _LIFTED[key] = checkpointed(lifted(spark, records(spark, sf_dir)).sortWithinPartitions("p", "o"))
     return _LIFTED[key]
 
 

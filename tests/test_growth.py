@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import TripleStore
 from quillgraph.plans import catalog, programs
@@ -40,3 +41,9 @@ def test_questions_keep_their_order_unless_any_will_do(told):
 def test_the_vocabulary_of_other_namespaces_is_found(spark):
     rows = [("<a>", "<urn:x/agentID>", '"1"'), ("<a>", "<urn:y#agentRole>", '"r"'), ("<b>", "<urn:x/agentID>", '"2"'), ("<a>", "<urn:z#hasTitle>", '"t"'), ("<a>", "<urn:w#other>", '"t"')]
     assert catalog.detect(spark.createDataFrame(rows, "s string, p string, o string")) == catalog.Vocabulary("urn:x/", "urn:z#")
+
+
+def test_triples_lie_by_predicate(told):
+    rows = told.select(F.input_file_name().alias("file"), "p").collect()
+    changes = sum(a != b for a, b in zip(rows[:-1], rows[1:], strict=True))
+    assert changes + 1 == len(set(rows)) and len({r.p for r in rows}) > 50
