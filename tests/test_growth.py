@@ -22,11 +22,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_the_vocabulary_is_read_once_for_all_questions_and_nothing_is_sorted(spark, told, monkeypatch):
+@pytest.mark.parametrize("name", ["catalog_teams", "catalog_agents", "catalog_tasks"])
+def test_the_vocabulary_is_read_once_for_all_questions_and_nothing_is_sorted(spark, told, monkeypatch, name):
     monkeypatch.setattr(programs, "graph", lambda *_: told)
     read, own = [], catalog.detect
     monkeypatch.setattr(catalog, "detect", lambda t: read.append(t) or own(t))
-    rows = programs.QUERIES["catalog_teams"](spark, DIR)
+    rows = programs.QUERIES[name](spark, DIR)
     assert len(read) == 1 and "rangepartitioning" not in plan(rows)
 
 
