@@ -12,6 +12,8 @@ from .symbols import VALUE, Symbols, symbol
 from .workflow import topology
 
 FUNCTION = "doc string, model array<array<string>>, prompt array<array<string>>, human array<array<string>>, asks boolean, invoked array<string>, keys array<string>, plain boolean, tool_node boolean, handler boolean, dynamic boolean, targets array<string>, says array<string>, body string, schema string, public boolean"
+#: What a node tells of its function; bodies and schemas stay where they are.
+ASKED = ("doc", "model", "prompt", "human", "asks", "invoked", "keys", "plain", "tool_node", "handler", "dynamic")
 #: How long the memories of agents last, from the shortest, and models that reason by themselves.
 PERSISTENCE = ("ExecutionScoped", "ThreadScoped", "Persistent")
 MEMORIES = {"ListMemory": "ExecutionScoped", "ChromaDBVectorMemory": "Persistent", "RedisMemory": "Persistent"}
@@ -34,8 +36,9 @@ def _reference() -> Column:
 class Recovery:
     def __init__(self, found: DataFrame):
         self.s = Symbols(found)
-        self.functions = self.s.of("function", FUNCTION).withColumn("dst", symbol("path", "name"))
-        self.values = self.s.of("value", VALUE + ", model array<array<string>>, prompt array<array<string>>, about array<array<string>>").withColumn("dst", symbol("path", "name"))
+        # both are asked for many things, each of which reads its own columns and parses no payload again
+        self.functions = checkpointed(self.s.of("function", FUNCTION).drop("payload").withColumn("dst", symbol("path", "name")))
+        self.values = checkpointed(self.s.of("value", VALUE + ", model array<array<string>>, prompt array<array<string>>, about array<array<string>>").drop("payload").withColumn("dst", symbol("path", "name")))
         self.models = self._models()
         self.tools = self._tools()
 
@@ -89,7 +92,7 @@ class Recovery:
         one = Window.partitionBy("system_id", "graph", "node").orderBy(F.desc("path"), F.desc("ord"))
         rows = rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
         rows = rows.select("system_id", "graph", "node", "path", "ord", F.coalesce("tool_node", F.lit(False)).alias("is_tools"), symbol("path", F.coalesce("ref", F.lit(""))).alias("target"), symbol("path", F.coalesce("callee", F.lit(""))).alias("maker"), F.coalesce(F.col("react"), F.lit(False)).alias("inline_react"))
-        function = self.s.means.join(self.functions, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("path", *[c.split()[0] for c in FUNCTION.split(", ")], F.col("name").alias("function")), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst")).alias("f"))
+        function = self.s.means.join(self.functions, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("path", *ASKED, F.col("name").alias("function")), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst")).alias("f"))
         function = checkpointed(function)
         value = self.s.means.join(self.values, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("path", "callee", "tool_node", "react"), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst", "ord")).alias("v"))
         met = rows.join(function.withColumnRenamed("src", "target"), ["system_id", "target"], "left").join(value.withColumnRenamed("src", "target"), ["system_id", "target"], "left")
@@ -263,13 +266,13 @@ def extracted(files: DataFrame, framework: str, namespace: str = "http://example
     calls) is recovered along symbols. framework is the label that systems get: one that begins with
     LangGraph has state graphs, one that begins with AutoGen has chats, others have neither."""
     from .extract import program_records, to_records
-    from .symbols import facts
+    from .symbols import kept_facts
 
     records = to_records(program_records(files, strict), framework, namespace, entries)
     if framework.startswith("LangGraph"):
-        return _with_graphs(records, Recovery(checkpointed(facts(files, strict))))
+        return _with_graphs(records, Recovery(kept_facts(files, strict)))
     if framework.startswith("AutoGen"):
-        return _with_chats(records, Recovery(checkpointed(facts(files, strict))))
+        return _with_chats(records, Recovery(kept_facts(files, strict)))
     return records
 
 

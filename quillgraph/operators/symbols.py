@@ -104,10 +104,10 @@ def _tools(node: ast.AST | None, scope: Scope) -> dict:
     return {"tools": _names(node, scope)} if node is not None else {}
 
 
-def _messages(function: ast.AST, scope: Scope, roles: tuple[str, ...], call: str) -> list[tuple[str, list[Part]]]:
-    """(how it stands, parts) of the messages of a role in a function: calls, dicts of role and content, pairs."""
+def _messages(nodes: list[ast.AST], scope: Scope, roles: tuple[str, ...], call: str) -> list[tuple[str, list[Part]]]:
+    """(how it stands, parts) of the messages of a role among a function's nodes: calls, dicts of role and content, pairs."""
     found = []
-    for n in ast.walk(function):
+    for n in nodes:
         node = None
         match n:
             case ast.Call() if _called(n) == call:
@@ -124,11 +124,11 @@ def _messages(function: ast.AST, scope: Scope, roles: tuple[str, ...], call: str
     return sorted(found, key=lambda x: order[x[0]])
 
 
-def _locals(function: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[list[str], frozenset[str]]:
+def _locals(function: ast.FunctionDef | ast.AsyncFunctionDef, nodes: list[ast.AST]) -> tuple[list[str], frozenset[str]]:
     a = function.args
     given = [x.arg for x in [*a.posonlyargs, *a.args]]
     own = {*given, *(x.arg for x in a.kwonlyargs)}
-    for n in ast.walk(function):
+    for n in nodes:
         if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
             own.add(n.id)
     return given, frozenset(own)
@@ -262,18 +262,19 @@ class _File:
         )
 
     def function(self, f: ast.FunctionDef | ast.AsyncFunctionDef, name: str, holder: str) -> None:
-        given, own = _locals(f)
+        nodes = list(ast.walk(f))
+        given, own = _locals(f, nodes)
         scope = Scope(name, own, holder)
-        calls = [n for n in ast.walk(f) if isinstance(n, ast.Call)]
+        calls = [n for n in nodes if isinstance(n, ast.Call)]
         nested = {x.name: x for x in f.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))}
-        returns = [r.value for r in ast.walk(f) if isinstance(r, ast.Return) and r.value is not None]
+        returns = [r.value for r in nodes if isinstance(r, ast.Return) and r.value is not None]
         goes = [_keywords(c)["goto"] for x in nested.values() for c in ast.walk(x) if isinstance(c, ast.Call) and _called(c) == "Command" and "goto" in _keywords(c)]
         made = [_value(r, scope) for r in returns if isinstance(r, ast.Call)]
         models = [v["model"] for c in calls if (v := _value(c, scope)).get("model")]
-        system = _messages(f, scope, ("system",), "SystemMessage")
+        system = _messages(nodes, scope, ("system",), "SystemMessage")
         named = [parts(x.value, scope) or [["h", ast.unparse(x.value), -1, ""]] for x in f.body if isinstance(x, ast.Assign) and isinstance(x.targets[0], ast.Name) and x.targets[0].id.lower() in PROMPT_NAMES]
         prompt = next((p for how, p in system if how == "call"), None) or (named[0] if named else None) or next((p for _, p in system), None)
-        human = _messages(f, scope, ("user", "human"), "HumanMessage")
+        human = _messages(nodes, scope, ("user", "human"), "HumanMessage")
         invoked = [scope.symbol(c.func.value) for c in calls if isinstance(c.func, ast.Attribute) and c.func.attr in ("invoke", "ainvoke", "stream", "astream") and scope.symbol(c.func.value)]
         targets = f.returns.slice if isinstance(f.returns, ast.Subscript) and ast.unparse(f.returns.value).endswith("Literal") else None
         self.add(
@@ -322,6 +323,11 @@ def facts(files: DataFrame, strict: bool = False) -> DataFrame:
     return files.select("system_id", "path", "source").mapInPandas(run, FACT)
 
 
+def kept_facts(files: DataFrame, strict: bool = False) -> DataFrame:
+    """The facts, written once; a part's rows lie by kind, so that who asks for one passes over the others' payloads."""
+    return checkpointed(facts(files, strict).sortWithinPartitions("kind"))
+
+
 VALUE = "ref string, `from` array<string>, names array<string>, call string, callee string, react boolean, tool_node boolean, tools array<string>, tools_of string, wraps string"
 
 
@@ -335,11 +341,11 @@ class Symbols:
 
     def __init__(self, found: DataFrame):
         self.found = found
-        values = self.of("value", VALUE)
-        functions = self.of("function", "given array<string>, holder string")
+        values = checkpointed(self.of("value", VALUE).drop("payload"))  # read many times, so payloads are not parsed at each
+        functions = checkpointed(self.of("function", "given array<string>, holder string").drop("payload"))
         #: where a name is defined: what is assigned, functions and classes
         classes = self.of("class", "bases array<string>, fields array<array<string>>")
-        self.defined = values.select("system_id", "path", "name").union(functions.select("system_id", "path", "name")).union(classes.select("system_id", "path", "name")).distinct()
+        self.defined = checkpointed(values.select("system_id", "path", "name").union(functions.select("system_id", "path", "name")).union(classes.select("system_id", "path", "name")).distinct())
         self.classes = classes.withColumn("dst", symbol("path", "name"))
         plain = values.where("ref <> ''").select("system_id", symbol("path", "name").alias("src"), symbol("path", "ref").alias("dst"))
         self.links = checkpointed(plain.union(self._imports()).distinct())

@@ -16,7 +16,7 @@ from ..operators.closure import checkpointed, shared_folder
 from ..operators.extract import python_text
 from ..operators.graph import TripleStore
 from ..operators.recover import Recovery
-from ..operators.symbols import facts
+from ..operators.symbols import kept_facts
 from ..sources import turtle
 from .suite import ask
 
@@ -62,7 +62,7 @@ def conversation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recovered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models, tools, prompts, checkpoints and tasks of state graphs, found across the files of each program."""
-    made = Recovery(checkpointed(facts(conversation_sources(spark, sf_dir), strict=True))).state_graphs()
+    made = Recovery(kept_facts(conversation_sources(spark, sf_dir), strict=True)).state_graphs()
     agents = made["agents"].select("system_id", "agent_key", "goal", F.md5(F.col("backstory").cast("binary")).alias("prompt_md5"), "llm", F.array_join("tools", ",").alias("tools"), "human_input")
     tasks = made["tasks"].select("system_id", "agent_key", F.md5(F.col("description").cast("binary")).alias("task_md5"), "expected_output")
     return agents.join(tasks, ["system_id", "agent_key"])

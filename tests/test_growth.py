@@ -48,3 +48,28 @@ def test_triples_lie_by_predicate(told):
     rows = told.select(F.input_file_name().alias("file"), "p").collect()
     changes = sum(a != b for a, b in zip(rows[:-1], rows[1:], strict=True))
     assert changes + 1 == len(set(rows)) and len({r.p for r in rows}) > 50
+
+
+def test_a_function_is_walked_once(monkeypatch):
+    import ast
+
+    from quillgraph.operators import symbols
+
+    source = "def f(state):\n    out = model.invoke([SystemMessage(content=P), HumanMessage(content=P)])\n    return {'out': out}\n"
+    walked, own, tree = [], ast.walk, ast.parse(source)
+    monkeypatch.setattr(symbols.ast, "walk", lambda n: walked.append(type(n)) or own(n))
+    rows = symbols._File("a.py", tree).rows
+    assert walked.count(ast.FunctionDef) == 1 and [r[0] for r in rows].count("function") == 1
+
+
+def test_facts_are_parsed_once(spark):
+    from quillgraph.operators.recover import Recovery
+    from quillgraph.operators.symbols import kept_facts
+
+    source = "KIT = [look]\nbase = ChatOpenAI(model='m')\ndef f(state):\n    return base.invoke('x')\n"
+    found = kept_facts(spark.createDataFrame([("c", "a.py", source)], "system_id string, path string, source string"))
+    kinds = [r.kind for r in found.collect()]
+    r = Recovery(found)
+    assert kinds == sorted(kinds) and {"value", "function"} <= set(kinds)
+    assert all("from_json" not in plan(x) and "payload" not in x.columns for x in (r.values, r.functions, r.s.defined))
+    assert {x.name for x in r.values.collect()} == {"KIT", "base", "f()"}
