@@ -22,12 +22,22 @@ VALUES = (
     " promptInstruction promptContext promptOutputIndicator hasDirectiveFunction hasSourceAttribute configKey configValue hasPersistenceScope hasSourceFramework hasSchemaDefinition hasGuardrailType hasValidationLogic"
     " hasMaxRetries hasTriggerExpression hasMaxTurns hasOperator stepOrder callsCrew hasAggregationCombinator hasRoutingLogic hasEdgeMapping hasCheckpointType"
 ).split()
+#: Of kinds that take values by outer joins only, all that they take: a node without one is there either way.
+OWN_VALUES = {
+    "systems": ("hasTitle", "hasSourceFramework"),
+    "tools": ("hasTitle", "hasDescription", "hasInputSchema", "hasImplementationReference"),
+    "flows": ("hasTitle", "hasSchemaDefinition"),
+    "models": ("hasTitle", "hasSchemaDefinition"),
+}
+KINDS = ("systems", "agents", "tasks", "tools", "teams", "flows", "flow_steps", "models")
 
 
 class Lower:
-    def __init__(self, triples: DataFrame, vocabulary: Vocabulary):
-        self.t, self.v = checkpointed(triples.select(F.col("graph_id").alias("system_id"), "s", "p", "o")), vocabulary
-        names = {vocabulary(n): n for n in VALUES}
+    def __init__(self, triples: DataFrame, vocabulary: Vocabulary, kinds: tuple[str, ...] = KINDS, kept: bool = False):
+        rows = triples.select(F.col("graph_id").alias("system_id"), "s", "p", "o")
+        self.t, self.v = rows if kept else checkpointed(rows), vocabulary
+        wanted = {n for k in kinds for n in OWN_VALUES.get(k, VALUES)}
+        names = {vocabulary(n): n for n in VALUES if n in wanted}
         held = self.t.where(F.col("p").isin(*names)).groupBy("system_id", "s")
         self.wide = checkpointed(held.agg(*[T.lexical(F.min(F.when(F.col("p") == p, F.col("o")))).alias(n) for p, n in names.items()]))
 
@@ -190,7 +200,9 @@ def with_state(systems: DataFrame, flows: DataFrame, tasks: DataFrame) -> DataFr
     return of.withColumn("state_fields", F.when(missing, fields).otherwise(F.col("state_fields"))).select(*flows.columns)
 
 
-def lowered(triples: DataFrame, vocabulary: Vocabulary | None = None) -> dict[str, DataFrame]:
-    """Records of all graphs (system_id = graph_id), a DataFrame for each kind."""
-    low = Lower(triples, vocabulary or Vocabulary())
-    return {n: getattr(low, n)() for n in ("systems", "agents", "tasks", "tools", "teams", "flows", "flow_steps", "models")}
+def lowered(triples: DataFrame, vocabulary: Vocabulary | None = None, kinds: tuple[str, ...] = KINDS, kept: bool = False) -> dict[str, DataFrame]:
+    """Records of all graphs (system_id = graph_id), a DataFrame for each kind asked for.
+
+    kept: the triples are a written table, which is not written again."""
+    low = Lower(triples, vocabulary or Vocabulary(), kinds, kept)
+    return {n: getattr(low, n)() for n in kinds}

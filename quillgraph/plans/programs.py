@@ -139,7 +139,7 @@ def _back(kind: str, *columns: str):
     """Records of a kind that were lifted and lowered again."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lowered(graph(spark, sf_dir))[kind].selectExpr("system_id", *columns)
+        return lowered(graph(spark, sf_dir), kinds=(kind,), kept=True)[kind].selectExpr("system_id", *columns)
 
     return run
 
@@ -155,7 +155,7 @@ PARTS = {
 
 def lowered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system_id, kind, row: systems, tools, flows and models that were lifted and lowered again."""
-    back, out = lowered(graph(spark, sf_dir)), []
+    back, out = lowered(graph(spark, sf_dir), kinds=tuple(PARTS), kept=True), []
     for kind, columns in PARTS.items():
         shown = {"crew_references": F.array_join("crew_references", ","), "state_fields": F.to_json("state_fields")}
         cells = [F.coalesce(shown.get(c, F.col(c)), F.lit(NONE)) for c in columns]

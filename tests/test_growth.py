@@ -73,3 +73,12 @@ def test_facts_are_parsed_once(spark):
     assert kinds == sorted(kinds) and {"value", "function"} <= set(kinds)
     assert all("from_json" not in plan(x) and "payload" not in x.columns for x in (r.values, r.functions, r.s.defined))
     assert {x.name for x in r.values.collect()} == {"KIT", "base", "f()"}
+
+
+def test_parts_read_their_own_values_only(told):
+    from quillgraph.operators.lower import KINDS, Lower, lowered
+
+    own, whole = (Lower(told, catalog.Vocabulary(), kinds, kept=True).wide for kinds in (tuple(programs.PARTS), KINDS))
+    assert "hasTitle" in own.columns and "promptInstruction" not in own.columns and 0 < own.count() < whole.count()
+    few, all_of = lowered(told, kinds=tuple(programs.PARTS), kept=True), lowered(told)
+    assert set(few) == set(programs.PARTS) and all(few[k].exceptAll(all_of[k]).isEmpty() and few[k].count() == all_of[k].count() for k in ("systems", "tools", "models"))
