@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,26 +170,26 @@ def content_recall(wanted: DataFrame, texts: DataFrame, shortest: int = 1, block
     hits = exact
     for k in range(n):
         block = [r.w for r in patterns.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).toLocalIterator()]
-        inside = checkpointed(t.mapInPandas(_inside(t.sparkSession.sparkContext.broadcast(block)), "w string").distinct())
+        inside = checkpointed(t.mapInArrow(_inside(t.sparkSession.sparkContext.broadcast(block)), "w string").distinct())
         hits = hits.union(rest.join(inside, "w", "left_semi").select("id"))
     return wanted.select("id").distinct().join(hits.distinct().withColumn("found", F.lit(True)), "id", "left").fillna(False, ["found"])
 
 
 def _inside(block):
-    """Of batches of texts, which texts of the block they hold."""
+    """Of batches of texts, which texts of the block they hold. One text of a batch at a time is a Python string."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = None
-        for f in frames:
+        for b in batches:
             if automaton is None and len(block.value):
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 for k, text in enumerate(block.value):
                     automaton.add_word(text, k)
                 automaton.make_automaton()
-            found = {k for text in f.t for _, k in automaton.iter(text)} if automaton is not None else set()
-            yield pd.DataFrame({"w": [block.value[k] for k in sorted(found)]}, dtype="object")
+            found = {k for text in b.column("t") for _, k in automaton.iter(text.as_py())} if automaton is not None else set()
+            yield pa.RecordBatch.from_pydict({"w": pa.array([block.value[k] for k in sorted(found)], pa.string())})
 
     return run
 

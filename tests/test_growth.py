@@ -82,3 +82,16 @@ def test_parts_read_their_own_values_only(told):
     assert "hasTitle" in own.columns and "promptInstruction" not in own.columns and 0 < own.count() < whole.count()
     few, all_of = lowered(told, kinds=tuple(programs.PARTS), kept=True), lowered(told)
     assert set(few) == set(programs.PARTS) and all(few[k].exceptAll(all_of[k]).isEmpty() and few[k].count() == all_of[k].count() for k in ("systems", "tools", "models"))
+
+
+def test_texts_are_searched_as_they_lie_in_a_batch():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillgraph.operators.compare import _inside
+
+    batches = [pa.RecordBatch.from_pydict({"t": ["one two", "três bée"]}), pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())})]
+    found = [b.column("w").to_pylist() for b in _inside(SimpleNamespace(value=["two", "bé", "four"]))(iter(batches))]
+    none = list(_inside(SimpleNamespace(value=[]))(iter(batches)))
+    assert found == [["two", "bé"], []] and [b.num_rows for b in none] == [0, 0]
