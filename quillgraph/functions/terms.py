@@ -97,11 +97,9 @@ def reader_name(t: Column) -> Column:
 
 def in_namespaces(t: Column, namespaces: tuple[str, ...]) -> Column:
     """Whether an IRI is in one of the namespaces or is one's root, written without its last sign."""
-    u = lexical(t)
-    tests = [u.startswith(n) | (u == n.rstrip("/#")) for n in namespaces]
     out = F.lit(False)
-    for x in tests:
-        out = out | x
+    for n in namespaces:  # on the term as written: only literals have anything to undo
+        out = out | t.startswith(f"<{n}") | (t == iri(n.rstrip("/#")))
     return is_iri(t) & out
 
 

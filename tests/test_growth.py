@@ -1,6 +1,7 @@
 """What a query does once for a graph is not done again for each question or row."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,17 @@ def test_texts_are_searched_as_they_lie_in_a_batch():
     found = [b.column("w").to_pylist() for b in _inside(SimpleNamespace(value=["two", "bé", "four"]))(iter(batches))]
     none = list(_inside(SimpleNamespace(value=[]))(iter(batches)))
     assert found == [["two", "bé"], []] and [b.num_rows for b in none] == [0, 0]
+
+
+def test_a_triple_is_counted_without_cutting_names_out_of_it(spark):
+    from quillgraph.functions import terms as T
+    from quillgraph.operators.compare import property_usage
+
+    terms = ["<a#x>", "<a>", "<a#>", "<ab>", "<b/y>", "<b>", "<c#z>", '"a#x"', '"<a#x"', "_:a#x", "<>", None]
+    there = spark.createDataFrame([(t,) for t in terms], "t string").withColumn("in", T.in_namespaces(F.col("t"), ("a#", "b/")))
+    assert [r.t for r in there.where("in").collect()] == ["<a#x>", "<a>", "<a#>", "<b/y>", "<b>"]
+    assert not any(x in plan(there) for x in ("substring", "replace"))
+    rows = [("g", "<s>", p, '"1"') for p in ("<a#n>", "<a#n>", "<b/n>", "<a#m>", "<c#n>")] + [("h", "<s>", "<a#n>", "<o>"), ("g", "<a#s>", "<a#n>", '"1"')]
+    uses = property_usage(spark.createDataFrame(rows, "graph_id string, s string, p string, o string"), ("a#", "b/"))
+    assert sorted(tuple(r) for r in uses.collect()) == [("g", "m", 1), ("g", "n", 3), ("h", "n", 1)]
+    assert re.search(r"Aggregate \[graph_id#\d+, p#\d+\]", uses._jdf.queryExecution().optimizedPlan().toString())
