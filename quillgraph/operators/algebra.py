@@ -6,6 +6,7 @@ an IF whose condition errs is unbound: both are what nulls do here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from .closure import transitive
-from .graph import Pattern, Store, Var, joined
+from .graph import Pattern, Store, Var, joined, told
 
 TRUE, FALSE = (T.literal(x, T.XSD + "boolean") for x in ("true", "false"))
 
@@ -95,8 +96,14 @@ class Call:
     args: tuple[Any, ...] = ()
 
 
-def evaluate(node: Any, store: Store) -> DataFrame:
-    return _Run(store).frame(node)
+def evaluate(node: Any, store: Store, as_told: Callable[[str], Column] | None = None) -> DataFrame:
+    """The node's rows; as_told is what to make of each column, null of null."""
+    run = _Run(store)
+    if as_told and isinstance(node, Select) and not node.order and isinstance(node.of, (Join, LeftJoin)):
+        rows = run.together(node.of.left, node.of.right, "left" if isinstance(node.of, LeftJoin) else "inner", as_told)
+        never = {c: F.lit(None).cast("string") for c in node.names if c not in rows.columns}
+        return rows.withColumns(never).select(*[as_told(c).alias(c) if c in never else c for c in node.names])
+    return told(run.frame(node), as_told)
 
 
 def bindings(node: Any) -> tuple[frozenset[str], frozenset[str]]:
@@ -124,8 +131,8 @@ class _Run:
     def frame(self, node: Any) -> DataFrame:
         return getattr(self, f"_{type(node).__name__.lower()}")(node)
 
-    def together(self, left: Any, right: Any, how: str = "inner") -> DataFrame:
-        return joined(self.frame(left), self.frame(right), how, bindings(left)[1], bindings(right)[1])
+    def together(self, left: Any, right: Any, how: str = "inner", as_told: Callable[[str], Column] | None = None) -> DataFrame:
+        return joined(self.frame(left), self.frame(right), how, bindings(left)[1], bindings(right)[1], as_told)
 
     def _group(self, g: Group) -> DataFrame:
         plain = [q for q in g.parts if isinstance(q, Pattern)]

@@ -45,8 +45,7 @@ def store(spark: SparkSession, sf_dir: str, *names: str, materialised: bool = Fa
 def ask(text: str, s: Store, **casts: str) -> DataFrame:
     """The query's rows with lexical forms, cast where asked."""
     prefixes = "".join(f"PREFIX {n}: <{n}#> " for n in MAPPINGS)
-    rows = evaluate(parse(prefixes + text), s)
-    return rows.select(*[T.lexical(F.col(c)).cast(casts.get(c, "string")).alias(c) for c in rows.columns])
+    return evaluate(parse(prefixes + text), s, lambda c: T.lexical(F.col(c)).cast(casts.get(c, "string")))
 
 
 #: name: (tables, query, casts, SQL). Each runs on tables or, with the same result, on their triples.

@@ -185,6 +185,25 @@ def test_all_pairs_are_dealt_out_by_the_larger_side(spark):
     assert joined(few.limit(0), many, "left").count() == 0
 
 
+def test_all_pairs_are_made_of_finished_rows(spark):
+    """What is made of each column is made once a row of either side, and pairs are not planned one by one."""
+    from quillgraph.operators.graph import BLOCK_ROWS
+    from quillgraph.plans.suite import MAPPINGS, ask
+
+    n = BLOCK_ROWS + 44
+    t = {"customer": spark.createDataFrame([(k, "n") for k in range(n)], "c_custkey long, c_name string"), "orders": spark.createDataFrame([(1, 0, 'a "b" \\n'), (2, 0, None), (3, None, "c"), (4, 7, "d\te")], "o_orderkey long, o_custkey long, o_orderpriority string")}
+    asked = "SELECT ?c ?o ?p ?none WHERE { ?c customer:c_name ?name . OPTIONAL { ?o orders:o_custkey ?c } OPTIONAL { ?o orders:o_orderpriority ?p } }"
+    out = ask(asked, TableStore(t, {k: MAPPINGS[k] for k in t}))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" in plan and "substring" not in plan[plan.index("inline(") - 200 : plan.index("Cross")]
+    alone = [k for k in range(n) if k not in (0, 7)]
+    want = [(f"customer/{c}", f"orders/{o}", p, None) for c, o, p in [(0, 1, 'a "b" \\n'), (0, 2, None), (7, 4, "d\te")] + [(c, o, p) for c in alone for o, p in ((1, 'a "b" \\n'), (3, "c"), (4, "d\te"))]]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr) and len(want) > 3 * BLOCK_ROWS
+    t["orders"] = t["orders"].where("o_orderkey = 2")
+    none = ask(asked, TableStore(t, {k: MAPPINGS[k] for k in t})).collect()
+    assert sorted(map(tuple, none), key=repr) == sorted([(f"customer/{c}", "orders/2" if c == 0 else None, None, None) for c in range(n)], key=repr)
+
+
 def test_only_rows_of_repeated_subjects_are_compared(spark):
     """Triples of lone subjects need no shuffle; repeated and conflicting rows still give a set, null keys too."""
     from quillgraph.operators.graph import Mapping, TableStore
