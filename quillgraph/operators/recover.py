@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms as T
-from .closure import checkpointed
 from .symbols import VALUE, Symbols, symbol
 from .workflow import topology
 
@@ -37,17 +36,17 @@ class Recovery:
     def __init__(self, found: DataFrame):
         self.s = Symbols(found)
         # both are asked for many things, each of which reads its own columns and parses no payload again
-        self.functions = checkpointed(self.s.of("function", FUNCTION).drop("payload").withColumn("dst", symbol("path", "name")))
-        self.values = checkpointed(self.s.of("value", VALUE + ", model array<array<string>>, prompt array<array<string>>, about array<array<string>>").drop("payload").withColumn("dst", symbol("path", "name")))
-        self.models = self._models()
-        self.tools = self._tools()
+        self.functions = self.s.kept(self.s.of("function", FUNCTION).drop("payload").withColumn("dst", symbol("path", "name")))
+        self.values = self.s.kept(self.s.of("value", VALUE + ", model array<array<string>>, prompt array<array<string>>, about array<array<string>>").drop("payload").withColumn("dst", symbol("path", "name")))
+        self.models = self.s.dealt(self._models())
+        self.tools = self.s.dealt(self._tools())
 
     def _models(self) -> DataFrame:
         """system_id, src, model: the model that a symbol's value is made with (the first one by place of definition)."""
         ids = self.values.where("size(model) > 0").select("system_id", F.col("dst").alias("id"), "path", "model", "ord")
         told = self.s.texts(ids.withColumnRenamed("model", "said")).select("system_id", F.col("id").alias("dst"), "text")
         told = told.join(ids.select("system_id", F.col("id").alias("dst"), "path", "ord"), ["system_id", "dst"])
-        self.own_models = checkpointed(told)
+        self.own_models = self.s.kept(told)
         near = self.s.made_of.join(self.own_models, ["system_id", "dst"])
         return near.groupBy("system_id", "src").agg(F.min_by("text", F.struct((F.col("src") != F.col("dst")).alias("far"), "path", "ord")).alias("model"))
 
@@ -55,11 +54,11 @@ class Recovery:
         """rows (system_id, id, path, k, tool) with `tool` as the name of the function or class that it means."""
         meant = self.s.means.join(self.functions.select("system_id", "dst", F.col("name").alias("meant")), ["system_id", "dst"])
         wrapped = self.s.means.join(self.values.where("wraps <> ''").select("system_id", "dst", symbol("path", "wraps").alias("inner")), ["system_id", "dst"])
-        through = wrapped.select("system_id", "src", F.col("inner")).join(meant.select("system_id", F.col("src").alias("inner"), "meant"), ["system_id", "inner"], "left")
+        through = wrapped.select("system_id", "src", F.col("inner")).join(self.s.dealt(meant.select("system_id", F.col("src").alias("inner"), "meant")), ["system_id", "inner"], "left")
         through = through.select("system_id", "src", F.coalesce("meant", F.element_at(F.split("inner", "[\x1f.]"), -1)).alias("meant"))
         known = meant.select("system_id", "src", "meant").union(through).groupBy("system_id", "src").agg(F.min("meant").alias("meant"))
         last = F.element_at(F.split("tool", r"\."), -1)
-        met = rows.withColumn("src", symbol("path", "tool")).join(known, ["system_id", "src"], "left")
+        met = rows.withColumn("src", symbol("path", "tool")).join(self.s.dealt(known), ["system_id", "src"], "left")
         return met.select("system_id", "id", "k", F.coalesce("meant", last).alias("tool"))
 
     def listed(self, rows: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ class Recovery:
     def _tools(self) -> DataFrame:
         """system_id, src, tools: those bound to what a symbol's value is made of."""
         bound = self.values.where("tools is not null or tools_of <> ''").select("system_id", F.col("dst").alias("id"), "path", "tools", "tools_of")
-        own = checkpointed(self.listed(bound).withColumnRenamed("id", "dst"))
+        own = self.s.kept(self.listed(bound).withColumnRenamed("id", "dst"))
         self.n_bound = own.groupBy("system_id").agg(F.count(F.lit(1)).alias("n_bound"), F.first("tools").alias("only_tools"))
         return self.s.made_of.join(own, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by("tools", F.struct((F.col("src") != F.col("dst")).alias("far"), "dst")).alias("tools"))
 
@@ -84,7 +83,7 @@ class Recovery:
         """rows with `graph`: the builder that the name stands for, or the name itself."""
         built = self.s.of("graph", "state string").select("system_id", symbol("path", "name").alias("dst"))
         meant = self.s.means.join(built, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min("dst").alias("graph"))
-        return rows.withColumn("src", symbol("path", "name")).join(meant, ["system_id", "src"], "left").withColumn("graph", F.coalesce("graph", "src")).drop("src")
+        return rows.withColumn("src", symbol("path", "name")).join(self.s.dealt(meant), ["system_id", "src"], "left").withColumn("graph", F.coalesce("graph", "src")).drop("src")
 
     def nodes(self) -> DataFrame:
         """One row a node of a graph, with what its target is and does."""
@@ -93,14 +92,14 @@ class Recovery:
         rows = rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
         rows = rows.select("system_id", "graph", "node", "path", "ord", F.coalesce("tool_node", F.lit(False)).alias("is_tools"), symbol("path", F.coalesce("ref", F.lit(""))).alias("target"), symbol("path", F.coalesce("callee", F.lit(""))).alias("maker"), F.coalesce(F.col("react"), F.lit(False)).alias("inline_react"))
         function = self.s.means.join(self.functions, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("path", *ASKED, F.col("name").alias("function")), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst")).alias("f"))
-        function = checkpointed(function)
+        function = self.s.kept(function)
         value = self.s.means.join(self.values, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("path", "callee", "tool_node", "react"), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst", "ord")).alias("v"))
-        met = rows.join(function.withColumnRenamed("src", "target"), ["system_id", "target"], "left").join(value.withColumnRenamed("src", "target"), ["system_id", "target"], "left")
+        met = rows.join(function.withColumnRenamed("src", "target"), ["system_id", "target"], "left").join(self.s.dealt(value).withColumnRenamed("src", "target"), ["system_id", "target"], "left")
         met = met.withColumn("maker", F.when(F.col("v.callee") != "", symbol(F.col("v.path"), F.col("v.callee"))).otherwise(F.col("maker")))
         made = function.select("system_id", F.col("src").alias("maker"), F.col("f.tool_node").alias("m_tools"), F.col("f.handler").alias("m_handler"), F.col("f.dynamic").alias("m_dynamic"))
         met = met.join(made, ["system_id", "maker"], "left")
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-        return checkpointed(met.select(
+        return self.s.kept(met.select(
             "system_id", "graph", "node", "path", "ord", "target", "f",
             (yes("is_tools") | yes("v.tool_node") | yes("m_tools")).alias("is_tools"), yes("m_dynamic").alias("dynamic"), (yes("m_handler") & ~yes("m_dynamic")).alias("handler"),
             (yes("v.react") | yes("inline_react")).alias("is_react"),
@@ -113,16 +112,16 @@ class Recovery:
         asked = nodes.where("f is not null").select("system_id", "graph", "node", F.col("f.path").alias("of"), F.posexplode("f.invoked").alias("k", "name")).withColumn("src", symbol("of", "name"))
         asked = asked.select("system_id", "graph", "node", "k", "src").union(nodes.where("is_react").select("system_id", "graph", "node", F.lit(0), "target"))
         react = s.means.join(self.values.where("react").select("system_id", "dst", "path", "prompt"), ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("dst", "path", "prompt"), "dst").alias("react"))
-        met = asked.join(self.models, ["system_id", "src"], "left").join(self.tools, ["system_id", "src"], "left").join(react, ["system_id", "src"], "left")
+        met = asked.join(self.models, ["system_id", "src"], "left").join(self.tools, ["system_id", "src"], "left").join(s.dealt(react), ["system_id", "src"], "left")
         first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("k"))).alias(c)
         brains = met.groupBy("system_id", "graph", "node").agg(first("model"), first("tools"), F.min_by("react", F.when(F.col("react").isNotNull(), F.col("k"))).alias("react"), F.count(F.lit(1)).alias("n_asked"))
         module = self.own_models.where("not contains(split_part(dst, '\x1f', 2), '.') and not endswith(dst, '()')")
         whole = module.groupBy("system_id").agg(F.min_by("text", F.struct("path", "ord")).alias("any_model"), F.count(F.lit(1)).alias("n_models"))
-        rows = nodes.join(brains, ["system_id", "graph", "node"], "left").join(whole, "system_id", "left").join(self.n_bound, "system_id", "left")
+        rows = nodes.join(s.dealt(brains), ["system_id", "graph", "node"], "left").join(whole, "system_id", "left").join(self.n_bound, "system_id", "left")
         rows = rows.withColumn("id", F.concat_ws("\x1f", "graph", "node"))
         said = lambda field: rows.where(F.size(F.col(f"f.{field}")) > 0).select("system_id", F.concat(F.lit(f"{field}\x1f"), "id").alias("id"), F.col("f.path").alias("path"), F.col(f"f.{field}").alias("said"))
         reacts = rows.where("size(react.prompt) > 0").select("system_id", F.concat(F.lit("react\x1f"), "id").alias("id"), F.col("react.path").alias("path"), F.col("react.prompt").alias("said"))
-        told = checkpointed(s.texts(said("model").union(said("prompt")).union(said("human")).union(reacts)))
+        told = self.s.kept(s.texts(said("model").union(said("prompt")).union(said("human")).union(reacts)))
         for field in ("model", "prompt", "human", "react"):
             one = told.where(F.col("id").startswith(f"{field}\x1f")).select("system_id", F.substring_index("id", "\x1f", -3).alias("id"), F.col("text").alias(f"{field}_text"))
             rows = rows.join(one, ["system_id", "id"], "left")
@@ -134,8 +133,8 @@ class Recovery:
         alone = F.when((F.col("n_bound") == 1) & F.col("n_asked").isNull() & F.col("f").isNotNull(), F.array_sort("only_tools"))
         rows = rows.withColumn("llm", known).withColumn("uses", F.coalesce(F.when(is_react, F.col("tools")), F.when(has_tools, F.array_sort("tools")), alone, _none()))
         stops = self._stops()
-        rows = rows.join(stops, ["system_id", "graph", "node"], "left").withColumn("key", T.safe_id(F.col("node")))
-        rows = checkpointed(rows.withColumn("is_react", is_react))
+        rows = rows.join(s.dealt(stops), ["system_id", "graph", "node"], "left").withColumn("key", T.safe_id(F.col("node")))
+        rows = self.s.kept(rows.withColumn("is_react", is_react))
         a = rows.where("kind = 'agent'")
         key = Window.partitionBy("system_id", "key").orderBy("path", "ord")
         a = a.withColumn("_k", F.row_number().over(key)).where("_k = 1")
@@ -170,10 +169,10 @@ class Recovery:
         plain = self.graph_of(self.s.of("edge", "src string, dst string").withColumnRenamed("src", "from")).select("system_id", "graph", F.col("from").alias("src"), "dst", F.lit(False).alias("conditional"))
         fans = self.graph_of(self.s.of("fan", "src string, router string, targets array<string>").withColumnRenamed("src", "from"))
         routers = self.s.means.join(self.functions, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array_distinct("says")), F.struct((F.col("src") != F.col("dst")).alias("far"), "dst")).alias("leads"))
-        met = fans.withColumn("src", symbol("path", "router")).join(routers, ["system_id", "src"], "left")
+        met = fans.withColumn("src", symbol("path", "router")).join(self.s.dealt(routers), ["system_id", "src"], "left")
         targets = F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.coalesce("leads", _none()))
         out = met.select("system_id", "graph", F.col("from").alias("src"), F.explode_outer(targets).alias("dst"), F.lit(True).alias("conditional"))
-        return checkpointed(plain.union(out).distinct())
+        return self.s.kept(plain.union(out).distinct())
 
     def _teams(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
         flow = F.concat_ws("\x1e", "system_id", "graph").alias("flow")

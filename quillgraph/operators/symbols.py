@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .closure import checkpointed, transitive
+from .closure import checkpointed, dealt, transitive
 from .said import Part, Scope, parts, rendered
 
 FACT = "system_id string, path string, kind string, name string, ord int, payload string"
@@ -340,15 +340,17 @@ class Symbols:
     """Links and flows between the symbols of each system, and the questions asked along them."""
 
     def __init__(self, found: DataFrame):
-        self.found = found
-        values = checkpointed(self.of("value", VALUE).drop("payload"))  # read many times, so payloads are not parsed at each
-        functions = checkpointed(self.of("function", "given array<string>, holder string").drop("payload"))
+        #: the tables of symbols grow with the facts, so they are dealt out where those are
+        self.n_facts = found.count()
+        self.found = dealt(found, self.n_facts)
+        values = self.kept(self.of("value", VALUE).drop("payload"))  # read many times, so payloads are not parsed at each
+        functions = self.kept(self.of("function", "given array<string>, holder string").drop("payload"))
         #: where a name is defined: what is assigned, functions and classes
         classes = self.of("class", "bases array<string>, fields array<array<string>>")
-        self.defined = checkpointed(values.select("system_id", "path", "name").union(functions.select("system_id", "path", "name")).union(classes.select("system_id", "path", "name")).distinct())
+        self.defined = self.kept(values.select("system_id", "path", "name").union(functions.select("system_id", "path", "name")).union(classes.select("system_id", "path", "name")).distinct())
         self.classes = classes.withColumn("dst", symbol("path", "name"))
         plain = values.where("ref <> ''").select("system_id", symbol("path", "name").alias("src"), symbol("path", "ref").alias("dst"))
-        self.links = checkpointed(plain.union(self._imports()).distinct())
+        self.links = self.kept(plain.union(self._imports()).distinct())
         means = self._closed(self.links)
         # a call binds its arguments to the parameters of the function that its name means
         bound = self.of("argument", "at string, site string, " + VALUE)
@@ -356,17 +358,24 @@ class Symbols:
         callee = by.join(means, ["system_id", "src"]).withColumn("to", F.col("dst"))
         given = functions.select("system_id", symbol("path", "name").alias("to"), F.posexplode(F.expr("IF(holder = '', given, slice(given, 2, size(given)))")).alias("k", "parameter"))
         bindings = callee.join(given, ["system_id", "to"]).where((F.col("at") == F.col("k").cast("string")) | (F.col("at") == F.col("parameter")))
-        self.bindings = checkpointed(bindings.select("system_id", F.concat("to", F.lit("."), "parameter").alias("src"), symbol("path", F.coalesce("ref", F.lit(""))).alias("dst"), F.col("ref").isNotNull().alias("linked"), "to", F.concat_ws("\x1f", "path", "site").alias("site"), "payload"))
+        self.bindings = self.kept(bindings.select("system_id", F.concat("to", F.lit("."), "parameter").alias("src"), symbol("path", F.coalesce("ref", F.lit(""))).alias("dst"), F.col("ref").isNotNull().alias("linked"), "to", F.concat_ws("\x1f", "path", "site").alias("site"), "payload"))
         self.links = self.links.union(self.bindings.where("linked").select("system_id", "src", "dst")).distinct()
         #: (system_id, src, dst): what a symbol stands for, itself included
-        self.means = checkpointed(self._closed(self.links))
+        self.means = self.kept(self._closed(self.links))
         made = values.select("system_id", "path", "name", F.explode(F.array_union(F.coalesce("from", F.array().cast("array<string>")), F.array(F.concat("callee", F.lit("()"))))).alias("root")).where("root is not null and root <> '()'")
         calls = self.means.where(~F.col("dst").endswith("()")).select("system_id", F.concat("src", F.lit("()")).alias("src"), F.concat("dst", F.lit("()")).alias("dst")).where("src <> dst")
         flows = made.select("system_id", symbol("path", "name").alias("src"), symbol("path", "root").alias("dst"))
         #: (system_id, src, dst): what a symbol's value is made of, itself included
-        self.made_of = checkpointed(self._closed(self.links.union(flows).union(calls).distinct()))
+        self.made_of = self.kept(self._closed(self.links.union(flows).union(calls).distinct()))
         self.values = values.withColumn("dst", symbol("path", "name"))
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return dealt(rows, self.n_facts)
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows written once and read again, as joins should take them."""
+        return self.dealt(checkpointed(rows))
+
     def of(self, kind: str, schema: str) -> DataFrame:
         rows = self.found.where(F.col("kind") == kind).withColumn("_x", F.from_json("payload", schema))
         return rows.select("system_id", "path", "name", "ord", "payload", "_x.*")
@@ -407,7 +416,7 @@ class Symbols:
         met = bases.select("system_id", F.col("src").alias("child"), F.col("to").alias("src")).join(self.means, ["system_id", "src"], "left")
         edges = met.select("system_id", F.col("child").alias("src"), F.coalesce("dst", "src").alias("dst")).distinct()
         own = self.classes.select("system_id", F.col("dst").alias("src"), "dst")
-        return checkpointed(transitive(edges, within="system_id").select("system_id", "src", "dst").union(own).distinct())
+        return self.kept(transitive(edges, within="system_id").select("system_id", "src", "dst").union(own).distinct())
 
     @staticmethod
     def pieces(wanted: DataFrame) -> DataFrame:
@@ -442,7 +451,7 @@ class Symbols:
         told = first.union(given).where("said is not null and size(said) > 0")
         # the texts of what a name stands for; its own come first
         known = self.means.join(told, ["system_id", "dst"]).groupBy("system_id", "src").agg(F.min_by(F.struct("said", "path"), F.struct((F.col("src") != F.col("dst")).alias("far"), "at", "dst")).alias("own"))
-        known = checkpointed(known.select("system_id", F.col("src").alias("sought"), F.col("own.said").alias("inner"), F.col("own.path").alias("of")))
+        known = self.kept(known.select("system_id", F.col("src").alias("sought"), F.col("own.said").alias("inner"), F.col("own.path").alias("of")))
         rows = self.pieces(wanted) if "said" in wanted.columns else wanted
         rows = rows.select("system_id", "id", "path", "place", "part", F.lit(False).alias("done"))
         for _ in range(MOST_NESTED):
@@ -451,7 +460,7 @@ class Symbols:
             inside = met.where("inner is not null and not (size(inner) = 1 and inner[0][1] = part[1] and of = path)").select("system_id", "id", F.col("of").alias("path"), "place", F.posexplode("inner").alias("k", "part"))
             inside = inside.select("system_id", "id", "path", F.concat("place", F.array("k")).alias("place"), "part", F.lit(False).alias("done"))
             stays = met.where("inner is null or (size(inner) = 1 and inner[0][1] = part[1] and of = path)").select("system_id", "id", "path", "place", "part", F.lit(True).alias("done"))
-            rows = checkpointed(rows.where("part[0] <> 'n' or done").union(inside).union(stays))
+            rows = self.kept(rows.where("part[0] <> 'n' or done").union(inside).union(stays))
             if rows.where("part[0] = 'n' and not done").isEmpty():
                 break
         whole = rows.groupBy("system_id", "id").agg(F.expr("transform(array_sort(collect_list(struct(place, part))), x -> x.part)").alias("said"))

@@ -110,3 +110,20 @@ def test_a_triple_is_counted_without_cutting_names_out_of_it(spark):
     uses = property_usage(spark.createDataFrame(rows, "graph_id string, s string, p string, o string"), ("a#", "b/"))
     assert sorted(tuple(r) for r in uses.collect()) == [("g", "m", 1), ("g", "n", 3), ("h", "n", 1)]
     assert re.search(r"Aggregate \[graph_id#\d+, p#\d+\]", uses._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_large_tables_of_symbols_are_dealt_out_and_not_sent_whole(spark, monkeypatch):
+    from quillgraph.operators import closure, symbols
+    from quillgraph.operators.recover import Recovery
+
+    files = [(s, p, t) for s in ("a", "b") for p, t in (("m.py", f"base = ChatOpenAI(model='{s}')\nP = 'one'\n"), ("n.py", 'from m import *\narmed = base.bind_tools([look])\ndef f(state):\n    return {"x": armed.invoke([SystemMessage(content=P)])}\n'), ("g.py", "from n import *\ng = StateGraph(dict)\ng.add_node('f', f)\ng.add_edge('f', 'END')\n"))]
+    found = symbols.kept_facts(spark.createDataFrame(files, "system_id string, path string, source string"))
+    agents = lambda: sorted((r.system_id, r.agent_key, r.llm, tuple(r.tools), r.backstory) for r in Recovery(found).state_graphs()["agents"].collect())
+    sent, plans, rounds, own = agents(), [], [], closure.checkpointed
+    monkeypatch.setattr(closure, "MOST_SENT", 1)
+    monkeypatch.setattr(symbols, "checkpointed", lambda df: plans.append(plan(df)) or own(df))
+    monkeypatch.setattr(closure, "checkpointed", lambda df: rounds.append(plan(df)) or own(df))
+    assert agents() == sent == [(s, "f", s, ("look",), "one") for s in "ab"]
+    assert len(plans) >= 20 and not [re.findall(r"BroadcastHashJoin .*", p) for p in plans if "BroadcastHashJoin" in p]
+    closure.transitive(spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "src string, dst string")).count()
+    assert "BroadcastHashJoin" not in rounds[-4] and "SortMergeJoin" in rounds[-4]
